@@ -111,8 +111,11 @@ def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
     ).drop("multi", "kb", "sub", "inside", "first", "rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, slack: float = 0.25) -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot of every row of ``docs`` (doc_id, text). See the module."""
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+    """doc_id, size, text_crc32, key, shard, slot of every row of ``docs`` (doc_id, text). See the module.
+
+    Only linked documents count against the quota while labels move: unlinked ones can make room later at no cost.
+    """
     text = F.coalesce("text", F.lit(""))
     nodes = docs.select(
         "doc_id",
@@ -122,11 +125,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4, slack: fl
     ).withColumn("shard", _bucket(shards, "doc_id", "key"))
     nodes, _ = materialise(nodes, "nodes")
     held = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    found = {r["shard"]: r["n"] for r in nodes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    loads = [found.get(s, 0) for s in range(shards)]
-    capacity = int(sum(loads) / shards * (1 + slack)) + 1
-    marked, marked_path = materialise(nodes.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(1))), "marked")
-    linked, _ = propagate(marked.where("held > 1"), loads, capacity, shards, rounds)
+    marked, _ = materialise(nodes.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(1))), "marked")
+    single, multi = [0] * shards, [0] * shards
+    for r in marked.groupBy("shard", (F.col("held") > 1).alias("linked")).agg(F.count(F.lit(1)).alias("n")).collect():
+        (multi if r["linked"] else single)[r["shard"]] = r["n"]
+    capacity = (sum(single) + sum(multi)) // shards
+    linked, _ = propagate(marked.where("held > 1"), multi, capacity, shards, rounds)  # keeps multi up to date
+    loads = [a + b for a, b in zip(single, multi)]
     return balance_rows(marked.where("held = 1").unionByName(linked.select(*marked.columns)), loads, shards)
 
 
