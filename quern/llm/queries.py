@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, media, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_shards": sharding.op4_shards,
+    "op5_media": media.op5_media,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
