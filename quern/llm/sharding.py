@@ -10,7 +10,8 @@ number depends on the shard count alone.
 
 Law ``rows``: after the rounds, shards over their exact quota give up that many documents, unlinked ones first, and shards
 below it take them: counts differ by one at most. Ranks in a shard come from cell counts, running totals and a row number
-inside each cell of a few thousand rows, so no task ever sorts a whole shard or a whole key.
+inside each cell of a few thousand rows, so no task ever sorts a whole shard or a whole key. Per-key tables are written
+before they are joined, which leaves both sides of each join to adaptive execution, and that splits hot keys.
 
 Defined results: a null text is empty (size 1, CRC 0) and shares a key with the empty text; null document ids and
 repeated rows are kept as rows of their own; other columns are ignored; an empty table gives an empty table.
@@ -43,11 +44,12 @@ def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, r
     for _ in range(rounds):
         tallies = current.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
         rank = F.struct("n", F.xxhash64("key", "shard").alias("h"))
-        best = tallies.groupBy("key").agg(F.max_by("shard", rank).alias("best"))
+        best, best_path = materialise(tallies.groupBy("key").agg(F.max_by("shard", rank).alias("best")), "best")
         voted = current.join(best, "key").withColumn(
             "cell", F.when(F.col("held") > large, _bucket(CELLS, "doc_id", "key")).otherwise(_bucket(CELLS, "key"))
         )
         voted, voted_path = materialise(voted, "voted")
+        drop(spark, best_path)
         demand = voted.where("best <> shard").groupBy("best", "cell").agg(F.count(F.lit(1)).alias("n"))
         flows = {(r["best"], r["cell"]): r["n"] for r in demand.collect()}  # shards x CELLS rows at most
         if not flows:
@@ -124,7 +126,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFr
         F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"),
     ).withColumn("shard", _bucket(shards, "doc_id", "key"))
     nodes, _ = materialise(nodes, "nodes")
-    held = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # Written out, so that the join below shuffles both sides anew and adaptive execution can split a hot key.
+    held, _ = materialise(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
     marked, _ = materialise(nodes.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(1))), "marked")
     single, multi = [0] * shards, [0] * shards
     for r in marked.groupBy("shard", (F.col("held") > 1).alias("linked")).agg(F.count(F.lit(1)).alias("n")).collect():
