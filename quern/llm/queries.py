@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, sharding
+from . import chat, html_text, media, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op4_shards": sharding.op4_shards,
     "op5_media": media.op5_media,
+    "op7_secrets": secret_scan.op7_secrets,
+    "op9_main_text": html_text.op9_main_text,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
