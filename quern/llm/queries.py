@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, media, secret_scan, sharding
+from . import chat, html_text, language, media, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_language": language.op2_language,
+    "op3_quality": quality.op3_quality,
     "op4_shards": sharding.op4_shards,
     "op5_media": media.op5_media,
     "op7_secrets": secret_scan.op7_secrets,
