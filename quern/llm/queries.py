@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, language, media, packing, quality, secret_scan, sharding
+from . import chat, html_text, language, media, near_dup, packing, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_shards": sharding.op4_shards,
     "op5_media": media.op5_media,
+    "op6_near_duplicates": near_dup.op6_near_duplicates,
     "op7_secrets": secret_scan.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op9_main_text": html_text.op9_main_text,
