@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, language, media, near_dup, packing, quality, secret_scan, sharding
+from . import chat, decontam, html_text, language, media, near_dup, packing, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secrets": secret_scan.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op9_main_text": html_text.op9_main_text,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
