@@ -1,6 +1,811 @@
-"""Every query by name, with the SQL that should give the same rows."""
+"""Every query by name, with the SQL that should give the same rows. Each takes (spark, sf_dir) and reads whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.operators import corpus, curation, diagnosis, evaluation, evidence, providers, retrieval, sessions, static_analysis
+from quern.plans import samples
+from quern.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+LINES = "case when coalesce(text, '') = '' then [] else string_split(case when ends_with(text, chr(10)) then left(text, length(text) - 1) else text end, chr(10)) end"
+COUNT = "coalesce(length(text) - length(replace(text, chr(10), '')) + case when length(text) > 0 and not ends_with(text, chr(10)) then 1 else 0 end, 0)"
+
+
+@query(f"""
+select source, lang, count(*) as files, cast(sum({COUNT}) as bigint) as total_lines,
+  cast(sum(coalesce(length(text), 0)) as bigint) as total_chars
+from documents group by grouping sets ((source), (source, lang))""")
+def corpus_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.repository_stats(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+def _windows(lines: int, overlap: int) -> str:
+    return f"""
+with d as (select doc_id, {LINES} as lines from documents),
+s as (select doc_id, lines, unnest(range(0, greatest(len(lines) - {overlap} - 1, 0) + 1, {lines - overlap})) as s from d where len(lines) > 0)
+select doc_id, s + 1 as start_line, least(s + {lines}, len(lines)) as end_line,
+  length(array_to_string(lines[s + 1 : s + {lines}], chr(10))) as n_chars, md5(array_to_string(lines[s + 1 : s + {lines}], chr(10))) as content_md5
+from s"""
+
+
+def _windowed(spark: SparkSession, sf_dir: str, lines: int, overlap: int) -> DataFrame:
+    rows = corpus.line_windows(table(spark, sf_dir, "documents"), "doc_id", chunk_lines=lines, overlap=overlap)
+    return rows.select("doc_id", "start_line", "end_line", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@query(_windows(20, 5))
+def line_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, 20, 5)
+
+
+@query(_windows(80, 10))
+def line_window_chunks_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, 80, 10)
+
+
+@query(f"""
+with d as (select doc_id, {LINES} as lines from documents)
+select doc_id, cast(case when len(lines) = 0 then 0 else 3 end as bigint) as start_line,
+  cast(case when len(lines) = 0 then 0 else least(len(lines), 7) end as bigint) as end_line, cast(len(lines) as bigint) as total_lines,
+  coalesce(array_to_string(lines[3:7], chr(10)), '') as content
+from d""")
+def file_slice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.file_slices(table(spark, sf_dir, "documents"), "doc_id", 3, 7)
+
+
+@query(f"""
+with d as (select doc_id, {LINES} as lines from documents where contains(lower(text), 'token =')),
+h as (select doc_id, lines, unnest(range(len(lines))) as i from d),
+k as (select *, greatest(i - 1, 0) as a, least(i + 1, len(lines) - 1) as b from h where contains(lower(lines[i + 1]), 'token ='))
+select doc_id, i + 1 as line, a + 1 as start_line, b + 1 as end_line, cast(len(lines) as bigint) as total_lines,
+  array_to_string(list_transform(range(a, b + 1), lambda j: case when j = i then '> ' else '  ' end || lines[j + 1]), chr(10)) as content
+from k order by doc_id, line limit 50""")
+def grep_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.grep(table(spark, sf_dir, "documents"), "doc_id", "TOKEN =", context=1, limit=50)
+
+
+FILES_SQL = """
+files as (select doc_id, case source when 'src0' then 'data' when 'src1' then 'Logs' when 'src2' then 'api/Training' else source end || '/' || doc_id ||
+  case lang when 'en' then '.py' when 'de' then '.md' when 'fr' then '.txt' else '.JSON' end as file, text from documents)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.when(F.col("source") == "src0", "data").when(F.col("source") == "src1", "Logs").when(F.col("source") == "src2", "api/Training").otherwise(F.col("source"))
+    kind = F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "de", ".md").when(F.col("lang") == "fr", ".txt").otherwise(".JSON")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(place, F.lit("/"), F.col("doc_id").cast("string"), kind).alias("file"), "text")
+
+
+IGNORED_SQL = "[" + ", ".join(f"'{d}'" for d in corpus.IGNORED_DIRECTORIES) + "]"
+
+
+@query(f"""
+with {FILES_SQL}, p as (
+  select file, 'File: ' || file || chr(10) || 'Type: text' || chr(10) || 'Name: module' || chr(10) || 'Code:' || chr(10) || text as passage,
+    'File: ' || file || chr(10) || 'Lines: 1-80' || chr(10) || 'Type: text' || chr(10) || 'Name: module' || chr(10) || 'Code:' || chr(10) ||
+      case when length(text) > 8000 then left(text, 8000) || chr(10) || '...truncated...' else text end as reranked,
+    case when length(text) > 12000 then left(text, 12000) || chr(10) || '...truncated...' else text end as cut
+  from files where lower(regexp_extract(file, '(\\.[^./]+)$', 1)) in ('.py', '.md', '.json', '.yaml', '.yml', '.toml')
+    and not list_has_any(list_transform(string_split(file, '/'), lambda x: lower(x)), {IGNORED_SQL}) and regexp_matches(text, '\\S'))
+select file, md5(passage) as lexical_md5, md5('passage: ' || passage) as dense_md5, md5(reranked) as rerank_md5, length(reranked) as rerank_chars, length(cut) as cut_chars from p""")
+def indexable_filter_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _files(spark, sf_dir).where(corpus.indexable(F.col("file"), F.col("text")))
+    file, kind, name, content = F.col("file"), F.lit("text"), F.lit(""), F.col("text")
+    reranked = corpus.rerank_passage(file, kind, name, F.lit(1), F.lit(80), content)
+    return rows.select(
+        "file", F.md5(corpus.lexical_passage(file, kind, name, content)).alias("lexical_md5"), F.md5(corpus.dense_passage(file, kind, name, content)).alias("dense_md5"),
+        F.md5(reranked).alias("rerank_md5"), F.length(reranked).cast("long").alias("rerank_chars"),
+        F.length(T.truncate(content, corpus.TOOL_CHARS, corpus.MARKER)).cast("long").alias("cut_chars"),
+    )
+
+
+@query(f"""
+with {FILES_SQL}
+select file, lower(regexp_extract(file, '(\\.[^./]+)$', 1)) as suffix from files
+where lower(regexp_extract(file, '(\\.[^./]+)$', 1)) in ('.py', '.md', '.json', '.yaml', '.yml', '.txt', '.toml') and not list_has_any(string_split(file, '/'), {IGNORED_SQL})""")
+def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir).where(corpus.scannable(F.col("file"))).select("file", corpus.suffix(F.col("file")).alias("suffix"))
+
+
+@query(f"""
+with d as (select doc_id, {LINES} as lines from documents)
+select doc_id, md5(array_to_string(list_transform(range(len(lines)), lambda i: lpad(cast(i + 1 as varchar), 4, ' ') || ' | ' || lines[i + 1]), chr(10))) as numbered_md5 from d""")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(corpus.numbered(F.col("text"))).alias("numbered_md5"))
+
+
+def _cjk_sql(text: str) -> str:
+    return (
+        f"flatten(list_transform(regexp_extract_all({text}, '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: list_concat("
+        "list_transform(range(1, length(r) + 1), lambda i: substring(r, i, 1)), list_transform(range(1, length(r)), lambda i: substring(r, i, 2)))))"
+    )
+
+
+def _tokens_sql(text: str) -> str:
+    part = "list_transform(regexp_extract_all(regexp_replace(replace(w, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z]+|[0-9]+'), lambda p: lower(p))"
+    return f"list_concat(flatten(list_transform(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9_]*|[0-9]+'), lambda w: list_concat([lower(w)], {part}))), {_cjk_sql(text)})"
+
+
+@query(f"""with t as (select doc_id, {_tokens_sql('text')} as t from documents)
+select doc_id, cast(len(t) as bigint) as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5 from t""")
+def tokenize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", T.code_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query(f"select id, array_to_string({_tokens_sql('text')}, ' ') as tokens from {samples.sql(samples.CODE)}")
+def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.frame(spark, samples.CODE).select("id", F.array_join(T.code_tokens(F.col("text")), " ").alias("tokens"))
+
+
+STATS_SQL = f"""
+tok as (select doc_id, {_tokens_sql('text')} as t from documents),
+coll as (select count(*) as n, avg(len(t)) as avgdl from tok),
+tf as (select term, doc_id, dl, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as term from tok) group by all)"""
+
+
+@query(f"""with {STATS_SQL}
+select term, cast(sum(tf) as bigint) as total_tf, count(*) as df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf, n, round(avgdl, 6) as avgdl
+from tf, coll group by term, n, avgdl""")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.term_stats(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _bm25_sql(k: int) -> str:
+    return f"""{STATS_SQL},
+df as (select term, count(*) as df from tf group by term),
+asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_tokens_sql('text')}) as term from benchmark) group by all),
+scored as (select item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
+  from asked join tf using (term) join df using (term), coll group by item_id, doc_id),
+bm25 as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= {k})"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.bm25_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", k)
+
+
+@query(f"with {_bm25_sql(5)} select item_id, doc_id, score, rank from bm25")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 5).select("item_id", "doc_id", "score", "rank")
+
+
+@query("""
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(q.e, v.e), 6) as score from v q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id)
+select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_search(asked, rows, "query_id", "vec_id", 5, exclude_same=True).select("query_id", "vec_id", "score", "rank")
+
+
+@query("select vec_id, label, round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 6) as norm, 1.0::double as unit from embeddings")
+def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = retrieval.normalise(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.round(F.sqrt(retrieval.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"), F.round(retrieval.dot(unit, unit), 6).alias("unit")
+    )
+
+
+def _dense_sql(k: int) -> str:
+    return f"""
+vec as (select vec_id, cast(embedding as double[]) as e from embeddings),
+dscored as (select b.item_id, v.vec_id as doc_id, round(list_dot_product(q.e, v.e), 6) as score from benchmark b join vec q on q.vec_id = b.item_id, vec v where v.vec_id <> b.item_id),
+dense as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from dscored) where rank <= {k})"""
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = table(spark, sf_dir, "benchmark").select("item_id").join(rows, F.col("item_id") == F.col("doc_id")).select("item_id", "embedding")
+    return retrieval.dense_search(asked, rows, "item_id", "doc_id", k, exclude_same=True)
+
+
+FUSED_SQL = """
+fused as (select item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as rrf_score, max(case when s = 'dense' then rank end) as dense_rank, max(case when s = 'dense' then score end) as dense_score,
+    max(case when s = 'bm25' then rank end) as bm25_rank, max(case when s = 'bm25' then score end) as bm25_score
+  from (select item_id, doc_id, score, rank, 'dense' as s from dense union all select item_id, doc_id, score, rank, 'bm25' as s from bm25) group by item_id, doc_id)"""
+MATCHED_SQL = "concat_ws(',', case when dense_rank is not null then 'dense' end, case when bm25_rank is not null then 'bm25' end)"
+
+
+def _ranked_sql(first: str, k: int) -> str:
+    return f"""ranked as (select *, {MATCHED_SQL} as matched_by, row_number() over (partition by item_id order by rrf_score desc, {first},
+  dense_rank nulls last, bm25_rank nulls last, doc_id) as rank from fused), hybrid as (select * from ranked where rank <= {k})"""
+
+
+BOTH_FIRST, COUNT_FIRST = "dense_rank is not null desc, bm25_rank is not null desc", "(dense_rank is not null)::int + (bm25_rank is not null)::int desc"
+
+
+def _fused(spark: SparkSession, sf_dir: str, k: int, by_sources: bool = False) -> DataFrame:
+    return retrieval.fuse(_dense(spark, sf_dir, 20), _bm25(spark, sf_dir, 20), "item_id", "doc_id", k, by_sources=by_sources)
+
+
+@query(f"with {_bm25_sql(20)}, {_dense_sql(20)}, {FUSED_SQL}, {_ranked_sql(BOTH_FIRST, 5)} select * from hybrid")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, 5)
+
+
+@query(f"with {_bm25_sql(20)}, {_dense_sql(20)}, {FUSED_SQL}, {_ranked_sql(COUNT_FIRST, 5)} select item_id, doc_id, rrf_score, matched_by, rank from hybrid")
+def rrf_fusion_matched_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir, 5, by_sources=True).select("item_id", "doc_id", "rrf_score", "matched_by", "rank")
+
+
+@query(f"""with {_dense_sql(1)}
+select b.item_id, d.score as top1, coalesce(d.score < 0.42, true) as skipped from (select distinct item_id from benchmark) b left join dense d using (item_id)""")
+def soft_fuse_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.soft_gate(table(spark, sf_dir, "benchmark"), _dense(spark, sf_dir, 1), "item_id", 0.42)
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recalled = _fused(spark, sf_dir, 20).select("item_id", "doc_id", "rrf_score", "rank")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", T.token_bag(F.col("text")).alias("q"))
+    found = recalled.join(asked, "item_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
+    scored = found.withColumn("reranker_score", F.when(F.col("text").isNotNull(), retrieval.overlap_score(F.col("q"), T.token_bag(F.col("text")))))
+    return retrieval.rerank(scored.select("item_id", "doc_id", "rrf_score", "rank", "reranker_score"), "item_id", "doc_id")
+
+
+RERANK_SQL = f"""with {_bm25_sql(20)}, {_dense_sql(20)}, {FUSED_SQL}, {_ranked_sql(BOTH_FIRST, 20)},
+qt as (select item_id, list_distinct({_tokens_sql('text')}) as q from benchmark),
+scored2 as (select h.item_id, h.doc_id, h.rrf_score, h.rank as pre_rerank_rank,
+    case when t.t is not null then round(coalesce(len(list_intersect(q.q, t.t)) / nullif(len(q.q), 0), 0), 6) end as reranker_score
+  from hybrid h join qt q using (item_id) left join tok t using (doc_id)),
+final as (select *, row_number() over (partition by item_id order by reranker_score desc nulls last, rrf_score desc, pre_rerank_rank, doc_id) as reranker_rank from scored2)"""
+
+
+@query(RERANK_SQL + " select item_id, doc_id, pre_rerank_rank, reranker_rank, reranker_score, case when reranker_score is null then 'fallback' else 'scored' end as reranker_status from final where reranker_rank <= 5")
+def rerank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir).drop("rank_change")
+
+
+@query(RERANK_SQL + " select item_id, doc_id, pre_rerank_rank - reranker_rank as rank_change from final where reranker_rank <= 5")
+def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reranked(spark, sf_dir).select("item_id", "doc_id", "rank_change")
+
+
+LABELS_SQL = "labels2 as (select b.item_id, d.doc_id from benchmark b, documents d where contains(d.text, b.text))"
+ASKED_SQL = "asked2 as (select item_id, exists (select 1 from labels2 l where l.item_id = b.item_id) as should_retrieve, case when contains(text, chr(10)) then 'multi_line' else 'single_line' end as query_type from benchmark b)"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, doc_id of documents that contain an item. The items, a stated query set, go to the documents in blocks."""
+    docs = table(spark, sf_dir, "documents")
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    out = None
+    for first in range(0, max(1, len(items)), 500):
+        block = items[first : first + 500]
+        hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in block])) if block else F.array().cast("array<bigint>")
+        part = docs.select("doc_id", F.explode(hits).alias("item_id"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("item_id", "doc_id")
+
+
+def _asked(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+    wanted = labels.select("item_id").distinct().withColumn("should_retrieve", F.lit(True))
+    rows = table(spark, sf_dir, "benchmark").join(wanted, "item_id", "left")
+    kind = F.when(F.contains("text", F.lit("\n")), "multi_line").otherwise("single_line")
+    return rows.select("item_id", F.coalesce("should_retrieve", F.lit(False)).alias("should_retrieve"), kind.alias("query_type"))
+
+
+def _metrics_sql(results: str) -> str:
+    return f"""select a.item_id, should_retrieve, query_type, min(case when l.doc_id is not null then r.rank end) as first_rank, count(r.doc_id) as retrieved
+  from asked2 a left join {results} r using (item_id) left join labels2 l on l.item_id = r.item_id and l.doc_id = r.doc_id group by all"""
+
+
+def _hit(k: int) -> str:
+    return f"round(avg(case when should_retrieve then case when coalesce(first_rank <= {k}, false) then 1.0 else 0.0 end end), 6) as hit_at_{k}"
+
+
+SUMMARY_SQL = f"""count(*) as queries, count(*) filter (where should_retrieve) as relevant, {_hit(1)}, {_hit(3)}, {_hit(5)},
+  round(avg(case when should_retrieve then coalesce(1.0 / first_rank, 0) end), 6) as mrr,
+  round(avg(case when not should_retrieve then case when retrieved > 0 then 1.0 else 0.0 end end), 6) as irrelevant_fp_rate"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    return evaluation.retrieval_rows(_asked(spark, sf_dir, labels), results, labels, "item_id", "doc_id")
+
+
+@query(f"with {_bm25_sql(5)}, {LABELS_SQL}, {ASKED_SQL}, e as ({_metrics_sql('bm25')}) select {SUMMARY_SQL} from e")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.retrieval_metrics(_evaluated(spark, sf_dir, _bm25(spark, sf_dir, 5)))
+
+
+@query(f"with {_bm25_sql(5)}, {LABELS_SQL}, {ASKED_SQL}, e as ({_metrics_sql('bm25')}) select query_type, {SUMMARY_SQL} from e group by grouping sets ((), (query_type))")
+def retrieval_metrics_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.retrieval_metrics(_evaluated(spark, sf_dir, _bm25(spark, sf_dir, 5)), by="query_type")
+
+
+@query(f"""with {_bm25_sql(20)}, {_dense_sql(20)}, {FUSED_SQL}, {_ranked_sql(BOTH_FIRST, 5)}, {LABELS_SQL}, {ASKED_SQL},
+b5 as (select * from bm25 where rank <= 5), d5 as (select * from dense where rank <= 5),
+s as (select 'bm25' as method, {SUMMARY_SQL} from ({_metrics_sql('b5')}) union all select 'dense', {SUMMARY_SQL} from ({_metrics_sql('d5')})
+  union all select 'hybrid', {SUMMARY_SQL} from ({_metrics_sql('hybrid')}))
+select method, hit_at_1, hit_at_3, hit_at_5, mrr, irrelevant_fp_rate, row_number() over (order by coalesce(hit_at_5, 0) desc, coalesce(mrr, 0) desc, coalesce(hit_at_3, 0) desc, coalesce(irrelevant_fp_rate, 1), method) as place from s""")
+def method_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    asked = _asked(spark, sf_dir, labels)
+    dense, lexical = _dense(spark, sf_dir, 20), _bm25(spark, sf_dir, 20)
+    methods = {"bm25": lexical.where("rank <= 5"), "dense": dense.where("rank <= 5"), "hybrid": retrieval.fuse(dense, lexical, "item_id", "doc_id", 5)}
+    results = None
+    for name, found in methods.items():
+        one = found.select(F.lit(name).alias("method"), "item_id", "doc_id", "rank")
+        results = one if results is None else results.unionByName(one)
+    each = F.explode(F.array(*[F.lit(m) for m in methods])).alias("method")
+    of_method = F.concat_ws(":", "method", "item_id").alias("asked")
+    rows = evaluation.retrieval_rows(
+        asked.select("*", each).withColumn("asked", of_method), results.select(of_method, "doc_id", "rank"),
+        labels.select("*", each).select(of_method, "doc_id"), "asked", "doc_id",
+    )
+    out = evaluation.retrieval_metrics(rows, by="method").where("method is not null")
+    ranked = evaluation.rank_methods(out.withColumn("latency_ms", F.lit(None).cast("double")))
+    return ranked.select("method", "hit_at_1", "hit_at_3", "hit_at_5", "mrr", "irrelevant_fp_rate", "place")
+
+
+SCORES_SQL = "scores as (select value as score, event_type in ('purchase', 'signup') as should_retrieve from events where value is not null)"
+CANDIDATES_SQL = f"""{SCORES_SQL}, tot as (select count(*) filter (where should_retrieve) as p, count(*) filter (where not should_retrieve) as n, min(score) as lo, max(score) as hi from scores),
+pts as (select score as threshold, sum(count(*) filter (where should_retrieve)) over (order by score desc) as tp, sum(count(*) filter (where not should_retrieve)) over (order by score desc) as fp from scores group by score
+  union all select lo - 1e-6, p, n from tot union all select hi + 1e-6, 0, 0 from tot),
+cand as (select threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(n - fp as bigint) as tn, cast(p - tp as bigint) as fn, round(coalesce(tp / nullif(p, 0), 0), 9) as recall,
+  round(coalesce(fp / nullif(n, 0), 0), 9) as fpr, round(coalesce((tp + n - fp) / nullif(p + n, 0), 0), 9) as accuracy from pts, tot)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("value").alias("score"), F.col("event_type").isin("purchase", "signup").alias("should_retrieve"))
+
+
+@query(f"with {CANDIDATES_SQL} select * from cand where recall >= 0.95 order by fpr, recall desc, threshold limit 1")
+def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.calibrate(_scores(spark, sf_dir), 0.95)
+
+
+@query(f"with {CANDIDATES_SQL} select * from cand")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion_by_threshold(_scores(spark, sf_dir))
+
+
+@query(f"""with {SCORES_SQL} select should_retrieve, min(score) as min, round(quantile_cont(score, 0.25), 6) as p25, round(quantile_cont(score, 0.5), 6) as median,
+  round(quantile_cont(score, 0.75), 6) as p75, max(score) as max, round(avg(score), 6) as mean from scores group by should_retrieve""")
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.distribution(_scores(spark, sf_dir).where("score is not null"), "should_retrieve")
+
+
+ROUTES_SQL = """routes as (select event_id, case event_type when 'error' then 'answer_directly' else 'call_tool' end as gold_decision,
+    case event_type when 'click' then 'search_codebase' when 'view' then 'analyze_code' when 'purchase' then 'analyze_log' when 'signup' then 'complete_code' end as gold_tool,
+    json_extract_string(props, '$.k') as gold_k,
+    case when event_id % 19 = 0 then null when event_id % 23 = 0 then 'maybe' when event_type = 'error' and event_id % 5 > 0 then 'answer_directly' else 'call_tool' end as pred_decision,
+    case when event_id % 29 = 0 then 'invent_tool' when event_id % 7 = 0 then 'search_codebase' else
+      case event_type when 'click' then 'search_codebase' when 'view' then 'analyze_code' when 'purchase' then 'analyze_log' when 'signup' then 'complete_code' end end as pred_tool,
+    case when event_id % 11 = 0 then 'x' else 'k' end as pred_key, case when event_id % 3 = 0 then '0' else json_extract_string(props, '$.k') end as pred_k,
+    event_id % 19 <> 0 as json_valid, event_id % 19 <> 0 and event_id % 23 <> 0 and event_id % 29 <> 0 as schema_valid, case when event_id % 31 = 0 then 'timeout' end as api_error from events)"""
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.col("event_type")
+    tool = F.when(kind == "click", "search_codebase").when(kind == "view", "analyze_code").when(kind == "purchase", "analyze_log").when(kind == "signup", "complete_code")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        "event_id",
+        F.when(kind == "error", "answer_directly").otherwise("call_tool").alias("gold_decision"),
+        tool.alias("gold_tool"),
+        F.create_map(F.lit("k"), k).alias("gold_args"),
+        F.when(i % 19 == 0, None).when(i % 23 == 0, "maybe").when((kind == "error") & (i % 5 > 0), "answer_directly").otherwise("call_tool").alias("pred_decision"),
+        F.when(i % 29 == 0, "invent_tool").when(i % 7 == 0, "search_codebase").otherwise(tool).alias("pred_tool"),
+        F.create_map(F.when(i % 11 == 0, "x").otherwise("k"), F.when(i % 3 == 0, "0").otherwise(k)).alias("pred_args"),
+        (i % 19 != 0).alias("json_valid"),
+        ((i % 19 != 0) & (i % 23 != 0) & (i % 29 != 0)).alias("schema_valid"),
+        F.when(i % 31 == 0, "timeout").alias("api_error"),
+    )
+
+
+TOOLS_SQL = ", ".join(f"'{t}'" for t in evaluation.TOOLS)
+
+
+def _rate(name: str, a: str, b: str) -> str:
+    return f"round(coalesce({a} / nullif({b}, 0), 0), 6) as {name}"
+
+
+@query(f"""with {ROUTES_SQL}, c as (select count(*) as total_samples, count(*) filter (where api_error is null) as successful_requests, count(*) filter (where api_error is not null) as api_error_count,
+  count(*) filter (where json_valid) as json_valid_count, count(*) filter (where schema_valid) as schema_valid_count, count(*) filter (where pred_decision = gold_decision) as decision_correct_count,
+  count(*) filter (where gold_decision = 'call_tool') as gold_tool_call_count,
+  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool) as tool_name_correct_count,
+  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and pred_key = 'k') as argument_keys_covered_count,
+  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and pred_key = 'k' and pred_k = gold_k) as arguments_exact_match_count,
+  count(*) filter (where pred_decision = 'call_tool' and coalesce(pred_tool not in ({TOOLS_SQL}), true)) as hallucinated_tool_count from routes)
+select *, {_rate('api_success_rate', 'successful_requests', 'total_samples')}, {_rate('json_valid_rate', 'json_valid_count', 'total_samples')}, {_rate('schema_valid_rate', 'schema_valid_count', 'total_samples')},
+  {_rate('decision_accuracy', 'decision_correct_count', 'total_samples')}, {_rate('tool_name_accuracy', 'tool_name_correct_count', 'gold_tool_call_count')},
+  {_rate('argument_key_coverage_rate', 'argument_keys_covered_count', 'gold_tool_call_count')}, {_rate('arguments_exact_match_rate', 'arguments_exact_match_count', 'gold_tool_call_count')},
+  {_rate('tool_hallucination_rate', 'hallucinated_tool_count', 'total_samples')} from c""")
+def routing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.routing_metrics(_routes(spark, sf_dir))
+
+
+@query(f"""with {ROUTES_SQL} select case when gold_decision = 'answer_directly' then 'answer_directly' else coalesce(gold_tool, '__invalid_tool__') end as gold,
+  case when not json_valid then '__invalid_json__' when coalesce(pred_decision, '') = 'answer_directly' then 'answer_directly' when coalesce(pred_decision, '') <> 'call_tool' then '__invalid_decision__'
+    when coalesce(pred_tool in ({TOOLS_SQL}), false) = false then '__invalid_tool__' else pred_tool end as predicted, count(*) as n from routes group by all""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion_matrix(_routes(spark, sf_dir))
+
+
+@query("select round(avg(value), 6) as mean_latency, round(sum(user_id) / sum(value), 6) as tokens_per_second from events")
+def generation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.generation_stats(table(spark, sf_dir, "events").select(F.col("value").alias("latency_seconds"), F.col("user_id").alias("generated_tokens")))
+
+
+@query("select round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) as loss from lineitem")
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("loss"))
+
+
+CASES_SQL = """cases as (select conv_id, max(turn) >= 1 as completed, conv_id % 6 <> 0 as should_call_tool, conv_id % 7 <> 0 as called_tool,
+    case when conv_id % 6 <> 0 then 'search' else '' end as expected, case when conv_id % 7 <> 0 then 'search' else '' end as actual,
+    case when bool_or(role = 'user') then bool_or(contains(lower(text), 'the') and contains(lower(text), 'of')) end as arguments_correct,
+    case when conv_id % 5 > 0 then bool_or(contains(text, 'and')) end as evidence_hit, case when conv_id % 4 > 0 then bool_or(contains(text, 'is')) end as citation_valid, sum(length(text)) as latency_ms from conversations group by conv_id)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, tools = F.col("conv_id"), lambda c: F.when(c, F.array(F.lit("search"))).otherwise(F.array().cast("array<string>"))
+    any_ = lambda c: F.max(c.cast("int")).cast("boolean")
+    named = evaluation.contains_all(F.col("text"), F.array(F.lit("THE"), F.lit("of")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        (F.max("turn") >= 1).alias("completed"),
+        F.when(any_(F.col("role") == "user"), any_(named)).alias("arguments_correct"),
+        any_(F.contains("text", F.lit("and"))).alias("_and"), any_(F.contains("text", F.lit("is"))).alias("_is"),
+        F.sum(F.length("text")).alias("latency_ms"),
+    ).select(
+        "conv_id", "completed", (i % 6 != 0).alias("should_call_tool"), (i % 7 != 0).alias("called_tool"), tools(i % 6 != 0).alias("expected_tools"), tools(i % 7 != 0).alias("actual_tools"),
+        "arguments_correct", F.when(i % 5 > 0, F.col("_and")).alias("evidence_hit"), F.when(i % 4 > 0, F.col("_is")).alias("citation_valid"), "latency_ms",
+    )
+
+
+def _mean(condition: str, what: str) -> str:
+    return f"round(avg(case when {condition} then case when {what} then 1.0 when not ({what}) then 0.0 end end), 6)"
+
+
+@query(f"""with {CASES_SQL} select count(*) as cases, count(*) filter (where completed) as completed, {_mean('completed', 'should_call_tool = called_tool')} as decision_accuracy,
+  {_mean('completed', 'expected = actual')} as selection_accuracy, {_mean('completed and should_call_tool', 'arguments_correct')} as argument_accuracy, {_mean('completed', 'evidence_hit')} as evidence_hit_rate,
+  {_mean('completed', 'citation_valid')} as citation_accuracy, count(*) filter (where completed and not should_call_tool and called_tool) as false_positives,
+  count(*) filter (where completed and should_call_tool and not called_tool) as false_negatives,
+  {_rate('false_positive_rate', 'count(*) filter (where completed and not should_call_tool and called_tool)', 'count(*) filter (where completed and not should_call_tool)')},
+  {_rate('false_negative_rate', 'count(*) filter (where completed and should_call_tool and not called_tool)', 'count(*) filter (where completed and should_call_tool)')},
+  round(avg(case when completed then latency_ms end), 6) as mean_latency_ms from cases""")
+def agent_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.agent_summary(_cases(spark, sf_dir))
+
+
+@query("""with j as (select case when doc_id % 13 = 0 then 'error' else 'ok' end as status, quality = 1 as s, toxic = 1 as h, 1 + doc_id % 5 as r, case when doc_id % 3 > 0 then 1 + doc_id % 4 end as e, case when doc_id % 2 > 0 then 1 + doc_id % 3 end as c, 1 + doc_id % 3 as a from labels)
+select count(*) as items, count(*) filter (where status = 'ok') as judged, count(*) filter (where status <> 'ok') as failed, round(avg(case when status = 'ok' then s::int end), 6) as supported_rate,
+  round(avg(case when status = 'ok' then h::int end), 6) as hallucination_rate, round(avg(case when status = 'ok' then r end), 6) as relevance, round(avg(case when status = 'ok' then e end), 6) as evidence_support,
+  round(avg(case when status = 'ok' then c end), 6) as citation_support, cast(coalesce(sum(greatest(a - 1, 0)), 0) as bigint) as retries from j""")
+def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select(
+        F.when(i % 13 == 0, "error").otherwise("ok").alias("status"), (F.col("quality") == 1).alias("answer_supported"), (F.col("toxic") == 1).alias("hallucination"),
+        (1 + i % 5).alias("relevance_score"), F.when(i % 3 > 0, 1 + i % 4).alias("evidence_score"), F.when(i % 2 > 0, 1 + i % 3).alias("citation_score"), (1 + i % 3).alias("attempts"),
+    )
+    return evaluation.judge_summary(rows)
+
+
+S = samples.sql
+
+
+@query(f"""with w as (select id, coalesce(text, '') as text from {S(samples.QUESTIONS)}),
+f as (select id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./\\\\-]+'), lambda r: regexp_extract(r, '^([A-Za-z0-9_./\\\\-]+\\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$', 1)), lambda x: x <> '') as a,
+  list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$')) as b,
+  list_filter(regexp_extract_all(text, '[A-Za-z0-9_.]+'), lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+$')) as c,
+  list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)$')) as d from w),
+l as (select id, list_concat(a, b, c, d) as l from f)
+select id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ',') as identifiers from l""")
+def extract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.frame(spark, samples.QUESTIONS).select("id", F.array_join(T.identifiers(F.col("text")), ",").alias("identifiers"))
+
+
+def _rules_sql(text: str, rules: tuple, otherwise: str) -> str:
+    whens = " ".join("when " + " or ".join(f"contains(lower({text}), '{p}')" for p in ps) + f" then '{label}'" for label, ps in rules)
+    return f"case {whens} else '{otherwise}' end"
+
+
+def _grouped(rows: DataFrame, label: Column) -> DataFrame:
+    return rows.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""select {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} as label, count(*) as n
+from (select text from {S(samples.QUESTIONS)} union all select coalesce(text, '') from documents union all select coalesce(text, '') from conversations) group by 1""")
+def infer_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.QUESTIONS).select("text")
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select("text")).unionByName(table(spark, sf_dir, "conversations").select("text"))
+    return _grouped(rows, T.infer_intent(F.col("text")))
+
+
+@query(f"""select {_rules_sql("('  ' || text)", T.ERROR_RULES, T.ERROR_ELSE)} as label, count(*) as n
+from (select text from {S(samples.LOGS)} union all select coalesce(text, '') from documents) group by 1""")
+def classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.LOGS).select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
+    return _grouped(rows, T.classify_exception(F.lit(None), F.lit(None), F.col("text")))
+
+
+SYMBOLS_SQL = """l as (select id, list_filter(list_transform(list_concat(regexp_extract_all(text, '"([^"\\n]{2,200})"', 1), regexp_extract_all(text, '''([^''\\n]{2,200})''', 1), regexp_extract_all(text, '`([^`\\n]{2,200})`', 1),
+    list_filter(regexp_extract_all(text, '[A-Za-z0-9_.]+'), lambda w: regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z0-9_]+)+$'))), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) between 3 and 200) as l from src),
+sym as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:20] as s from l)"""
+
+
+@query(f"""with src as (select id, text from {S(samples.LOGS)} union all select cast(doc_id as varchar), coalesce(text, '') from documents), {SYMBOLS_SQL}
+select id, array_to_string(s, '|') as symbols from sym where len(s) > 0""")
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.LOGS).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    return rows.select("id", F.array_join(T.symbols(F.col("text")), "|").alias("symbols")).where("symbols <> ''")
+
+
+LOG_LINES_SQL = f"ln as (select id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {S(samples.LOGS)})"
+FRAME_SQL = r"""'^\s*File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+(.+))?\s*$'"""
+EXC_SQL = r"'^([A-Za-z0-9_.]+(?:Error|Exception|Interrupt))(?::\s*(.*))?$'"
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+FRAMES_SQL = f"""nx as (select *, {STRIPPED.format("lead(line) over (partition by id order by pos)")} as below from ln),
+fr as (select id, row_number() over (partition by id order by pos) as n, regexp_extract(line, {FRAME_SQL}, 1) as file, cast(regexp_extract(line, {FRAME_SQL}, 2) as bigint) as line,
+  nullif({STRIPPED.format(f"regexp_extract(line, {FRAME_SQL}, 3)")}, '') as function,
+  case when below <> '' and not starts_with(below, 'File "') and not starts_with(below, 'Traceback') and not contains(below, 'During handling') and not contains(below, 'direct cause') then below end as source_line
+  from nx where regexp_matches(line, {FRAME_SQL})),
+ex as (select id, pos, regexp_extract({STRIPPED.format('line')}, {EXC_SQL}, 1) as type, {STRIPPED.format(f"regexp_extract({STRIPPED.format('line')}, {EXC_SQL}, 2)")} as message from ln where regexp_matches({STRIPPED.format('line')}, {EXC_SQL})),
+fin as (select id, arg_max(type, pos) as type, arg_max(message, pos) as message, count(*) as n from ex group by id),
+lg as (select id, text, f.type, f.message, coalesce(f.n, 0) as n_exceptions from {S(samples.LOGS)} left join fin f using (id)),
+cat as (select *, {_rules_sql("(coalesce(type, '') || ' ' || coalesce(message, '') || ' ' || text)", T.ERROR_RULES, T.ERROR_ELSE)} as category from lg)"""
+
+
+@query(f"with {LOG_LINES_SQL}, {FRAMES_SQL} select id, (select count(*) from fr where fr.id = c.id) as frame_count, n_exceptions as exception_count, type as final_type, message as final_message, category from cat c")
+def parse_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = diagnosis.parse_logs(samples.frame(spark, samples.LOGS), "id")
+    return parsed.select(
+        "id", F.size("frames").cast("long").alias("frame_count"), F.size("exception_chain").cast("long").alias("exception_count"),
+        F.col("final_exception.type").alias("final_type"), F.col("final_exception.message").alias("final_message"), "category",
+    )
+
+
+@query(f"with {LOG_LINES_SQL}, {FRAMES_SQL} select * from fr")
+def traceback_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.LOGS).select("id", F.posexplode(diagnosis.frames(F.col("text"))).alias("n", "f"))
+    return rows.select("id", (F.col("n") + 1).cast("long").alias("n"), "f.*")
+
+
+LOOSE_SQL = r"""'File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+([^\n]+))?'"""
+
+
+@query(f"""with g as (select id, regexp_extract_all(text, {LOOSE_SQL}, 1) as a, regexp_extract_all(text, {LOOSE_SQL}, 2) as b, regexp_extract_all(text, {LOOSE_SQL}, 3) as c,
+  regexp_extract_all(text, '(?m)^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception)):\\s*(.*)$', 1)[-1] as last_type from {S(samples.LOGS)})
+select id, cast(len(a) as bigint) as frames, array_to_string(a, '|') as files, array_to_string(b, '|') as lines, array_to_string(list_transform(c, lambda x: coalesce(x, '')), '|') as functions, last_type from g""")
+def loose_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.LOGS).select("id", diagnosis.loose_frames(F.col("text")).alias("f"), diagnosis.loose_exception(F.col("text")).alias("e"))
+    return rows.select(
+        "id", F.size("f").cast("long").alias("frames"), F.array_join("f.file", "|").alias("files"), F.array_join(F.transform("f", lambda x: x["line"].cast("string")), "|").alias("lines"),
+        F.array_join("f.function", "|").alias("functions"), F.col("e.type").alias("last_type"),
+    )
+
+
+@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, repo as (select path, lower(path) as low from {S(samples.REPOSITORY)}),
+asked as (select id, n, file, lower(replace(file, chr(92), '/')) as low from fr)
+select id, n, file, coalesce((select min(path) from repo r where a.low = r.low or ends_with(a.low, '/' || r.low)),
+  (select case when count(*) = 1 then min(path) end from repo r where string_split(r.low, '/')[-1] = string_split(a.low, '/')[-1])) as repository_file from asked a""")
+def resolve_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.resolve_frames(traceback_frames(spark, sf_dir).select("id", "n", "file"), samples.frame(spark, samples.REPOSITORY))
+
+
+@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, src as (select id, text from {S(samples.LOGS)}), {SYMBOLS_SQL},
+parts as (select id, 0 as a, 0 as b, 0 as c, left({STRIPPED.format("concat_ws(' ', type, message)")}, 500) as q from cat where type is not null
+  union all select id, 1, 0, 0, category from cat where category <> 'unknown'
+  union all select id, 2, -n, 0, function from fr where function <> '<module>' union all select id, 2, -n, 1, left(source_line, 300) from fr
+  union all select id, 3, i, 0, s[i] from (select id, s, unnest(range(1, len(s) + 1)) as i from sym)),
+cl as (select id, a, b, c, {STRIPPED.format('q')} as q from parts where q is not null),
+fi as (select *, row_number() over (partition by id, lower(q) order by a, b, c) as dup from cl where q <> ''),
+rk as (select *, row_number() over (partition by id order by a, b, c) as n from fi where dup = 1)
+select id, string_agg(q, '|' order by n) as queries from rk where n <= 5 group by id""")
+def search_query_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.search_queries(diagnosis.parse_logs(samples.frame(spark, samples.LOGS), "id"))
+    return found.select("id", F.array_join("queries", "|").alias("queries")).where("queries <> ''")
+
+
+CITED_SQL = f"""pl as (select id, regexp_replace(text, '(?s)```.*?(?:```|\\z)', '', 'g') as t from {S(samples.ANSWERS)}),
+ca as (select id, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 1) as f, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 2) as s, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 3) as e from pl),
+cited as (select id, i - 1 as pos, trim(f[i]) as file, s[i]::bigint as start_line, e[i]::bigint as end_line from (select *, unnest(range(1, len(f) + 1)) as i from ca))"""
+
+
+@query(f"with {CITED_SQL} select * from cited")
+def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.extract_citations(samples.frame(spark, samples.ANSWERS), "id")
+
+
+CHECKED_SQL = f"""{CITED_SQL}, ev as (select distinct id, lower(replace(file, chr(92), '/')) as file, start_line, end_line from {S(samples.EVIDENCE)} where file <> '' and start_line >= 1 and end_line >= start_line),
+repo as (select lower(path) as file, total_lines from {S(samples.REPOSITORY)}),
+checked as (select c.id, c.pos, c.file, c.start_line, c.end_line, case when r.total_lines is null then 'file_not_found' when c.start_line < 1 then 'start_before_first_line' when c.end_line < c.start_line then 'end_before_start'
+    when c.end_line > r.total_lines then 'end_after_last_line' when not exists (select 1 from ev where ev.id = c.id and ev.file = lower(replace(c.file, chr(92), '/')) and c.start_line >= ev.start_line and c.end_line <= ev.end_line) then 'unsupported' end as reason
+  from cited c left join repo r on r.file = lower(replace(c.file, chr(92), '/')))"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = samples.frame(spark, samples.REPOSITORY).withColumnRenamed("path", "file")
+    return evidence.check_citations(extract_citations(spark, sf_dir), samples.frame(spark, samples.EVIDENCE), files, "id")
+
+
+@query(f"with {CHECKED_SQL} select * from checked")
+def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)
+
+
+@query(f"""with {CHECKED_SQL}, n as (select id, count(*) as c, count(*) filter (where reason is null) as v from checked group by id)
+select a.id, coalesce(c, 0) as citation_count, coalesce(v, 0) as valid_count, coalesce(c - v, 0) as invalid_count, coalesce(c - v, 0) = 0 and coalesce(c, 0) > 0 as valid from {S(samples.ANSWERS).replace(' as t(', ' as a(')} left join n on n.id = a.id""")
+def citation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.citation_report(samples.frame(spark, samples.ANSWERS), _checked(spark, sf_dir), "id")
+
+
+JSON_SQL = r"""inner_ as (select id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?is)^```(?:json)?\s*(.*?)\s*```$', '\1') as t from {}),
+both_ as (select id, regexp_replace(t, '^\s+|\s+$', '', 'g') as t, regexp_extract(t, '(?s)(\{{.*\}})', 1) as b from inner_)"""
+
+
+@query(f"with {JSON_SQL.format(S(samples.MODEL_JSON))} select id, case when json_valid(t) and json_type(t) = 'OBJECT' then t when b <> '' and json_valid(b) and json_type(b) = 'OBJECT' then b end as repaired from both_")
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.frame(spark, samples.MODEL_JSON).select("id", T.repair_json_object(F.col("text")).alias("repaired"))
+
+
+@query("""select * from (values ('ok', null), ('direct', null), ('no_fields', 'missing_fields:arguments,tool_name'), ('array', 'not_an_object'), ('decision', 'unknown_decision'), ('arguments', 'arguments_not_an_object'),
+  ('direct_tool', 'direct_with_tool'), ('direct_args', 'direct_with_arguments'), ('tool_type', 'tool_name_not_a_string'), ('tool', 'unknown_tool'), ('missing', 'missing_arguments:instruction,relative_path'),
+  ('unknown', 'unknown_arguments'), ('type', 'wrong_type:top_k'), ('blank', 'blank:query'), ('low', 'below_minimum:top_k'), ('high', 'above_maximum:context_lines'), ('optional', null)) as t(id, error)""")
+def validate_route_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.frame(spark, samples.TARGETS).select("id", curation.target_error(F.col("text")).alias("error"))
+
+
+def _docker_sql() -> tuple[str, str]:
+    t = "coalesce(text, '')"
+    esc = lambda p: p.replace("'", "''")
+    errors = [f"case when not regexp_matches({t}, '{esc(p)}') then 'missing:{n}' end" for n, p in curation.DOCKERFILE_REQUIRED]
+    errors += [f"case when regexp_matches({t}, '{esc(p)}') then 'forbidden:{n}' end" for n, p in curation.DOCKERFILE_FORBIDDEN]
+    warnings = [f"case when not regexp_matches({t}, '{esc(p)}') then '{n}' end" for n, p in curation.DOCKERFILE_ADVISED]
+    return f"concat_ws(',', {', '.join(errors)})", f"concat_ws(',', {', '.join(warnings)})"
+
+
+@query(f"select id, case when trim(text) = '' then 'no_dockerfile' else {_docker_sql()[0]} end as errors, case when trim(text) = '' then '' else {_docker_sql()[1]} end as warnings from {S(samples.DOCKERFILES)}")
+def dockerfile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors, warnings = curation.dockerfile_findings(F.col("text"))
+    return samples.frame(spark, samples.DOCKERFILES).select("id", errors.alias("errors"), warnings.alias("warnings"))
+
+
+@query(f"""with n as (select doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', '', 'g'), '[{T.QUESTION_MARKS.replace("'", "''")}]', '', 'g') as q from documents)
+select min(doc_id) as doc_id from n where q <> '' group by q""")
+def query_normalise_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.first_by_question(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+SPLIT_SQL = """g as (select c_custkey, min(c_mktsegment) as c_mktsegment from customer group by c_custkey),
+z as (select *, count(*) over (partition by c_mktsegment) as n, row_number() over (partition by c_mktsegment order by md5('42:' || c_custkey), c_custkey) as i from g),
+y as (select *, greatest(1, round_even(n * 0.2, 0))::bigint as v, greatest(1, round_even(n * 0.2, 0))::bigint as t from z),
+x as (select *, greatest(n - v - t, 1) as r from y), assigned as (select c_custkey, c_mktsegment, case when i <= r then 'train' when i <= r + least(v, greatest(n - r - 1, 1)) then 'validation' else 'test' end as split from x)"""
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.group_split(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment")
+
+
+@query(f"with {SPLIT_SQL} select * from assigned")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir)
+
+
+@query(f"with {SPLIT_SQL} select split, c_mktsegment, count(*) as samples, count(distinct c_custkey) as groups from orders join assigned on o_custkey = c_custkey group by all")
+def group_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return curation.split_manifest(orders, _assigned(spark, sf_dir), "c_custkey", "c_mktsegment")
+
+
+@query("select o_custkey, count(distinct o_orderpriority) as splits, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as in_splits from orders group by o_custkey having count(distinct o_orderpriority) > 1")
+def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.leaks(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+@query("select c_nationkey, count(distinct c_mktsegment) as labels from customer group by 1 having count(distinct c_mktsegment) > 1")
+def mixed_label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.mixed_groups(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query("select event_type, user_id % 3 as bucket, count(*) as n from events group by grouping sets ((event_type), (user_id % 3), (event_type, user_id % 3))")
+def dataset_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("bucket"))
+    a, b = F.col("event_type"), F.col("bucket")
+    return rows.groupingSets([[a], [b], [a, b]], a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with r as (select 'known_source' as rule, doc_id from documents where source is null or not regexp_matches(source, '^src[0-9]+$') union all select 'not_blank', doc_id from documents where text is null or not regexp_matches(text, '\\S')
+  union all select 'length_matches', doc_id from documents where n_chars is distinct from length(text) union all select 'short', doc_id from documents where coalesce(length(text) > 5000, true)) select doc_id, rule from r""")
+def dataset_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {
+        "known_source": F.rlike("source", F.lit("^src[0-9]+$")), "not_blank": F.rlike("text", F.lit(r"\S")),
+        "length_matches": F.col("n_chars") == F.length("text"), "short": F.length("text") <= 5000,
+    }
+    return evaluation.violations(table(spark, sf_dir, "documents"), "doc_id", rules)
+
+
+TURNS_SQL = """t as (select conv_id, turn, coalesce(length(text), 0) as chars from conversations where role <> 'system'),
+w as (select *, row_number() over (partition by conv_id order by turn desc) as n, sum(chars) over (partition by conv_id order by turn desc rows unbounded preceding) as s from t),
+kept as (select conv_id, turn, chars from w where n <= 6 and (s <= 2000 or n = 1))"""
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return sessions.remembered(rows, "conv_id", "turn", F.col("chars"), 6, 2000)
+
+
+@query(f"with {TURNS_SQL} select conv_id, turn, chars::bigint as chars from kept")
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir).select("conv_id", "turn", F.col("chars").cast("long").alias("chars"))
+
+
+@query(f"with {TURNS_SQL} select conv_id, count(*) as turn_count, sum(chars)::bigint as character_count, 6::bigint as max_turns, 2000::bigint as max_chars from kept group by conv_id")
+def memory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.memory_status(_kept(spark, sf_dir), "conv_id", F.col("chars"), 6, 2000)
+
+
+@query("""with f as (select event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') as fp from events)
+select w.event_id from f w where not exists (select 1 from f d where d.event_id = w.event_id and d.fp = w.fp and d.event_id % 3 > 0)""")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", curation.record_fingerprint("user_id", "event_type").alias("fp"))
+    return curation.pending(rows, rows.where("event_id % 3 > 0"), "event_id", "fp").select("event_id")
+
+
+@query(f"""select id, lower(trim(replace(path, chr(92), '/'), '` ')) as path, regexp_matches(path, '^(?:[A-Za-z]:[\\\\/]|/)') as absolute, left(sha256(lower(path)), 16) as runtime_id,
+  regexp_matches(session, '^[A-Za-z0-9_-]{{1,128}}$') as session_valid, lower(path) || '::' || session as key from {S(samples.PATHS)}
+union all select cast(page_id as varchar), lower(trim(replace(url, chr(92), '/'), '` ')), regexp_matches(url, '^(?:[A-Za-z]:[\\\\/]|/)'), left(sha256(lower(url)), 16), true, lower(url) || '::' || 's' from pages""")
+def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = samples.frame(spark, samples.PATHS).unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("path"), F.lit("s").alias("session")))
+    path = F.col("path")
+    return rows.select(
+        "id", T.normalise_path(path).alias("path"), T.is_absolute_path(path).alias("absolute"), T.runtime_id(path).alias("runtime_id"),
+        sessions.session_id_valid(F.col("session")).alias("session_valid"), sessions.session_key(path, F.col("session")).alias("key"),
+    )
+
+
+@query(f"""with src as (select id, text from {S(samples.QUESTIONS)}) select id, {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} as intent,
+  {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} <> 'general_question' as should_search, text as semantic_query, 0.5::double as confidence, 'rules' as rewrite_source from src""")
+def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = providers.rewrite_by_rules(samples.frame(spark, samples.QUESTIONS), "text")
+    return rows.select("id", "intent", "should_search", "semantic_query", "confidence", "rewrite_source")
+
+
+@query(f"""with d as (select doc_id, lang, {LINES} as lines from documents), c as (select doc_id, lines, 1 as a, least(len(lines), 12) as b from d where len(lines) > 0)
+select doc_id, array_to_string(lines[a:b], chr(10)) as content from (select *, sum(length(array_to_string(lines[a:b], chr(10)))) over (partition by doc_id) as used from c) where used <= 30000""")
+def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "doc_id", T.line_array(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    cited = docs.select("doc_id", F.lit(0).alias("pos"), "file", F.lit(1).cast("long").alias("start_line"), F.least(F.size("lines"), F.lit(12)).cast("long").alias("end_line"))
+    return evidence.cited_lines(cited, docs.select("file", "lines"), "doc_id").select("doc_id", "content")
+
+
+@query()
+def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return static_analysis.python_chunks(samples.frame(spark, samples.PYTHON_FILES))
+
+
+@query()
+def ast_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = static_analysis.python_analysis(samples.frame(spark, samples.PYTHON_FILES))
+    return static_analysis.analysis_summary(rows.where("error is null"))
+
+
+@query()
+def hybrid_search_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search with the local embedder in place of stored vectors, end to end."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    vectors = providers.embed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").select("doc_id", "embedding")
+    asked = providers.embed(items.select("item_id", "text"), "text", prefix="query: ").select("item_id", "embedding")
+    dense = retrieval.dense_search(asked, vectors, "item_id", "doc_id", 20)
+    return retrieval.fuse(dense, _bm25(spark, sf_dir, 20), "item_id", "doc_id", 5)
