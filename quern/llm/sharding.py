@@ -33,7 +33,7 @@ def _bucket(n: int, *cols: str) -> Column:
 
 
 def _pick(values: list[int], index: str) -> Column:
-    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col(index) + 1)
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), (F.expr(index) + 1).cast("int"))
 
 
 def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, rounds: int) -> tuple[DataFrame, str]:
@@ -41,10 +41,17 @@ def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, r
     spark = linked.sparkSession
     current, path = materialise(linked, "linked")
     large = max(1, capacity // 64)
+    closed: list[int] = []
     for _ in range(rounds):
-        tallies = current.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-        rank = F.struct("n", F.xxhash64("key", "shard").alias("h"))
-        best, best_path = materialise(tallies.groupBy("key").agg(F.max_by("shard", rank).alias("best")), "best")
+        tallies = current.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("held").alias("held"))
+        # A small key in parts leaves shards that had no room, for another of its own or, failing that, for any open one.
+        stuck = F.col("shard").isin(*closed) & (F.col("n") < F.col("held")) & (F.col("held") <= large) if closed else F.lit(False)
+        rank = F.struct((~stuck).cast("int").alias("open"), "n", F.xxhash64("key", "shard").alias("h"))
+        best = tallies.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "shard")).alias("m"))
+        others = [s for s in range(shards) if s not in closed]
+        refuge = _pick(others, f"pmod(xxhash64(key), {len(others)})") if closed and others else F.col("m.shard")
+        best = best.select("key", F.when(F.col("m.rank.open") == 0, refuge).otherwise(F.col("m.shard")).alias("best"))
+        best, best_path = materialise(best, "best")
         voted = current.join(best, "key").withColumn(
             "cell", F.when(F.col("held") > large, _bucket(CELLS, "doc_id", "key")).otherwise(_bucket(CELLS, "key"))
         )
@@ -62,6 +69,7 @@ def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, r
                 room -= flows.get((s, c), 0)
                 c += 1
             cut.append(c)
+        closed = [s for s in range(shards) if cut[s] < CELLS]
         moved = F.when(F.col("cell") < _pick(cut, "best"), F.col("best")).otherwise(F.col("shard"))
         change = voted.withColumn("to", moved).where("to <> shard").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
         for r in change.collect():  # shards x shards rows at most
