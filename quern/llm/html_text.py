@@ -175,13 +175,15 @@ def main_text(page: str | None) -> str:
         article[i] = i if tag[i] in ("article", "main") else article[p]
         own = cut[i] and not (tag[i] == "header" and article[p] >= 0)
         gone[i] = gone[p] or own
-    for i in range(1, n):  # of a header inside an article, the headings stay
-        if not gone[i] and tag[i] not in HEADINGS:
-            j = i
-            while j > 0 and tag[j] not in HEADINGS and not (tag[j] == "header" and cut[j]):
-                j = parent[j]
-            gone[i] = j > 0 and tag[j] == "header" and not any(tag[c] in HEADINGS and _under(c, i, parent) for c in range(i, n))
+    in_header, in_heading = [False] * n, [False] * n
+    for i in range(1, n):
+        in_header[i] = in_header[parent[i]] or (tag[i] == "header" and cut[i])
+        in_heading[i] = in_heading[parent[i]] or tag[i] in HEADINGS
+    mute = [a and not b for a, b in zip(in_header, in_heading)]  # of a header inside an article, only headings speak
     chars, links, tags, link_tags = tree.chars[:], tree.links[:], tree.tags[:], tree.link_tags[:]
+    for i in range(n):
+        if mute[i]:
+            chars[i] = links[i] = 0
     for i in range(n - 1, 0, -1):
         if gone[i]:
             chars[i] = links[i] = tags[i] = link_tags[i] = 0
@@ -235,13 +237,7 @@ def main_text(page: str | None) -> str:
     inside = [False] * n
     for i in range(n):
         inside[i] = not gone[i] and (marked[i] or (i > 0 and inside[parent[i]]))
-    return " ".join("".join(part if inside[i] else " " for i, part in tree.pieces).split())
-
-
-def _under(node: int, top: int, parent: list[int]) -> bool:
-    while node > top:
-        node = parent[node]
-    return node == top
+    return " ".join("".join(part if inside[i] and not mute[i] else " " for i, part in tree.pieces).split())
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
