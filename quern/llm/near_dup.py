@@ -33,7 +33,7 @@ from .common import drop, materialise, table
 
 SMALL = 16  # members of a bucket whose pairs are listed
 BLOCK_ROWS, BLOCK_ITEMS = 1024, 400_000  # representatives and set elements of a block, about
-BITS = 26  # of the bitmap that picks rows before a join: at most 2 ** (BITS - 5) rows are broadcast
+BITS = 26  # of the bitmap that picks rows before a join: at most 2 ** (BITS - 6) rows are broadcast
 
 
 def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -61,19 +61,29 @@ def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return read.mapInArrow(run, f"doc_id {kind}, n long, fp binary, brief binary, bands array<long>")
 
 
+def bitmap_of(ids: DataFrame, column: str) -> DataFrame:
+    """Rows (word, mask) of a bitmap of hashed ids: at most 2 ** (BITS - 6) rows, whatever the number of ids."""
+    spot = F.pmod(F.xxhash64(column), F.lit(1 << BITS))
+    return ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("mask")
+    )
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str, into: str) -> DataFrame:
+    """``rows`` with a boolean: false only for ids that the bitmap's ids don't hold. The bitmap is broadcast, being bounded."""
+    spotted = rows.withColumn("_s", F.pmod(F.xxhash64(column), F.lit(1 << BITS))).withColumn("_w", F.shiftright("_s", 6))
+    joined = spotted.join(F.broadcast(bitmap), F.col("_w") == F.col("word"), "left")
+    hit = F.expr("(shiftright(mask, cast(_s & 63 as int)) & 1L) = 1")
+    return joined.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(into))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (rid, items) with the sets, as bytes, of the documents whose ids are in ``wanted`` (rid).
 
-    A bitmap of hashed ids, bounded by BITS, is broadcast first, so that the join shuffles few texts that it doesn't need.
+    The bitmap lets few texts that aren't needed into the join's shuffle.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITS))
-    bit = lambda s: F.shiftright(s, 6)
-    bitmap = wanted.select(spot("rid").alias("s")).groupBy(bit(F.col("s")).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("mask")
-    )
-    read = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")).withColumn("_s", spot("rid"))
-    read = read.join(F.broadcast(bitmap), bit(F.col("_s")) == F.col("word")).where("(shiftright(mask, cast(_s & 63 as int)) & 1L) = 1")
-    read = read.select("rid", "text").join(wanted, "rid", "left_semi")
+    read = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
+    read = maybe_in(read, bitmap_of(wanted, "rid"), "rid", "_hit").where("_hit").select("rid", "text").join(wanted, "rid", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
