@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import token_bag
 
 K1, B, RRF_K = 1.5, 0.75, 60
-QUERY_BLOCK = 4096  # query vectors sent to executors at a time
+QUERY_BLOCK, LEXICAL_BLOCK = 4096, 256  # query vectors, and query texts, sent to executors at a time
 
 
 def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -51,20 +53,116 @@ def ranked(rows: DataFrame, query: str, order: list[Column], k: int, rank: str =
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: int = 5, k1: float = K1, b: float = B, query_text: str = "text", text: str = "text") -> DataFrame:
-    """query, key, score, rank. Every occurrence of a query token counts; only terms of the queries are ever shuffled."""
-    if k < 1 or k1 <= 0 or not 0 <= b <= 1:
-        raise ValueError("k must be positive, k1 positive and b between 0 and 1")
+def bm25_over_postings(queries: DataFrame, found: DataFrame, stats: DataFrame, query: str, key: str, k: int = 5, k1: float = K1, b: float = B, query_text: str = "text") -> DataFrame:
+    """query, key, score, rank from stored postings (term, key, tf, length) and collection statistics (n, avgdl): for a few
+    selective queries over an index. Every occurrence of a query token counts."""
     asked = queries.select(query, F.explode(token_bag(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, key, text, asked.select("term").distinct())
-    df = Window.partitionBy("term")
-    weighed = found.withColumn("df", F.count(F.lit(1)).over(df)).crossJoin(F.broadcast(collection_stats(docs, key, text)))
+    found = found.join(asked.select("term").distinct(), "term", "left_semi")
+    weighed = found.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))).crossJoin(F.broadcast(stats))  # one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
     weighed = weighed.select("term", key, (idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / norm).alias("w"))
     scores = weighed.join(asked, "term").groupBy(query, key).agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
     return ranked(scores.where("score > 0"), query, [F.desc("score"), F.asc(key)], k)
 
 
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_IDENTIFIER, _PART = re.compile("[a-z][a-z0-9_]*|[0-9]+"), re.compile("[a-z]+|[0-9]+")
+_HUMP, _IDEOGRAPHS = re.compile("([a-z0-9])([A-Z])"), re.compile("[\u4e00-\u9fff]+")
+
+
+def python_tokens(text: str | None) -> list[str]:
+    """The tokens of ``token_bag`` in Arrow batches."""
+    if not text:
+        return []
+    out = _IDENTIFIER.findall(text.translate(_ASCII_LOWER))
+    out += _PART.findall(_HUMP.sub(r"\1 \2", text.replace("_", " ")).translate(_ASCII_LOWER))
+    if not text.isascii():
+        for run in _IDEOGRAPHS.findall(text):
+            out += run
+            out += [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
+def _term_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, float, np.ndarray]:
+    """Documents, their average length, and document frequencies of the terms: one pass, summed in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, length, df = shared.value, 0, 0, np.zeros(len(shared.value) + 2, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens = python_tokens(text)
+                n, length = n + 1, length + len(tokens)
+                df[[i for t in set(tokens) if (i := own.get(t)) is not None]] += 1
+        df[-2], df[-1] = n, length
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["i", "v"])
+
+    sums = docs.mapInArrow(run, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).collect()  # terms of the queries
+    df = np.zeros(len(terms) + 2, dtype=np.int64)
+    for r in sums:
+        df[r["i"]] = r["v"]
+    return int(df[-2]), float(df[-1] / df[-2]) if df[-2] else 0.0, df[:-2]
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: int = 5, k1: float = K1, b: float = B, query_text: str = "text", text: str = "text") -> DataFrame:
+    """query, key, score, rank. Every occurrence of a query token counts.
+
+    Queries go out in blocks of bounded size. One pass over the documents counts the block's terms; a second scores every
+    document against the block as one matrix product and lets only each task's k best rows a query leave, so that the
+    shuffle doesn't grow with documents times queries.
+    """
+    if k < 1 or k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k must be positive, k1 positive and b between 0 and 1")
+    spark = docs.sparkSession
+    kind, query_kind = docs.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    blocks, out = max(1, -(-queries.count() // LEXICAL_BLOCK)), None
+    for block in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query, query_text), F.lit(blocks)) == block)
+        asked = [(r[0], Counter(python_tokens(r[1]))) for r in own.select(query, query_text).collect()]
+        terms = {t: i for i, t in enumerate(sorted({t for _, c in asked for t in c}))}
+        n, avgdl, df = _term_counts(docs.select(text), terms)
+        weight = np.zeros((len(terms), len(asked)))
+        for q, (_, c) in enumerate(asked):
+            for t, times in c.items():
+                weight[terms[t], q] = times
+        weight *= np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None]
+        shared = spark.sparkContext.broadcast(([q for q, _ in asked], terms, weight, avgdl))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, terms, weight, avgdl = shared.value
+            best: list[list[tuple]] = [[] for _ in ids]  # k best (-score, key) of each query
+            kind_ = None
+            for batch in batches:
+                kind_ = batch.schema.field(0).type
+                for first in range(0, batch.num_rows, 256):
+                    part = batch.slice(first, 256)
+                    keys = part.column(0).to_pylist()
+                    x = np.zeros((len(keys), len(terms)))
+                    for d, value in enumerate(part.column(1).to_pylist()):
+                        tokens = python_tokens(value)
+                        at = [i for t in tokens if (i := terms.get(t)) is not None]
+                        if at:
+                            i, tf = np.unique(at, return_counts=True)
+                            x[d, i] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / avgdl))
+                    score = np.round(x @ weight, 6)
+                    for q in range(len(ids)):
+                        column = score[:, q]
+                        least = -best[q][-1][0] if len(best[q]) == k else 0.0
+                        rows = np.flatnonzero((column >= least) & (column > 0))
+                        if len(rows):
+                            best[q] = sorted([*best[q], *((-column[d], keys[d]) for d in rows.tolist())])[:k]
+            if kind_ is not None:
+                rows = [(ids[q], d, float(-s)) for q, found in enumerate(best) for s, d in found]
+                cols = list(zip(*rows)) or [(), (), ()]
+                types = [None if cols[0] else kind_, kind_, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[query, key, "score"])
+
+        part = docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{query}` {query_kind}, `{key}` {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, query, [F.desc("score"), F.asc(key)], k)
+
+
 def normalise(vector: Column) -> Column:
     double = F.transform(vector, lambda x: x.cast("double"))
     size = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, x: s + x * x))
