@@ -202,7 +202,7 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     rows = np.packbits(bits.reshape(n, width), axis=1)
     rows[:, 0:4] = (0xFF, 0xF8, 0x24, 0x02)
     each = np.arange(n)
-    for j in range(7):
+    for j in range(int(num_size.max())):
         m = num_size > j
         rows[each[m], 4 + j] = num[m, j]
     rows[each, head - 1] = _crc8_heads(rows, head - 1)
