@@ -84,7 +84,7 @@ def test_language_edges(spark):
 
 def test_language_backoff():
     m = language.fit([("a", "xyz xyz pqr"), ("b", "lmn lmn opq")] * 5)
-    assert (m.vector("xyz") == m.words["xyz"]).all()
+    assert (m.vector("xyz") == m.values[m.tables[0]["xyz"]]).all()
     assert m.langs[m.vector("xyzz").argmax()] == "a" and m.langs[m.vector("lmno").argmax()] == "b"
     assert not m.vector("日本").any()
 
