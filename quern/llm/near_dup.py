@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sk
-from .common import drop, materialise, table
+from .common import drop, materialise, parts, table
 
 SMALL = 16  # members of a bucket whose pairs are listed
 BLOCK_ROWS, BLOCK_ITEMS = 1024, 400_000  # representatives and set elements of a block, about
@@ -42,7 +42,7 @@ def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = sk.Shingler(size)
-        for batch in batches:
+        for batch in parts(batches):
             n, fp, brief, bands = [], [], [], []
             for text in batch.column(1):
                 items = shingler.of(text.as_py())
@@ -88,7 +88,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = sk.Shingler(size)
-        for batch in batches:
+        for batch in parts(batches):
             items = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["rid", "items"])
 

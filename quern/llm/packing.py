@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, parts, table
 
 CAPACITY, END_ID = 2048, 0
 CELL_ROWS = 4000
@@ -93,7 +93,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, path: str, id_col: str = "d
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([END_ID], dtype="<u4")
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             enc.check(min((t for t in texts if t), key=len, default=""))
             rows, of = [], []

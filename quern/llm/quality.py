@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import parts, table
 from .language import fold
 
 SAMPLE = 6_000  # labelled rows of each class, about
@@ -35,7 +35,7 @@ BUCKETS = 1 << 19
 MIN_ROWS = 3  # of the sample that must hold an n-gram
 EPOCHS, COST, BLEND = 10, 1.0, 0.75
 THRESHOLD = 0.7
-CACHE = 400_000  # words that a worker remembers
+CACHE = 150_000  # words that a worker remembers
 REPEAT = 0x3D3D3D3D
 PIECE = 200_000  # words of a text that are looked at together
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: list, text_col: str = "text", into: str = "sco
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in parts(batches):
             new = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, into])
 

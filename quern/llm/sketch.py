@@ -9,7 +9,7 @@ import xxhash
 
 BINS, ROWS = 150, 5
 BANDS = BINS // ROWS
-CACHE = 400_000  # word hashes that a worker remembers
+CACHE = 150_000  # word hashes that a worker remembers
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROUNDS = np.random.default_rng(20170).integers(1, 1 << 63, size=(2 * BINS, 2), dtype=np.uint64) | np.uint64(1)
 
