@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html_text, language, media, near_dup, packing, quality, secret_scan, sharding
+from . import chat, decontam, html_text, language, media, near_dup, oracles, packing, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
+    "op6_near_duplicates": oracles.NEAR_DUPLICATES,
 }
