@@ -164,7 +164,7 @@ QUESTION_MARKS = "，。！？；：、“”‘’（）《》【】,.!?;:\"'()
 
 
 def normalise_question(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", ""), f"[{QUESTION_MARKS}]", "")
+    return F.translate(F.lower(text), " \t\n\x0b\f\r" + QUESTION_MARKS.replace("\\", ""), "")
 
 
 def truncate(text: Column, most: int, marker: str) -> Column:

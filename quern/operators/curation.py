@@ -112,11 +112,15 @@ def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(split).alias("splits"), F.array_join(F.array_sort(F.collect_set(split)), ",").alias("in_splits")).where("splits > 1")
 
 
+def first_keys(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The least key of every normalised text; texts with nothing left have none. Only hashes and keys are shuffled."""
+    named = rows.select(key, normalise_question(F.col(text)).alias("_q")).where("_q <> ''")
+    return named.groupBy(F.sha2("_q", 256).alias("_h")).agg(F.min(key).alias(key)).select(key)
+
+
 def first_by_question(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows whose normalised text didn't occur at a lower key; rows without any text left are dropped."""
-    named = rows.withColumn("_q", normalise_question(F.col(text))).where("_q <> ''").withColumn("_h", F.sha2("_q", 256))
-    first = named.groupBy("_h").agg(F.min(key).alias(key))
-    return named.join(first, ["_h", key], "left_semi").drop("_q", "_h")
+    """Rows whose normalised text didn't occur at a lower key (a unique column)."""
+    return rows.join(first_keys(rows, key, text), key, "left_semi")
 
 
 def pending(work: DataFrame, done: DataFrame, key: str, fingerprint: str | None = None) -> DataFrame:

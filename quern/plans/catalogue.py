@@ -691,7 +691,7 @@ def dockerfile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with n as (select doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', '', 'g'), '[{T.QUESTION_MARKS.replace("'", "''")}]', '', 'g') as q from documents)
 select min(doc_id) as doc_id from n where q <> '' group by q""")
 def query_normalise_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.first_by_question(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+    return curation.first_keys(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 SPLIT_SQL = """g as (select c_custkey, min(c_mktsegment) as c_mktsegment from customer group by c_custkey),
