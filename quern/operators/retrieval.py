@@ -42,19 +42,13 @@ def idf(n: Column, df: Column) -> Column:
 def term_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """term, total tf, document frequency, idf; a row per term.
 
-    One tokenising pass and one shuffle of partial sums by term: a document adds its tokens, its distinct tokens, and one row
-    without a term that carries its length.
+    One shuffle of partial sums by term: a document adds its tokens and its distinct tokens, never (term, document) rows.
     """
+    one = lambda x, tf, df: F.struct(x.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    counted = F.concat(F.transform("t", lambda x: one(x, 1, 0)), F.transform(F.array_distinct("t"), lambda x: one(x, 0, 1)))
     tokens = docs.select(token_bag(F.col(text)).alias("t"))
-    one = lambda x, tf, df: F.struct(x.alias("term"), tf.cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
-    counted = F.concat(
-        F.transform("t", lambda x: one(x, F.lit(1), 0)),
-        F.transform(F.array_distinct("t"), lambda x: one(x, F.lit(0), 1)),
-        F.array(one(F.lit(None).cast("string"), F.size("t"), 1)),
-    )
     sums = tokens.select(F.inline(counted)).groupBy("term").agg(F.sum("tf").alias("total_tf"), F.sum("df").alias("df"))
-    whole = sums.where("term is null").select(F.col("df").alias("n"), (F.col("total_tf") / F.col("df")).alias("avgdl"))
-    return sums.where("term is not null").crossJoin(F.broadcast(whole)).select(  # the other side is one row
+    return sums.crossJoin(F.broadcast(collection_stats(docs, key, text))).select(  # the other side is one row
         "term", "total_tf", "df", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl")
     )
 
