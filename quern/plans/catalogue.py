@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, diagnosis, evaluation, evidence, providers, retrieval, sessions, static_analysis
+from quern.operators import corpus, curation, diagnosis, evaluation, evidence, projections, providers, retrieval, sessions, static_analysis
 from quern.plans import samples
 from quern.session import spread
 from quern.session import table as read_table
@@ -815,3 +815,46 @@ def hybrid_search_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = providers.embed(items.select("item_id", "text"), "text", prefix="query: ").select("item_id", "embedding")
     dense = retrieval.dense_search(asked, vectors, "item_id", "doc_id", 20)
     return retrieval.fuse(dense, _bm25(spark, sf_dir, 20), "item_id", "doc_id", 5)
+
+
+@query("""select doc_id, lang as file, left(text, 1000) as content_preview,
+  case when length('{"text":"' || doc_id || '"}') > 12 then '{"ok":true,"tool":"read","truncated":true,"preview":"' || replace(left('{"text":"' || doc_id || '"}', 12), '"', chr(92) || '"') || '"}' else '{"text":"' || doc_id || '"}' end as result,
+  case when doc_id % 2 = 0 then '<log: ' || length(text) || ' characters>' else text end as argument from documents""")
+def result_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("file"), F.col("text").alias("content"))
+    arguments = F.create_map(F.when(F.col("doc_id") % 2 == 0, "log_text").otherwise("query"), F.col("content"))
+    raw = F.concat(F.lit('{"text":"'), F.col("doc_id").cast("string"), F.lit('"}'))
+    rows = rows.withColumns({"result": projections.capped_result(raw, F.lit(True), F.lit("read"), 12), "argument": F.get(F.map_values(projections.sanitised_arguments(arguments)), F.lit(0))})
+    return projections.evidence_summary(rows)
+
+
+@query(f"""with {_bm25_sql(5)} select item_id, md5(string_agg('<evidence id="' || rank || '">' || chr(10) || 'file: ' || source || '/' || doc_id || chr(10) || 'lines: 1-9' || chr(10) || 'type: text' || chr(10) || 'name: None' || chr(10) ||
+  'dense rank: None' || chr(10) || 'bm25 rank: ' || rank || chr(10) || 'code:' || chr(10) || '```python' || chr(10) || case when length(text) > 5000 then left(text, 5000) || chr(10) || '...truncated...' else text end || chr(10) || '```' || chr(10) || '</evidence>',
+  chr(10) || chr(10) order by rank)) as evidence_md5 from bm25 join documents using (doc_id) group by item_id""")
+def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _bm25(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    hits = hits.select(
+        "item_id", "rank", F.concat_ws("/", "source", "doc_id").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("text").alias("chunk_type"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("dense_rank"), F.col("rank").alias("bm25_rank"), F.col("text").alias("content"),
+    )
+    return projections.evidence_block(hits, ["item_id"], "rank").select("item_id", F.md5("evidence").alias("evidence_md5"))
+
+
+@query(f"""select id, case id when 'plain' then '{{"a": 1}}' when 'fenced' then '{{"a": [1, 2]}}' when 'wrapped' then '{{"b": {{"c": 2}}}}' when 'bare_fence' then '{{"x": "y"}}' end as object from {S(samples.MODEL_JSON)}""")
+def json_object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.scanned_objects(samples.frame(spark, samples.MODEL_JSON), "id", "text")
+
+
+@query("""select n as name, exists (select 1 from documents where contains(lower(text), lower(n))) or exists (select 1 from documents where lower(source || '/' || doc_id || '.txt') = lower(n) or ends_with(lower(source || '/' || doc_id || '.txt'), '/' || lower(n))) as exists_in_files
+from (values ('src3/3.txt'), ('3.TXT'), ('the'), ('no_such_name'), ('Token')) as t(n)""")
+def identifier_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = spark.createDataFrame([(n,) for n in ("src3/3.txt", "3.TXT", "the", "no_such_name", "Token")], "name string")
+    files = docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return diagnosis.identifier_exists(names, docs, files)
+
+
+@query()
+def ast_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = static_analysis.python_analysis(samples.frame(spark, samples.PYTHON_FILES))
+    return projections.analysis_evidence(rows.where("error is null"))
