@@ -195,3 +195,19 @@ def repair_json_array(text: Column) -> Column:
         return F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("ARRAY"), x)
 
     return F.coalesce(valid(strip(inner)), valid(bracket))
+
+
+def prediction_score(values: Column) -> Column:
+    """The score of a model's output row: the value itself, or the last of several."""
+    return F.element_at(values, -1)
+
+
+def between(text: Column, start: str, end: str) -> Column:
+    """Trimmed text between two markers; null where the first is missing, to the end where the second is."""
+    after = F.substring_index(text, start, -1)
+    return F.when(F.contains(text, F.lit(start)), strip(F.substring_index(after, end, 1)))
+
+
+def flag(value: Column) -> Column:
+    """Whether a setting's text means yes."""
+    return F.coalesce(F.lower(strip(value)).isin("1", "true", "yes", "on"), F.lit(False))

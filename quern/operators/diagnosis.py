@@ -141,3 +141,21 @@ def context_of(frames_: DataFrame, files: DataFrame, context: int = 8, path: str
 def last_by(rows: DataFrame, group: str, order: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+# Files that name dependencies, and files that start a program, in order of preference.
+DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile")
+ENTRY_FILES = ("main.py", "app.py", "server.py", "manage.py", "api/main.py", "ui/streamlit_app.py")
+
+
+def present_files(files: DataFrame, candidates: tuple[str, ...], path: str = "path") -> DataFrame:
+    """path, preference (from 0) of the candidates that the repository holds."""
+    place = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col(path))
+    return files.where(F.col(path).isin(*candidates)).select(path, (place - 1).alias("preference")).distinct()
+
+
+def accepted_identifiers(named: DataFrame, known: DataFrame, name: str = "name", own: str = "from_user") -> DataFrame:
+    """``named`` (name, from_user) with exists and accepted: a user's own identifiers stay, a model's only if they exist."""
+    joined = named.join(known.select(name, "exists_in_files"), name, "left")
+    exists = F.coalesce("exists_in_files", F.lit(False))
+    return joined.withColumns({"exists_in_files": exists, "accepted": F.col(own) | exists})

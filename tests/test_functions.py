@@ -102,3 +102,19 @@ def test_harvest(spark):
     payload = '{"r": [{"file": "a", "start_line": 1, "end_line": 2, "content": "x", "in": {"file": "b", "start_line": 3, "end_line": 3}}, {"file": "c", "start_line": true, "end_line": 2}]}'
     df = spark.createDataFrame([(payload,), ("no",)], "p string").lateralJoin(evidence.HarvestEvidence(F.col("p").outer()))
     assert sorted((r.file, r.start_line) for r in df.collect()) == [("a", 1), ("b", 3)]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("a <q> what is it </q> b", " YES "), ("none", "0"), (None, None)], "t string, f string")
+    got = [tuple(r) for r in df.select(T.between(F.col("t"), "<q>", "</q>"), T.flag(F.col("f"))).collect()]
+    assert got == [("what is it", True), (None, False), (None, False)]
+    assert spark.createDataFrame([([0.1, 0.9],), ([0.3],)], "v array<double>").select(T.prediction_score(F.col("v"))).collect()[0][0] == 0.9
+
+
+def test_present_files_and_acceptance(spark):
+    files = spark.createDataFrame([("app.py",), ("api/main.py",), ("x.py",)], "path string")
+    got = {r.path: r.preference for r in diagnosis.present_files(files, diagnosis.ENTRY_FILES).collect()}
+    assert got == {"app.py": 1, "api/main.py": 4}
+    named = spark.createDataFrame([("a", True), ("b", False), ("c", False)], "name string, from_user boolean")
+    known = spark.createDataFrame([("b", True), ("c", False)], "name string, exists_in_files boolean")
+    assert {r.name: r.accepted for r in diagnosis.accepted_identifiers(named, known).collect()} == {"a": True, "b": True, "c": False}
