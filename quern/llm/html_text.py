@@ -10,8 +10,8 @@ below it, and LCb, Cb those of the body,
 (C / T where the page has no link). A node's sum is the sum of its children's densities. The node of maximum sum is the
 core; the threshold is the least density on the path from it to the body. If the core lies in an ``article`` or ``main``
 element, that element is the main text; otherwise every node, from the body down, that reaches the threshold gives the node
-of maximum sum below it. Inline elements count as tags but are no nodes of their own. Headings of a ``header`` inside an
-article stay.
+of maximum sum below it. Inline elements count as tags but are no nodes of their own. Of a header inside an article, by
+element or by name, the headings stay.
 
 Output: character references decoded; white space inside a block is one space; trimmed; blocks joined by one space.
 
@@ -34,7 +34,7 @@ from .common import parts, table
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+|[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^<>]*)\Z",
     re.S,
@@ -54,7 +54,9 @@ SAID = set(
     "newsletter subscribe signup share sharing social comment comments disqus respond replies related recommended "
     "breadcrumb breadcrumbs pagination pager widget toolbar login copyright complementary contentinfo search form".split()
 )
-KEPT = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "p"}
+NEVER_MAIN = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "replies", "related", "sponsored", "promo"}
+KEPT = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
+STAYS, GOES, HEADS = 0, 1, 2  # what furniture does: stays, goes, or is a header, of which headings stay inside an article
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -68,25 +70,28 @@ class Tree:
     """Block nodes of a page in document order; node 0 stands for the body."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.cut = ["body"], [-1], [False]
+        self.tag, self.parent, self.cut = ["body"], [-1], [STAYS]
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # of text and breaks, with the node they are in
 
-    def add(self, tag: str, parent: int, cut: bool) -> int:
+    def add(self, tag: str, parent: int, cut: int) -> int:
         for column, value in ((self.tag, tag), (self.parent, parent), (self.cut, cut), (self.chars, 0), (self.links, 0), (self.tags, 0), (self.link_tags, 0)):
             column.append(value)
         return len(self.tag) - 1
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in CUT or tag == "header":
-        return True
+def _furniture(tag: str, attributes: str) -> int:
+    if tag == "header":
+        return HEADS
+    if tag in CUT:
+        return GOES
     if tag in KEPT or "=" not in attributes:
-        return False
+        return STAYS
+    said: set[str] = set()
     for m in NAMED.finditer(attributes):
-        if any(w.lower() in SAID for w in WORD.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        said.update(w.lower() for w in WORD.findall(m[1] or m[2] or m[3] or ""))
+    said &= NEVER_MAIN if tag in ("article", "main") else SAID
+    return STAYS if not said else HEADS if said == {"header"} else GOES
 
 
 def parse(page: str) -> Tree:
@@ -154,11 +159,10 @@ def parse(page: str) -> Tree:
         if m[3].endswith("/") and tag not in INLINE and tag not in ENDS_P:
             continue
         if tag in INLINE:
-            cut = _furniture(tag, m[3], False)
-            inner = tree.add(tag, node, True) if cut else node
+            inner = tree.add(tag, node, GOES) if _furniture(tag, m[3]) else node
             stack.append((tag, inner, link or tag == "a"))
         else:
-            inner = tree.add(tag, node, _furniture(tag, m[3], False))
+            inner = tree.add(tag, node, _furniture(tag, m[3]))
             stack.append((tag, inner, link))
         node, link = stack[-1][1], stack[-1][2]
 
@@ -173,11 +177,10 @@ def main_text(page: str | None) -> str:
     for i in range(1, n):
         p = parent[i]
         article[i] = i if tag[i] in ("article", "main") else article[p]
-        own = cut[i] and not (tag[i] == "header" and article[p] >= 0)
-        gone[i] = gone[p] or own
+        gone[i] = gone[p] or cut[i] == GOES or (cut[i] == HEADS and article[p] < 0)
     in_header, in_heading = [False] * n, [False] * n
     for i in range(1, n):
-        in_header[i] = in_header[parent[i]] or (tag[i] == "header" and cut[i])
+        in_header[i] = in_header[parent[i]] or cut[i] == HEADS
         in_heading[i] = in_heading[parent[i]] or tag[i] in HEADINGS
     mute = [a and not b for a, b in zip(in_header, in_heading)]  # of a header inside an article, only headings speak
     chars, links, tags, link_tags = tree.chars[:], tree.links[:], tree.tags[:], tree.link_tags[:]
