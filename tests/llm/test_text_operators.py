@@ -191,6 +191,7 @@ def test_digest(spark):
         ("<div class='cookie-notice'>We use cookies</div><div class=content><h2>H</h2><p>Long text of the page itself, with enough words.</p><p>More of it here, and more.</p></div><div id=comments><p>A reader says so.</p></div>", "H Long text of the page itself, with enough words. More of it here, and more."),
         ("<script>var a='</p><p>x';</script><style>p{}</style><p>x &lt;b&gt; y</p><!-- c <p>no</p> -->", "x <b> y"),
         ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a b 1 2"),
+        ("<p title=don't>one</p> <p data-x='a>b' y=\"c>d\">it's</p>", "one it's"), ('<a href="x>one</a> two', "one two"),
         ("a < b and c > d <3", "a < b and c > d <3"), ("<p title='a>b'>x</p>", "x"),
     ],
 )
@@ -212,3 +213,15 @@ def test_page_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", "<p>x</p>" * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(len(r.text) for r in html_text.extract_text(df).collect()) == [0, 0, 39_999]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Real text of the page.</p><p class='notice'>We moved.</p><div class='article-header'><h2>H</h2><p>by x</p></div></article>", "Real text of the page. H"),
+        ("<main><h1>T</h1><p>Text of the main part, long.</p><article class=comment><p>A reader.</p></article></main>", "T Text of the main part, long."),
+        ("<div id=header><h1>Site</h1></div><div><p>Words of the page, enough of them to be dense.</p></div>", "Words of the page, enough of them to be dense."),
+    ],
+)
+def test_furniture_by_name(page, text):
+    assert html_text.main_text(page) == text
