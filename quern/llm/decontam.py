@@ -8,8 +8,13 @@ CGK walk: at step j the embedding emits the token under the pointer, and the poi
 (step, token) is set. Two strings a few edits apart re-align soon, so edit distance shows as few differing coordinates.
 Items are put in classes of like length; every token of a document starts a window of the class's length. Keys are
 hashes of SAMPLED coordinates of the walk, drawn from short, middle and long spans, KEYS for each of WALKS walks; items are
-embedded from their first ANCHORS offsets, so that an edited beginning doesn't hide them. Equal keys are candidates, and
-each is verified by a bit-parallel edit distance search over the tokens around it.
+embedded from their first ANCHORS offsets. Equal keys are candidates, and each is verified by a bit-parallel edit distance
+search over the tokens around it.
+
+The walk starts near an item's beginning and sees a bounded stretch, so it alone misses items whose edits lie there. What
+it misses is found by pieces: an item allowed e edits is cut into e + 1 disjoint pieces of like length, one of which every
+match holds unedited; the hash of each piece is looked up at every token of a document. So no match within the distance is
+lost, wherever its edits are.
 
 Windows with more tokens foreign to the class's items than the distance allows can't match and are not walked.
 
@@ -38,6 +43,8 @@ RATIO = 0.2
 WALKS, KEYS, SAMPLED, ANCHORS = 3, 9, 5, 7
 ITEM_BLOCK = 20_000
 CHUNK = 400_000  # tokens walked together
+WIDEST = 8  # tokens of a piece that are hashed at most; fewer give more candidates, not fewer matches
+HITS = 1_000_000  # candidates expanded together
 _SPLIT = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
@@ -74,6 +81,37 @@ def search(pattern: list[int], text: list[int], most: int) -> tuple[int, int] |
     return best if best[0] <= most else None
 
 
+def _run_keys(names: list[np.ndarray]) -> np.ndarray:
+    """Hashes of runs of tokens: names[j] are those of the j-th tokens."""
+    key = np.full(len(names[0]), len(names), dtype=np.uint64)
+    for name in names:
+        key = (key ^ name) * _M1
+        key ^= key >> np.uint64(32)
+    return key * _M2
+
+
+def _table(column: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, where each was, and a bitmap of their first bits."""
+    order = np.argsort(column, kind="stable")
+    seen = np.zeros(1 << bits, dtype=bool)
+    seen[(column >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return column[order], order, seen
+
+
+def _equal(column: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in column, places in the table) of equal keys, about HITS at a time."""
+    sorted_, order, seen = table
+    maybe = np.flatnonzero(seen[(column >> np.uint64(64 - int(len(seen)).bit_length() + 1)).astype(np.int64)])
+    a = np.searchsorted(sorted_, column[maybe], side="left")
+    n = np.searchsorted(sorted_, column[maybe], side="right") - a
+    maybe, a, n = maybe[n > 0], a[n > 0], n[n > 0]
+    group = np.cumsum(n) // HITS
+    for first, last in zip(*(np.searchsorted(group, np.unique(group), side=side) for side in ("left", "right"))):
+        m, f, k = maybe[first:last], a[first:last], n[first:last]
+        inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        yield np.repeat(m, k), order[np.repeat(f, k) + inside]
+
+
 class Items:
     """Embedded items of a block."""
 
@@ -86,15 +124,33 @@ class Items:
         base = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in self.vocabulary)], dtype=np.uint64)
         self.name = _mix(base + _M1)  # of each token id
         self.bits = [_mix(base * np.uint64(2 * r + 1) + np.uint64(977 * (r + 1))) for r in range(WALKS)]
+        self.holds = [frozenset(t) for t in self.items]
         self.classes = []
+        self.class_of = np.zeros(len(self.items), dtype=np.int64)
         longest, lo = max(map(len, self.items), default=0), 1
         while lo <= longest:
             hi = max(lo, int(lo * 1.25))
             own = [i for i, t in enumerate(self.items) if lo <= len(t) <= hi]
             if own:
+                self.class_of[own] = len(self.classes)
                 self.classes.append(self._class(lo, hi, own))
             lo = hi + 1
         self.pad = longest + 2
+        self.lengths, self.edits = np.array([len(t) for t in self.items], dtype=np.int64), np.array(self.most, dtype=np.int64)
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> list[tuple[int, tuple, np.ndarray]]:
+        """For each width of pieces: their hashes as a table, and (item, offset in it) of each."""
+        by_width: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(self.items):
+            n = min(self.most[i] + 1, len(t))
+            own = by_width.setdefault(min(WIDEST, len(t) // n), [])
+            own += [(i, p * len(t) // n) for p in range(n)]
+        out = []
+        for width, whose in sorted(by_width.items()):
+            names = self.name[np.array([self.items[i][a : a + width] for i, a in whose], dtype=np.int64)]
+            out.append((width, _table(_run_keys([names[:, j] for j in range(width)]), 20), np.array(whose, dtype=np.int64)))
+        return out
 
     def _class(self, lo: int, hi: int, own: list[int]) -> dict:
         known = np.zeros(len(self.name), dtype=np.int32)
@@ -120,11 +176,8 @@ class Items:
         keys = self.keys(c, ids, np.array(starts, dtype=np.int64))
         c["tables"] = []
         for column in keys:
-            order = np.argsort(column, kind="stable")
-            seen = np.zeros(1 << 16, dtype=bool)
-            seen[(column >> np.uint64(48)).astype(np.int64)] = True
-            c["tables"].append((column[order], order, seen))
-        c["whose"] = whose
+            c["tables"].append(_table(column, 16))
+        c["whose"] = np.array(whose, dtype=np.int64)
         return c
 
     def keys(self, c: dict, ids: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
@@ -146,29 +199,41 @@ class Items:
                     key ^= key >> np.uint64(32)
                 yield key * _M2
 
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(position where an item would begin, item) of equal keys. ids end with padding."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position where it would begin) of equal keys, sorted. ids end with padding; texts begin at firsts."""
+        n = len(ids) - self.pad
+        good, room = [], []  # windows with tokens enough of the class's items, and how many there are before each position
         for c in self.classes:
             total = np.concatenate([[0], np.cumsum(c["known"][ids])])
-            n = len(ids) - self.pad
             start = np.arange(n)
-            end = np.minimum(start + c["lo"], len(ids))
-            start = start[(total[end] - total[start] >= c["least"]) & (ids[:n] > 0)]
+            good.append((total[np.minimum(start + c["lo"], len(ids))] - total[start]) >= c["least"])
+            room.append(np.concatenate([[0], np.cumsum(good[-1])]))
+        codes = [np.zeros(0, dtype=np.int64)]
+
+        def add(start: np.ndarray, column: np.ndarray, table: tuple, whose: np.ndarray) -> None:
+            for at, e in _equal(column, table):
+                p = start[at]
+                i, a = whose[e, 0], whose[e, 1]
+                begin = np.maximum(p - a, firsts[np.searchsorted(firsts, p, side="right") - 1])
+                for k in np.unique(self.class_of[i]).tolist():
+                    own = self.class_of[i] == k
+                    x, at_, most = i[own], begin[own], self.edits[i[own]]
+                    kept = room[k][np.minimum(at_ + most + 1, n)] > room[k][np.maximum(at_ - most, 0)]
+                    codes.append(np.unique((x[kept] << 32) + at_[kept]))
+
+        for k, c in enumerate(self.classes):
+            start = np.flatnonzero(good[k] & (ids[:n] > 0))
             if not len(start):
                 continue
-            for column, (sorted_, order, seen) in zip(self.keys(c, np.concatenate([ids, np.zeros(c["steps"] + 1, np.int32)]), start), c["tables"]):
-                maybe = np.flatnonzero(seen[(column >> np.uint64(48)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                a = np.searchsorted(sorted_, column[maybe], side="left")
-                b = np.searchsorted(sorted_, column[maybe], side="right")
-                for m in np.flatnonzero(b > a).tolist():
-                    at = int(start[maybe[m]])
-                    for e in order[a[m] : b[m]].tolist():
-                        i, anchor = c["whose"][e]
-                        out.add((at - anchor, i))
-        return out
+            for column, table in zip(self.keys(c, np.concatenate([ids, np.zeros(c["steps"] + 1, np.int32)]), start), c["tables"]):
+                add(start, column, table, c["whose"])
+        names = self.name[ids]
+        for width, table, whose in self.pieces:
+            foreign = np.concatenate([[0], np.cumsum(ids == 0)])
+            start = np.flatnonzero(foreign[width : n + width] == foreign[:n])
+            add(start, _run_keys([names[start + j] for j in range(width)]), table, whose)
+        found = np.unique(np.concatenate(codes))
+        return found >> 32, found & ((1 << 32) - 1)
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item, distance, first token, last token + 1): the best match of every item found."""
@@ -177,28 +242,37 @@ class Items:
             return [[] for _ in texts]
         get = self.vocabulary.get
         held, bounds, size = [], [], 0
+        begins: dict[int, int] = {}
         gap = np.zeros(self.pad, dtype=np.int32)
 
+        def verify(ids: np.ndarray, stretch: tuple[int, int, int, int] | None) -> None:
+            if stretch is None:
+                return
+            i, d, a, b = stretch
+            most, m, read = self.most[i], len(self.items[i]), ids[a:b].tolist()
+            if sum(map(self.holds[i].__contains__, read)) < m - most:
+                return
+            hit = search(self.items[i], read, most)
+            if hit and (i not in found[d] or hit[0] < found[d][i][0]):
+                end, first = a + hit[1], begins[d]
+                back = search(self.items[i][::-1], ids[max(a, end - m - most) : end][::-1].tolist(), most)
+                found[d][i] = (hit[0], end - (back[1] if back else m) - first, end - first)
+
         def flush() -> None:
             nonlocal held, bounds, size
             if held:
                 ids = np.concatenate(held)
                 firsts = [b[1] for b in bounds]
-                tried: dict[tuple[int, int], int] = {}
-                for at, i in sorted(self.candidates(ids)):
-                    d, first, last = bounds[max(0, bisect_right(firsts, at) - 1)]
-                    if at < first - self.pad or at >= last:
-                        continue
-                    if tried.get((d, i), -1) >= at:  # inside the stretch searched before
+                stretch = None  # (item, text, first token, last token + 1) that candidates ask to search; overlapping ones are one
+                for i, at in zip(*(x.tolist() for x in self.candidates(ids, np.array(firsts)))):
+                    d, first, last = bounds[bisect_right(firsts, at) - 1]
+                    a, b = max(first, at - self.most[i]), min(last, at + len(self.items[i]) + 2 * self.most[i] + 4)
+                    if stretch and stretch[:2] == (i, d) and a <= stretch[3]:
+                        stretch = (i, d, stretch[2], max(b, stretch[3]))
                         continue
-                    most, m = self.most[i], len(self.items[i])
-                    a, b = max(first, at - most), min(last, at + m + 2 * most + 4)
-                    tried[d, i] = at + most // 2
-                    hit = search(self.items[i], ids[a:b].tolist(), most)
-                    if hit and (i not in found[d] or hit[0] < found[d][i][0]):
-                        end = a + hit[1]
-                        back = search(self.items[i][::-1], ids[max(a, end - m - most) : end][::-1].tolist(), most)
-                        found[d][i] = (hit[0], end - (back[1] if back else m) - first, end - first)
+                    verify(ids, stretch)
+                    stretch = (i, d, a, b)
+                verify(ids, stretch)
             held, bounds, size = [], [], 0
 
         for d, text in enumerate(texts):
@@ -206,6 +280,7 @@ class Items:
             if not len(ids) or not ids.any():
                 continue
             bounds.append((d, size, size + len(ids)))
+            begins[d] = size
             held += [ids, gap]
             size += len(ids) + self.pad
             if size > CHUNK:

@@ -365,6 +365,28 @@ def test_leaks_of_all_distances_are_found():
     assert wrong == 0 and missed <= 4
 
 
+@pytest.mark.parametrize("size", [15, 24, 45, 80, 150])
+def test_edits_in_one_place_hide_nothing(size):
+    rng = random.Random(size)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(size))) for i in range(20)]
+    own = decontam.Items(items)
+    most = size // 5
+    texts, planted = [], []
+    for n in range(120):
+        i, place, kind = rng.randrange(20), n % 4, n // 4 % 3
+        w = items[i][1].split()
+        at = (0, (size - most) // 2, size - most)[place] if place < 3 else 0
+        spots = range(at, at + most) if place < 3 else range(2, size, 5)
+        for s in sorted(list(spots)[:most], reverse=True):
+            w[s : s + 1] = (["zzz"], [], [rng.choice(words)])[kind]
+        around = [[rng.choice(words) for _ in range(rng.choice((0, 40)))] for _ in "ab"]
+        texts.append(" ".join(around[0] + w + around[1]))
+        planted.append(i)
+    missed = sum(p not in {x[0] for x in f} for f, p in zip(own.find(texts), planted))
+    assert missed == 0
+
+
 def test_matches_carry_spans(spark, monkeypatch):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, f"é start. {passage.title()}! end"), (2, "one two three"), (3, None), (4, ""), (1, f"é start. {passage.title()}! end"), (None, passage)], DOCS).withColumn("item_id", F.lit("clash"))
