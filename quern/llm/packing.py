@@ -5,7 +5,8 @@ tokens, the first of which may be shorter. Pieces matter to packing by their len
 histogram of lengths (``capacity`` numbers at most, whatever the corpus): *kinds* of bins, each a multiset of lengths with
 the number of bins of that kind. Best fit decreasing fills kinds as it would fill single bins. The local search then looks
 at pairs of underfull kinds and applies the exchange (move one, one for one, two for one) that raises the squared fill
-most, to as many bins as both kinds have, until no pair improves; bins that become empty go.
+most, to as many bins as both kinds have, until no pair improves; bins that become empty go. The squared fill rises with every
+exchange, so the search ends by itself; there is no limit on its steps.
 
 Every (kind, length) covers a range of ranks in its length class. A piece's rank comes from cell counts, running totals and
 a row number inside cells of a few thousand rows, so a length that a third of all pieces share is no hot group.
@@ -21,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from .common import materialise, parts, table
 
 CAPACITY, END_ID = 2048, 0
 CELL_ROWS = 4000
-STEPS = 20_000  # exchanges that the local search makes at most
 Kind = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
 
@@ -165,71 +166,163 @@ def _change(kind: Kind, out: Iterable[int], into: Iterable[int]) -> Kind:
     return tuple(sorted(((length, n) for length, n in c.items() if n), reverse=True))
 
 
-def _exchange(low: Kind, high: Kind, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What goes from low to high and back so that the squared fill rises most; None if nothing raises it."""
-    a, b = _fill(high), _fill(low)
-    room = capacity - a
-    best, found = 0, None
-
-    def offer(out: tuple[int, ...], back: tuple[int, ...]) -> None:
-        nonlocal best, found
-        d = sum(out) - sum(back)
-        if 0 < d <= room and d * (a - b + d) > best:
-            best, found = d * (a - b + d), (out, back)
-
-    ours, theirs = [x for x, _ in low], [y for y, _ in high]
-    pairs_low = [(x, y) for x, n in low for y, m in low if x > y or (x == y and n > 1)]
-    pairs_high = [(x, y) for x, n in high for y, m in high if x > y or (x == y and n > 1)]
-    for x in ours:
-        offer((x,), ())
-        for y in theirs:
-            offer((x,), (y,))
-        for y in pairs_high:
-            offer((x,), y)
-    for x in pairs_low:
-        for y in theirs:
-            offer(x, (y,))
-    return found
-
-
-def local_search(kinds: Counter, capacity: int, steps: int = STEPS) -> Counter:
-    """Exchanges between underfull bins until none raises the squared fill. Same kinds and numbers, same result."""
-    full = Counter({k: n for k, n in kinds.items() if _fill(k) == capacity})
-    open_ = Counter({k: n for k, n in kinds.items() if 0 < _fill(k) < capacity})
-    tried: set[tuple[Kind, Kind]] = set()
-    while steps > 0:
-        order = sorted(open_, key=lambda k: (_fill(k), k))
-        moved = None
-        for low in order:
-            for high in reversed(order):
-                if _fill(high) < _fill(low) or (low == high and open_[low] < 2):
-                    continue
-                if (low, high) in tried:
-                    continue
-                swap = _exchange(low, high, capacity)
-                if swap is None:
-                    tried.add((low, high))
-                    steps -= 1
-                    if steps <= 0:
-                        break
-                    continue
-                moved = (low, high, swap)
-                break
-            if moved or steps <= 0:
-                break
-        if not moved:
-            break
-        steps -= 1
-        low, high, (out, back) = moved
-        n = open_[low] // 2 if low == high else min(open_[low], open_[high])
+def _sums(kind: Kind) -> tuple[list[int], list[int]]:
+    """The lengths of a kind, and the sums of two of its items."""
+    singles = [x for x, _ in kind]
+    pairs = {x + y for i, (x, n) in enumerate(kind) for y in (singles[i:] if n > 1 else singles[i + 1 :])}
+    return singles, sorted(pairs)
+
+
+def _two(kind: Kind, total: int) -> tuple[int, int]:
+    """Two items of a kind that sum to total."""
+    held = dict(kind)
+    for x, n in kind:
+        if total - x in held and (total != 2 * x or n > 1):
+            return x, total - x
+    raise AssertionError("no such items")
+
+
+class _Open:
+    """Underfull kinds in rows of arrays, so that a kind is held against all others at once.
+
+    A row of ``one`` says, for every t, the least sum >= t that its kind can give back for one item: nothing, an item, or
+    two; of ``two`` the same for two items: an item. From a bin of fill b into one of fill a >= b, items of sum x for items of
+    sum y raise the squared fill by d * (a - b + d), d = x - y; most if d is largest, that is y least.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.none = capacity, capacity + 1
+        self.row: dict[Kind, int] = {}
+        self.kind: list[Kind | None] = []
+        self.free: list[int] = []
+        self.count, self.fill = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.width = np.int16 if capacity < 32_000 else np.int32
+        self.one, self.two = (np.zeros((0, capacity + 1), dtype=self.width) for _ in "ab")
+        self.given: list[tuple[np.ndarray, np.ndarray]] = []  # of each row: what one item, what two sum to
+        self.flat: tuple[np.ndarray, ...] | None = None  # the same of all rows in one, while rows stay as they are
+        self.late: list[int] = []  # rows added since
+
+    def add(self, kind: Kind, n: int) -> bool:
+        """True if the kind is new."""
+        if kind in self.row:
+            self.count[self.row[kind]] += n
+            return False
+        if not self.free:
+            more = max(64, len(self.kind))
+            self.free = list(range(len(self.kind) + more - 1, len(self.kind) - 1, -1))
+            self.kind += [None] * more
+            self.given += [(np.zeros(0, dtype=np.int64),) * 2] * more
+            self.count, self.fill = (np.concatenate([x, np.zeros(more, dtype=np.int64)]) for x in (self.count, self.fill))
+            self.one, self.two = (np.concatenate([x, np.full((more, x.shape[1]), self.none, dtype=self.width)]) for x in (self.one, self.two))
+        r = self.free.pop()
+        singles, pairs = _sums(kind)
+        self.row[kind], self.kind[r], self.count[r], self.fill[r] = r, kind, n, _fill(kind)
+        self.given[r] = (np.array(singles, dtype=np.int64), np.array(pairs, dtype=np.int64))
+        for table, sums in ((self.one, [0, *singles, *pairs]), (self.two, singles)):
+            line = np.full(table.shape[1], self.none, dtype=self.width)
+            line[sums] = sums
+            table[r] = np.minimum.accumulate(line[::-1])[::-1]
+        self.late.append(r)
+        return True
+
+    def take(self, kind: Kind, n: int) -> None:
+        r = self.row[kind]
+        self.count[r] -= n
+        if not self.count[r]:
+            del self.row[kind]
+            self.kind[r] = None  # the row is used again once ``flat`` is made anew
+
+    def partner(self, low: Kind) -> tuple[Kind, tuple[int, ...], tuple[int, ...]] | None:
+        """The kind, what goes to it and what comes back, that raise the squared fill most; None if nothing does."""
+        r = self.row[low]
+        highs = np.flatnonzero((self.count > 0) & (self.fill >= self.fill[r]))
+        if self.count[r] < 2:
+            highs = highs[highs != r]
+        if not len(highs):
+            return None
+        gap, room = self.fill[highs] - self.fill[r], self.capacity - self.fill[highs]
+        best = (0, 0, 0, 0, False)
+        for table, sums, double in ((self.one, self.given[r][0], False), (self.two, self.given[r][1], True)):
+            if not len(sums):
+                continue
+            x = sums[:, None]
+            y = table[highs, np.maximum(x - room, 0)]
+            gain = np.where(y < x, (x - y) * (gap + x - y), 0)
+            at = int(gain.argmax())
+            if gain.flat[at] > best[0]:
+                i, j = divmod(at, len(highs))
+                best = (int(gain.flat[at]), int(sums[i]), int(y[i, j]), int(highs[j]), double)
+        if not best[0]:
+            return None
+        _, x, y, h, double = best
+        high = self.kind[h]
+        back = () if not y else (y,) if y in dict(high) else _two(high, y)
+        return high, _two(low, x) if double else (x,), back
+
+    def givers(self, high: Kind) -> list[Kind]:
+        """Kinds, as full or less, that an exchange with ``high`` improves."""
+        r = self.row[high]
+        if self.flat is None or len(self.late) > 64:
+            live = sorted(self.row.values())
+            self.free = [i for i, k in enumerate(self.kind) if k is None]
+            self.flat = tuple(z for t in (0, 1) for z in (np.concatenate([self.given[i][t] for i in live]), np.repeat(live, [len(self.given[i][t]) for i in live])))
+            self.late = []
+        out: set[int] = set()
+        room = self.capacity - self.fill[r]
+        late = [(self.given[i][t], np.full(len(self.given[i][t]), i)) for i in self.late for t in (0, 1)]
+        for table, groups in ((self.one, [self.flat[:2], *late[::2]]), (self.two, [self.flat[2:], *late[1::2]])):
+            x, of = (np.concatenate(z) for z in zip(*groups))
+            out.update(np.unique(of[table[r, np.maximum(x - room, 0)] < x]).tolist())
+        return [k for i in sorted(out) if (k := self.kind[i]) and self.fill[i] <= self.fill[r] and (i != r or self.count[r] > 1)]
+
+
+def local_search(kinds: Counter, capacity: int) -> Counter:
+    """Exchanges between underfull bins until none raises the squared fill. Same kinds and numbers, same result.
+
+    Kinds wait in a queue, emptiest first. One for which no other offers an exchange leaves it, and comes back only when a
+    kind appears, or has a second bin, that does; so the end is that of trying every pair again after every exchange.
+    """
+    done = Counter({k: n for k, n in kinds.items() if not 0 < _fill(k) < capacity})
+    open_ = _Open(capacity)
+    waiting: set[Kind] = set()
+    queue: list[tuple[int, Kind]] = []
+
+    def wait(kind: Kind) -> None:
+        if kind not in waiting:
+            waiting.add(kind)
+            heappush(queue, (_fill(kind), kind))
+
+    for k in sorted(kinds):
+        if 0 < _fill(k) < capacity and kinds[k]:
+            open_.add(k, kinds[k])
+            wait(k)
+    while queue:
+        _, low = heappop(queue)
+        waiting.discard(low)
+        if low not in open_.row:
+            continue
+        found = open_.partner(low)
+        if found is None:
+            continue
+        high, out, back = found
+        have = int(open_.count[open_.row[low]])
+        n = have // 2 if low == high else min(have, int(open_.count[open_.row[high]]))
         for kind in (low, high):
-            open_[kind] -= n
-            if not open_[kind]:
-                del open_[kind]
+            open_.take(kind, n)
+        if low in open_.row:
+            wait(low)
         for kind in (_change(low, out, back), _change(high, back, out)):
-            if kind:
-                (full if _fill(kind) == capacity else open_)[kind] += n
-    return full + open_
+            if not kind:
+                continue
+            if _fill(kind) == capacity:
+                done[kind] += n
+                continue
+            new = open_.add(kind, n)
+            wait(kind)
+            if new:
+                for other in open_.givers(kind):
+                    wait(other)
+    return done + Counter({k: int(open_.count[r]) for k, r in open_.row.items()})
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:

@@ -291,6 +291,32 @@ def test_search_empties_bins():
     assert sum((c * n * m for k, m in done.items() for c, n in k)) == sum((c * n * m for k, m in kinds.items() for c, n in k))
 
 
+def improves(low: tuple, high: tuple, capacity: int) -> bool:
+    """Whether moving one item, or swapping one for one, two for one or one for two, raises the squared fill."""
+    one, other = ([n for n, m in kind for _ in range(min(m, 2))] for kind in (low, high))
+    pairs = [[x + y for i, x in enumerate(k) for y in k[:i]] for k in (one, other)]
+    room = capacity - sum(n * m for n, m in high)
+    back = sorted({0, *other, *pairs[1]})
+    return any(0 < x - y <= room for x in set(one) for y in back) or any(0 < x - y <= room for x in set(pairs[0]) for y in set(other))
+
+
+@pytest.mark.parametrize("seed, capacity, low, high, size", [(1, 2048, 300, 1500, 5000), (2, 2048, 1, 2048, 3000), (3, 100, 1, 60, 2000)])
+def test_search_ends_where_no_pair_improves(seed, capacity, low, high, size):
+    rng = random.Random(seed)
+    histogram = Counter(rng.randint(low, high) for _ in range(size))
+    before = packing.best_fit(dict(histogram), capacity)
+    done = packing.local_search(before, capacity)
+    fill = {k: sum(n * m for n, m in k) for k in done}
+    held = Counter()
+    for k, n in done.items():
+        for length, m in k:
+            held[length] += n * m
+    assert held == histogram and sum(done.values()) <= sum(before.values()) and max(fill.values()) <= capacity
+    open_ = [k for k in done if fill[k] < capacity]
+    assert not any(improves(a, b, capacity) for a in open_ for b in open_ if fill[a] <= fill[b] and (a != b or done[a] > 1))
+    assert done == packing.local_search(before, capacity)
+
+
 def test_pieces_and_places(spark, monkeypatch):
     from tokenizers import Tokenizer
 
