@@ -3,14 +3,16 @@
 Links are given by a key (here: the digest of the text): documents that share a key are linked, so the graph is kept as
 documents and keys and never as pairs. A round tallies each key's documents by shard (summed on the map side), lets every
 document of the key prefer the shard that holds most of it, and moves those whose preferred shard has room. Room is
-dealt by *cells*: movers are hashed to a fixed number of cells, demand is summed by (shard, cell), and a shard takes its
-cells in order until its quota is used up; small keys are hashed whole, so that a key moves as one, large ones by
-document, so that a key larger than a shard can be split. What reaches the driver are the tallies by shard and cell, whose
-number depends on the shard count alone.
-
-Law ``rows``: after the rounds, shards over their exact quota give up that many documents, unlinked ones first, and shards
-below it take them: counts differ by one at most. Ranks in a shard come from cell counts, running totals and a row number
-inside each cell of a few thousand rows, so no task ever sorts a whole shard or a whole key. Per-key tables are written
+dealt by *cells*: movers are hashed to a fixed number of cells, anew in each round, and demand is summed by (from, to,
+cell). All moves are granted first, so that what leaves a shard in a round is room for what comes; then shards above their
+quota give cells back until none is. Small keys are hashed whole, so that a key moves as one, large ones by document, so
+that a key larger than a shard can be split. What reaches the driver are the tallies by shards and cell, whose number
+depends on the shard count alone. Rounds go on until nothing is to move or the number of keys in parts stops falling; the
+quota gets a slack of a 64th once that number stops falling, which the exact balance takes back in whole keys.
+
+Law ``rows``: after the rounds, shards over their exact quota give up that many documents, unlinked ones first, then those
+of keys larger than a shard, and shards below it take them: counts differ by one at most. Ranks in a shard come from cell
+counts, running totals and a row number inside each cell of a few thousand rows, so no task ever sorts a whole shard or a whole key. Per-key tables are written
 before they are joined, which leaves both sides of each join to adaptive execution, and that splits hot keys.
 
 Defined results: a null text is empty (size 1, CRC 0) and shares a key with the empty text; null document ids and
@@ -36,51 +38,67 @@ def _pick(values: list[int], index: str) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), (F.expr(index) + 1).cast("int"))
 
 
-def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, rounds: int) -> tuple[DataFrame, str]:
+def _granted(flows: dict[tuple[int, int, int], int], loads: list[int], most: list[int]) -> tuple[set[tuple[int, int]], list[int]]:
+    """The (to, cell) of ``flows`` (from, to, cell) that may move, and the loads then; none is above ``most`` that wasn't."""
+    loads = loads[:]
+    units: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for (s, t, c), n in sorted(flows.items()):
+        units.setdefault((t, c), []).append((s, n))
+        loads[s] -= n
+        loads[t] += n
+    while over := [s for s in range(len(loads)) if loads[s] > most[s]]:
+        t = max(over, key=lambda s: (loads[s] - most[s], -s))
+        into = sorted((sum(n for _, n in parts), u) for u, parts in units.items() if u[0] == t)
+        _, back = next((x for x in into if x[0] >= loads[t] - most[t]), into[-1])
+        for s, n in units.pop(back):
+            loads[s] += n
+            loads[t] -= n
+    return set(units), loads
+
+
+def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int) -> tuple[DataFrame, str]:
     """Rows of ``linked`` (key, held: documents of the key, shard, ...) with the shards that the rounds give them."""
     spark = linked.sparkSession
     current, path = materialise(linked, "linked")
     large = max(1, capacity // 64)
     closed: list[int] = []
-    for _ in range(rounds):
+    fewest, idle, turn, slack = None, 0, 0, 0  # keys in parts, at the least, and rounds in which they did not become fewer
+    while True:
         tallies = current.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("held").alias("held"))
         # A small key in parts leaves shards that had no room, for another of its own or, failing that, for any open one.
         stuck = F.col("shard").isin(*closed) & (F.col("n") < F.col("held")) & (F.col("held") <= large) if closed else F.lit(False)
         rank = F.struct((~stuck).cast("int").alias("open"), "n", F.xxhash64("key", "shard").alias("h"))
-        best = tallies.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "shard")).alias("m"))
+        best = tallies.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "shard", (F.col("n") < F.col("held")).alias("split"))).alias("m"))
         others = [s for s in range(shards) if s not in closed]
-        refuge = _pick(others, f"pmod(xxhash64(key), {len(others)})") if closed and others else F.col("m.shard")
-        best = best.select("key", F.when(F.col("m.rank.open") == 0, refuge).otherwise(F.col("m.shard")).alias("best"))
+        refuge = _pick(others, f"pmod(xxhash64(key, {turn}), {len(others)})") if closed and others else F.col("m.shard")
+        best = best.select("key", F.when(F.col("m.rank.open") == 0, refuge).otherwise(F.col("m.shard")).alias("best"), "m.split")
         best, best_path = materialise(best, "best")
-        voted = current.join(best, "key").withColumn(
-            "cell", F.when(F.col("held") > large, _bucket(CELLS, "doc_id", "key")).otherwise(_bucket(CELLS, "key"))
+        split = best.where("split").count()
+        if split and (fewest is None or split < fewest):
+            fewest, idle = split, 0
+        else:
+            idle, slack = idle + 1, large
+        if not split or idle == 3:
+            drop(spark, best_path)
+            return current, path
+        voted = current.join(best.drop("split"), "key").withColumn(
+            "cell",
+            F.when(F.col("held") > large, F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.lit(CELLS))).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(CELLS))).cast("int"),
         )
         voted, voted_path = materialise(voted, "voted")
         drop(spark, best_path)
-        demand = voted.where("best <> shard").groupBy("best", "cell").agg(F.count(F.lit(1)).alias("n"))
-        flows = {(r["best"], r["cell"]): r["n"] for r in demand.collect()}  # shards x CELLS rows at most
-        if not flows:
-            drop(spark, path)
-            return voted.drop("best", "cell"), voted_path
-        cut = []
-        for s in range(shards):
-            room, c = capacity - loads[s], 0
-            while c < CELLS and flows.get((s, c), 0) <= room:
-                room -= flows.get((s, c), 0)
-                c += 1
-            cut.append(c)
-        closed = [s for s in range(shards) if cut[s] < CELLS]
-        moved = F.when(F.col("cell") < _pick(cut, "best"), F.col("best")).otherwise(F.col("shard"))
-        change = voted.withColumn("to", moved).where("to <> shard").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
-        for r in change.collect():  # shards x shards rows at most
-            loads[r["shard"]] -= r["n"]
-            loads[r["to"]] += r["n"]
-        following = voted.withColumn("shard", moved).drop("best", "cell")
+        demand = voted.where("best <> shard").groupBy("shard", "best", "cell").agg(F.count(F.lit(1)).alias("n"))
+        flows = {(r["shard"], r["best"], r["cell"]): r["n"] for r in demand.collect()}  # shards x shards x CELLS rows at most
+        units, after = _granted(flows, loads, [max(load, capacity + slack) for load in loads])
+        loads[:] = after
+        closed = sorted({t for _, t, c in flows if (t, c) not in units})
+        grants = F.lit("".join("1" if (s, c) in units else "0" for s in range(shards) for c in range(CELLS)))
+        may = F.substring(grants, F.col("best") * CELLS + F.col("cell") + 1, F.lit(1)) == "1"
+        following = voted.withColumn("shard", F.when(may, F.col("best")).otherwise(F.col("shard"))).drop("best", "cell")
         following, following_path = materialise(following.select(*linked.columns), "linked")
         drop(spark, path)
         drop(spark, voted_path)
-        current, path = following, following_path
-    return current, path
+        current, path, turn = following, following_path, turn + 1
 
 
 def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
@@ -94,7 +112,7 @@ def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
     spread = max(1, n // shards // CELL_ROWS)
     docs = docs.withColumns(
         {
-            "multi": F.col("held") > 1,
+            "multi": F.when(F.col("held") == 1, 0).when(F.col("held") > n // shards, 1).otherwise(2),  # what goes first costs least
             "kb": _bucket(spread, "key"),
             "sub": F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("held") / CELL_ROWS).cast("long"))).cast("int"),
         }
@@ -121,7 +139,7 @@ def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
     ).drop("multi", "kb", "sub", "inside", "first", "rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, key, shard, slot of every row of ``docs`` (doc_id, text). See the module.
 
     Only linked documents count against the quota while labels move: unlinked ones can make room later at no cost.
@@ -141,7 +159,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFr
     for r in marked.groupBy("shard", (F.col("held") > 1).alias("linked")).agg(F.count(F.lit(1)).alias("n")).collect():
         (multi if r["linked"] else single)[r["shard"]] = r["n"]
     capacity = (sum(single) + sum(multi)) // shards
-    linked, _ = propagate(marked.where("held > 1"), multi, capacity, shards, rounds)  # keeps multi up to date
+    linked, _ = propagate(marked.where("held > 1"), multi, capacity, shards)  # keeps multi up to date
     loads = [a + b for a, b in zip(single, multi)]
     return balance_rows(marked.where("held = 1").unionByName(linked.select(*marked.columns)), loads, shards)
 

@@ -39,6 +39,19 @@ def test_shards(spark, monkeypatch):
     assert sizes[2002] == (3, zlib.crc32("é".encode())) and sizes[2000] == sizes[2001] == (1, 0)
 
 
+@pytest.mark.parametrize("pairs, hot, groups", [(10_000, 0, 0), (9_500, 0, 0), (6_000, 6_667, 0), (0, 0, 900)])
+def test_hardly_any_copy_is_parted(spark, pairs, hot, groups):
+    texts = [f"pair {i // 2}" for i in range(2 * pairs)] + ["hot"] * hot + [f"group {i // 20}" for i in range(20 * groups)]
+    texts += [f"one {i}" for i in range(20_000 - len(texts))]
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), DOCS)).select("key", "shard").collect()
+    counts, held, by_key = Counter(r.shard for r in out), Counter(r.key for r in out), {}
+    assert len(out) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+    for r in out:
+        by_key.setdefault(r.key, set()).add(r.shard)
+    # A cut between each two shards at most, and the text that is larger than a shard.
+    assert sum(len(s) > 1 for k, s in by_key.items()) <= 16
+
+
 def test_few_documents(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
     out = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], DOCS)).collect()
