@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree of elements (unclosed and misnested tags as browsers take them). Page furniture is cut first:
-elements that can't be article text (scripts, styles, forms, navigation, footers, asides, ...) and elements whose class,
-id or role names them as such. For every remaining node, with C characters, T tags, LC link characters and LT link tags
+elements that can't be article text (scripts, styles, forms, navigation, footers, asides, ...) and elements of which a
+whole token of class, id or role names them as such (``site-nav``, but not ``has-sidebar`` or ``related-work``). A name alone
+cuts no element that holds most of the page's text outside links, unless an article or main element outside it holds text;
+densities judge it. For every remaining node, with C characters, T tags, LC link characters and LT link tags
 below it, and LCb, Cb those of the body,
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
@@ -39,7 +41,7 @@ MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^<>]*)\Z",
     re.S,
 )
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp", "noscript", "template", "svg"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
@@ -54,6 +56,10 @@ SAID = set(
     "newsletter subscribe signup share sharing social comment comments disqus respond replies related recommended "
     "breadcrumb breadcrumbs pagination pager widget toolbar login copyright complementary contentinfo search form".split()
 )
+BESIDE = set(  # words that say where furniture is or what it is made of
+    "site main page post article entry content top bottom left right primary secondary global local mobile desktop sticky "
+    "wrapper wrap container inner outer bar box list block area section links link buttons button icons text js".split()
+)
 NEVER_MAIN = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "replies", "related", "sponsored", "promo"}
 KEPT = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
 STAYS, GOES, HEADS = 0, 1, 2  # what furniture does: stays, goes, or is a header, of which headings stay inside an article
@@ -89,7 +95,10 @@ def _furniture(tag: str, attributes: str) -> int:
         return STAYS
     said: set[str] = set()
     for m in NAMED.finditer(attributes):
-        said.update(w.lower() for w in WORD.findall(m[1] or m[2] or m[3] or ""))
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in WORD.findall(name)}
+            if words <= SAID | BESIDE:
+                said |= words
     said &= NEVER_MAIN if tag in ("article", "main") else SAID
     return STAYS if not said else HEADS if said == {"header"} else GOES
 
@@ -167,16 +176,41 @@ def parse(page: str) -> Tree:
         node, link = stack[-1][1], stack[-1][2]
 
 
+def _spare(tree: Tree, article: list[int]) -> None:
+    """Takes back cuts by name alone of nodes that hold most of the page's text outside links."""
+    n, tag, parent, cut = len(tree.tag), tree.tag, tree.parent, tree.cut
+    by_name = [cut[i] != STAYS and tag[i] != "header" and tag[i] not in CUT for i in range(n)]
+    if not any(by_name):
+        return
+    plain = [c - k for c, k in zip(tree.chars, tree.links)]
+    declared = [0] * n  # of plain, what article and main elements hold
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        if not by_name[i] and (cut[i] == GOES or (cut[i] == HEADS and article[p] < 0)):
+            continue
+        if article[i] == i and cut[i] == STAYS:
+            declared[i] = plain[i]
+        plain[p] += plain[i]
+        declared[p] += declared[i]
+    for i in range(1, n):
+        if by_name[i] and 2 * plain[i] > plain[0] and (article[parent[i]] >= 0 or declared[i] == declared[0]):
+            cut[i] = STAYS
+
+
 def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     tree = parse(page)
     n = len(tree.tag)
     tag, parent, cut = tree.tag, tree.parent, tree.cut
-    gone, article = [False] * n, [-1] * n  # article: the nearest article or main element, itself included
+    article = [-1] * n  # article: the nearest article or main element, itself included
     for i in range(1, n):
         p = parent[i]
         article[i] = i if tag[i] in ("article", "main") else article[p]
+    _spare(tree, article)
+    gone = [False] * n
+    for i in range(1, n):
+        p = parent[i]
         gone[i] = gone[p] or cut[i] == GOES or (cut[i] == HEADS and article[p] < 0)
     in_header, in_heading = [False] * n, [False] * n
     for i in range(1, n):

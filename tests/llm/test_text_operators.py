@@ -225,3 +225,22 @@ def test_page_rows(spark):
 )
 def test_furniture_by_name(page, text):
     assert html_text.main_text(page) == text
+
+
+LONG = "Words of the page itself, enough of them to be dense, and then some more."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout has-sidebar'><div class=content><p>{LONG}</p></div><div class=sidebar>Other.</div></div>", LONG),
+        (f"<div class='post with-comments'><p>{LONG}</p></div><div class='post-comments'><p>A reader.</p></div>", LONG),
+        (f"<div class=widget><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p><section id='related-work'><p>Others did so.</p></section><p id='search-methods'>We looked.</p></article>", f"{LONG} Others did so. We looked."),
+        (f"<article><p>{LONG}</p><figure aria-label='Search volume'><figcaption>Volume.</figcaption></figure><p>See <a href=x aria-label='Read the related study'>this</a>.</p></article>", f"{LONG} Volume. See this."),
+        (f"<article><p>Short text.</p></article><div class=comments><p>{LONG}</p></div>", "Short text."),
+        (f"<div class='site-nav'>Home</div><article><p>{LONG}</p><div class='social-share'>Share it</div></article>", LONG),
+    ],
+)
+def test_words_in_names_cut_no_text(page, text):
+    assert html_text.main_text(page) == text
