@@ -89,6 +89,12 @@ def test_language_backoff():
     assert not m.vector("日本").any()
 
 
+@pytest.mark.parametrize("n", [1, 49, 50, 500])
+def test_letter_like_numerals_are_no_words(n):
+    assert language.words_of("\u2167 \u2160\u2161 " * n) == [] and len(language.words_of("\u2167 " * n + "a")) == n + 1
+    assert language.fit([("a", "abc"), ("b", "xyz")]).predict("\u2167 " * n) == ("und", 0.0)
+
+
 # quality
 
 
