@@ -1,19 +1,24 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree of elements (unclosed and misnested tags as browsers take them). Page furniture is cut first:
-elements that can't be article text (scripts, styles, forms, navigation, footers, asides, ...) and elements of which a
-whole token of class, id or role names them as such (``site-nav``, but not ``has-sidebar`` or ``related-work``). A name alone
-cuts no element that holds most of the page's text outside links, unless an article or main element outside it holds text;
-densities judge it. For every remaining node, with C characters, T tags, LC link characters and LT link tags
-below it, and LCb, Cb those of the body,
+A page is parsed into a tree of elements (unclosed and misnested tags as browsers take them). What can't be article text by
+its element (scripts, styles, forms, navigation, footers, asides, ...) goes first, and so do elements of which a whole token
+of class, id or role says furniture (``site-nav``, but not ``has-sidebar`` or ``market-share``). A name is only a hint: it cuts
+no element that holds most of the page's text outside links, unless an article or main element outside it holds text, and
+no paragraph as dense as the element it stands in, unless it is named an advert, a notice or a comment. Menus go too:
+elements with ``MENU`` links or more that hold nine tenths of their characters, unless the page has nothing else. For every
+remaining node, with C characters, T tags, LC link characters and LT link tags below it, and LCb, Cb those of the body,
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 (C / T where the page has no link). A node's sum is the sum of its children's densities. The node of maximum sum is the
-core; the threshold is the least density on the path from it to the body. If the core lies in an ``article`` or ``main``
-element, that element is the main text; otherwise every node, from the body down, that reaches the threshold gives the node
-of maximum sum below it. Inline elements count as tags but are no nodes of their own. Of a header inside an article, by
-element or by name, the headings stay.
+core; the threshold is the least density on the path from it to the body. From the body down, every node that reaches the
+threshold gives the node of maximum sum at or below it, and the main text is the least subtree that holds them all, with the
+headings before it in its element; if only the body holds them all, they alone are it. In that subtree nothing is dropped.
+
+An article or main element is a hint too. If such elements hold half of the page's text outside links, the core is looked for
+in them, and inside the one around the core (an article before a main) the threshold is ``LOWERED`` of what it is elsewhere,
+since short paragraphs are less dense than their article. Inline elements count as tags but are no nodes of their own. Of a
+header inside an article, by element or by name, the headings stay.
 
 Output: character references decoded; white space inside a block is one space; trimmed; blocks joined by one space.
 
@@ -37,10 +42,10 @@ from .common import parts, table
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+|[^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^<>]*)\Z",
+    r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
+UNENDED = re.compile(r"<(?:!--.*|/?[A-Za-z!?/][^<>]*)\Z", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp", "noscript", "template", "svg"}
@@ -61,9 +66,12 @@ BESIDE = set(  # words that say where furniture is or what it is made of
     "wrapper wrap container inner outer bar box list block area section links link buttons button icons text js".split()
 )
 NEVER_MAIN = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "replies", "related", "sponsored", "promo"}
+NEVER_TEXT = NEVER_MAIN | {"notice", "notices", "cookie", "cookies", "consent", "gdpr"}  # names that cut a paragraph of any density
 KEPT = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
 STAYS, GOES, HEADS = 0, 1, 2  # what furniture does: stays, goes, or is a header, of which headings stay inside an article
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MENU, LOWERED = 4, 0.1
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}  # any other tag ends the head
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -77,22 +85,24 @@ class Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.cut = ["body"], [-1], [STAYS]
+        self.firm = [True]  # whether a cut holds for a paragraph of any density
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # of text and breaks, with the node they are in
 
-    def add(self, tag: str, parent: int, cut: int) -> int:
-        for column, value in ((self.tag, tag), (self.parent, parent), (self.cut, cut), (self.chars, 0), (self.links, 0), (self.tags, 0), (self.link_tags, 0)):
+    def add(self, tag: str, parent: int, cut: int, firm: bool = True) -> int:
+        for column, value in ((self.tag, tag), (self.parent, parent), (self.cut, cut), (self.firm, firm), (self.chars, 0), (self.links, 0), (self.tags, 0), (self.link_tags, 0)):
             column.append(value)
         return len(self.tag) - 1
 
 
-def _furniture(tag: str, attributes: str) -> int:
+def _furniture(tag: str, attributes: str) -> tuple[int, bool]:
+    """What becomes of the element, and whether that holds for a paragraph of any density."""
     if tag == "header":
-        return HEADS
+        return HEADS, True
     if tag in CUT:
-        return GOES
+        return GOES, True
     if tag in KEPT or "=" not in attributes:
-        return STAYS
+        return STAYS, True
     said: set[str] = set()
     for m in NAMED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
@@ -100,16 +110,14 @@ def _furniture(tag: str, attributes: str) -> int:
             if words <= SAID | BESIDE:
                 said |= words
     said &= NEVER_MAIN if tag in ("article", "main") else SAID
-    return STAYS if not said else HEADS if said == {"header"} else GOES
+    return STAYS if not said else HEADS if said == {"header"} else GOES, bool(said & NEVER_TEXT)
 
 
 def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int, bool]] = []  # open elements: tag, block node, inside a link
     node, link, at = 0, False, 0
-    seen_body = re.search(r"<body[\s>]", page, re.I)
-    if seen_body:
-        at = seen_body.start()
+    ends = page.rfind(">") + 1  # nothing behind it is markup but what the page breaks off in
 
     def text(part: str) -> None:
         if not part:
@@ -122,9 +130,9 @@ def parse(page: str) -> Tree:
             tree.links[node] += n
 
     while True:
-        m = MARKUP.search(page, at)
+        m = MARKUP.search(page, at) if at < ends else None
         if m is None:
-            text(page[at:])
+            text(UNENDED.sub("", page[at:]))
             return tree
         text(page[at : m.start()])
         at = m.end()
@@ -143,7 +151,12 @@ def parse(page: str) -> Tree:
                     break
             node, link = (stack[-1][1], stack[-1][2]) if stack else (0, False)
             continue
-        if tag in ("html", "body"):
+        if tag == "html":
+            continue
+        if tag == "body" or (stack and stack[0][0] == "head" and tag not in IN_HEAD):
+            stack.clear()
+            node, link = 0, False
+        if tag == "body":
             continue
         if tag in ENDS_P or tag in SAME:
             same, stop = SAME.get(tag, ({"p"}, {"table", "td", "th", "button", "object", "article", "section", "div", "blockquote", "li"}))
@@ -168,21 +181,21 @@ def parse(page: str) -> Tree:
         if m[3].endswith("/") and tag not in INLINE and tag not in ENDS_P:
             continue
         if tag in INLINE:
-            inner = tree.add(tag, node, GOES) if _furniture(tag, m[3]) else node
+            inner = tree.add(tag, node, GOES) if _furniture(tag, m[3])[0] else node
             stack.append((tag, inner, link or tag == "a"))
         else:
-            inner = tree.add(tag, node, _furniture(tag, m[3]))
+            inner = tree.add(tag, node, *_furniture(tag, m[3]))
             stack.append((tag, inner, link))
         node, link = stack[-1][1], stack[-1][2]
 
 
 def _spare(tree: Tree, article: list[int]) -> None:
-    """Takes back cuts by name alone of nodes that hold most of the page's text outside links."""
+    """Takes back cuts by name alone of nodes that hold most of the page's text outside links, and of dense paragraphs."""
     n, tag, parent, cut = len(tree.tag), tree.tag, tree.parent, tree.cut
     by_name = [cut[i] != STAYS and tag[i] != "header" and tag[i] not in CUT for i in range(n)]
     if not any(by_name):
         return
-    plain = [c - k for c, k in zip(tree.chars, tree.links)]
+    plain, tags = [c - k for c, k in zip(tree.chars, tree.links)], tree.tags[:]
     declared = [0] * n  # of plain, what article and main elements hold
     for i in range(n - 1, 0, -1):
         p = parent[i]
@@ -191,12 +204,35 @@ def _spare(tree: Tree, article: list[int]) -> None:
         if article[i] == i and cut[i] == STAYS:
             declared[i] = plain[i]
         plain[p] += plain[i]
+        tags[p] += tags[i]
         declared[p] += declared[i]
+    for i in range(1, n):
+        if by_name[i] and tag[i] == "p" and not tree.firm[i] and plain[i] * max(tags[parent[i]], 1) >= plain[parent[i]] * max(tags[i], 1) > 0:
+            cut[i] = STAYS
     for i in range(1, n):
         if by_name[i] and 2 * plain[i] > plain[0] and (article[parent[i]] >= 0 or declared[i] == declared[0]):
             cut[i] = STAYS
 
 
+def _below(tree: Tree, gone: list[bool], mute: list[bool]) -> tuple[list[int], ...]:
+    """Characters, link characters, tags and link tags at and below every node, without those that are gone."""
+    chars, links, tags, link_tags = columns = (tree.chars[:], tree.links[:], tree.tags[:], tree.link_tags[:])
+    for i in range(len(gone)):
+        if mute[i]:
+            chars[i] = links[i] = 0
+    for i in range(len(gone) - 1, 0, -1):
+        if gone[i]:
+            for column in columns:
+                column[i] = 0
+            continue
+        p = tree.parent[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        tags[p] += tags[i]
+        link_tags[p] += link_tags[i]
+    return columns
+
+
 def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
@@ -217,19 +253,14 @@ def main_text(page: str | None) -> str:
         in_header[i] = in_header[parent[i]] or cut[i] == HEADS
         in_heading[i] = in_heading[parent[i]] or tag[i] in HEADINGS
     mute = [a and not b for a, b in zip(in_header, in_heading)]  # of a header inside an article, only headings speak
-    chars, links, tags, link_tags = tree.chars[:], tree.links[:], tree.tags[:], tree.link_tags[:]
-    for i in range(n):
-        if mute[i]:
-            chars[i] = links[i] = 0
-    for i in range(n - 1, 0, -1):
-        if gone[i]:
-            chars[i] = links[i] = tags[i] = link_tags[i] = 0
-            continue
-        p = parent[i]
-        chars[p] += chars[i]
-        links[p] += links[i]
-        tags[p] += tags[i]
-        link_tags[p] += link_tags[i]
+    chars, links, tags, link_tags = _below(tree, gone, mute)
+    menu = [i for i in range(n) if not gone[i] and tag[i] != "p" and link_tags[i] >= MENU and 10 * links[i] >= 9 * chars[i]]
+    if menu and 0 not in menu:
+        for i in menu:
+            gone[i] = True
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[parent[i]]
+        chars, links, tags, link_tags = _below(tree, gone, mute)
     if not chars[0]:
         return ""
     share = links[0] / chars[0]
@@ -250,30 +281,37 @@ def main_text(page: str | None) -> str:
     for i in range(n):
         if not children[i]:
             total[i] = density[i]
-    core = max(range(n), key=lambda i: (total[i] if not gone[i] else -1.0, -i))
-    marked = [False] * n
-    if article[core] >= 0:
-        top = article[core]
-        while article[parent[top]] >= 0:
-            top = article[parent[top]]
-        marked[top] = True
-    else:
-        threshold, i = density[core], core
-        while i > 0:
-            i = parent[i]
-            threshold = min(threshold, density[i])
-        best = list(range(n))  # the node of maximum sum at or below each
-        for i in range(n - 1, 0, -1):
-            if not gone[i] and total[best[i]] > total[best[parent[i]]]:
-                best[parent[i]] = best[i]
-        dense = [False] * n
-        for i in range(n):
-            dense[i] = not gone[i] and density[i] >= threshold and (i == 0 or dense[parent[i]])
-            if dense[i]:
-                marked[best[i]] = True
+    outer = [-1] * n  # the outermost article, or failing that main, around each node, itself included
+    for i in range(1, n):
+        p = outer[parent[i]]
+        outer[i] = p if p >= 0 and (tag[p] == "article" or tag[i] != "article") else i if article[i] == i else p
+    declared = sum(chars[i] - links[i] for i in range(n) if article[i] == i and article[parent[i]] < 0 and not gone[i])
+    hinted = 2 * declared >= max(1, chars[0] - links[0])
+    core = max((i for i in range(n) if article[i] >= 0 or not hinted), key=lambda i: (total[i] if not gone[i] else -1.0, -i))
+    threshold, i = density[core], core
+    while i > 0:
+        i = parent[i]
+        threshold = min(threshold, density[i])
+    best = list(range(n))  # the node of maximum sum at or below each
+    for i in range(n - 1, 0, -1):
+        if not gone[i] and total[best[i]] > total[best[parent[i]]]:
+            best[parent[i]] = best[i]
+    dense, marked, home = [False] * n, {core}, outer[core]
+    for i in range(n):
+        least = threshold * (LOWERED if home >= 0 and outer[i] == home else 1)
+        dense[i] = not gone[i] and density[i] >= least and (i == 0 or dense[parent[i]])
+        if dense[i] and (article[best[i]] >= 0 or not hinted):
+            marked.add(best[i])
+    holds = [i in marked for i in range(n)]
+    held = [int(h) for h in holds]
+    for i in range(n - 1, 0, -1):
+        held[parent[i]] += held[i]
+    root = max((i for i in range(n) if held[i] == len(marked)), default=0)  # document order: the last is the deepest
+    roots = marked if root == 0 and core != 0 else {root}
     inside = [False] * n
     for i in range(n):
-        inside[i] = not gone[i] and (marked[i] or (i > 0 and inside[parent[i]]))
+        before = root > i > 0 and parent[i] == parent[root] and tag[i] in HEADINGS
+        inside[i] = not gone[i] and (i in roots or before or (i > 0 and inside[parent[i]]))
     return " ".join("".join(part if inside[i] and not mute[i] else " " for i, part in tree.pieces).split())
 
 

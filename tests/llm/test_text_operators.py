@@ -250,3 +250,57 @@ LONG = "Words of the page itself, enough of them to be dense, and then some more
 )
 def test_words_in_names_cut_no_text(page, text):
     assert html_text.main_text(page) == text
+
+
+MORE = "Another paragraph of the page, as long as the first one is, or nearly so."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='market-share'><p>{LONG}</p><p>{MORE}</p></div><div class=share>Share</div>", f"{LONG} {MORE}"),
+        (f"<div class='social-science'><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG} {MORE}"),
+        (f"<article><p>{LONG}</p><p class=alert>{MORE}</p><p class=alert>Log in</p><p class=notice>{LONG}</p></article>", f"{LONG} {MORE}"),
+        (f'<head><script>var s="<body class=x>";</script></head><body><p>{LONG}</p></body>', LONG),
+        (f"<html><head><title>t</title><meta x><p>{LONG}</p>", LONG),
+    ],
+)
+def test_names_are_hints(page, text):
+    assert html_text.main_text(page) == text
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i} of the page</a>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div>{LINKS}</div><div><div><h1>Title</h1><p>{LONG}</p><p>{MORE}</p></div></div><div>Small print.</div>", f"Title {LONG} {MORE}"),
+        (f"<main><article><p>{LONG}</p><p>{MORE}</p></article><div class='more-stories'>{LINKS}</div></main>", f"{LONG} {MORE}"),
+        (f"<body><div><div><p>{LONG}</p><p>{MORE}</p></div><div><p>{MORE}</p><p>Ok.</p></div></div><div>{LINKS}</div>", f"{LONG} {MORE} {MORE} Ok."),
+        (f"<body><article><h1>T</h1><p>Yes.</p><div><p>{LONG}</p><p>{MORE}</p><p>See <a href=x>this</a>.</p></div><p>End.</p></article><div><p>{LONG}</p></div>", f"T Yes. {LONG} {MORE} See this. End."),
+        (f"<body><div>{LINKS}</div>", " ".join(f"Link number {i} of the page" for i in range(6))),
+        (f"<div><h1>Title</h1><div><p>{LONG}</p><p>{MORE}</p></div></div><div>x</div>", f"Title {LONG} {MORE}"),
+    ],
+)
+def test_density_chooses(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_without_article_elements(spark):
+    """The text is found without its element: the same for 95 pages of 100 and more."""
+    import html
+
+    same = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|br|h1)>", " ", body))).split())
+        assert html_text.main_text(r.html) == plain
+        same += html_text.main_text(re.sub("<(/?)(?:article|main)>", r"<\1div>", r.html)) == plain
+        total += 1
+    assert same >= 0.95 * total
+
+
+@pytest.mark.parametrize("page, text", [("a <b", "a"), ("a < b", "a < b"), ("<p>a <!-- x", "a"), ("<p>a<", "a<"), ("x <!-- a <b", "x"), ("<p>x</p", "x"), ("<a " * 60_000, "<a " * 59_999)])
+def test_pages_that_break_off(page, text):
+    assert html_text.main_text(page) == " ".join(text.split())
