@@ -3,7 +3,8 @@
 Base spans are three patterns (``assign``, ``access``, ``hex``). On top of them, candidates that look like encoded keys or
 tokens are decoded and parsed, and only those whose structure holds are reported:
 
-- ``pem``: a BEGIN/END block whose body decodes to DER (or to the OpenSSH private key container);
+- ``pem``: a BEGIN line and the next END line of its label, whose body decodes to a DER key or to the OpenSSH private key
+  container; or whose header names a cipher and its start value, and whose body decodes to whole cipher blocks;
 - ``der``: base64 or hex that decodes to a DER private key: PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1, where every nested
   length ends exactly where its parent ends;
 - ``ssh``: base64 of the OpenSSH private key container, whose length-prefixed fields fit;
@@ -41,8 +42,11 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}(?![A-Za-z0-9+/_-])")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-RUN = 24  # shortest unbroken run of candidate characters that can hold anything but an assign or access span
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{16}){1,2})[ \t]*", re.I)
+# The shortest run of candidate characters that can hold more than assign and access spans: a signed token's, whose header is
+# {"alg":""} (14 characters of base64), whose claims are {} (3), and two dots.
+RUN = 19
 _OTHER = bytes(range(256)).translate(
     bytes(c if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-" else 32 for c in range(256))
 )
@@ -134,16 +138,42 @@ def _json_object(segment: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def is_pem_body(body: str) -> bool:
+    """Whether what stands between BEGIN and END is a private key, plain or under a header that says how it is encrypted."""
+    lines = body.splitlines()
+    while lines and not lines[0].strip():
+        del lines[0]
+    header = []
+    if lines and ":" in lines[0]:
+        end = next((i for i, x in enumerate(lines) if not x.strip()), len(lines))
+        header, lines = lines[:end], lines[end:]
+    data = unbase64("".join("".join(lines).split()))
+    if not data:
+        return False
+    if is_der_key(data) or is_ssh_key(data):
+        return True
+    cipher = next((m for x in header if (m := CIPHER.fullmatch(x))), None)
+    return cipher is not None and any("ENCRYPTED" in x for x in header) and len(data) % (len(cipher[1]) // 2) == 0
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of confirmed blocks. An END goes with the last BEGIN of its label since the END before: each is read once."""
+    begins: dict[str, tuple[int, int]] = {}
+    for m in PEM.finditer(text):
+        if m[1] == "BEGIN":
+            begins[m[2]] = m.span()
+        elif m[2] in begins:
+            start, body = begins[m[2]]
+            begins = {}
+            if is_pem_body(text[body : m.start()]):
+                yield start, m.end()
+
+
 def added_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what decoding confirms."""
     out = []
-    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        body = m[2]
-        if "\n\n" in body:  # header fields of an encrypted key
-            body = body.split("\n\n", 1)[1]
-        data = unbase64("".join(body.split()))
-        if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in m[2]):
-            out.append((m.start(), m.end(), "pem"))
+    if "-----BEGIN " in text:
+        out += [(a, b, "pem") for a, b in pem_blocks(text)]
     for m in BLOB.finditer(text):
         data = unbase64(m[0])
         if data and is_der_key(data):

@@ -304,3 +304,39 @@ def test_pages_without_article_elements(spark):
 @pytest.mark.parametrize("page, text", [("a <b", "a"), ("a < b", "a < b"), ("<p>a <!-- x", "a"), ("<p>a<", "a<"), ("x <!-- a <b", "x"), ("<p>x</p", "x"), ("<a " * 60_000, "<a " * 59_999)])
 def test_pages_that_break_off(page, text):
     assert html_text.main_text(page) == " ".join(text.split())
+
+
+def block(label: str, body: str, end: str = "\n") -> str:
+    return f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+
+
+def kinds_in(text: str) -> list[str]:
+    return [s[2] for s in secret_scan.scan(text) if s[2] not in secret_scan.BASE]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_encrypted_blocks_are_confirmed_by_their_header(end):
+    blocks = base64.b64encode(bytes(range(160))).decode()
+    header = f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,{'0A' * 16}{end}{end}"
+    assert kinds_in("x " + block("RSA PRIVATE KEY", header + blocks[:64] + end + blocks[64:], end)) == ["pem"]
+    uneven = base64.b64encode(bytes(range(161))).decode()
+    assert kinds_in(block("RSA PRIVATE KEY", header + uneven, end)) == []
+    assert kinds_in(block("RSA PRIVATE KEY", f"Proc-Type: 4,ENCRYPTED{end}{end}" + blocks, end)) == []
+    assert kinds_in(block("ENCRYPTED PRIVATE KEY", "hello world this is not a key at all")) == []
+    plain = base64.b64encode(keys()["pkcs8"]).decode()
+    assert kinds_in(block("PRIVATE KEY", f"Comment: mine{end}{end}{plain}", end))[0] == "pem"
+
+
+def test_blocks_without_an_end_cost_no_more_than_their_length():
+    good = block("PRIVATE KEY", base64.b64encode(keys()["sec1"]).decode())
+    text = "-----BEGIN RSA PRIVATE KEY-----\nab\n" * 60_000 + "-----BEGIN PRIVATE KEY-----\n" * 3 + good + "-----END RSA PRIVATE KEY-----"
+    found = [s for s in secret_scan.scan(text) if s[2] == "pem"]
+    assert found == [(text.index(good), text.index(good) + len(good), "pem")]
+
+
+@pytest.mark.parametrize("alg", ["", "a", "none", "HS256"])
+def test_short_tokens_are_found(alg):
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x, separators=(",", ":")).encode()).decode().rstrip("=")
+    token = f"{part({'alg': alg})}.{part({})}."
+    assert len(token) >= secret_scan.RUN and kinds_in(token) == kinds_in(f"a {token} b") == ["jwt"]
+    assert secret_scan.added_spans(token) == [(0, len(token), "jwt")]
