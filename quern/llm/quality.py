@@ -7,7 +7,8 @@ classes, r = log((p / |p|) / (q / |q|)); a document's vector is its indicators s
 dual is solved one coordinate at a time; weights are interpolated with their mean magnitude; margins of rows left out of
 the fit give a logistic calibration, corrected to the classes' shares before sampling.
 
-Learned from a bounded sample: about ``SAMPLE`` labelled rows of each class, chosen by a hash of the id, in one task.
+Learned from a bounded sample: about ``SAMPLE`` labelled rows of each class, chosen by a hash of the id, in one task; of
+texts that share an id the least counts.
 
 Defined results: null and empty texts have no features and get the calibrated score of the bias; rows without a label teach
 nothing; of several labels of a document the least counts; with fewer than two classes the score is that class (or 0.5);
@@ -47,7 +48,7 @@ def shape(word: str) -> str:
     upper = word.upper() == word and word.lower() != word
     kind = _DIGIT.sub("0", word)
     kind = _WORD.sub("A" if upper and sum(c.isalpha() for c in word) > 1 else "a", kind)
-    return _TWICE.sub(r"\1", kind)[:12]
+    return _TWICE.sub(r"\1", kind)
 
 
 class Features:
@@ -70,10 +71,12 @@ class Features:
             self.cache = {}
         parts = []
         get, new = self.cache.get, self._new
-        for i in range(0, len(words), PIECE):  # pieces overlap by the length of the longest n-gram
-            found = np.array([get(w) or new(w) for w in words[max(0, i - 2) : i + PIECE]], dtype=np.uint32)
+        for i in range(0, len(words), PIECE):  # pieces overlap by the longest n-gram less one, and the word before that
+            found = np.array([get(w) or new(w) for w in words[max(0, i - 3) : i + PIECE]], dtype=np.uint32)
             w, s = found[:, 0].astype(np.uint64), found[:, 1].astype(np.uint64)
             s[1:][w[1:] == w[:-1]] = REPEAT
+            if i > 2:
+                w, s = w[1:], s[1:]  # only there to tell whether the next word repeats it
             m = np.uint64(0x9E3779B97F4A7C15)
             two = s[:-1] * m + s[1:]
             three = two[:-1] * m + s[2:]
@@ -83,6 +86,31 @@ class Features:
         return np.unique(np.concatenate(parts)).astype(np.int64)
 
 
+def descend(docs: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rows: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias of least |w|^2 / 2 + bias^2 / 2 + sum of cost * hinge loss over ``rows``, by dual coordinate descent.
+
+    A row's vector has ``values`` at the buckets ``docs``, at unit length or empty; the bias is one more feature, of value one.
+    """
+    w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
+    rng = np.random.default_rng(11)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(rows):
+            f, v, yi = docs[i], values[i], int(y[i])
+            gradient = yi * (float(w[f] @ v) + bias) - 1
+            old = alpha[i]
+            square = (1.0 if len(f) else 0.0) + 1.0
+            alpha[i] = min(max(old - gradient / square, 0.0), cost[i])
+            step = (alpha[i] - old) * yi
+            if step:
+                w[f] += step * v
+                bias += step
+                moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    return w, bias
+
+
 def fit(rows: list[tuple[int, np.ndarray]], shares: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """Weights and ratios by bucket, bias, and the slope and offset of the calibration. rows: (label, buckets); shares before sampling."""
     y = np.array([1 if label == 1 else -1 for label, _ in rows])
@@ -100,28 +128,9 @@ def fit(rows: list[tuple[int, np.ndarray]], shares: tuple[float, float]) -> tupl
     docs = [f[ratio[f] != 0] for _, f in rows]
     norms = [float(np.sqrt((ratio[f] ** 2).sum())) or 1.0 for f in docs]
     values = [ratio[f] / n for f, n in zip(docs, norms)]
-    w, bias = np.zeros(BUCKETS), 0.0
-    alpha = np.zeros(len(rows))
-    cost = {1: COST, -1: COST}
     n_pos, n_neg = max(1, int(((y == 1) & ~apart).sum())), max(1, int(((y == -1) & ~apart).sum()))
-    cost[1], cost[-1] = COST * (n_pos + n_neg) / (2 * n_pos), COST * (n_pos + n_neg) / (2 * n_neg)
-    inside = np.flatnonzero(~apart)
-    rng = np.random.default_rng(11)
-    for _ in range(EPOCHS):
-        moved = 0.0
-        for i in rng.permutation(inside):
-            f, v, yi = docs[i], values[i], int(y[i])
-            gradient = yi * (float(w[f] @ v) + bias) - 1
-            old = alpha[i]
-            square = (1.0 if len(f) else 0.0) + 1.0  # unit length, and the bias feature
-            alpha[i] = min(max(old - gradient / square, 0.0), cost[yi])
-            step = (alpha[i] - old) * yi
-            if step:
-                w[f] += step * v
-                bias += step
-                moved = max(moved, abs(step))
-        if moved < 1e-3:
-            break
+    cost = np.where(y == 1, COST * (n_pos + n_neg) / (2 * n_pos), COST * (n_pos + n_neg) / (2 * n_neg))
+    w, bias = descend(docs, values, y, cost, np.flatnonzero(~apart))
     used = ratio != 0
     mean = float(np.abs(w[used]).mean()) if used.any() else 0.0
     w = np.where(used, (1 - BLEND) * mean * np.sign(w) + BLEND * w, 0.0)
@@ -170,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label, n in counts.items():
         keep = keep | ((F.col("label") == label) & (spot < sample / n))
     chosen = known.where(keep)  # 2 x SAMPLE rows, about: small enough to send to every executor
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Features(), []
