@@ -340,3 +340,111 @@ def test_short_tokens_are_found(alg):
     token = f"{part({'alg': alg})}.{part({})}."
     assert len(token) >= secret_scan.RUN and kinds_in(token) == kinds_in(f"a {token} b") == ["jwt"]
     assert secret_scan.added_spans(token) == [(0, len(token), "jwt")]
+
+
+# language and quality against plain restatements
+
+
+def slow_language(rows: list[tuple[str, str]], text: str) -> tuple[str, float]:
+    """The method written out with dictionaries and fractions of counts, one word at a time."""
+    import math
+
+    words: dict[str, list[str]] = {}
+    for lang, t in rows:
+        words.setdefault(lang, []).extend(re.findall(r"[^\W\d_]+", t.lower()))
+    langs = sorted(words)
+    pad = lambda w, n: f"<{w}>" if n > 1 else w
+    counts = {0: {x: {} for x in langs}} | {n: {x: {} for x in langs} for n in (1, 2, 3, 4)}
+    for lang in langs:
+        for w in words[lang]:
+            counts[0][lang][w] = counts[0][lang].get(w, 0) + 1
+        for w, k in counts[0][lang].items():
+            for n in (1, 2, 3, 4):
+                p = pad(w, n)
+                for i in range(len(p) - n + 1):
+                    counts[n][lang][p[i : i + n]] = counts[n][lang].get(p[i : i + n], 0) + min(k, 3)
+
+    def row(n: int, item: str) -> list[float] | None:
+        c = [counts[n][x].get(item, 0) for x in langs]
+        if sum(c) < (2 if n == 0 else 3):
+            return None
+        size = len({k for x in langs for k in counts[n][x]})
+        v = [math.log((k + 0.5) / (sum(counts[n][x].values()) + 0.5 * size)) for k, x in zip(c, langs)]
+        return [a - sum(v) / len(v) for a in v]
+
+    def score(w: str) -> list[float]:
+        if (known := row(0, w)) is not None:
+            return known
+        for n in (4, 3, 2, 1):
+            p = pad(w, n)
+            found = [r for i in range(len(p) - n + 1) if (r := row(n, p[i : i + n])) is not None]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [0.0] * len(langs)
+
+    asked = re.findall(r"[^\W\d_]+", text.lower())
+    total = [sum(c) for c in zip(*map(score, asked))]
+    best = max(range(len(langs)), key=lambda i: (total[i], -i))
+    shares = [math.exp((t - total[best]) / max(1.0, math.sqrt(len(asked)))) for t in total]
+    return langs[best], 1 / sum(shares)
+
+
+def test_language_equals_a_slow_scorer():
+    rng = random.Random(8)
+    letters = {"a": "abcdefg", "b": "efghijk", "c": "aeimoqu"}
+    word = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 5)))
+    rows = [(x, " ".join(word(x) for _ in range(30))) for x in "abc" for _ in range(6)]
+    model = language.fit(rows)
+    for _ in range(60):
+        text = " ".join(word(rng.choice("abc")) for _ in range(rng.randint(1, 12))) + " 12 _ !"
+        got, expected = model.predict(text), slow_language(rows, text)
+        assert got[0] == expected[0] and abs(got[1] - expected[1]) < 1e-4, text
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = [(1, "the cat", "en")] * 500 + [(None, "der hund", "de")] * 500 + [(2, "the dog", "en"), (3, "die katze", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = docs.dropDuplicates()
+    assert {r.lang_pred for r in language.identify(once, language.train(docs, sample=10**6)).collect()} == {"en", "de"}
+    import pickle
+
+    a, b = (pickle.loads(language.train(d, sample=10**6))[1] for d in (docs, once))
+    assert a == b
+
+
+def test_descent_reaches_the_least_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, width = 60, 25
+    dense = (rng.random((n, width)) < 0.3) * rng.normal(size=width)
+    y = np.where(dense[:, 0] - dense[:, 1] + 0.2 * rng.normal(size=n) > 0, 1, -1)
+    docs = [np.flatnonzero(r) for r in dense]
+    norms = [float(np.sqrt((r**2).sum())) or 1.0 for r in dense]
+    values = [r[f] / s for r, f, s in zip(dense, docs, norms)]
+    unit = np.stack([r / s for r, s in zip(dense, norms)])
+    cost = np.where(y == 1, 1.3, 0.8)
+
+    def loss(w, b):
+        return 0.5 * (w @ w + b * b) + float((cost * np.maximum(0, 1 - y * (unit @ w + b))).sum())
+
+    # The dual by projected gradient, from its definition: maximise sum(a) - |sum a y x|^2 / 2 with 0 <= a <= cost.
+    x = np.hstack([unit, np.ones((n, 1))]) * y[:, None]
+    a = np.zeros(n)
+    for _ in range(40_000):
+        a = np.clip(a + 0.01 * (1 - x @ (a @ x)), 0, cost)
+    best = a.sum() - 0.5 * ((a @ x) ** 2).sum()
+    w, b = quality.descend(docs, values, y, cost, np.arange(n), epochs=2000)
+    assert abs(loss(w[:width], b) - best) < 1e-2 * best
+    w, b = quality.descend(docs, values, y, cost, np.arange(n))
+    assert loss(w[:width], b) < 1.05 * best
+
+
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["a", "a", "B1", "c-d", "EE", "x" * 40 + "?", "a1b-c2_d3.e4:f5/x", "a1b-c2_d3.e4:f5/x?y=z"]) for _ in range(400))
+    whole = quality.Features().of(text)
+    for piece in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert (quality.Features().of(text) == whole).all() and len(quality.Features().of(text)) == len(whole)
+    assert quality.shape("a1b-c2_d3.e4:f5/x") != quality.shape("a1b-c2_d3.e4:f5/x?y=z")
