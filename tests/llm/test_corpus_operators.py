@@ -426,6 +426,47 @@ def test_edits_in_one_place_hide_nothing(size):
     assert missed == 0
 
 
+@pytest.mark.parametrize("size", [5, 8, 16, 24, 45, 80, 150, 300, 500])
+def test_the_walk_alone_reaches_its_recall(size):
+    """Edits up to the bound at every place and of every kind, without the pieces: at least 0.9 of each cell."""
+    rng = random.Random(size)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(size))) for i in range(20)]
+    own, most, trials = decontam.Items(items, by_pieces=False), size // 5, 30
+    for place in (0, (size - most) // 2, size - most, "even", "any"):
+        for kind in ("replace", "drop", "insert"):
+            texts, planted = [], []
+            for _ in range(trials):
+                i = rng.randrange(20)
+                w = items[i][1].split()
+                spots = list(range(2, size, 5))[:most] if place == "even" else rng.sample(range(size), most) if place == "any" else range(place, place + most)
+                for s in sorted(spots, reverse=True):
+                    w[s : s + 1] = {"replace": [rng.choice(words)], "drop": [], "insert": [w[s], rng.choice(words)]}[kind]
+                around = [[rng.choice(words) for _ in range(40)] for _ in "ab"]
+                texts.append(" ".join(around[0] + w + around[1]))
+                planted.append(i)
+            caught = sum(p in {x[0] for x in f} for f, p in zip(own.find(texts), planted))
+            assert caught >= 0.9 * trials, (place, kind, caught)
+
+
+def test_query_equals_search_of_every_document(spark, tiny):
+    from quern.llm.queries import QUERIES
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    expected = set()
+    for d, t in docs:
+        text = decontam.tokens(t)
+        number = {w: n for n, w in enumerate(dict.fromkeys(text), 1)}
+        for i, x in items:
+            item = decontam.tokens(x)
+            ids = [number.get(w, -n) for n, w in enumerate(item)]
+            if item and (hit := decontam.search(ids, [number[w] for w in text], len(item) // 5)):
+                expected.add((d, i, hit[0]))
+    found = QUERIES["op10_decontamination"](spark, tiny).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and len(found) == len(expected) > 0
+
+
 def test_matches_carry_spans(spark, monkeypatch):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame([(1, f"é start. {passage.title()}! end"), (2, "one two three"), (3, None), (4, ""), (1, f"é start. {passage.title()}! end"), (None, passage)], DOCS).withColumn("item_id", F.lit("clash"))
@@ -433,8 +474,10 @@ def test_matches_carry_spans(spark, monkeypatch):
     found = decontam.matches(docs, items).collect()
     assert Counter((r.doc_id, r.item_id) for r in found) == Counter({(1, 7): 2, (1, 8): 2, (None, 7): 1, (None, 8): 1})
     assert {f"é start. {passage.title()}! end"[r.start : r.end] for r in found if r.doc_id == 1} == {passage.title()}
-    monkeypatch.setattr(decontam, "ITEM_BLOCK", 1)
-    assert len(decontam.matches(docs, items).collect()) == 6
+    for bound in ("ITEM_BLOCK", "ITEM_CHARS"):
+        with monkeypatch.context() as m:
+            m.setattr(decontam, bound, 1)
+            assert len(decontam.matches(docs, items).collect()) == 6
     assert sorted(r.doc_id for r in decontam.decontaminate(docs, items).collect()) == [2, 3, 4]
     assert decontam.matches(docs, items.limit(0)).count() == 0 and decontam.matches(docs.limit(0), items).count() == 0
 
