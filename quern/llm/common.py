@@ -10,14 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
+    """The folder of ``spark.checkpoint.dir``. Where the setting is absent, one of our own, but on a local master only: on a
+    cluster every executor would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quern-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -27,7 +33,12 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        drop(spark, path)
+        raise
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -36,6 +47,43 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that results of this process read, once those results have been used; how many there were."""
+    left = sorted(_written)
+    for path in left:
+        drop(spark, path)
+    return len(left)
+
+
+class Tables:
+    """Tables of one run of an operator: those that its result doesn't read go at the end of the block, all of them on an error."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str, bool]] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def write(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        """``df`` as a written table; ``keep``: the result reads it."""
+        table_, path = materialise(df, label)
+        self.held.append((table_, path, keep))
+        return table_
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = next(p for d, p, _ in self.held if d is t)
+            self.held = [h for h in self.held if h[0] is not t]
+            drop(self.spark, path)
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        for _, path, keep in self.held:
+            if kind is not None or not keep:
+                drop(self.spark, path)
 
 
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:

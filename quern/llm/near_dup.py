@@ -15,7 +15,8 @@
 Verification is exact on full sets: 100 * intersection >= threshold * union, in whole numbers.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows that share a document id
-count as one document; rows with a null id get the component of their copies (null if none has an id) and are kept only
+count as one document (of several texts of one id, the one of least fingerprint stands for its links, and all of them get its
+component); rows with a null id get the component of their copies (null if none has an id) and are kept only
 where no copy has one; texts of any length are taken whole; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sk
-from .common import drop, materialise, parts, table
+from .common import Tables, parts, table
 
 SMALL = 16  # members of a bucket whose pairs are listed
 BLOCK_ROWS, BLOCK_ITEMS = 1024, 400_000  # representatives and set elements of a block, about
@@ -71,28 +72,31 @@ def bitmap_of(ids: DataFrame, column: str) -> DataFrame:
 
 def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str, into: str) -> DataFrame:
     """``rows`` with a boolean: false only for ids that the bitmap's ids don't hold. The bitmap is broadcast, being bounded."""
-    spotted = rows.withColumn("_s", F.pmod(F.xxhash64(column), F.lit(1 << BITS))).withColumn("_w", F.shiftright("_s", 6))
-    joined = spotted.join(F.broadcast(bitmap), F.col("_w") == F.col("word"), "left")
-    hit = F.expr("(shiftright(mask, cast(_s & 63 as int)) & 1L) = 1")
-    return joined.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(into))
+    spotted = rows.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(column), F.lit(1 << BITS)).alias("spot"))
+    spotted = spotted.withColumn("word", F.shiftright("spot", 6))  # the row's own columns are inside it, so no name clashes
+    joined = spotted.join(F.broadcast(bitmap), "word", "left")
+    hit = F.expr("(shiftright(mask, cast(spot & 63 as int)) & 1L) = 1")
+    return joined.select("row.*", F.coalesce(hit, F.lit(False)).alias(into))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (rid, items) with the sets, as bytes, of the documents whose ids are in ``wanted`` (rid).
+    """Rows (rid, items) with the sets, as bytes, of the documents whose ids and fingerprints are in ``wanted`` (rid, fp).
 
-    The bitmap lets few texts that aren't needed into the join's shuffle.
+    The bitmap lets few texts that aren't needed into the join's shuffle. A repeated row gives its set again.
     """
     read = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
-    read = maybe_in(read, bitmap_of(wanted, "rid"), "rid", "_hit").where("_hit").select("rid", "text").join(wanted, "rid", "left_semi")
+    read = maybe_in(read, bitmap_of(wanted, "rid"), "rid", "hit").where("hit").select("rid", "text").join(wanted, "rid")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = sk.Shingler(size)
         for batch in parts(batches):
-            items = [shingler.of(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["rid", "items"])
+            items = [shingler.of(t.as_py()) for t in batch.column(1)]
+            own = [len(i) > 0 and sk.fingerprint(i) == fp for i, fp in zip(items, batch.column(2).to_pylist())]
+            held = pa.array([i.tobytes() if keep else None for i, keep in zip(items, own)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["rid", "items"]).filter(pa.array(own, pa.bool_()))
 
-    return read.mapInArrow(run, f"rid {kind}, items binary")
+    return read.select("rid", "text", "fp").mapInArrow(run, f"rid {kind}, items binary")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
@@ -134,24 +138,22 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """Rows (rid, root) of every end of a link; root is the least id of the component."""
-    spark, path = links.sparkSession, None
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, path = materialise(edges, "edges")
+    edges = tables.write(edges, "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, least_path = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        least = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, large_path = materialise(large, "large")
-        low, low_path = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = tables.write(large, "large")
+        low = tables.write(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = small.select("e.u", "e.v").where("u <> v").distinct()
-        following, following_path = materialise(small, "edges")
-        for old in (path, least_path, large_path, low_path):
-            drop(spark, old)
-        edges, path = following, following_path
+        following = tables.write(small, "edges")
+        tables.drop(edges, least, large, low)
+        edges = following
         seen = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == before or seen[0] == 0:
             break
@@ -254,33 +256,41 @@ def block_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of every row of ``docs``. See the module."""
-    spark = docs.sparkSession
-    all_, _ = materialise(sketched(docs, size, id_col, text_col), "sketched")
-    copies, _ = materialise(all_.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rid")), "copies")
+    with Tables(docs.sparkSession) as tables:
+        return _near_duplicates(tables, docs, size, threshold, id_col, text_col)
+
+
+def _near_duplicates(tables: Tables, docs: DataFrame, size: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    all_ = tables.write(sketched(docs, size, id_col, text_col), "sketched", keep=True)
+    copies = tables.write(all_.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rid")), "copies")
     owner = all_.where("fp is not null and doc_id is not null").select("doc_id", "fp", "n", "brief", "bands")
-    reps = owner.join(copies.where("rid is not null"), (owner.doc_id == copies.rid) & (owner.fp == copies.fp), "left_semi")
-    reps, _ = materialise(reps.select(F.col("doc_id").alias("rid"), "n", "brief", "bands").dropDuplicates(["rid"]), "reps")
+    first = copies.where("rid is not null").groupBy("rid").agg(F.min("fp").alias("fp"))  # of several texts of one id
+    reps = owner.join(first, (owner.doc_id == first.rid) & (owner.fp == first.fp), "left_semi")
+    reps = tables.write(reps.select(F.col("doc_id").alias("rid"), "fp", "n", "brief", "bands").dropDuplicates(["rid"]), "reps")
     members = reps.select("rid", F.explode("bands").alias("bucket"))
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    counts, _ = materialise(counts, "buckets")
-    members, _ = materialise(members.join(counts, "bucket"), "members")
-    wanted, _ = materialise(members.groupBy("rid").agg(F.sum("held").alias("weight")), "wanted")
-    sets, _ = materialise(sets_of(docs, wanted.select("rid"), size, id_col, text_col), "sets")
+    counts = tables.write(counts, "buckets")
+    members = tables.write(members.join(counts, "bucket"), "members")
+    wanted = tables.write(members.groupBy("rid").agg(F.sum("held").alias("weight")), "wanted")
+    named = reps.select("rid", "fp").join(wanted.select("rid"), "rid", "left_semi")
+    sets = tables.write(sets_of(docs, named, size, id_col, text_col), "sets")
+    if not sets.groupBy("rid").count().where("count > 1").isEmpty():  # rows of one id and text: one set each
+        sets = tables.write(sets.groupBy("rid").agg(F.min("items").alias("items")), "sets")
     few = reps.join(wanted.select("rid"), "rid", "left_semi").select("rid", "n", "brief")
-    few, _ = materialise(few, "few")
+    few = tables.write(few, "few")
 
     lead = members.join(wanted, "rid").groupBy("bucket").agg(F.max(F.struct("weight", "rid")).alias("m"))
-    lead, _ = materialise(lead.select("bucket", F.col("m.rid").alias("b")), "leaders")
+    lead = tables.write(lead.select("bucket", F.col("m.rid").alias("b")), "leaders")
     star = members.join(lead, "bucket").where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
-    links, _ = materialise(verify(likely(star, few, threshold), sets, threshold), "links")
-    roots, _ = materialise(components(links), "roots")
+    links = tables.write(verify(likely(star, few, threshold), sets, threshold), "links")
+    roots = tables.write(components(links, tables), "roots")
 
     rooted = members.join(roots, "rid", "left").select("bucket", "held", "rid", F.coalesce("root", "rid").alias("root"))
-    rooted, _ = materialise(rooted, "rooted")
+    rooted = tables.write(rooted, "rooted")
     open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_, _ = materialise(open_.select("bucket"), "open")
+    open_ = tables.write(open_.select("bucket"), "open")
     left = rooted.join(open_, "bucket")
-    left, _ = materialise(left, "left")
+    left = tables.write(left, "left")
     small = left.where(f"held <= {SMALL}")
     pairs = small.select("bucket", F.col("rid").alias("a"), F.col("root").alias("ra")).join(
         small.select("bucket", F.col("rid").alias("b"), F.col("root").alias("rb")), "bucket"
@@ -290,13 +300,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, id_col:
     large = left.where(f"held > {SMALL}").join(few.select("rid", "n"), "rid")
     cells = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_ITEMS), F.lit(1)).alias("blocks")
-    cells, _ = materialise(cells.select("bucket", blocks), "cells")
+    cells = tables.write(cells.select("bucket", blocks), "cells")
     found = found.unionByName(block_links(large.join(cells, "bucket").select("bucket", "rid", "root", "blocks"), sets, threshold))
     every = links.unionByName(found)
-    roots, _ = materialise(components(every), "roots")
+    roots = tables.write(components(every, tables), "roots")
 
     home = copies.join(roots, "rid", "left").select("fp", "rid", F.coalesce("root", "rid").alias("root"))
-    home, _ = materialise(home, "home")
+    home = tables.write(home, "home", keep=True)
     done = all_.select("doc_id", "n", "fp").join(home, "fp", "left")
     component = F.coalesce("root", "doc_id")
     return done.select(

@@ -259,6 +259,39 @@ def test_repeated_and_missing_ids(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_an_id_with_several_texts(spark):
+    a, b = "a b c d e f g h i j k l m n o p", "one two three four five six seven eight nine ten"
+    rows = [(1, a), (1, b), (2, a + " q"), (3, b + " x"), *[(4, a + " r")] * 40, (5, None), (5, "z y x w v")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1, 12] == got[1, 6] == 1 and got[2, 13] == got[4, 13] and got[5, 0] == got[5, 1] == 5
+    assert (got[2, 13] == 1) != (got[3, 7] == 1)  # one of the two texts stands for the links
+
+
+def test_names_inside_do_not_clash(spark):
+    names = ["row", "spot", "word", "mask", "hit", "kept", "rid", "own"]
+    df = spark.createDataFrame([(i, f"t{i}", *range(8)) for i in range(20)], f"{DOCS}, " + ", ".join(f"{n} int" for n in names))
+    ids = df.where("doc_id % 3 = 0").select("doc_id")
+    out = near_dup.maybe_in(df, near_dup.bitmap_of(ids, "doc_id"), "doc_id", "found")
+    assert out.columns == [*df.columns, "found"] and {r.doc_id for r in out.where("found").collect()} >= set(range(0, 20, 3)) and out.where("found").count() < 20
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    from pathlib import Path
+
+    from quern.llm import common
+
+    common.clear(spark)
+    folder = Path(common.shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = near_dup.near_duplicates(spark.createDataFrame(corpus(3, 60), DOCS))
+    assert len(set(folder.iterdir()) - before) == 2 and found.count() == 66
+    assert common.clear(spark) == 2 and set(folder.iterdir()) == before
+    with pytest.raises(RuntimeError), common.Tables(spark) as tables:
+        tables.write(spark.range(3), "x", keep=True)
+        raise RuntimeError
+    assert set(folder.iterdir()) == before
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8):
