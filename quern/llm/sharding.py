@@ -15,8 +15,16 @@ of keys larger than a shard, and shards below it take them: counts differ by one
 counts, running totals and a row number inside each cell of a few thousand rows, so no task ever sorts a whole shard or a whole key. Per-key tables are written
 before they are joined, which leaves both sides of each join to adaptive execution, and that splits hot keys.
 
+``shard_linked`` takes any links between documents in place of equal texts. A round counts each linked document's neighbours
+by shard and moves those that have more of them elsewhere than here, under the same quotas with a slack of an eighth that
+falls to none; a hash lets one half of them move in a round, another in the next, so that two neighbours don't change places
+for ever. Rounds go on until none moves or the cut has not fallen for ``PATIENCE`` rounds; the labels of the least cut are
+then balanced as above.
+
 Defined results: a null text is empty (size 1, CRC 0) and shares a key with the empty text; null document ids and
-repeated rows are kept as rows of their own; other columns are ignored; an empty table gives an empty table.
+repeated rows are kept as rows of their own; other columns are ignored; an empty table gives an empty table. Links with a null
+end, of a document to itself or to an id that isn't there count for nothing; repeated links count once; rows that share an id
+are one end of their links.
 """
 
 from __future__ import annotations
@@ -24,10 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, table
+from .common import Tables, table
 
 CELLS = 256  # cells in which room is dealt
 CELL_ROWS = 4000  # rows aimed at in a ranking cell
+PATIENCE = 6
 
 
 def _bucket(n: int, *cols: str) -> Column:
@@ -56,10 +65,21 @@ def _granted(flows: dict[tuple[int, int, int], int], loads: list[int], most: lis
     return set(units), loads
 
 
-def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int) -> tuple[DataFrame, str]:
+def _grants(units: set[tuple[int, int]], shards: int) -> Column:
+    """Whether a mover (best, cell) may move."""
+    bits = F.lit("".join("1" if (s, c) in units else "0" for s in range(shards) for c in range(CELLS)))
+    return F.substring(bits, F.col("best") * CELLS + F.col("cell") + 1, F.lit(1)) == "1"
+
+
+def _flows(voted: DataFrame) -> dict[tuple[int, int, int], int]:
+    """Movers by (from, to, cell): shards x shards x CELLS numbers at most."""
+    demand = voted.where("best <> shard").groupBy("shard", "best", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return {(r["shard"], r["best"], r["cell"]): r["n"] for r in demand.collect()}
+
+
+def propagate(tables: Tables, linked: DataFrame, loads: list[int], capacity: int, shards: int) -> DataFrame:
     """Rows of ``linked`` (key, held: documents of the key, shard, ...) with the shards that the rounds give them."""
-    spark = linked.sparkSession
-    current, path = materialise(linked, "linked")
+    current = tables.write(linked, "linked", keep=True)
     large = max(1, capacity // 64)
     closed: list[int] = []
     fewest, idle, turn, slack = None, 0, 0, 0  # keys in parts, at the least, and rounds in which they did not become fewer
@@ -72,33 +92,61 @@ def propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int) -
         others = [s for s in range(shards) if s not in closed]
         refuge = _pick(others, f"pmod(xxhash64(key, {turn}), {len(others)})") if closed and others else F.col("m.shard")
         best = best.select("key", F.when(F.col("m.rank.open") == 0, refuge).otherwise(F.col("m.shard")).alias("best"), "m.split")
-        best, best_path = materialise(best, "best")
+        best = tables.write(best, "best")
         split = best.where("split").count()
         if split and (fewest is None or split < fewest):
             fewest, idle = split, 0
         else:
             idle, slack = idle + 1, large
         if not split or idle == 3:
-            drop(spark, best_path)
-            return current, path
-        voted = current.join(best.drop("split"), "key").withColumn(
-            "cell",
-            F.when(F.col("held") > large, F.pmod(F.xxhash64("doc_id", "key", F.lit(turn)), F.lit(CELLS))).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(CELLS))).cast("int"),
-        )
-        voted, voted_path = materialise(voted, "voted")
-        drop(spark, best_path)
-        demand = voted.where("best <> shard").groupBy("shard", "best", "cell").agg(F.count(F.lit(1)).alias("n"))
-        flows = {(r["shard"], r["best"], r["cell"]): r["n"] for r in demand.collect()}  # shards x shards x CELLS rows at most
+            return current
+        spot = F.when(F.col("held") > large, F.xxhash64("doc_id", "key", "salt", F.lit(turn))).otherwise(F.xxhash64("key", F.lit(turn)))
+        voted = current.join(best.drop("split"), "key").withColumn("cell", F.pmod(spot, F.lit(CELLS)).cast("int"))
+        voted = tables.write(voted, "voted")
+        flows = _flows(voted)
         units, after = _granted(flows, loads, [max(load, capacity + slack) for load in loads])
         loads[:] = after
         closed = sorted({t for _, t, c in flows if (t, c) not in units})
-        grants = F.lit("".join("1" if (s, c) in units else "0" for s in range(shards) for c in range(CELLS)))
-        may = F.substring(grants, F.col("best") * CELLS + F.col("cell") + 1, F.lit(1)) == "1"
-        following = voted.withColumn("shard", F.when(may, F.col("best")).otherwise(F.col("shard"))).drop("best", "cell")
-        following, following_path = materialise(following.select(*linked.columns), "linked")
-        drop(spark, path)
-        drop(spark, voted_path)
-        current, path, turn = following, following_path, turn + 1
+        following = voted.withColumn("shard", F.when(_grants(units, shards), F.col("best")).otherwise(F.col("shard")))
+        following = tables.write(following.select(*linked.columns), "linked", keep=True)
+        tables.drop(best, voted, current)
+        current, turn = following, turn + 1
+
+
+def propagate_links(tables: Tables, labels: DataFrame, edges: DataFrame, loads: list[int], capacity: int, shards: int) -> DataFrame:
+    """labels (doc_id, rows, shard) after the rounds. edges: (a, b), each link both ways; loads are kept up to date."""
+    current = tables.write(labels, "labels")
+    least, kept, kept_loads, idle, still, turn = None, current, loads[:], 0, 0, 0
+    while True:
+        by_shard = edges.join(current.select(F.col("doc_id").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count(F.lit(1)).alias("n"))
+        held = F.collect_list(F.struct("n", F.col("shard").alias("s"))).alias("held")  # a row a shard at most
+        voted = by_shard.groupBy(F.col("a").alias("doc_id")).agg(held).join(current, "doc_id")
+        here = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + F.when(x["s"] == F.col("shard"), x["n"]).otherwise(0))
+        all_ = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+        awake = F.pmod(F.xxhash64(F.lit(turn), "doc_id"), F.lit(2)) == 0
+        best = F.when(awake, F.coalesce(F.array_max(F.filter("held", lambda x: x["n"] > here))["s"], F.col("shard"))).otherwise(F.col("shard"))
+        cell = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CELLS)).cast("int")
+        voted = tables.write(voted.select("doc_id", "rows", "shard", best.alias("best"), cell.alias("cell"), (all_ - here).alias("away")), "voted")
+        cut = voted.agg(F.coalesce(F.sum("away"), F.lit(0))).first()[0] // 2
+        if least is None or cut < least:
+            if kept is not current:
+                tables.drop(kept)
+            least, kept, kept_loads, idle = cut, current, loads[:], 0
+        else:
+            idle += 1
+        flows = {}
+        for r in voted.where("best <> shard").groupBy("shard", "best", "cell").agg(F.sum("rows").alias("n")).collect():
+            flows[r["shard"], r["best"], r["cell"]] = r["n"]
+        still = 0 if flows else still + 1
+        if still == 3 or idle == PATIENCE:
+            loads[:] = kept_loads
+            return kept
+        slack = capacity // 8 >> turn // 4
+        units, loads[:] = _granted(flows, loads, [max(load, capacity + slack) for load in loads])
+        moved = voted.select("doc_id", "rows", F.when(_grants(units, shards), F.col("best")).otherwise(F.col("shard")).alias("shard"))
+        following = tables.write(moved, "labels")
+        tables.drop(voted, *([current] if current is not kept else []))
+        current, turn = following, turn + 1
 
 
 def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
@@ -114,7 +162,7 @@ def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
         {
             "multi": F.when(F.col("held") == 1, 0).when(F.col("held") > n // shards, 1).otherwise(2),  # what goes first costs least
             "kb": _bucket(spread, "key"),
-            "sub": F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("held") / CELL_ROWS).cast("long"))).cast("int"),
+            "sub": F.pmod(F.xxhash64("doc_id", "salt"), F.greatest(F.lit(1), (F.col("held") / CELL_ROWS).cast("long"))).cast("int"),
         }
     )
     cell = ["shard", "multi", "kb", "sub"]
@@ -136,32 +184,79 @@ def balance_rows(docs: DataFrame, loads: list[int], shards: int) -> DataFrame:
             "slot": F.when(gives, place).otherwise(F.col("rank") - _pick(over, "shard")).cast("long"),
             "shard": F.when(gives, target).otherwise(F.col("shard")).cast("int"),
         }
-    ).drop("multi", "kb", "sub", "inside", "first", "rank")
+    ).drop("multi", "kb", "sub", "inside", "first", "rank", "salt")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot of every row of ``docs`` (doc_id, text). See the module.
-
-    Only linked documents count against the quota while labels move: unlinked ones can make room later at no cost.
-    """
+def _nodes(docs: DataFrame, key: Column, shards: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    nodes = docs.select(
+    return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"),
+        key.alias("key"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int").alias("salt"),  # deals repeated rows to cells
     ).withColumn("shard", _bucket(shards, "doc_id", "key"))
-    nodes, _ = materialise(nodes, "nodes")
-    # Written out, so that the join below shuffles both sides anew and adaptive execution can split a hot key.
-    held, _ = materialise(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
-    marked, _ = materialise(nodes.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(1))), "marked")
+
+
+def _loads(marked: DataFrame, shards: int) -> tuple[list[int], list[int]]:
+    """Rows by shard: unlinked, linked."""
     single, multi = [0] * shards, [0] * shards
     for r in marked.groupBy("shard", (F.col("held") > 1).alias("linked")).agg(F.count(F.lit(1)).alias("n")).collect():
         (multi if r["linked"] else single)[r["shard"]] = r["n"]
-    capacity = (sum(single) + sum(multi)) // shards
-    linked, _ = propagate(marked.where("held > 1"), multi, capacity, shards)  # keeps multi up to date
-    loads = [a + b for a, b in zip(single, multi)]
-    return balance_rows(marked.where("held = 1").unionByName(linked.select(*marked.columns)), loads, shards)
+    return single, multi
+
+
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """doc_id, size, text_crc32, key, shard, slot of every row of ``docs`` (doc_id, text). See the module.
+
+    Only linked documents count against the quota while labels move: unlinked ones can make room later at no cost.
+    """
+    with Tables(docs.sparkSession) as tables:
+        digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+        nodes = tables.write(_nodes(docs, digest, shards), "nodes")
+        # Written out, so that the join below shuffles both sides anew and adaptive execution can split a hot key.
+        held = tables.write(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
+        marked = tables.write(nodes.join(held, "key", "left").withColumn("held", F.coalesce("held", F.lit(1))), "marked", keep=True)
+        single, multi = _loads(marked, shards)
+        capacity = (sum(single) + sum(multi)) // shards
+        linked = propagate(tables, marked.where("held > 1"), multi, capacity, shards)  # keeps multi up to date
+        loads = [a + b for a, b in zip(single, multi)]
+        return balance_rows(marked.where("held = 1").unionByName(linked.select(*marked.columns)), loads, shards)
+
+
+def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row (links, cut): the links (a, b) between rows of ``placed`` (doc_id, shard), and those whose ends are in different shards."""
+    ends = placed.groupBy("doc_id").agg(F.min("shard").alias("lo"), F.max("shard").alias("hi"))
+    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(ends.toDF("a", "alo", "ahi"), "a").join(ends.toDF("b", "blo", "bhi"), "b")
+    cut = (F.col("alo") != F.col("blo")) | (F.col("ahi") != F.col("bhi")) | (F.col("alo") != F.col("ahi"))
+    return both.agg(F.count(F.lit(1)).alias("links"), F.count_if(cut).alias("cut"))
+
+
+def shard_linked(docs: DataFrame, links: DataFrame, shards: int = 8) -> tuple[DataFrame, dict[str, int]]:
+    """The same columns as ``shard_documents`` for any links (a, b) between doc_ids, and {links, cut_before, cut_after}: how many
+    links join different shards under a hash of the id, and in the result."""
+    with Tables(docs.sparkSession) as tables:
+        nodes = _nodes(docs, F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), shards)
+        nodes = tables.write(nodes.withColumn("shard", _bucket(shards, "doc_id")), "nodes")
+        ids = tables.write(nodes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("shard").alias("shard")), "ids")
+        pairs = links.where("a <> b").select("a", "b")
+        edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        for end in ("a", "b"):
+            edges = edges.join(ids.select(F.col("doc_id").alias(end)), end, "left_semi")
+        edges = tables.write(edges, "edges")
+        labels = tables.write(ids.join(edges.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"), "linked")
+        _, multi = _loads(nodes.join(labels.select("doc_id"), "doc_id").withColumn("held", F.lit(2)), shards)
+        capacity = nodes.count() // shards
+        moved = propagate_links(tables, labels, edges, multi, capacity, shards).select("doc_id", F.col("shard").alias("moved"))
+        marked = nodes.join(moved, "doc_id", "left").withColumns(
+            {"held": F.when(F.col("moved").isNull(), 1).otherwise(2), "shard": F.coalesce("moved", "shard")}
+        )
+        marked = tables.write(marked.drop("moved"), "marked", keep=True)
+        single, multi = _loads(marked, shards)
+        placed = tables.write(balance_rows(marked, [a + b for a, b in zip(single, multi)], shards), "placed", keep=True)
+        before, after = cut_links(edges, nodes).first(), cut_links(edges, placed).first()
+        return placed, {"links": before["links"], "cut_before": before["cut"], "cut_after": after["cut"]}
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

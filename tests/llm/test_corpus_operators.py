@@ -52,6 +52,52 @@ def test_hardly_any_copy_is_parted(spark, pairs, hot, groups):
     assert sum(len(s) > 1 for k, s in by_key.items()) <= 16
 
 
+def test_repeated_rows_are_dealt_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    rows = [(1, "hot")] * 900 + [(i, f"t{i}") for i in range(700)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, DOCS)).collect()
+    counts = Counter(r.shard for r in out)
+    assert max(counts.values()) - min(counts.values()) <= 1 and all(sorted(r.slot for r in out if r.shard == s) == list(range(counts[s])) for s in counts)
+
+
+def plain_cut(links: list[tuple], shard: dict) -> int:
+    return sum(shard[a] != shard[b] for a, b in {(min(x), max(x)) for x in links if None not in x and x[0] != x[1] and set(x) <= set(shard)})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_of_communities_are_kept(spark, seed):
+    rng = random.Random(seed)
+    ids = list(range(960))
+    home = {i: i % 48 for i in ids}  # 48 groups of 20, six to a shard if none is parted
+    groups = {g: [i for i in ids if home[i] == g] for g in range(48)}
+    links = [tuple(rng.sample(groups[g], 2)) for g in groups for _ in range(60)] + [tuple(rng.sample(ids, 2)) for _ in range(60)]
+    links += [(1, 1), (None, 2), (3, 99_999)] + links[:50]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], DOCS)
+    placed, report = sharding.shard_linked(docs, spark.createDataFrame(links, "a long, b long"))
+    rows = placed.collect()
+    shard, counts = {r.doc_id: r.shard for r in rows}, Counter(r.shard for r in rows)
+    assert len(rows) == 960 and set(counts.values()) == {120}
+    for s in counts:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(120))
+    assert report["cut_after"] == plain_cut(links, shard) and report["cut_after"] < 0.5 * report["cut_before"]
+
+
+def test_small_graphs_reach_the_least_cut(spark):
+    """Two shards, eight documents, against every balanced assignment."""
+    from itertools import combinations
+
+    graphs = [[(0, 1), (1, 2), (2, 3), (4, 5), (5, 6), (6, 7)], [(0, 4), (4, 1), (1, 5), (0, 5), (2, 6), (6, 3), (3, 7), (2, 7)], [(0, 7)], []]
+    total = least = 0
+    for links in graphs:
+        docs = spark.createDataFrame([(i, f"t{i}") for i in range(8)], DOCS)
+        placed, report = sharding.shard_linked(docs, spark.createDataFrame(links, "a long, b long"), shards=2)
+        shard = {r.doc_id: r.shard for r in placed.collect()}
+        assert Counter(shard.values()) == {0: 4, 1: 4} and report["cut_after"] == plain_cut(links, shard) <= report["cut_before"]
+        total += report["cut_after"]
+        least += min(plain_cut(links, {i: int(i in half) for i in range(8)}) for half in combinations(range(8), 4))
+    assert total <= least + 3
+
+
 def test_few_documents(spark):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
     out = sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], DOCS)).collect()
