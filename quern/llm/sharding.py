@@ -141,7 +141,7 @@ def propagate_links(tables: Tables, labels: DataFrame, edges: DataFrame, loads:
         if still == 3 or idle == PATIENCE:
             loads[:] = kept_loads
             return kept
-        slack = capacity // 8 >> turn // 4
+        slack = max(2, capacity // 8) >> turn // 4
         units, loads[:] = _granted(flows, loads, [max(load, capacity + slack) for load in loads])
         moved = voted.select("doc_id", "rows", F.when(_grants(units, shards), F.col("best")).otherwise(F.col("shard")).alias("shard"))
         following = tables.write(moved, "labels")
