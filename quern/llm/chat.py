@@ -1,9 +1,13 @@
 """Chat formatting: schema fingerprints pick declarative mappings to canonical turns.
 
-Every record is described by the sorted list of the known nested field paths it holds; the SHA-256 of that list is
-its *fingerprint*. A mapping is registered under the fingerprint of the paths it needs and is a plain SQL expression
-that yields ``array<struct<role,text>>``. Tables that hold a turn a row are fingerprinted by their columns. All of it is
-DataFrame expressions: no Python runs on the executors.
+Every record is described by the sorted list of the known nested field paths it holds (a field may be null); the SHA-256 of
+that list is its *fingerprint*. A mapping is registered under the fingerprint of the paths it needs and is a plain SQL
+expression that yields ``array<struct<role,text>>``. A mapping fits a record if the record's paths, narrowed to those the
+mapping knows, have the mapping's fingerprint; of those that fit, the one with most paths is taken, then that with most
+values, then the first. Tables that hold a turn a row are fingerprinted by their columns. All of it is DataFrame expressions:
+no Python runs on the executors.
+
+A message's content may be a list of parts: the texts of its parts are joined, and a part without text stays as its JSON.
 
 Template, per turn: ``<s>[ROLE]`` role ``[/ROLE]`` text ``</s>``. Control strings are ``<s>``, ``</s>`` and any
 bracketed upper-case tag such as ``[INST]``. Inside texts and roles the mark U+241B is written as mark + ``0`` and
@@ -11,7 +15,8 @@ the first character of a control string is followed by mark + ``1``; ``unescape`
 
 Defined results: null text or role is an empty string; a null turn number sorts first; equal turn numbers sort by role,
 then text, and repeated rows stay; a null conversation id is a conversation of its own; other columns are ignored; a
-record whose fingerprint is unknown has layout ``unknown`` and no turns; an empty table gives an empty table.
+record that no mapping fits has layout ``unknown`` and no turns, and ``unknown_records`` returns it; an empty table gives an
+empty table.
 A conversation's formatted text is one value, so one task holds one conversation (never more than that).
 """
 
@@ -36,12 +41,20 @@ class Layout:
     turns: str  # SQL over the variant column v
 
 
+def _text(m: str, path: str) -> str:
+    """SQL of a text or of a list of parts."""
+    part = "coalesce(try_variant_get(p, '$.text', 'string'), cast(p as string))"
+    parts = f"array_join(transform(try_variant_get({m}, '{path}', 'array<variant>'), p -> {part}), '')"
+    kind = f"schema_of_variant(try_variant_get({m}, '{path}', 'variant'))"
+    return f"case when startswith({kind}, 'ARRAY') then {parts} else try_variant_get({m}, '{path}', 'string') end"
+
+
 def _list(path: str, role: str, text: str) -> str:
     known = ", ".join(f"'{a}', '{b}'" for a, b in ROLES.items())
     kind = f"try_variant_get(m, '$.{role}', 'string')"
     return (
         f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', "
-        f"coalesce(element_at(map({known}), {kind}), {kind}), 'text', try_variant_get(m, '$.{text}', 'string')))"
+        f"coalesce(element_at(map({known}), {kind}), {kind}), 'text', {_text('m', '$.' + text)}))"
     )
 
 
@@ -78,20 +91,35 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def _described(df: DataFrame, conv_id: str, record: str) -> DataFrame:
+    """conv_id, record, v, fingerprint, layout (null: unknown)."""
+    v = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), F.try_parse_json(F.col(record)).alias("v"))
+    there = lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'variant')").isNotNull()
+    filled = lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'string')").isNotNull()
+    v = v.withColumn("held", F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in KNOWN_PATHS])))
+    v = v.withColumn("fingerprint", F.sha2(F.array_join("held", "\n"), 256))
+    fits = []
+    for i, x in enumerate(LAYOUTS):
+        narrowed = F.array_intersect("held", F.array(*[F.lit(p) for p in x.paths]))
+        values = sum((filled(p).cast("int") for p in x.paths), F.lit(0))
+        rank = F.struct(F.lit(len(x.paths)).alias("paths"), values.alias("values"), F.lit(-i).alias("order"), F.lit(x.name).alias("layout"))
+        fits.append(F.when(F.sha2(F.array_join(narrowed, "\n"), 256) == fingerprint(x.paths), rank))
+    return v.select("conv_id", "record", "v", "fingerprint", F.array_max(F.array_compact(F.array(*fits)))["layout"].alias("layout"))
+
+
 def record_turns(df: DataFrame, conv_id: str, record: str) -> DataFrame:
     """Rows (conv_id, turn, role, text) of JSON records of any registered layout, with ``layout`` and ``fingerprint``."""
-    v = df.select(F.col(conv_id).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
-    held = F.array_compact(
-        F.array(*[F.when(F.expr(f"try_variant_get(v, '$.{p}', 'string')").isNotNull(), F.lit(p)) for p in KNOWN_PATHS])
-    )
-    v = v.withColumn("fingerprint", F.sha2(F.array_join(held, "\n"), 256))
-    layout, turns = F.lit("unknown"), F.expr("cast(array() as array<struct<role:string,text:string>>)")
+    turns = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     for x in LAYOUTS:
-        same = F.col("fingerprint") == fingerprint(x.paths)
-        layout, turns = F.when(same, F.lit(x.name)).otherwise(layout), F.when(same, F.expr(x.turns)).otherwise(turns)
-    return v.select("conv_id", "fingerprint", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "m")).select(
-        "conv_id", F.col("turn").cast("long"), "m.role", "m.text", "layout", "fingerprint"
-    )
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns)).otherwise(turns)
+    named = _described(df, conv_id, record)
+    rows = named.select("conv_id", "fingerprint", F.coalesce("layout", F.lit("unknown")).alias("layout"), F.posexplode_outer(turns).alias("turn", "m"))
+    return rows.select("conv_id", F.col("turn").cast("long"), "m.role", "m.text", "layout", "fingerprint")
+
+
+def unknown_records(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
+    """Rows (conv_id, record, fingerprint) of the records that no mapping fits."""
+    return _described(df, conv_id, record).where("layout is null").select("conv_id", "record", "fingerprint")
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id", record: str | None = None) -> DataFrame:

@@ -59,6 +59,30 @@ def test_chat_layouts(spark):
     assert {r.layout for r in chat.record_turns(df.where("conv_id > 7"), "conv_id", "record").collect()} == {"unknown"}
 
 
+def test_chat_takes_the_most_specific_mapping_that_fits(spark):
+    part = lambda t: {"type": "text", "text": t}
+    records = [
+        ({"prompt": "a", "response": "b", "completion": "c"}, [("user", "a"), ("assistant", "b")]),
+        ({"prompt": "a", "response": None, "completion": "c"}, [("user", "a"), ("assistant", "c")]),
+        ({"question": "a", "answer": "b", "input": "x"}, [("user", "a"), ("assistant", "b")]),
+        ({"instruction": "i", "input": "x", "output": "o", "prompt": "p"}, [("user", "i\n\nx"), ("assistant", "o")]),
+        ({"instruction": "i", "input": None, "output": "o"}, [("user", "i"), ("assistant", "o")]),
+        ({"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "b"}]}, [("user", None), ("assistant", "b")]),
+        ({"messages": [{"role": "user", "content": [part("a"), "b", {"type": "image", "url": "u"}, part("c")]}, {"role": "model", "content": []}]}, [("user", 'ab{"type":"image","url":"u"}c'), ("assistant", "")]),
+        ({"prompt": "a", "response": None}, [("user", "a"), ("assistant", None)]),
+    ]
+    odd = [{"messages": []}, {"prompt": "a"}, [1], "text"]
+    rows = [(i, json.dumps(r)) for i, r in enumerate([r for r, _ in records] + odd)] + [(50, "{"), (51, None), (51, None)]
+    df = spark.createDataFrame(rows, "conv_id long, record string").withColumns({c: F.lit("clash") for c in ("v", "held", "layout", "fingerprint")})
+    turns = {}
+    for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert turns == {i: t for i, (_, t) in enumerate(records)}
+    lost = chat.unknown_records(df).collect()
+    assert sorted((r.conv_id, r.record or "") for r in lost) == sorted((i, r or "") for i, r in rows if i >= len(records))
+    assert all(len(r.fingerprint) == 64 for r in lost) and chat.unknown_records(df.limit(0)).count() == 0
+
+
 # language
 
 
