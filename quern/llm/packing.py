@@ -6,7 +6,8 @@ histogram of lengths (``capacity`` numbers at most, whatever the corpus): *kinds
 the number of bins of that kind. Best fit decreasing fills kinds as it would fill single bins. The local search then looks
 at pairs of underfull kinds and applies the exchange (move one, one for one, two for one) that raises the squared fill
 most, to as many bins as both kinds have, until no pair improves; bins that become empty go. The squared fill rises with every
-exchange, so the search ends by itself; there is no limit on its steps.
+exchange, so the search ends by itself; there is no limit on its steps. It ends before only where the bins are as few as any
+packing's (``least_bins``), since no exchange can empty another.
 
 Every (kind, length) covers a range of ranks in its length class. A piece's rank comes from cell counts, running totals and
 a row number inside cells of a few thousand rows, so a length that a third of all pieces share is no hot group.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, table
+from .common import Tables, parts, table
 
 CAPACITY, END_ID = 2048, 0
 CELL_ROWS = 4000
@@ -46,7 +47,8 @@ class Encoder:
     """Ids of a byte-level BPE vocabulary file.
 
     The file's vocabulary is run by an engine that is several times faster than the file's own library; its ids are the
-    same, which ``check`` confirms. Texts that spell a special token go through the library itself.
+    same, which ``check`` confirms on texts of every slice. Texts that spell a special token go through the library itself, and
+    so does every text if the file asks for more than byte-level pairs split by the usual pattern.
     """
 
     def __init__(self, path: str):
@@ -57,6 +59,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        self.fast = None
+        if not plain or spec.get("normalizer") or model.get("type") != "BPE" or any(model.get(k) for k in odd):
+            return
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -67,13 +75,17 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
-    def check(self, text: str) -> None:
-        if self.own.encode(text, add_special_tokens=False).ids != self.ids(text).tolist():
-            raise RuntimeError("the two engines differ on a text")
+    def check(self, texts: list[str | None]) -> None:
+        """Compares the engines on the shortest text and on the one that a hash picks, whatever its length."""
+        held = [t for t in texts if t]
+        if held and self.fast is not None:
+            for t in {min(held, key=len), min(held, key=lambda t: zlib.crc32(t[:4096].encode("utf-8", "surrogatepass")))}:
+                if self.own.encode(t, add_special_tokens=False).ids != self.ids(t).tolist():
+                    raise RuntimeError("the two engines differ on a text")
 
 
 @cache
@@ -96,7 +108,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, path: str, id_col: str = "d
         end = np.array([END_ID], dtype="<u4")
         for batch in parts(batches):
             texts = batch.column(1).to_pylist()
-            enc.check(min((t for t in texts if t), key=len, default=""))
+            enc.check(texts)
             rows, of = [], []
             for i, t in enumerate(texts):
                 ids = np.concatenate([enc.ids(t), end])
@@ -276,8 +288,27 @@ class _Open:
         return [k for i in sorted(out) if (k := self.kind[i]) and self.fill[i] <= self.fill[r] and (i != r or self.count[r] > 1)]
 
 
-def local_search(kinds: Counter, capacity: int) -> Counter:
-    """Exchanges between underfull bins until none raises the squared fill. Same kinds and numbers, same result.
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """A number of bins that no packing goes below.
+
+    For every k up to half the capacity: lengths above half need a bin each; those above ``capacity - k`` leave no room for
+    lengths of k or more, and the room that the others leave takes only part of the lengths from k to half.
+    """
+    n = np.zeros(capacity + 1, dtype=np.int64)
+    for length, count in histogram.items():
+        n[length] = count
+    half = capacity // 2
+    count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    k = np.arange(half + 1)
+    alone, large, room = count[-1] - count[capacity - k], count[capacity - k] - count[half], total[capacity - k] - total[half]
+    small = total[half] - np.where(k > 0, total[np.maximum(k, 1) - 1], 0)
+    over = np.maximum(0, -(-(small - (large * capacity - room)) // capacity))
+    return max(-(-int(total[-1]) // capacity), int((alone + large + over).max()))
+
+
+def local_search(kinds: Counter, capacity: int, least: int = 0) -> Counter:
+    """Exchanges between underfull bins until none raises the squared fill, or no more than ``least`` bins are left. Same kinds
+    and numbers, same result.
 
     Kinds wait in a queue, emptiest first. One for which no other offers an exchange leaves it, and comes back only when a
     kind appears, or has a second bin, that does; so the end is that of trying every pair again after every exchange.
@@ -296,7 +327,8 @@ def local_search(kinds: Counter, capacity: int) -> Counter:
         if 0 < _fill(k) < capacity and kinds[k]:
             open_.add(k, kinds[k])
             wait(k)
-    while queue:
+    held = sum(kinds.values())
+    while queue and held > least:
         _, low = heappop(queue)
         waiting.discard(low)
         if low not in open_.row:
@@ -313,6 +345,7 @@ def local_search(kinds: Counter, capacity: int) -> Counter:
             wait(low)
         for kind in (_change(low, out, back), _change(high, back, out)):
             if not kind:
+                held -= n
                 continue
             if _fill(kind) == capacity:
                 done[kind] += n
@@ -327,7 +360,7 @@ def local_search(kinds: Counter, capacity: int) -> Counter:
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:
     """Slots in order of (length, first rank): length, first rank, how many in each bin, first bin, offset in the bin."""
-    kinds = local_search(best_fit(histogram, capacity), capacity)
+    kinds = local_search(best_fit(histogram, capacity), capacity, least_bins(histogram, capacity))
     used: Counter = Counter()
     rows, base = [], 0
     for kind in sorted(kinds, key=lambda k: (-_fill(k), k)):
@@ -377,8 +410,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """A row per piece of every document: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces, _ = materialise(tokenised_pieces(docs, capacity, path or vocabulary_path(), id_col), "pieces")
-    return pack(pieces, capacity)
+    with Tables(docs.sparkSession) as tables:
+        return pack(tables.write(tokenised_pieces(docs, capacity, path or vocabulary_path(), id_col), "pieces", keep=True), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

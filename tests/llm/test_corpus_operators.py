@@ -411,6 +411,53 @@ def test_search_ends_where_no_pair_improves(seed, capacity, low, high, size):
     assert done == packing.local_search(before, capacity)
 
 
+def fewest_bins(lengths: list[int], capacity: int) -> int:
+    """By trying every placement, longest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(i: int, rooms: tuple[int, ...]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[i]:
+                at = rooms.index(room)
+                place(i + 1, (*rooms[:at], room - lengths[i], *rooms[at + 1 :]))
+        place(i + 1, (*rooms, capacity - lengths[i]))
+
+    place(0, ())
+    return best
+
+
+def test_bins_of_few_documents_against_the_fewest():
+    rng = random.Random(12)
+    over = 0
+    for _ in range(400):
+        capacity = rng.choice([10, 20, 37])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 10))]
+        fewest, histogram = fewest_bins(lengths, capacity), dict(Counter(lengths))
+        used = sum(packing.local_search(packing.best_fit(histogram, capacity), capacity, packing.least_bins(histogram, capacity)).values())
+        assert packing.least_bins(histogram, capacity) <= fewest <= used <= fewest + 1
+        over += used - fewest
+    assert over <= 8  # of 400
+
+
+def test_the_two_engines_agree(spark):
+    enc = packing.encoder(packing.vocabulary_path())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    rng = random.Random(2)
+    odd = ["٣٤٥ ½ Ⅷ ²³ ১২", "e\u0301 a\u0308\u0323 क्षि त्र", " \t\n\r\n \x0b\x0c\x85\u00a0\u2003\u3000x  y   ", "I'LL don't we've'S it's 'twas", "🙂👩‍👩‍👧 \u200d\ufeff\u0000", "\ud7ff\ue000 ￿", "a" * 5000, " " * 5000, "汉字" * 900, "1" * 300, "!?" * 300, "\n" * 300 + "x"]
+    alphabet = ["a", "B", "'", "s", " ", "  ", "\n", "\t", "1", "é", "e\u0301", "ß", "Ⅷ", "½", "汉", "🙂", "_", "-", "\u00a0", "\u2028", "ʼ", "٣", "\u0bcd"]
+    odd += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    assert enc.fast is not None
+    for t in texts + odd:
+        assert enc.own.encode(t, add_special_tokens=False).ids == enc.ids(t).tolist(), t[:80]
+
+
 def test_pieces_and_places(spark, monkeypatch):
     from tokenizers import Tokenizer
 
