@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _written: set[str] = set()
@@ -86,6 +87,11 @@ class Tables:
                 drop(self.spark, path)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place (c0, c1, ...): any names, dots included, pass through Arrow and clash with none."""
+    return df.select(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import parts, placed, table
 
 RATIO = 0.2
 WALKS, KEYS, SAMPLED, ANCHOR = 3, 9, 5, 4
@@ -340,7 +340,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ratio: float = RATIO) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item."""
-    at = docs.columns.index(text_col)
+    at, columns, docs = docs.columns.index(text_col), docs.columns, placed(docs)
     for block in item_blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -350,7 +350,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 yield batch.filter(pa.array([not f for f in own.find(batch.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import parts, table
+from .common import parts, placed, table
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -317,17 +318,17 @@ def main_text(page: str | None) -> str:
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The rows of ``pages`` with a column ``text`` in place of the html."""
-    at = pages.columns.index(html_col)
+    at, rows = pages.columns.index(html_col), placed(pages)
     kept = [i for i in range(len(pages.columns)) if i != at and pages.columns[i] != "text"]
-    names = [pages.columns[i] for i in kept]
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), "text string"])
+    names = [f"c{i}" for i in kept]
+    schema = StructType([rows.schema.fields[i] for i in kept]).add("text", "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             texts = pa.array([main_text(h) for h in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), texts], names=[*names, "text"])
 
-    return pages.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*(pages.columns[i] for i in kept), "text")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

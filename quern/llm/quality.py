@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import parts, table
+from .common import parts, placed, table
 from .language import fold
 
 SAMPLE = 6_000  # labelled rows of each class, about
@@ -201,16 +201,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: list, text_col: str = "text", into: str = "score") -> DataFrame:
     """The rows of ``docs`` with the probability of label 1 added (a column of that name is replaced)."""
     base = docs.drop(into)
-    at = base.columns.index(text_col)
+    at, rows = base.columns.index(text_col), placed(base)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in parts(batches):
             new = pa.array([scorer.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, "score"])
 
-    return base.mapInArrow(run, StructType(list(base.schema.fields)).add(into, "double"))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("score", "double")).toDF(*base.columns, into)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

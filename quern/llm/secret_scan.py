@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import parts, placed, table
 
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 BASE = KINDS[:3]
@@ -251,7 +251,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = placed(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

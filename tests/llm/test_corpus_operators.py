@@ -636,6 +636,37 @@ def test_pipeline_equals_brute_force(spark, tiny):
             assert got[d, p].ids_crc32 == zlib.crc32(ids[s : s + n].tobytes())
 
 
+INSIDE = "word mask kept own hit row spot several maybe lo hi p s c0 c1 rid fp n brief bands bucket lang_pred score id spans key held n.x __own _s _w __hit __row".split()
+
+
+def test_stages_take_any_column_names(spark, tiny):
+    import corpus_pipeline
+
+    from quern.llm import common
+
+    texts = ["the cat sat on the mat today", "the dog ran far away from home", "the cat sat on the mat today", 'a token = "24be64439e3e49cf46b2d7c90f3602a3" here']
+    rows = [(i, t, "en", "s", len(t), *[f"{n}{i}" for n in INSIDE]) for i, t in enumerate(texts)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *INSIDE]
+    kinds = ["long", "string", "string", "string", "long", *["string"] * len(INSIDE)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, tiny), "test")[0]
+        assert docs.columns == names, name
+    out = {r[0]: tuple(r) for r in docs.collect()}
+    assert set(out) == {0, 1, 3} and all(out[i][2:] == rows[i][2:] for i in out) and "24be" not in out[3][1]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, tiny).collect()} == {0, 1, 3}
+
+
+def test_texts_that_share_an_id_are_documents(spark, tiny):
+    import corpus_pipeline
+
+    a, b, c = "alpha beta gamma delta epsilon zeta eta", "quite another text altogether for once", "the third of the texts is this one"
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, b, "w"), (3, c, "k"), (3, c, "j"), (None, c, "m"), (None, "no id but a text of its own", "n"), (4, None, "o"), (4, "some text of four here now", "p"), (5, None, "q")]
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, f"{DOCS}, own string"), tiny).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(1, a), (2, b), (3, c), (None, rows[7][1]), (4, None), (4, rows[9][1]), (5, None)])
+    assert {r.own for r in out if r.doc_id == 3} == {"j"}
+
+
 def test_stages_take_odd_rows(spark, tiny):
     import corpus_pipeline
 
