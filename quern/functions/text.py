@@ -159,12 +159,13 @@ def runtime_id(path: Column) -> Column:
     return F.substring(F.sha2(F.lower(path), 256), 1, 16)
 
 
+WHITE_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Punctuation that does not tell questions apart.
-QUESTION_MARKS = "，。！？；：、“”‘’（）《》【】,.!?;:\"'()<>\\[\\]"
+QUESTION_MARKS = "，。！？、；：“”‘’（）,.!?;:\"'()"
 
 
 def normalise_question(text: Column) -> Column:
-    return F.translate(F.lower(text), " \t\n\x0b\f\r" + QUESTION_MARKS.replace("\\", ""), "")
+    return F.translate(F.lower(text), WHITE_SPACE + QUESTION_MARKS, "")
 
 
 def truncate(text: Column, most: int, marker: str) -> Column:
@@ -176,13 +177,23 @@ def clamp_confidence(value: Column) -> Column:
     return F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))
 
 
+def json_value(text: Column) -> Column:
+    """The text as a variant if all of it is one JSON value; else null.
+
+    The parser stops at the end of the first value. What follows it can't be hidden inside an array and inside an object both.
+    """
+    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when((F.size(in_array) == 1) & in_object.isNotNull(), F.try_parse_json(text))
+
+
 def repair_json_object(text: Column) -> Column:
     """The JSON object in a model's answer as a string: fence removed, else from the first ``{`` to the last ``}``; or null."""
     inner = F.regexp_replace(strip(text), r"(?is)^```(?:json)?\s*(.*?)\s*```$", "$1")
     brace = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
 
     def valid(x: Column) -> Column:
-        return F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), x)
+        return F.when(F.schema_of_variant(json_value(x)).startswith("OBJECT"), x)
 
     return F.coalesce(valid(strip(inner)), valid(brace))
 
@@ -192,7 +203,7 @@ def repair_json_array(text: Column) -> Column:
     bracket = F.regexp_extract(inner, r"(?s)(\[.*\])", 1)
 
     def valid(x: Column) -> Column:
-        return F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("ARRAY"), x)
+        return F.when(F.schema_of_variant(json_value(x)).startswith("ARRAY"), x)
 
     return F.coalesce(valid(strip(inner)), valid(bracket))
 
@@ -211,3 +222,20 @@ def between(text: Column, start: str, end: str) -> Column:
 def flag(value: Column) -> Column:
     """Whether a setting's text means yes."""
     return F.coalesce(F.lower(strip(value)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def tool_arguments(raw: Column) -> tuple[Column, Column]:
+    """(arguments as a JSON object, error) of a model's tool call: nothing is the empty object; anything but an object is an error."""
+    given = F.coalesce(F.nullif(strip(raw), F.lit("")), F.lit("{}"))
+    parsed = F.schema_of_variant(json_value(given))
+    error = F.when(parsed.isNull(), "not_json").when(~F.startswith(parsed, F.lit("OBJECT")), "not_an_object")
+    return F.when(error.isNull(), given), error
+
+
+def show_number(value: Column) -> Column:
+    """Four decimals; a dash for a missing value."""
+    return F.when(value.isNull(), "-").otherwise(F.format_string("%.4f", value.cast("double")))
+
+
+def show_percent(value: Column) -> Column:
+    return F.when(value.isNull(), "-").otherwise(F.format_string("%.2f%%", value.cast("double") * 100))

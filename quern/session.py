@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# A union whose inputs are dealt alike keeps their partitioning in this release, and fails, or joins the wrong rows, once adaptive
+# execution deals one of them anew.
+UNION = "spark.sql.unionOutputPartitioning"
+
+
 def get_session(app: str = "quern", cores: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings win over these defaults."""
     builder = SparkSession.builder.appName(app)
@@ -16,6 +23,7 @@ def get_session(app: str = "quern", cores: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        UNION: "false",
         "spark.ui.enabled": os.environ.get("QUERN_UI", "false"),
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
@@ -25,6 +33,7 @@ def get_session(app: str = "quern", cores: str | None = None, **conf: str) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``; the path may be in any store that Spark reads."""
+    spark.conf.set(UNION, "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,3 +41,21 @@ def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores where the scan has fewer partitions than that (one small file); else untouched, without a shuffle."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own where the setting is absent, on a local master only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='quern-checkpoint-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, for plans that read them more than once."""
+    path = f"{shared_dir(rows.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
+import os
+import posixpath
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from quern.functions.text import runtime_id
 from quern.operators.corpus import scannable
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
+NAMED = 100  # problems that an error message names
 
 
 def validate_root(spark: SparkSession, root: str) -> str:
@@ -24,20 +28,34 @@ def validate_root(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def _clean(path: str) -> str:
+    """A local or remote path without ``.``, ``..`` and doubled slashes; links of local paths resolved where they exist."""
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme != "file":
+        host, _, rest = rest.partition("/")
+        return f"{scheme}://{host}{posixpath.normpath('/' + rest)}"
+    return os.path.realpath(rest if mark else path.removeprefix("file:"))
+
+
 def inside_root(path: str, root: str, allowed: tuple[str, ...] = ()) -> bool:
-    """Whether a relative path stays below the root, and the root below one of the allowed ones (if any are named)."""
-    parts: list[str] = []
-    for p in urlparse(path).path.replace("\\", "/").split("/"):
-        if p == "..":
-            if not parts:
-                return False
-            parts.pop()
-        elif p not in ("", "."):
-            parts.append(p)
-    if path.startswith("/") or (len(path) > 1 and path[1] == ":"):
+    """Whether a relative path stays below the root, and the root in one of the allowed ones (if any are named).
+
+    Paths are file names, so ``#``, ``?`` and ``%`` mean nothing in them. Roots are taken without ``..`` and with links resolved,
+    and so is the path below a local root.
+    """
+    plain = path.replace("\\", "/")
+    if plain.startswith("/") or (len(plain) > 1 and plain[1] == ":") or "\0" in path or "://" in plain:
         return False
-    clean = root.rstrip("/") + "/"
-    return not allowed or any(clean.startswith(a.rstrip("/") + "/") for a in allowed)
+    depth = 0
+    for part in plain.split("/"):
+        depth += -1 if part == ".." else part not in ("", ".")
+        if depth < 0:
+            return False
+    below = lambda inner, outer: (inner.rstrip("/") + "/").startswith(outer.rstrip("/") + "/")
+    clean = _clean(root)
+    if "://" not in clean and not below(_clean(os.path.join(clean, plain)), clean):
+        return False
+    return not allowed or any(below(clean, _clean(a)) for a in allowed)
 
 
 def scan_repository(spark: SparkSession, root: str) -> DataFrame:
@@ -51,22 +69,37 @@ def scan_repository(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(scannable(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("text"), "bytes")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None) -> DataFrame:
-    """Rows of a JSON-lines file. Bad lines raise, all of them named by their contents; ``strict``: blank lines and repeated
-    keys do too."""
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
-    blank = F.btrim("value") == ""
+def jsonl_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """value, r (the parsed row, null for a bad line), blank, bad: a row for every line."""
+    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
     wide = StructType([*schema.fields]).add("_corrupt", StringType())
-    parsed = lines.where(~blank).select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    problems = [f"bad line: {r['value'][:80]}" for r in parsed.where("r is null or r._corrupt is not null").select("value").limit(20).collect()]
-    if strict and not lines.where(blank).isEmpty():
-        problems.append("blank line")
-    if strict and key:
-        twice = parsed.groupBy(f"r.{key}").count().where("count > 1").limit(20).collect()
-        problems += [f"repeated {key}: {r[0]}" for r in twice]
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    blank = F.btrim("value") == ""
+    return lines.select("value", parsed.alias("r"), blank.alias("blank")).withColumn("bad", ~F.col("blank") & (F.col("r").isNull() | F.col("r._corrupt").isNotNull()))
+
+
+def jsonl_problems(rows: DataFrame, strict: bool = False, key: str | None = None) -> DataFrame:
+    """problem, detail: a row for every bad line and, if ``strict``, every blank line and repeated key. Of any number."""
+    out = rows.where("bad").select(F.lit("bad_line").alias("problem"), F.substring("value", 1, 80).alias("detail"))
+    if strict:
+        out = out.unionByName(rows.where("blank").select(F.lit("blank_line").alias("problem"), F.lit("").alias("detail")))
+        if key:
+            twice = rows.where("not blank and not bad").groupBy(F.col(f"r.{key}").cast("string").alias("detail")).count().where("count > 1")
+            out = out.unionByName(twice.select(F.lit(f"repeated_{key}").alias("problem"), F.coalesce("detail", F.lit("null")).alias("detail")))
+    return out
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None) -> DataFrame:
+    """Rows of a JSON-lines file. Bad lines raise; ``strict``: blank lines and repeated keys do too.
+
+    The error counts all problems and names the first ``NAMED`` of each kind; ``jsonl_problems`` gives every one as a table.
+    """
+    rows = jsonl_rows(spark, path, schema)
+    found = jsonl_problems(rows, strict, key).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.substring("detail", 1, 80))), 1, NAMED).alias("some"))
+    problems = [f"{r['problem']} ({r['n']}): {'; '.join(r['some'])}" for r in found.orderBy("problem").collect()]
     if problems:
-        raise ValueError("; ".join(problems))
-    return parsed.select(*(F.col(f"r.{f.name}") for f in schema.fields))
+        raise ValueError("\n".join(problems))
+    return rows.where("not blank").select(*(F.col(f"r.{f.name}") for f in schema.fields))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +112,38 @@ def write_jsonl(rows: DataFrame, path: str, order: str | None = None, append: bo
     (rows.orderBy(order) if order else rows).write.mode(mode).json(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> str:
+    """A small text file (a rendered report, a proposal) in any store; an existing one is an error unless ``overwrite``."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    out = fs.create(target, overwrite)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    return path
+
+
+def markdown_table(rows: DataFrame, title: str, order: list[str]) -> str:
+    """A report of a small table (a row a method, a threshold, a label): numbers with four decimals, missing values as dashes."""
+    named = rows.orderBy(*order)
+    shown = [F.when(F.col(f.name).isNull(), "-").otherwise(F.format_string("%.4f", f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string")).alias(f.name) for f in rows.schema.fields]
+    lines = [[str(v).replace("|", "\\|").replace("\n", " ") for v in r] for r in named.select(*shown).collect()]
+    head = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join([*head, *("| " + " | ".join(x) + " |" for x in lines)]) + "\n"
+
+
+def write_proposal(spark: SparkSession, folder: str, repository: str, answer: str, name: str = "proposal", now: datetime | None = None) -> str:
+    """A generated change as a new file below ``folder``, stamped with the time; never in the repository, never over another."""
+    if inside_root(".", folder, (repository,)):
+        raise ValueError("a proposal is not written into the repository")
+    stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S_%f")
+    return write_text(spark, f"{folder.rstrip('/')}/{name}_{stamp}.md", answer)
+
+
 def index_path(root: str, repository: str) -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), runtime_id(F.lit(repository)))
 
@@ -96,7 +161,7 @@ def read_index(spark: SparkSession, path: str, **properties: str) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def build_or_load(spark: SparkSession, path: str, build, rebuild: bool = False, **properties: str) -> DataFrame:
+def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, **properties: str) -> DataFrame:
     """The index at ``path``, built and written first where it is missing or ``rebuild`` is set."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
