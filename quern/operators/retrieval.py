@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.text import token_bag
+from quern.session import written
 
 K1, B, RRF_K = 1.5, 0.75, 60
-QUERY_BLOCK, LEXICAL_BLOCK = 4096, 256  # query vectors, and query texts, sent to executors at a time
+QUERY_BLOCK, LEXICAL_BLOCK = 4096, 1024  # query vectors, and query texts, scored at a time
+QUERY_SET, BLOCK_BYTES = 20_000, 64_000_000  # query texts that a scan serves; weights of a block of them
+SHARD_ROWS = 20_000  # documents of an index shard, about
 
 
 def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -59,18 +65,6 @@ def ranked(rows: DataFrame, query: str, order: list[Column], k: int, rank: str =
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
-def bm25_over_postings(queries: DataFrame, found: DataFrame, stats: DataFrame, query: str, key: str, k: int = 5, k1: float = K1, b: float = B, query_text: str = "text") -> DataFrame:
-    """query, key, score, rank from stored postings (term, key, tf, length) and collection statistics (n, avgdl): for a few
-    selective queries over an index. Every occurrence of a query token counts."""
-    asked = queries.select(query, F.explode(token_bag(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = found.join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = found.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))).crossJoin(F.broadcast(stats))  # one row
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
-    weighed = weighed.select("term", key, (idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scores = weighed.join(asked, "term").groupBy(query, key).agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
-    return ranked(scores.where("score > 0"), query, [F.desc("score"), F.asc(key)], k)
-
-
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _IDENTIFIER, _PART = re.compile("[a-z][a-z0-9_]*|[0-9]+"), re.compile("[a-z]+|[0-9]+")
 _HUMP, _IDEOGRAPHS = re.compile("([a-z0-9])([A-Z])"), re.compile("[\u4e00-\u9fff]+")
@@ -89,82 +83,233 @@ def python_tokens(text: str | None) -> list[str]:
     return out
 
 
-def _term_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[int, float, np.ndarray]:
-    """Documents, their average length, and document frequencies of the terms: one pass, summed in each task first."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, length, df = shared.value, 0, 0, np.zeros(len(shared.value) + 2, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = python_tokens(text)
-                n, length = n + 1, length + len(tokens)
-                df[[i for t in set(tokens) if (i := own.get(t)) is not None]] += 1
-        df[-2], df[-1] = n, length
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["i", "v"])
-
-    sums = docs.mapInArrow(run, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).collect()  # terms of the queries
-    df = np.zeros(len(terms) + 2, dtype=np.int64)
-    for r in sums:
-        df[r["i"]] = r["v"]
-    return int(df[-2]), float(df[-1] / df[-2]) if df[-2] else 0.0, df[:-2]
+def _query_sets(queries: DataFrame, query: str, query_text: str) -> Iterator[tuple[list, list[Counter]]]:
+    """Ids and token counts of QUERY_SET queries at a time."""
+    sets = max(1, -(-queries.count() // QUERY_SET))
+    for number in range(sets):
+        own = queries if sets == 1 else queries.where(F.pmod(F.xxhash64(query, query_text), F.lit(sets)) == number)
+        rows = own.select(query, query_text).collect()
+        yield [r[0] for r in rows], [Counter(python_tokens(r[1])) for r in rows]
+
+
+def _blocks(counts: list[Counter]) -> Iterator[tuple[int, int, dict[str, int]]]:
+    """(first, last + 1, places of its terms) of runs of queries whose weights take BLOCK_BYTES at most, or that are one query."""
+    first, terms = 0, {}
+    for i, c in enumerate(counts):
+        new = {t for t in c if t not in terms}
+        if i > first and ((len(terms) + len(new)) * (i + 1 - first) * 8 > BLOCK_BYTES or i - first == LEXICAL_BLOCK):
+            yield first, i, terms
+            first, terms, new = i, {}, set(c)
+        for t in sorted(new):
+            terms[t] = len(terms)
+    if counts:
+        yield first, len(counts), terms
+
+
+def _weights(counts: list[Counter], terms: dict[str, int], idf_of: dict[str, float]) -> np.ndarray:
+    """terms x queries: how often the query says the term, times the term's idf."""
+    weight = np.zeros((len(terms), len(counts)))
+    for q, c in enumerate(counts):
+        for t, times in c.items():
+            weight[terms[t], q] = times * idf_of.get(t, 0.0)
+    return weight
+
+
+def _keep_best(best: list[list[tuple]], score: np.ndarray, keys: list, k: int) -> None:
+    """Adds rows (documents x queries) of positive scores to the k best (-score, key) of each query."""
+    for q in range(score.shape[1]):
+        column = score[:, q]
+        least = -best[q][-1][0] if len(best[q]) == k else 0.0
+        rows = np.flatnonzero((column >= least) & (column > 0))
+        if len(rows) > 4 * k:
+            rows = rows[column[rows] >= np.partition(column[rows], len(rows) - k)[len(rows) - k]]
+        if len(rows):
+            best[q] = sorted([*best[q], *((-column[d], keys[d]) for d in rows.tolist())])[:k]
+
+
+def _best_rows(ids: list, best: list[list[tuple]], names: list[str], kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*((ids[q], d, float(-s)) for q, found in enumerate(best) for s, d in found))) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*kinds, pa.float64()))], names=names)
+
+
+def _check_bm25(k: int, k1: float, b: float) -> None:
+    if k < 1 or k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k must be positive, k1 positive and b between 0 and 1")
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: int = 5, k1: float = K1, b: float = B, query_text: str = "text", text: str = "text") -> DataFrame:
-    """query, key, score, rank. Every occurrence of a query token counts.
+    """query, key, score, rank without an index. Every occurrence of a query token counts.
 
-    Queries go out in blocks of bounded size. One pass over the documents counts the block's terms; a second scores every
-    document against the block as one matrix product and lets only each task's k best rows a query leave, so that the
-    shuffle doesn't grow with documents times queries.
+    The documents' texts are read once for QUERY_SET queries: what is kept of each is its length and how often it holds the
+    queries' terms, in a written table that gives the statistics and is scored in blocks, as matrix products of which each
+    task lets only its k best rows a query leave. So the shuffle doesn't grow with documents times queries.
     """
-    if k < 1 or k1 <= 0 or not 0 <= b <= 1:
-        raise ValueError("k must be positive, k1 positive and b between 0 and 1")
-    spark = docs.sparkSession
+    _check_bm25(k, k1, b)
+    kinds = tuple(to_arrow_type(d.schema[c].dataType) for d, c in ((queries, query), (docs, key)))
     kind, query_kind = docs.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    blocks, out = max(1, -(-queries.count() // LEXICAL_BLOCK)), None
-    for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query, query_text), F.lit(blocks)) == block)
-        asked = [(r[0], Counter(python_tokens(r[1]))) for r in own.select(query, query_text).collect()]
-        terms = {t: i for i, t in enumerate(sorted({t for _, c in asked for t in c}))}
-        n, avgdl, df = _term_counts(docs.select(text), terms)
-        weight = np.zeros((len(terms), len(asked)))
-        for q, (_, c) in enumerate(asked):
-            for t, times in c.items():
-                weight[terms[t], q] = times
-        weight *= np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None]
-        shared = spark.sparkContext.broadcast(([q for q, _ in asked], terms, weight, avgdl))
+    spark, out = docs.sparkSession, None
+    for ids, counts in _query_sets(queries, query, query_text):
+        terms = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
+        sent = spark.sparkContext.broadcast(terms)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, terms, weight, avgdl = shared.value
-            best: list[list[tuple]] = [[] for _ in ids]  # k best (-score, key) of each query
-            kind_ = None
+        def count(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value
             for batch in batches:
-                kind_ = batch.schema.field(0).type
-                for first in range(0, batch.num_rows, 256):
-                    part = batch.slice(first, 256)
-                    keys = part.column(0).to_pylist()
-                    x = np.zeros((len(keys), len(terms)))
-                    for d, value in enumerate(part.column(1).to_pylist()):
-                        tokens = python_tokens(value)
-                        at = [i for t in tokens if (i := terms.get(t)) is not None]
-                        if at:
-                            i, tf = np.unique(at, return_counts=True)
-                            x[d, i] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / avgdl))
-                    score = np.round(x @ weight, 6)
-                    for q in range(len(ids)):
-                        column = score[:, q]
-                        least = -best[q][-1][0] if len(best[q]) == k else 0.0
-                        rows = np.flatnonzero((column >= least) & (column > 0))
-                        if len(rows):
-                            best[q] = sorted([*best[q], *((-column[d], keys[d]) for d in rows.tolist())])[:k]
-            if kind_ is not None:
-                rows = [(ids[q], d, float(-s)) for q, found in enumerate(best) for s, d in found]
-                cols = list(zip(*rows)) or [(), (), ()]
-                types = [None if cols[0] else kind_, kind_, pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[query, key, "score"])
+                lengths, at, tf = [], [], []
+                for value in batch.column(1).to_pylist():
+                    tokens = python_tokens(value)
+                    found = Counter(i for t in tokens if (i := own.get(t)) is not None)
+                    lengths.append(len(tokens)), at.append(list(found)), tf.append(list(found.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(lengths, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=["k", "length", "at", "tf"]
+                )
+
+        counted = docs.select(F.col(key).alias("k"), text).mapInArrow(count, f"k {kind}, length long, at array<int>, tf array<int>")
+        counted = written(counted, "term-counts")
+        n, avgdl = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
+        df = {r["i"]: r["n"] for r in counted.select(F.explode("at").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # terms of the queries
+        idf_of = {t: float(np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5))) for t, i in terms.items()}
+        for first, last, own_terms in _blocks(counts):
+            place = np.full(len(terms) + 1, -1, dtype=np.int64)
+            for t, i in own_terms.items():
+                place[terms[t]] = i
+            shared = spark.sparkContext.broadcast((ids[first:last], place, _weights(counts[first:last], own_terms, idf_of), avgdl))
+
+            def score(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                asked, place, weight, avgdl = shared.value
+                best: list[list[tuple]] = [[] for _ in asked]
+                for batch in batches:
+                    for start in range(0, batch.num_rows, 1024):
+                        part = batch.slice(start, 1024)
+                        sizes = np.array([len(x) for x in part.column(2)], dtype=np.int64)
+                        at, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+                        row, at = np.repeat(np.arange(part.num_rows), sizes), place[at]
+                        row, at, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
+                        if not len(at):
+                            continue
+                        used, column = np.unique(at, return_inverse=True)
+                        x = np.zeros((part.num_rows, len(used)))
+                        norm = k1 * (1 - b + b * part.column(1).to_numpy().astype(float) / avgdl)
+                        x[row, column] = tf * (k1 + 1) / (tf + norm[row])
+                        _keep_best(best, np.round(x @ weight[used], 6), part.column(0).to_pylist(), k)
+                yield _best_rows(asked, best, [query, key, "score"], kinds)
+
+            part = counted.where("k is not null and size(at) > 0").mapInArrow(score, f"`{query}` {query_kind}, `{key}` {kind}, score double")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"`{query}` {query_kind}, `{key}` {kind}, score double")
+    return ranked(out, query, [F.desc("score"), F.asc(key)], k)
+
+
+@dataclass
+class LexicalIndex:
+    """A stored index: ``segments`` (shard, term, keys, tfs, lengths), ``terms`` (term, df), the collection's size and mean length."""
+
+    segments: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+    k1: float
+    b: float
+
+
+def lexical_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """shard, term, keys, tfs, lengths: documents go to shards of about SHARD_ROWS by a hash of the key, so that the postings of a
+    word that every document holds are many rows of bounded size. Rows without a key aren't indexed."""
+    rows = docs.where(F.col(key).isNotNull())
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    read = rows.select(F.col(key).alias("k"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(text).alias("t"))
+    kind = docs.schema[key].dataType.simpleString()
 
-        part = docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{query}` {query_kind}, `{key}` {kind}, score double")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                of, terms, tfs, lengths = [], [], [], []
+                for i, value in enumerate(part.column(2).to_pylist()):
+                    tokens = python_tokens(value)
+                    found = Counter(tokens)
+                    of += [i] * len(found)
+                    terms += found.keys()
+                    tfs += found.values()
+                    lengths += [len(tokens)] * len(found)
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1).take(at), pa.array(terms, pa.string()), part.column(0).take(at), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())],
+                    names=["shard", "term", "k", "tf", "length"],
+                )
+
+    postings_ = read.mapInArrow(run, f"shard int, term string, k {kind}, tf int, length int")
+    held = F.collect_list(F.struct("k", "tf", "length")).alias("p")
+    return postings_.groupBy("shard", "term").agg(held).select("shard", "term", F.col("p.k").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+
+
+def write_lexical_index(docs: DataFrame, key: str, path: str, k1: float = K1, b: float = B, text: str = "text", overwrite: bool = False) -> LexicalIndex:
+    """Postings, term statistics and parameters below ``path``: texts are read once to build, never to search."""
+    _check_bm25(1, k1, b)
+    spark, mode = docs.sparkSession, "overwrite" if overwrite else "errorifexists"
+    lexical_segments(docs, key, text).sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/segments")
+    segments = spark.read.parquet(f"{path}/segments")
+    segments.groupBy("term").agg(F.sum(F.size("keys")).alias("df")).write.mode(mode).parquet(f"{path}/terms")
+    sizes = docs.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n")).crossJoin(  # one row each
+        segments.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens"))
+    )
+    stats = sizes.select("n", F.coalesce(F.col("tokens") / F.col("n"), F.lit(0.0)).alias("avgdl"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
+    stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    return read_lexical_index(spark, path)
+
+
+def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """The index at ``path`` with the parameters that it was built with."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/terms"), stats["n"], stats["avgdl"], stats["k1"], stats["b"])
+
+
+def _shard_scorer(shared: Broadcast, k1: float, b: float, query: str, key: str, k: int, kinds: tuple) -> Callable[[pa.Table], pa.Table]:
+    """The k best documents of a shard for every query, from its postings."""
+
+    def score(shard: pa.Table) -> pa.Table:
+        blocks, avgdl = shared.value
+        rows = list(zip(shard.column("term").to_pylist(), *(shard.column(c).combine_chunks() for c in ("keys", "tfs", "lengths"))))
+        number: dict = {}
+        read = []
+        for term, keys, tfs, lengths in rows:
+            at = np.array([number.setdefault(x, len(number)) for x in keys.as_py()], dtype=np.int64)
+            tf, length = (x.values.to_numpy(zero_copy_only=False).astype(float) for x in (tfs, lengths))
+            read.append((term, at, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))))
+        keys, parts = list(number), []
+        for asked_, terms, weight in blocks:
+            total = np.zeros((len(keys), len(asked_)))
+            for term, at, gain in read:
+                if (i := terms.get(term)) is not None:
+                    own = np.flatnonzero(weight[i])
+                    total[np.ix_(at, own)] += gain[:, None] * weight[i, own]
+            best: list[list[tuple]] = [[] for _ in asked_]
+            _keep_best(best, np.round(total, 6), keys, k)
+            parts.append(_best_rows(asked_, best, [query, key, "score"], kinds))
+        return pa.Table.from_batches(parts)
+
+    return score
+
+
+def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, key: str, k: int = 5, query_text: str = "text") -> DataFrame:
+    """query, key, score, rank, the same as ``bm25_search`` gives: only the postings of the queries' terms are read, a shard's go
+    to one task, and only its k best rows a query leave it."""
+    _check_bm25(k, index.k1, index.b)
+    k1, b, spark, out = index.k1, index.b, queries.sparkSession, None
+    key_type = index.segments.schema["keys"].dataType.elementType
+    kinds = (to_arrow_type(queries.schema[query].dataType), to_arrow_type(key_type))
+    schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {key_type.simpleString()}, score double"
+    for ids, counts in _query_sets(queries, query, query_text):
+        said = sorted({t for c in counts for t in c})
+        asked = spark.createDataFrame([(t,) for t in said], "term string")  # of QUERY_SET queries at most
+        df = {r["term"]: r["df"] for r in index.terms.join(F.broadcast(asked), "term", "left_semi").collect()}
+        idf_of = {t: float(np.log(1 + (index.n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
+        found = index.segments.join(F.broadcast(asked), "term", "left_semi")
+        blocks = [(ids[i:j], terms, _weights(counts[i:j], terms, idf_of)) for i, j, terms in _blocks(counts)]
+        shared = spark.sparkContext.broadcast((blocks, index.avgdl))
+
+        part = found.groupBy("shard").applyInArrow(_shard_scorer(shared, k1, b, query, key, k, kinds), schema)
         out = part if out is None else out.unionByName(part)
     return ranked(out, query, [F.desc("score"), F.asc(key)], k)
 
@@ -218,20 +363,15 @@ def dense_search(queries: DataFrame, items: DataFrame, query: str, key: str, k:
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query: str, key: str, k: int = 5, rrf_k: int = RRF_K, dense_weight: float = 1.0, lexical_weight: float = 1.0, by_sources: bool = False) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (query, key, score, rank): one union and one aggregation, no join.
+    """Reciprocal rank fusion of two ranked lists (query, key, score, rank): one full join, both sides dealt by query already.
 
     Ties: rows of the dense list first, then of the lexical list, each by rank; ``by_sources``: by number of lists.
     """
-    both = dense.select(query, key, F.lit("dense").alias("source"), "rank", "score").unionByName(
-        lexical.select(query, key, F.lit("bm25").alias("source"), "rank", "score")
-    )
-    weight = F.when(F.col("source") == "dense", dense_weight).otherwise(lexical_weight)
-    of = lambda source, c: F.max(F.when(F.col("source") == source, F.col(c)))
-    fused = both.groupBy(query, key).agg(
-        F.round(F.sum(weight / (rrf_k + F.col("rank"))), 9).alias("rrf_score"),
-        of("dense", "rank").alias("dense_rank"), of("dense", "score").alias("dense_score"),
-        of("bm25", "rank").alias("bm25_rank"), of("bm25", "score").alias("bm25_score"),
-    )
+    of = lambda rows, name: rows.select(query, key, F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"))
+    term = lambda weight, name: F.coalesce(weight / (rrf_k + F.col(f"{name}_rank")), F.lit(0.0))
+    both = of(dense, "dense").join(of(lexical, "bm25"), [query, key], "full")
+    score = F.round(term(F.lit(dense_weight), "dense") + term(F.lit(lexical_weight), "bm25"), 9)
+    fused = both.select(query, key, score.alias("rrf_score"), "dense_rank", "dense_score", "bm25_rank", "bm25_score")
     matched = F.concat_ws(",", F.when(F.col("dense_rank").isNotNull(), "dense"), F.when(F.col("bm25_rank").isNotNull(), "bm25"))
     fused = fused.withColumn("matched_by", matched)
     has = [F.col("dense_rank").isNotNull(), F.col("bm25_rank").isNotNull()]
