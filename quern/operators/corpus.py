@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import line_array, truncate
+from quern.operators.static_analysis import python_chunks
 
 # What is scanned, and what is indexed.
 SCANNED_SUFFIXES = (".py", ".md", ".json", ".yaml", ".yml", ".txt", ".toml")
@@ -69,6 +70,18 @@ def line_windows(files: DataFrame, key: str, text: str = "text", chunk_lines: in
     )
 
 
+def chunk_table(files: DataFrame, path: str = "path", text: str = "text", chunk_lines: int = 80, overlap: int = 10) -> DataFrame:
+    """chunk_id, file, start_line, end_line, chunk_type, name, content of all files: Python sources at their definitions, others in
+    windows of lines. A file goes one way only, and no chunk needs another file, so nothing is shuffled."""
+    own = files.select(F.col(path).alias("file"), F.col(text).alias("text"))
+    sources = python_chunks(own.where(suffix(F.col("file")) == ".py"), chunk_lines=chunk_lines, overlap=overlap)
+    others = line_windows(own.where(~F.coalesce(suffix(F.col("file")) == ".py", F.lit(False))), "file", "text", chunk_lines, overlap)
+    others = others.select("file", "start_line", "end_line", F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("name"), "content")
+    every = sources.unionByName(others)
+    chunk_id = F.format_string("%s:%d-%d", "file", "start_line", "end_line").alias("chunk_id")
+    return every.select(chunk_id, "file", "start_line", "end_line", "chunk_type", "name", "content")
+
+
 def file_slices(files: DataFrame, key: str, start: int, end: int | None, text: str = "text") -> DataFrame:
     """Lines start to end of every file; the end is cut at the file's; an empty file gives zeros and no content."""
     if start < 1 or (end is not None and end < start):
@@ -86,32 +99,41 @@ def file_slices(files: DataFrame, key: str, start: int, end: int | None, text: s
     )
 
 
-def grep(files: DataFrame, key: str, query: str, context: int = 2, limit: int = 20, text: str = "text") -> DataFrame:
-    """Lines that contain ``query`` in any case, with ``context`` lines around them, the hit marked; first ``limit`` hits.
+def grep(files: DataFrame, key: str, query: str, context: int = 2, limit: int | None = 20, text: str = "text") -> DataFrame:
+    """Lines that contain ``query`` in any case, with ``context`` lines around them, the hit marked; the first ``limit`` hits.
 
-    Context is cut from the file's own line array: no window, no shuffle before the top-k.
+    The places of a file's hits are found first, its first ``limit`` ones at most, and only what is shown of each leaves the
+    line array: no row carries a whole file, no window, no shuffle before the top-k.
     """
     hit_text = query.lower()
     lines = files.where(F.contains(F.lower(text), F.lit(hit_text))).select(key, line_array(F.col(text)).alias("lines"))
-    hits = lines.select(key, "lines", F.posexplode("lines").alias("i", "line_text")).where(F.contains(F.lower("line_text"), F.lit(hit_text)))
-    first = F.greatest(F.col("i") - context, F.lit(0))
-    last = F.least(F.col("i") + context, F.size("lines") - 1)
-    shown = F.transform(
-        F.slice("lines", first + 1, last - first + 1),
-        lambda x, j: F.concat(F.when(j + first == F.col("i"), "> ").otherwise("  "), x),
-    )
-    return (
-        hits.select(
-            key,
-            (F.col("i") + 1).cast("long").alias("line"),
-            (first + 1).cast("long").alias("start_line"),
-            (last + 1).cast("long").alias("end_line"),
-            F.size("lines").cast("long").alias("total_lines"),
-            F.array_join(shown, "\n").alias("content"),
-        )
-        .orderBy(key, "line")
-        .limit(limit)
-    )
+    places = F.array_compact(F.transform("lines", lambda x, i: F.when(F.contains(F.lower(x), F.lit(hit_text)), i)))
+    if limit is not None:
+        places = F.slice(places, 1, limit)
+
+    def shown(i: Column) -> Column:
+        first, last = F.greatest(i - context, F.lit(0)), F.least(i + context, F.size("lines") - 1)
+        around = F.transform(F.slice("lines", first + 1, last - first + 1), lambda x, j: F.concat(F.when(j + first == i, "> ").otherwise("  "), x))
+        return F.struct(
+            (i + 1).cast("long").alias("line"), (first + 1).cast("long").alias("start_line"), (last + 1).cast("long").alias("end_line"),
+            F.size("lines").cast("long").alias("total_lines"), F.array_join(around, "\n").alias("content"),
+        )
+
+    found = lines.select(key, F.transform(places, shown).alias("hits")).select(key, F.inline("hits"))
+    return found.orderBy(key, "line").limit(limit) if limit is not None else found
+
+
+def line_ranges(ranges: DataFrame, files: DataFrame, path: str, lines: str, first: str, last: str) -> DataFrame:
+    """path, first, last, content: the lines of every distinct range (of bounded length) of a file.
+
+    A join of line numbers, so that no row carries a file's whole line array however many ranges a file has.
+    """
+    own = ranges.select(path, first, last).where(F.col(last) >= F.col(first)).distinct()
+    asked = own.select(path, first, last, F.explode(F.sequence(first, last)).alias("_n"))
+    rows = files.join(own.select(path).distinct(), path, "left_semi").select(path, F.posexplode(lines).alias("_i", "_line"))
+    rows = rows.select(path, (F.col("_i") + 1).cast("long").alias("_n"), "_line")
+    pieces = F.array_sort(F.collect_list(F.struct("_n", "_line")))
+    return asked.join(rows, [path, "_n"]).groupBy(path, first, last).agg(F.array_join(F.transform(pieces, lambda x: x["_line"]), "\n").alias("content"))
 
 
 def _named(name: Column) -> Column:

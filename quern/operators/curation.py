@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import normalise_question
+from quern.functions.text import json_value, normalise_question
 from quern.operators.evaluation import DIRECT, TOOLS
 
 # Arguments of each tool as (name, type, required, minimum, maximum).
@@ -24,12 +24,118 @@ DIFFICULTIES, SOURCES = ("easy", "medium", "hard"), ("manual", "ai_assisted")
 QUERY_TYPES = ("identifier", "natural_language", "colloquial_zh", "cross_file", "misleading_keyword", "irrelevant")
 
 
+def _kind(v: Column, path: str = "$") -> Column:
+    """The kind of a part of a variant: OBJECT<...>, ARRAY<...>, STRING, BIGINT, BOOLEAN, ...; VOID for null; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _is(v: Column, path: str, kind: str) -> Column:
+    return F.coalesce(F.startswith(_kind(v, path), F.lit(kind)), F.lit(False))
+
+
+def _filled(v: Column, path: str) -> Column:
+    return _is(v, path, "STRING") & F.rlike(F.try_variant_get(v, path, "string"), F.lit(r"\S"))
+
+
+def _first(rules: list[tuple[Column, Column | str]]) -> Column:
+    """The code of the first rule that is broken; null if none is."""
+    return F.coalesce(*(F.when(F.coalesce(broken, F.lit(False)), F.lit(code) if isinstance(code, str) else code) for broken, code in rules))
+
+
+def _lacking(names: Column, required: tuple[str, ...]) -> Column:
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.coalesce(names, F.array().cast("array<string>"))))
+
+
+def metadata_error(metadata: Column) -> Column:
+    """The first rule that a sample's JSON metadata breaks: an object with a known difficulty and source and a group id."""
+    v = json_value(metadata)
+    lacking = _lacking(F.json_object_keys(metadata), ("difficulty", "group_id", "source"))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    return _first([
+        (~_is(v, "$", "OBJECT"), "metadata_not_an_object"),
+        (F.size(lacking) > 0, F.concat(F.lit("missing_metadata:"), F.array_join(lacking, ","))),
+        (~(_is(v, "$.difficulty", "STRING") & text("$.difficulty").isin(*DIFFICULTIES)), "unknown_difficulty"),
+        (~_filled(v, "$.group_id"), "blank_group_id"),
+        (~(_is(v, "$.source", "STRING") & text("$.source").isin(*SOURCES)), "unknown_source"),
+    ])
+
+
+def sample_error(sample: Column) -> Column:
+    """The first rule that a routing sample (JSON: id, user_query, target, metadata) breaks; null if it is valid."""
+    v = json_value(sample)
+    lacking = _lacking(F.json_object_keys(sample), ("id", "metadata", "target", "user_query"))
+    part = lambda path: F.try_variant_get(v, path, "variant").cast("string")
+    inner = lambda error, path: (error(part(path)).isNotNull(), error(part(path)))
+    return _first([
+        (~_is(v, "$", "OBJECT"), "not_an_object"),
+        (F.size(lacking) > 0, F.concat(F.lit("missing_fields:"), F.array_join(lacking, ","))),
+        (~_filled(v, "$.id"), "blank_id"),
+        (~_filled(v, "$.user_query"), "blank_user_query"),
+        inner(target_error, "$.target"),
+        inner(metadata_error, "$.metadata"),
+    ])
+
+
+def judgment_error(judgment: Column) -> Column:
+    """The first rule that a judge's JSON answer breaks: two flags, scores from 1 to 5 (all but relevance may be null; a flag is no
+    score), a list of claims, a reason."""
+    v = json_value(judgment)
+    rules: list[tuple[Column, Column | str]] = [(~_is(v, "$", "OBJECT"), "not_an_object")]
+    rules += [(~_is(v, f"$.{name}", "BOOLEAN"), f"not_a_flag:{name}") for name in ("answer_supported", "hallucination")]
+
+    def score(name: str) -> list[tuple[Column, Column | str]]:
+        given = F.coalesce(_kind(v, f"$.{name}"), F.lit("VOID")) != "VOID"
+        number = F.try_variant_get(v, f"$.{name}", "bigint")
+        return [(given & ~_is(v, f"$.{name}", "BIGINT"), f"not_an_integer:{name}"), (given & ~number.between(1, 5), f"out_of_range:{name}")]
+
+    rules += score("relevance_score")
+    rules += [(F.coalesce(_kind(v, "$.relevance_score"), F.lit("VOID")) == "VOID", "missing:relevance_score")]
+    rules += [(~_is(v, "$.unsupported_claims", "ARRAY"), "not_a_list:unsupported_claims"), (~_is(v, "$.reason", "STRING"), "not_a_string:reason")]
+    return _first([*rules, *score("evidence_support_score"), *score("citation_support_score")])
+
+
+REQUIRED = ("id", "repository_id", "split", "query_type", "query", "should_retrieve", "relevant_files", "relevant_chunks")
+
+
+def retrieval_dataset_errors(queries: DataFrame, repositories: DataFrame, files: DataFrame, own: str) -> DataFrame:
+    """id, rule, detail: a row for every rule that a retrieval query breaks. queries: the columns ``REQUIRED``; repositories: id;
+    files: path, of the repository ``own``. Repeated ids and queries (in any case) break theirs at every row but the first of
+    each: one row tells the least id and how many follow."""
+    rows = queries.select(*REQUIRED, F.lower(F.trim("query")).alias("_q"))
+    whole = F.lit(True)
+    for c in REQUIRED:
+        whole = whole & F.col(c).isNotNull()
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(REQUIRED)]))
+    answers = F.size("relevant_files") > 0
+    broken = {
+        "blank_query": F.col("_q") == "",
+        "unknown_query_type": ~F.col("query_type").isin(*QUERY_TYPES),
+        "unknown_split": ~F.col("split").isin("dev", "test"),
+        "no_answers": F.col("should_retrieve") & ~answers,
+        "unwanted_answers": ~F.col("should_retrieve") & (answers | (F.size("relevant_chunks") > 0)),
+    }
+    value = {"unknown_query_type": F.col("query_type"), "unknown_split": F.col("split")}
+    found = [F.when(c, F.struct(F.lit(n).alias("rule"), value.get(n, F.lit("")).alias("detail"))) for n, c in broken.items()]
+    missing = F.when(~whole, F.array(F.struct(F.lit("missing_fields").alias("rule"), F.array_join(lacking, ",").alias("detail"))))
+    out = rows.select("id", F.inline(F.coalesce(missing, F.array_compact(F.array(*found)))))
+    whole_rows = rows.where(whole)
+    for rule, by in (("repeated_id", "id"), ("repeated_query", "_q")):
+        times = whole_rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).where("_n > 1")
+        extra = times.select(F.col("_id").alias("id"), F.lit(rule).alias("rule"), (F.col("_n") - 1).cast("string").alias("detail"))
+        out = out.unionByName(extra)
+    strange = whole_rows.join(repositories.select(F.col("id").alias("repository_id")).distinct(), "repository_id", "left_anti")
+    out = out.unionByName(strange.select("id", F.lit("unknown_repository").alias("rule"), F.col("repository_id").alias("detail")))
+    asked = whole_rows.where(F.col("repository_id") == own).select("id", F.explode("relevant_files").alias("path"))
+    absent = asked.join(files.select("path").distinct(), "path", "left_anti")
+    return out.unionByName(absent.select("id", F.lit("missing_file").alias("rule"), F.col("path").alias("detail")))
+
+
 def target_error(target: Column) -> Column:
     """The first rule that a JSON route target breaks, as a code; null if it is valid.
 
     Every check reads the parsed variant: names of fields, kinds (an integer is no boolean), blank strings, bounds.
     """
-    v = F.try_parse_json(target)
+    v = json_value(target)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     text = lambda path: F.try_variant_get(v, path, "string")
     names = F.coalesce(F.json_object_keys(target), F.array().cast("array<string>"))
@@ -73,21 +179,31 @@ def target_error(target: Column) -> Column:
     return F.coalesce(*found)
 
 
+CELL_GROUPS = 4000  # groups aimed at in a ranking cell
+
+
 def group_split(samples: DataFrame, group: str, label: str, ratios: tuple[float, float, float] = (0.6, 0.2, 0.2), seed: int = 42) -> DataFrame:
     """group, label, split: whole groups per label, in order of a hash, to train, validation and test.
 
     validation and test get max(1, round half even (n * ratio)) groups each, less if train would get none; a label needs
-    three groups.
+    three groups. A group's place in its label comes from counts of cells (the hash's first digits), their running totals
+    and a row number inside the cell, so that no task holds a label.
     """
-    groups = samples.groupBy(group).agg(F.min(label).alias(label))
-    w = Window.partitionBy(label)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
-    sized = groups.withColumns(
+    groups = samples.groupBy(group).agg(F.min(label).alias(label)).withColumn("_o", order)
+    digits, total = 0, groups.count()
+    while total > CELL_GROUPS * 16**digits and digits < 5:
+        digits += 1
+    celled = groups.withColumns({"_l": F.xxhash64(label, F.col(label).isNull()), "_c": F.substring("_o", 1, digits)})
+    counts = celled.groupBy("_l", "_c").agg(F.count(F.lit(1)).alias("_k"))
+    upto = Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** digits rows at most
+    sums = counts.select("_l", "_c", F.coalesce(F.sum("_k").over(upto), F.lit(0)).alias("_first"), F.sum("_k").over(Window.partitionBy("_l")).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_l", "_c").orderBy("_o", group))
+    sized = celled.withColumn("_in", inside).join(sums, ["_l", "_c"]).withColumns(
         {
-            "_n": F.count(F.lit(1)).over(w),
-            "_i": F.row_number().over(w.orderBy(order, group)),
-            "_v": F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(w) * ratios[1]).cast("long")),
-            "_t": F.greatest(F.lit(1), F.bround(F.count(F.lit(1)).over(w) * ratios[2]).cast("long")),
+            "_i": F.col("_first") + F.col("_in"),
+            "_v": F.greatest(F.lit(1), F.bround(F.col("_n") * ratios[1]).cast("long")),
+            "_t": F.greatest(F.lit(1), F.bround(F.col("_n") * ratios[2]).cast("long")),
         }
     )
     room = F.greatest(F.col("_n") - F.col("_v") - F.col("_t"), F.lit(1))
@@ -101,10 +217,11 @@ def mixed_groups(samples: DataFrame, group: str, label: str) -> DataFrame:
     return samples.groupBy(group).agg(F.count_distinct(label).alias("labels")).where("labels > 1")
 
 
-def split_manifest(samples: DataFrame, assigned: DataFrame, group: str, label: str) -> DataFrame:
-    """split, label, samples, groups."""
+def split_manifest(samples: DataFrame, assigned: DataFrame, group: str, label: str, with_groups: bool = False) -> DataFrame:
+    """split, label, samples, groups; ``with_groups``: and the sorted group ids, for manifests that a person reads."""
     joined = samples.select(group).join(assigned, group)
-    return joined.groupBy("split", label).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(group).alias("groups"))
+    ids = [F.array_sort(F.collect_set(group)).alias("group_ids")] if with_groups else []
+    return joined.groupBy("split", label).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(group).alias("groups"), *ids)
 
 
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -182,7 +299,19 @@ def extract_dockerfile(answer: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), generic)
 
 
+# Languages of fenced blocks, the names their files get, and their media types.
+BLOCK_FILES = {"py": "snippet.py", "python": "snippet.py", "dockerfile": "Dockerfile", "json": "snippet.json", "yaml": "snippet.yaml", "yml": "snippet.yaml", "bash": "snippet.sh", "sh": "snippet.sh", "sql": "snippet.sql", "markdown": "snippet.md"}
+BLOCK_TYPES = {"py": "text/x-python", "python": "text/x-python", "json": "application/json", "markdown": "text/markdown"}
+
+
 def code_blocks(answer: Column) -> Column:
-    """array<struct<language,content>> of the fenced blocks."""
+    """array<struct<language,content,file_name,media_type>> of the fenced blocks."""
     of = lambda g: F.regexp_extract_all(answer, F.lit(r"(?s)```([A-Za-z0-9_+-]*)[ \t]*\n(.*?)```"), F.lit(g))
-    return F.transform(F.arrays_zip(of(1).alias("a"), of(2).alias("b")), lambda x: F.struct(F.lower(x["a"]).alias("language"), x["b"].alias("content")))
+    known = lambda table, key, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+    return F.transform(
+        F.arrays_zip(of(1).alias("a"), of(2).alias("b")),
+        lambda x: F.struct(
+            F.lower(x["a"]).alias("language"), x["b"].alias("content"),
+            known(BLOCK_FILES, F.lower(x["a"]), "snippet.txt").alias("file_name"), known(BLOCK_TYPES, F.lower(x["a"]), "text/plain").alias("media_type"),
+        ),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import classify_exception, first_occurrences, line_array, strip, symbols
+from quern.operators import matching
+from quern.operators.corpus import line_ranges
 
 # The forms of a traceback line and of an exception line.
 FRAME = r'^\s*File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+(.+))?\s*$'
@@ -109,33 +111,56 @@ def resolve_frames(found: DataFrame, files: DataFrame, file: str = "file", path:
 def identifier_exists(names: DataFrame, lines: DataFrame, files: DataFrame, name: str = "name", path: str = "path", text: str = "text") -> DataFrame:
     """name, exists_in_files: a file of that path, a path that ends with it, or a line that contains it, in any case.
 
-    ``names`` are the identifiers of questions; they are sent to the lines in blocks of bounded size.
+    ``names`` are the identifiers of questions; they go to the lines in blocks of bounded size, all of a block at once.
     """
-    asked = names.select(F.col(name).alias("_n"), F.lower(F.replace(F.col(name), F.lit("\\"), F.lit("/"))).alias("_low")).distinct()
+    low = F.lower(F.replace(F.col(name), F.lit("\\"), F.lit("/")))
+    asked = names.select(F.col(name).alias("_n"), low.alias("_low"), F.lower(name).alias("_said")).distinct()
     parts = F.split(F.lower(F.col(path)), "/")
     tails = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("_low")).distinct()
     by_path = asked.join(tails, "_low", "left_semi").select("_n")
-    block, total, by_line = 5000, asked.count(), None
-    for b in range(max(1, -(-total // block))):
-        some = [r["_n"] for r in asked.where(F.pmod(F.xxhash64("_n"), F.lit(max(1, -(-total // block)))) == b).collect()]
-        held = F.array(*[F.when(F.contains(F.lower(text), F.lit(n.lower())), F.lit(n)) for n in some]) if some else F.array().cast("array<string>")
-        part = lines.select(F.explode(F.array_compact(held)).alias("_n")).distinct()
-        by_line = part if by_line is None else by_line.unionByName(part)
-    found = by_path.unionByName(by_line).distinct().withColumn("_yes", F.lit(True))
+    held = matching.held_in(lines.select(F.lower(text).alias("_t")), asked.select("_n", "_said"), None, "_t", "_n", "_said").distinct()
+    found = by_path.unionByName(held).distinct().withColumn("_yes", F.lit(True))
     return asked.join(found, "_n", "left").select(F.col("_n").alias(name), F.coalesce("_yes", F.lit(False)).alias("exists_in_files"))
 
 
 def context_of(frames_: DataFrame, files: DataFrame, context: int = 8, path: str = "path", text: str = "text") -> DataFrame:
-    """Resolved frames (repository_file, line) with the lines around them, cut from the file's own line array."""
+    """Resolved frames (repository_file, line) with start_line, end_line and the lines around them (null: no such file or line)."""
     if not 1 <= context <= 30:
         raise ValueError("context must be between 1 and 30")
     lines = files.select(F.col(path).alias("repository_file"), line_array(F.col(text)).alias("_lines"))
-    first = F.greatest(F.col("line") - context, F.lit(1))
-    last = F.least(F.col("line") + context, F.size("_lines").cast("long"))
-    taken = F.when(last >= first, F.slice("_lines", first.cast("int"), (last - first + 1).cast("int")))
-    return frames_.join(lines, "repository_file", "left").withColumns(
-        {"start_line": first, "end_line": last, "context": F.array_join(taken, "\n")}
-    ).drop("_lines")
+    sizes = lines.select("repository_file", F.size("_lines").cast("long").alias("_total"))
+    first, last = F.greatest(F.col("line") - context, F.lit(1)), F.least(F.col("line") + context, F.col("_total"))
+    ranged = frames_.join(sizes, "repository_file", "left").withColumns({"start_line": first.cast("long"), "end_line": F.when(F.col("_total").isNotNull(), last).cast("long")})
+    read = line_ranges(ranged.where("repository_file is not null and end_line is not null"), lines, "repository_file", "_lines", "start_line", "end_line")
+    return ranged.drop("_total").join(read.withColumnRenamed("content", "context"), ["repository_file", "start_line", "end_line"], "left")
+
+
+def analysed_logs(logs: DataFrame, files: DataFrame, key: str, text: str = "text", path: str = "path", file_text: str = "text", context: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(logs, frames) of a log that stands anywhere in a text: key, exception_type, exception_message, frame_count; and a row per
+    frame: key, n, file, line, function, repository_file, start_line, end_line, context."""
+    own = logs.select(key, strip(F.coalesce(text, F.lit(""))).alias("_log"))
+    found = own.select(key, loose_frames(F.col("_log")).alias("_f"), loose_exception(F.col("_log")).alias("_e"))
+    told = found.select(key, F.col("_e.type").alias("exception_type"), F.col("_e.message").alias("exception_message"), F.size("_f").cast("long").alias("frame_count"))
+    rows = found.select(key, F.posexplode("_f").alias("n", "f")).select(key, (F.col("n") + 1).cast("long").alias("n"), "f.*")
+    rows = rows.withColumn("function", strip(_blank_to_null(F.col("function"))))
+    resolved = resolve_frames(rows, files, "file", path)
+    return told, context_of(resolved, files, context, path, file_text)
+
+
+ANALYSED, SEARCH_K, DIAGNOSIS_CONTEXT = 4, 4, 10
+
+
+def diagnose(logs: DataFrame, files: DataFrame, key: str, text: str = "text", path: str = "path", file_text: str = "text") -> dict[str, DataFrame]:
+    """What a diagnosis rests on, for many logs at once: ``parsed`` (frames, exceptions, category, symbols), ``frames`` with their
+    files and the lines around them, ``analyse`` (key, file: the first ANALYSED files that frames lie in, Python ones), and
+    ``queries`` (key, n, query: at most five, for a search with SEARCH_K hits)."""
+    parsed = search_queries(parse_logs(logs, key, text))
+    told, frames_ = analysed_logs(logs, files, key, text, path, file_text, DIAGNOSIS_CONTEXT)
+    first = frames_.where("repository_file is not null").groupBy(key, "repository_file").agg(F.min("n").alias("_n"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("_n"))
+    chosen = first.withColumn("_r", at).where((F.col("_r") <= ANALYSED) & F.endswith(F.lower("repository_file"), F.lit(".py")))
+    queries = parsed.select(key, F.posexplode("queries").alias("n", "query")).select(key, (F.col("n") + 1).cast("long").alias("n"), "query")
+    return {"parsed": parsed.join(told, key), "frames": frames_, "analyse": chosen.select(key, F.col("repository_file").alias("file")), "queries": queries}
 
 
 def last_by(rows: DataFrame, group: str, order: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from quern.functions.text import normalise_path
+from quern.operators.corpus import cumulative_budget, line_ranges
 
 # Fixed value: the form of a citation.
 CITATION = r"\[([^\[\]:\n]+):([0-9]+)-([0-9]+)\]"
@@ -77,12 +78,13 @@ def citation_report(answers: DataFrame, checked: DataFrame, answer: str, require
 
 def cited_lines(cited: DataFrame, files: DataFrame, answer: str, most_lines: int = 160, most_citations: int = 12, most_chars: int = 30_000) -> DataFrame:
     """The source of each distinct citation, cut at ``most_lines``; first citations within the budgets. files: file, lines array."""
-    from quern.operators.corpus import cumulative_budget
-
     first = cited.withColumn("_f", normalise_path(F.col("file"))).groupBy(answer, "_f", "start_line", "end_line").agg(F.min("pos").alias("pos"))
-    joined = first.join(files.select(normalise_path(F.col("file")).alias("_f"), "lines"), "_f")
-    count = F.greatest(F.least(F.col("end_line"), F.col("start_line") + most_lines - 1) - F.col("start_line") + 1, F.lit(0)).cast("int")
-    source = joined.select(answer, "pos", F.col("_f").alias("file"), "start_line", "end_line", F.array_join(F.slice("lines", F.col("start_line").cast("int"), count), "\n").alias("content"))
+    own = files.select(normalise_path(F.col("file")).alias("_f"), "lines")
+    sizes = own.select("_f", F.size("lines").cast("long").alias("_total"))
+    ranged = first.join(sizes, "_f").withColumn("_last", F.least(F.col("end_line"), F.col("start_line") + most_lines - 1, F.col("_total")))
+    read = line_ranges(ranged.where("start_line >= 1"), own, "_f", "lines", "start_line", "_last")
+    source = ranged.join(read, ["_f", "start_line", "_last"], "left")
+    source = source.select(answer, "pos", F.col("_f").alias("file"), "start_line", "end_line", F.coalesce("content", F.lit("")).alias("content"))
     return cumulative_budget(source, answer, "pos", "content", most_citations, most_chars)
 
 

@@ -16,9 +16,9 @@ HIT_CHARS, PREVIEW_CHARS, JUDGE_CHARS, JUDGE_ITEMS, RESULT_CHARS, IMPORTS = 5000
 MARKER = "\n...truncated..."
 
 
-def pruned_hits(hits: DataFrame) -> DataFrame:
-    """The nine fields of a hit, its content cut."""
-    return hits.select(*(truncate(F.col(c), HIT_CHARS, MARKER).alias(c) if c == "content" else F.col(c) for c in HIT_FIELDS))
+def pruned_hits(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The nine fields of a hit, its content cut, and the columns ``keep``."""
+    return hits.select(*keep, *(truncate(F.col(c), HIT_CHARS, MARKER).alias(c) if c == "content" else F.col(c) for c in HIT_FIELDS))
 
 
 def evidence_block(hits: DataFrame, by: list[str], rank: str) -> DataFrame:

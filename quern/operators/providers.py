@@ -1,19 +1,28 @@
-"""Models behind small interfaces, with deterministic local stand-ins: no network, no weights."""
+"""Models behind small interfaces, with deterministic local stand-ins: no network, no weights.
+
+A ``Client`` turns a prompt into an answer and may raise. ``ask`` calls it once for every distinct prompt, with retries, and
+never loses a row: a prompt that fails has a null answer and the error. Rewriting, routing and judging are prompts, ``ask``,
+and a check of what comes back.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import clamp_confidence, identifiers, infer_intent
+from quern.functions.text import clamp_confidence, identifiers, infer_intent, repair_json_object
+from quern.operators.curation import judgment_error, target_error
+from quern.operators.evaluation import DIRECT
 
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float | None]]
+Client = Callable[[str], str]
 
 
 def hash_embedder(dim: int = 64) -> Embedder:
@@ -75,6 +84,118 @@ def cross_score(rows: DataFrame, query: str, passage: str, scorer: Scorer | None
     return base.mapInArrow(run, schema)
 
 
+def ask(rows: DataFrame, prompt: str, client: Client, attempts: int = 1, accept: Callable[[str], str | None] | None = None) -> DataFrame:
+    """``rows`` with answer, error and attempts. Equal prompts are one call; null prompts none.
+
+    ``accept`` gives a reason to reject an answer (null: none); a rejected or failing call is tried again, ``attempts`` times in
+    all, and its last error stays. Answers are kept while a task runs, and the distinct prompts are spread over all tasks.
+    """
+    base = rows.drop("answer", "error", "attempts")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for text in batch.column(0).to_pylist():
+                answer, error, tries = None, None, 0
+                while tries < attempts and answer is None:
+                    tries += 1
+                    try:
+                        answer, error = client(text), None
+                        if accept is not None and (error := accept(answer)) is not None:
+                            answer = None
+                    except Exception as failure:  # the model's failure, whatever it is, must not lose rows
+                        error = f"{type(failure).__name__}: {failure}"
+                told.append((answer, error, tries))
+            columns = list(zip(*told)) or [(), (), ()]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["_p", "answer", "error", "attempts"])
+
+    distinct = base.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
+    called = distinct.mapInArrow(run, "_p string, answer string, error string, attempts long")
+    return base.join(called, base[prompt] == called["_p"], "left").drop("_p")
+
+
+def rewrite(questions: DataFrame, text: str, client: Client | None = None, prompt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``questions`` rewritten by a model: the same columns as ``rewrite_by_rules``, which stands in for answers that aren't a JSON
+    object with a semantic query; rewrite_source says which, rewrite_error why. Equal questions are one call."""
+    ruled = rewrite_by_rules(questions, text)
+    if client is None:
+        return ruled.withColumn("rewrite_error", F.lit(None).cast("string"))
+    said = ask(ruled.withColumn("_prompt", (prompt or (lambda c: c))(F.col(text))), "_prompt", client)
+    v = F.try_parse_json(repair_json_object(F.col("answer")))
+    field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    good = F.rlike(F.coalesce(field("semantic_query", "string"), F.lit("")), F.lit(r"\S"))
+    new = {
+        "intent": field("intent", "string"), "should_search": field("should_search", "boolean"), "semantic_query": field("semantic_query", "string"),
+        "keyword_query": field("keyword_query", "string"), "identifiers": field("identifiers", "array<string>"),
+        "confidence": clamp_confidence(field("confidence", "string")),
+    }
+    columns = {name: F.when(good, F.coalesce(c, F.col(name))).otherwise(F.col(name)) for name, c in new.items()}
+    why = F.when(~good, F.coalesce("error", F.lit("not a rewritten query")))
+    return said.withColumns({**columns, "rewrite_source": F.when(good, "model").otherwise("rules"), "rewrite_error": why}).drop("_prompt", "answer", "error", "attempts")
+
+
+def route(questions: DataFrame, text: str, client: Client | None = None) -> DataFrame:
+    """``questions`` with raw_text, json_valid, schema_error, schema_valid, pred_decision, pred_tool, pred_args, api_error: the
+    prediction records that ``evaluation.routing_metrics`` reads."""
+    said = ask(questions, text, client or rule_router).withColumnsRenamed({"answer": "raw_text", "error": "api_error"}).drop("attempts")
+    found = repair_json_object(F.col("raw_text"))
+    said = said.withColumn("_o", found)
+    v = F.try_parse_json("_o")
+    error = F.when(F.col("_o").isNotNull(), target_error(F.col("_o")))
+    arguments = F.try_variant_get(v, "$.arguments", "variant")
+    return said.withColumns({
+        "json_valid": F.col("_o").isNotNull(), "schema_error": error, "schema_valid": F.col("_o").isNotNull() & error.isNull(),
+        "pred_decision": F.try_variant_get(v, "$.decision", "string"), "pred_tool": F.try_variant_get(v, "$.tool_name", "string"), "pred_args": arguments.cast("string"),
+    }).drop("_o")
+
+
+def rule_router(question: str) -> str:
+    """The local stand-in of a router: words that the intents know, else a direct answer."""
+    low = question.lower()
+    tool, arguments = None, {}
+    if "traceback" in low or "error" in low:
+        tool, arguments = "analyze_log", {"log_text": question}
+    elif "docker" in low:
+        tool = "generate_dockerfile"
+    elif any(w in low for w in (".py", "_", "代码", "函数", "code")):
+        tool, arguments = "search_codebase", {"query": question}
+    return json.dumps({"decision": "call_tool" if tool else DIRECT, "tool_name": tool, "arguments": arguments}, ensure_ascii=False)
+
+
+def judge(items: DataFrame, prompt: str, client: Client | None = None, attempts: int = 2) -> DataFrame:
+    """``items`` with status (ok or error), the judgment's fields, judge_error and attempts. Answers that hold no JSON object are
+    asked for again; one that breaks a rule is an error that names the rule."""
+    said = ask(items, prompt, client or overlap_judge, attempts, _no_object)
+    said = said.withColumn("_o", repair_json_object(F.col("answer")))
+    v, error = F.try_parse_json("_o"), F.coalesce("error", judgment_error(F.col("_o")))
+    kinds = {
+        "answer_supported": "boolean", "hallucination": "boolean", "relevance_score": "bigint", "evidence_support_score": "bigint",
+        "citation_support_score": "bigint", "unsupported_claims": "array<string>", "reason": "string",
+    }
+    fields = {name: F.when(error.isNull(), F.try_variant_get(v, f"$.{name}", kind)) for name, kind in kinds.items()}
+    return said.withColumns({"status": F.when(error.isNull(), "ok").otherwise("error"), "judge_error": error, **fields}).drop("_o", "answer", "error")
+
+
+def _no_object(answer: str) -> str | None:
+    first, last = (answer or "").find("{"), (answer or "").rfind("}")
+    try:
+        return None if 0 <= first < last and isinstance(json.loads(answer[first : last + 1]), dict) else "no JSON object"
+    except ValueError:
+        return "no JSON object"
+
+
+def overlap_judge(prompt: str) -> str:
+    """The local stand-in of a judge: how much of the prompt's second half its first half says already."""
+    words = prompt.lower().split()
+    first, second = set(words[: len(words) // 2]), set(words[len(words) // 2 :])
+    share = len(first & second) / max(1, len(second))
+    return json.dumps({
+        "answer_supported": share >= 0.2, "hallucination": share < 0.1, "relevance_score": 1 + round(4 * share), "evidence_support_score": None,
+        "citation_support_score": None, "unsupported_claims": [], "reason": f"{len(first & second)} words in common",
+    })
+
+
 def rewrite_by_rules(questions: DataFrame, text: str) -> DataFrame:
     """The rewriter's fallback: intent, should_search, queries, identifiers, confidence 0.5."""
     intent = infer_intent(F.col(text))
