@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, diagnosis, evaluation, evidence, projections, providers, retrieval, sessions, static_analysis
+from quern.operators import corpus, curation, diagnosis, evaluation, evidence, matching, projections, providers, retrieval, search, sessions, static_analysis
 from quern.plans import samples
-from quern.session import spread
+from quern.session import shared_dir, spread
 from quern.session import table as read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,10 +176,10 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.term_stats(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def _bm25_sql(k: int) -> str:
+def _bm25_sql(k: int, asked: str = "benchmark", text: str = "text") -> str:
     return f"""{STATS_SQL},
 df as (select term, count(*) as df from tf group by term),
-asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_tokens_sql('text')}) as term from benchmark) group by all),
+asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_tokens_sql(text)}) as term from {asked}) group by all),
 scored as (select item_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
   from asked join tf using (term) join df using (term), coll group by item_id, doc_id),
 bm25 as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= {k})"""
@@ -203,12 +204,13 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_search(asked, rows, "query_id", "vec_id", 5, exclude_same=True).select("query_id", "vec_id", "score", "rank")
 
 
-@query("select vec_id, label, round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 6) as norm, 1.0::double as unit from embeddings")
+@query("""with e as (select vec_id, label, cast(embedding as double[]) as e from embeddings), u as (select vec_id, label, e, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as u from e)
+select vec_id, label, round(sqrt(list_dot_product(e, e)), 6) as norm, round(list_dot_product(u, u), 6) as unit, round(u[1], 6) as first from u""")
 def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = retrieval.normalise(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", F.round(F.sqrt(retrieval.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"), F.round(retrieval.dot(unit, unit), 6).alias("unit")
-    )
+        "vec_id", "label", F.round(F.sqrt(retrieval.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"), F.round(retrieval.dot(unit, unit), 6).alias("unit"), F.round(F.get(unit, F.lit(0)), 6).alias("first"),
+    )
 
 
 def _dense_sql(k: int) -> str:
@@ -290,16 +292,8 @@ ASKED_SQL = "asked2 as (select item_id, exists (select 1 from labels2 l where l.
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id of documents that contain an item. The items, a stated query set, go to the documents in blocks."""
-    docs = table(spark, sf_dir, "documents")
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
-    out = None
-    for first in range(0, max(1, len(items)), 500):
-        block = items[first : first + 500]
-        hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(i)) for i, t in block])) if block else F.array().cast("array<bigint>")
-        part = docs.select("doc_id", F.explode(hits).alias("item_id"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("item_id", "doc_id")
+    """item_id, doc_id of documents that contain an item."""
+    return matching.held_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 def _asked(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
@@ -393,11 +387,11 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROUTES_SQL = """routes as (select event_id, case event_type when 'error' then 'answer_directly' else 'call_tool' end as gold_decision,
     case event_type when 'click' then 'search_codebase' when 'view' then 'analyze_code' when 'purchase' then 'analyze_log' when 'signup' then 'complete_code' end as gold_tool,
-    json_extract_string(props, '$.k') as gold_k,
+    props as gold_args,
     case when event_id % 19 = 0 then null when event_id % 23 = 0 then 'maybe' when event_type = 'error' and event_id % 5 > 0 then 'answer_directly' else 'call_tool' end as pred_decision,
     case when event_id % 29 = 0 then 'invent_tool' when event_id % 7 = 0 then 'search_codebase' else
       case event_type when 'click' then 'search_codebase' when 'view' then 'analyze_code' when 'purchase' then 'analyze_log' when 'signup' then 'complete_code' end end as pred_tool,
-    case when event_id % 11 = 0 then 'x' else 'k' end as pred_key, case when event_id % 3 = 0 then '0' else json_extract_string(props, '$.k') end as pred_k,
+    case when event_id % 13 = 0 then null else '{"' || case when event_id % 11 = 0 then 'x' else 'k' end || '":' || case event_id % 3 when 0 then '"' || json_extract_string(props, '$.k') || '"' else json_extract_string(props, '$.k') end || '}' end as pred_args,
     event_id % 19 <> 0 as json_valid, event_id % 19 <> 0 and event_id % 23 <> 0 and event_id % 29 <> 0 as schema_valid, case when event_id % 31 = 0 then 'timeout' end as api_error from events)"""
 
 
@@ -410,10 +404,10 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.when(kind == "error", "answer_directly").otherwise("call_tool").alias("gold_decision"),
         tool.alias("gold_tool"),
-        F.create_map(F.lit("k"), k).alias("gold_args"),
+        F.col("props").alias("gold_args"),
         F.when(i % 19 == 0, None).when(i % 23 == 0, "maybe").when((kind == "error") & (i % 5 > 0), "answer_directly").otherwise("call_tool").alias("pred_decision"),
         F.when(i % 29 == 0, "invent_tool").when(i % 7 == 0, "search_codebase").otherwise(tool).alias("pred_tool"),
-        F.create_map(F.when(i % 11 == 0, "x").otherwise("k"), F.when(i % 3 == 0, "0").otherwise(k)).alias("pred_args"),
+        F.when(i % 13 != 0, F.concat(F.lit('{"'), F.when(i % 11 == 0, "x").otherwise("k"), F.lit('":'), F.when(i % 3 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k), F.lit("}"))).alias("pred_args"),
         (i % 19 != 0).alias("json_valid"),
         ((i % 19 != 0) & (i % 23 != 0) & (i % 29 != 0)).alias("schema_valid"),
         F.when(i % 31 == 0, "timeout").alias("api_error"),
@@ -431,8 +425,8 @@ def _rate(name: str, a: str, b: str) -> str:
   count(*) filter (where json_valid) as json_valid_count, count(*) filter (where schema_valid) as schema_valid_count, count(*) filter (where pred_decision = gold_decision) as decision_correct_count,
   count(*) filter (where gold_decision = 'call_tool') as gold_tool_call_count,
   count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool) as tool_name_correct_count,
-  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and pred_key = 'k') as argument_keys_covered_count,
-  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and pred_key = 'k' and pred_k = gold_k) as arguments_exact_match_count,
+  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and list_contains(json_keys(pred_args), 'k')) as argument_keys_covered_count,
+  count(*) filter (where gold_decision = 'call_tool' and pred_decision = 'call_tool' and pred_tool = gold_tool and replace(gold_args, ' ', '') = pred_args) as arguments_exact_match_count,
   count(*) filter (where pred_decision = 'call_tool' and coalesce(pred_tool not in ({TOOLS_SQL}), true)) as hallucinated_tool_count from routes)
 select *, {_rate('api_success_rate', 'successful_requests', 'total_samples')}, {_rate('json_valid_rate', 'json_valid_count', 'total_samples')}, {_rate('schema_valid_rate', 'schema_valid_count', 'total_samples')},
   {_rate('decision_accuracy', 'decision_correct_count', 'total_samples')}, {_rate('tool_name_accuracy', 'tool_name_correct_count', 'gold_tool_call_count')},
@@ -510,8 +504,74 @@ def judge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 S = samples.sql
 
+# Literal rows for the rare forms, and rows made of the tables, so that the plans meet whole tables.
+MADE_LOG_SQL = """'Traceback (most recent call last):' || chr(10) || '  File "/srv/app/' || source || '/' || doc_id || '.txt", line ' || (doc_id % 9 + 1) || ', in step_' || lang || chr(10) ||
+  '    ' || left(replace(coalesce(text, ''), chr(10), ' '), 40) || chr(10) || case doc_id % 3 when 0 then 'ValueError: ' when 1 then 'KeyError: ' else 'note ' end || coalesce(lang, 'none')"""
+LOGS_SQL = f"(select id, text from {S(samples.LOGS)} union all select 'd' || doc_id, {MADE_LOG_SQL} from documents where lang is not null and source is not null) as logs_"
+REPOSITORY_SQL = f"(select path, total_lines from {S(samples.REPOSITORY)} union all select source || '/' || doc_id || '.txt', 5 + doc_id % 7 from documents where source is not null) as repository_"
+QUESTIONS_SQL = f"(select id, text from {S(samples.QUESTIONS)} union all select 'd' || doc_id, coalesce(text, '') from documents) as questions_"
+ANSWERS_SQL = f"""(select id, text from {S(samples.ANSWERS)} union all select 'c' || conv_id || '-' || turn, coalesce(text, '') || ' [made/' || conv_id || '.py:' || (turn + 1) || '-' || (turn + conv_id % 9) || ']' from
+  (select distinct on (conv_id, turn) * from conversations order by conv_id, turn, role, text)) as answers_"""
+EVIDENCE_SQL = f"(select id, file, start_line, end_line from {S(samples.EVIDENCE)} union all select distinct 'c' || conv_id || '-' || turn, 'made/' || conv_id || '.py', 1, 6 from conversations) as evidence_"
+CITED_FILES_SQL = f"(select path, total_lines from {S(samples.REPOSITORY)} union all select distinct 'made/' || conv_id || '.py', 4 + conv_id % 5 from conversations) as files_"
+MODEL_JSON_SQL = f"""(select id, text from {S(samples.MODEL_JSON)} union all select 'e' || event_id, case event_id % 5 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then 'so ' || props || ' there'
+  when 3 then left(props, 4) else '[' || props || '] {{' || event_type || ' ' || props || ' }}' end from events) as answers_"""
+
+
+def _id(prefix: str, *columns: str) -> Column:
+    return F.concat(F.lit(prefix), F.concat_ws("-", *columns)).alias("id")
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    kind, at = F.col("doc_id") % 3, (F.col("doc_id") % 9 + 1).cast("string")
+    made = F.concat(
+        F.lit('Traceback (most recent call last):\n  File "/srv/app/'), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit('.txt", line '), at, F.lit(", in step_"), "lang", F.lit("\n    "),
+        F.substring(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), 1, 40), F.lit("\n"), F.when(kind == 0, "ValueError: ").when(kind == 1, "KeyError: ").otherwise("note "), F.coalesce("lang", F.lit("none")),
+    )
+    return samples.frame(spark, samples.LOGS).unionByName(docs.select(_id("d", "doc_id"), made.alias("text")))
+
+
+def _repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return samples.frame(spark, samples.REPOSITORY).unionByName(docs.select(path.alias("path"), (5 + F.col("doc_id") % 7).alias("total_lines")))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.frame(spark, samples.QUESTIONS).unionByName(table(spark, sf_dir, "documents").select(_id("d", "doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min_by("text", F.struct("role", "text")).alias("text"))
+    end = (F.col("turn") + F.col("conv_id") % 9).cast("string")
+    mark = F.concat(F.lit(" [made/"), F.col("conv_id").cast("string"), F.lit(".py:"), (F.col("turn") + 1).cast("string"), F.lit("-"), end, F.lit("]"))
+    return samples.frame(spark, samples.ANSWERS).unionByName(said.select(_id("c", "conv_id", "turn"), F.concat(F.coalesce("text", F.lit("")), mark).alias("text")))
+
+
+def _made_files(spark: SparkSession, sf_dir: str) -> Column:
+    return F.concat(F.lit("made/"), F.col("conv_id").cast("string"), F.lit(".py"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda n: F.lit(n).cast("long")
+    made = table(spark, sf_dir, "conversations").select(_id("c", "conv_id", "turn"), _made_files(spark, sf_dir).alias("file"), one(1).alias("start_line"), one(6).alias("end_line")).distinct()
+    return samples.frame(spark, samples.EVIDENCE).unionByName(made)
+
+
+def _cited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "conversations").select(_made_files(spark, sf_dir).alias("path"), (4 + F.col("conv_id") % 5).alias("total_lines")).distinct()
+    return samples.frame(spark, samples.REPOSITORY).unionByName(made)
 
-@query(f"""with w as (select id, coalesce(text, '') as text from {S(samples.QUESTIONS)}),
+
+def _model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, p = F.col("event_id") % 5, F.col("props")
+    text = F.when(i == 0, p).when(i == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(i == 2, F.concat(F.lit("so "), p, F.lit(" there"))).when(i == 3, F.substring(p, 1, 4))
+    text = text.otherwise(F.concat(F.lit("["), p, F.lit("] {"), "event_type", F.lit(" "), p, F.lit(" }")))
+    return samples.frame(spark, samples.MODEL_JSON).unionByName(table(spark, sf_dir, "events").select(_id("e", "event_id"), text.alias("text")))
+
+
+@query(f"""with w as (select id, coalesce(text, '') as text from {QUESTIONS_SQL}),
 f as (select id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./\\\\-]+'), lambda r: regexp_extract(r, '^([A-Za-z0-9_./\\\\-]+\\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$', 1)), lambda x: x <> '') as a,
   list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$')) as b,
   list_filter(regexp_extract_all(text, '[A-Za-z0-9_.]+'), lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+$')) as c,
@@ -519,30 +579,44 @@ f as (select id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9
 l as (select id, list_concat(a, b, c, d) as l from f)
 select id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ',') as identifiers from l""")
 def extract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.frame(spark, samples.QUESTIONS).select("id", F.array_join(T.identifiers(F.col("text")), ",").alias("identifiers"))
+    return _questions(spark, sf_dir).select("id", F.array_join(T.identifiers(F.col("text")), ",").alias("identifiers"))
+
 
+# The rules once more, written out for SQL by hand.
+def _intent_sql(text: str) -> str:
+    return f"""case when regexp_matches(lower({text}), 'traceback|runtimeerror|报错|异常|错误日志') then 'log_diagnosis'
+  when regexp_matches(lower({text}), 'docker|容器') then 'dockerfile_generation'
+  when regexp_matches(lower({text}), 'pytest|单元测试|生成测试|测试用例') then 'test_generation'
+  when regexp_matches(lower({text}), '补全代码|修改代码|重构|实现代码|修复代码') then 'code_completion'
+  when regexp_matches(lower({text}), '代码质量|圈复杂度|静态分析|分析文件') then 'code_analysis'
+  when regexp_matches(lower({text}), '仓库|项目|代码|文件|函数|类|实现|定义|调用|模型|缓存|训练|推理|[.]py|_') then 'code_search' else 'general_question' end"""
 
-def _rules_sql(text: str, rules: tuple, otherwise: str) -> str:
-    whens = " ".join("when " + " or ".join(f"contains(lower({text}), '{p}')" for p in ps) + f" then '{label}'" for label, ps in rules)
-    return f"case {whens} else '{otherwise}' end"
+
+def _error_sql(text: str) -> str:
+    return f"""case when regexp_matches(lower({text}), '(missing|unexpected) key[(]s[)] in state_dict') then 'model_state_dict_mismatch'
+  when regexp_matches(lower({text}), 'size mismatch|shapes cannot be multiplied|the size of tensor') then 'tensor_shape_mismatch'
+  when regexp_matches(lower({text}), 'cuda (error: )?out of memory') then 'cuda_out_of_memory' when regexp_matches(lower({text}), 'modulenotfounderror|no module named') then 'missing_dependency'
+  when regexp_matches(lower({text}), 'filenotfounderror|no such file or directory') then 'missing_file' when contains(lower({text}), 'syntaxerror') then 'python_syntax_error'
+  when contains(lower({text}), 'attributeerror') then 'missing_attribute' when contains(lower({text}), 'keyerror') then 'missing_dictionary_key' when contains(lower({text}), 'indexerror') then 'index_out_of_range'
+  when contains(lower({text}), 'typeerror') then 'invalid_type_or_call' when contains(lower({text}), 'valueerror') then 'invalid_value'
+  when regexp_matches(lower({text}), 'connectionerror|timeout') then 'network_or_timeout' else 'unknown' end"""
 
 
 def _grouped(rows: DataFrame, label: Column) -> DataFrame:
     return rows.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""select {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} as label, count(*) as n
-from (select text from {S(samples.QUESTIONS)} union all select coalesce(text, '') from documents union all select coalesce(text, '') from conversations) group by 1""")
+@query(f"""select {_intent_sql('text')} as label, count(*) as n
+from (select text from {QUESTIONS_SQL} union all select coalesce(text, '') from conversations) group by 1""")
 def infer_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.frame(spark, samples.QUESTIONS).select("text")
-    rows = rows.unionByName(table(spark, sf_dir, "documents").select("text")).unionByName(table(spark, sf_dir, "conversations").select("text"))
+    rows = _questions(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
     return _grouped(rows, T.infer_intent(F.col("text")))
 
 
-@query(f"""select {_rules_sql("('  ' || text)", T.ERROR_RULES, T.ERROR_ELSE)} as label, count(*) as n
-from (select text from {S(samples.LOGS)} union all select coalesce(text, '') from documents) group by 1""")
+@query(f"""select {_error_sql("('  ' || text)")} as label, count(*) as n
+from (select text from {LOGS_SQL} union all select coalesce(text, '') from documents) as every group by 1""")
 def classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.frame(spark, samples.LOGS).select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
+    rows = _logs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
     return _grouped(rows, T.classify_exception(F.lit(None), F.lit(None), F.col("text")))
 
 
@@ -551,14 +625,14 @@ SYMBOLS_SQL = """l as (select id, list_filter(list_transform(list_concat(regexp_
 sym as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:20] as s from l)"""
 
 
-@query(f"""with src as (select id, text from {S(samples.LOGS)} union all select cast(doc_id as varchar), coalesce(text, '') from documents), {SYMBOLS_SQL}
+@query(f"""with src as (select id, text from {LOGS_SQL} union all select cast(doc_id as varchar), coalesce(text, '') from documents), {SYMBOLS_SQL}
 select id, array_to_string(s, '|') as symbols from sym where len(s) > 0""")
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.frame(spark, samples.LOGS).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = _logs(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
     return rows.select("id", F.array_join(T.symbols(F.col("text")), "|").alias("symbols")).where("symbols <> ''")
 
 
-LOG_LINES_SQL = f"ln as (select id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {S(samples.LOGS)})"
+LOG_LINES_SQL = f"ln as (select id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {LOGS_SQL})"
 FRAME_SQL = r"""'^\s*File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+(.+))?\s*$'"""
 EXC_SQL = r"'^([A-Za-z0-9_.]+(?:Error|Exception|Interrupt))(?::\s*(.*))?$'"
 STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -569,13 +643,13 @@ fr as (select id, row_number() over (partition by id order by pos) as n, regexp_
   from nx where regexp_matches(line, {FRAME_SQL})),
 ex as (select id, pos, regexp_extract({STRIPPED.format('line')}, {EXC_SQL}, 1) as type, {STRIPPED.format(f"regexp_extract({STRIPPED.format('line')}, {EXC_SQL}, 2)")} as message from ln where regexp_matches({STRIPPED.format('line')}, {EXC_SQL})),
 fin as (select id, arg_max(type, pos) as type, arg_max(message, pos) as message, count(*) as n from ex group by id),
-lg as (select id, text, f.type, f.message, coalesce(f.n, 0) as n_exceptions from {S(samples.LOGS)} left join fin f using (id)),
-cat as (select *, {_rules_sql("(coalesce(type, '') || ' ' || coalesce(message, '') || ' ' || text)", T.ERROR_RULES, T.ERROR_ELSE)} as category from lg)"""
+lg as (select id, text, f.type, f.message, coalesce(f.n, 0) as n_exceptions from {LOGS_SQL} left join fin f using (id)),
+cat as (select *, {_error_sql("(coalesce(type, '') || ' ' || coalesce(message, '') || ' ' || text)")} as category from lg)"""
 
 
 @query(f"with {LOG_LINES_SQL}, {FRAMES_SQL} select id, (select count(*) from fr where fr.id = c.id) as frame_count, n_exceptions as exception_count, type as final_type, message as final_message, category from cat c")
 def parse_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = diagnosis.parse_logs(samples.frame(spark, samples.LOGS), "id")
+    parsed = diagnosis.parse_logs(_logs(spark, sf_dir), "id")
     return parsed.select(
         "id", F.size("frames").cast("long").alias("frame_count"), F.size("exception_chain").cast("long").alias("exception_count"),
         F.col("final_exception.type").alias("final_type"), F.col("final_exception.message").alias("final_message"), "category",
@@ -584,7 +658,7 @@ def parse_traceback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LOG_LINES_SQL}, {FRAMES_SQL} select * from fr")
 def traceback_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.frame(spark, samples.LOGS).select("id", F.posexplode(diagnosis.frames(F.col("text"))).alias("n", "f"))
+    rows = _logs(spark, sf_dir).select("id", F.posexplode(diagnosis.frames(F.col("text"))).alias("n", "f"))
     return rows.select("id", (F.col("n") + 1).cast("long").alias("n"), "f.*")
 
 
@@ -592,25 +666,25 @@ LOOSE_SQL = r"""'File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+([^\n]+))?'"""
 
 
 @query(f"""with g as (select id, regexp_extract_all(text, {LOOSE_SQL}, 1) as a, regexp_extract_all(text, {LOOSE_SQL}, 2) as b, regexp_extract_all(text, {LOOSE_SQL}, 3) as c,
-  regexp_extract_all(text, '(?m)^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception)):\\s*(.*)$', 1)[-1] as last_type from {S(samples.LOGS)})
+  regexp_extract_all(text, '(?m)^([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception)):\\s*(.*)$', 1)[-1] as last_type from {LOGS_SQL})
 select id, cast(len(a) as bigint) as frames, array_to_string(a, '|') as files, array_to_string(b, '|') as lines, array_to_string(list_transform(c, lambda x: coalesce(x, '')), '|') as functions, last_type from g""")
 def loose_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.frame(spark, samples.LOGS).select("id", diagnosis.loose_frames(F.col("text")).alias("f"), diagnosis.loose_exception(F.col("text")).alias("e"))
+    rows = _logs(spark, sf_dir).select("id", diagnosis.loose_frames(F.col("text")).alias("f"), diagnosis.loose_exception(F.col("text")).alias("e"))
     return rows.select(
         "id", F.size("f").cast("long").alias("frames"), F.array_join("f.file", "|").alias("files"), F.array_join(F.transform("f", lambda x: x["line"].cast("string")), "|").alias("lines"),
         F.array_join("f.function", "|").alias("functions"), F.col("e.type").alias("last_type"),
     )
 
 
-@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, repo as (select path, lower(path) as low from {S(samples.REPOSITORY)}),
+@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, repo as (select path, lower(path) as low from {REPOSITORY_SQL}),
 asked as (select id, n, file, lower(replace(file, chr(92), '/')) as low from fr)
 select id, n, file, coalesce((select min(path) from repo r where a.low = r.low or ends_with(a.low, '/' || r.low)),
   (select case when count(*) = 1 then min(path) end from repo r where string_split(r.low, '/')[-1] = string_split(a.low, '/')[-1])) as repository_file from asked a""")
 def resolve_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnosis.resolve_frames(traceback_frames(spark, sf_dir).select("id", "n", "file"), samples.frame(spark, samples.REPOSITORY))
+    return diagnosis.resolve_frames(traceback_frames(spark, sf_dir).select("id", "n", "file"), _repository(spark, sf_dir))
 
 
-@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, src as (select id, text from {S(samples.LOGS)}), {SYMBOLS_SQL},
+@query(f"""with {LOG_LINES_SQL}, {FRAMES_SQL}, src as (select id, text from {LOGS_SQL}), {SYMBOLS_SQL},
 parts as (select id, 0 as a, 0 as b, 0 as c, left({STRIPPED.format("concat_ws(' ', type, message)")}, 500) as q from cat where type is not null
   union all select id, 1, 0, 0, category from cat where category <> 'unknown'
   union all select id, 2, -n, 0, function from fr where function <> '<module>' union all select id, 2, -n, 1, left(source_line, 300) from fr
@@ -620,30 +694,30 @@ fi as (select *, row_number() over (partition by id, lower(q) order by a, b, c)
 rk as (select *, row_number() over (partition by id order by a, b, c) as n from fi where dup = 1)
 select id, string_agg(q, '|' order by n) as queries from rk where n <= 5 group by id""")
 def search_query_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = diagnosis.search_queries(diagnosis.parse_logs(samples.frame(spark, samples.LOGS), "id"))
+    found = diagnosis.search_queries(diagnosis.parse_logs(_logs(spark, sf_dir), "id"))
     return found.select("id", F.array_join("queries", "|").alias("queries")).where("queries <> ''")
 
 
-CITED_SQL = f"""pl as (select id, regexp_replace(text, '(?s)```.*?(?:```|\\z)', '', 'g') as t from {S(samples.ANSWERS)}),
+CITED_SQL = f"""pl as (select id, regexp_replace(text, '(?s)```.*?(?:```|\\z)', '', 'g') as t from {ANSWERS_SQL}),
 ca as (select id, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 1) as f, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 2) as s, regexp_extract_all(t, '\\[([^\\[\\]:\\n]+):([0-9]+)-([0-9]+)\\]', 3) as e from pl),
 cited as (select id, i - 1 as pos, trim(f[i]) as file, s[i]::bigint as start_line, e[i]::bigint as end_line from (select *, unnest(range(1, len(f) + 1)) as i from ca))"""
 
 
 @query(f"with {CITED_SQL} select * from cited")
 def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.extract_citations(samples.frame(spark, samples.ANSWERS), "id")
+    return evidence.extract_citations(_answers(spark, sf_dir), "id")
 
 
-CHECKED_SQL = f"""{CITED_SQL}, ev as (select distinct id, lower(replace(file, chr(92), '/')) as file, start_line, end_line from {S(samples.EVIDENCE)} where file <> '' and start_line >= 1 and end_line >= start_line),
-repo as (select lower(path) as file, total_lines from {S(samples.REPOSITORY)}),
+CHECKED_SQL = f"""{CITED_SQL}, ev as (select distinct id, lower(replace(file, chr(92), '/')) as file, start_line, end_line from {EVIDENCE_SQL} where file <> '' and start_line >= 1 and end_line >= start_line),
+repo as (select lower(path) as file, total_lines from {CITED_FILES_SQL}),
 checked as (select c.id, c.pos, c.file, c.start_line, c.end_line, case when r.total_lines is null then 'file_not_found' when c.start_line < 1 then 'start_before_first_line' when c.end_line < c.start_line then 'end_before_start'
     when c.end_line > r.total_lines then 'end_after_last_line' when not exists (select 1 from ev where ev.id = c.id and ev.file = lower(replace(c.file, chr(92), '/')) and c.start_line >= ev.start_line and c.end_line <= ev.end_line) then 'unsupported' end as reason
   from cited c left join repo r on r.file = lower(replace(c.file, chr(92), '/')))"""
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = samples.frame(spark, samples.REPOSITORY).withColumnRenamed("path", "file")
-    return evidence.check_citations(extract_citations(spark, sf_dir), samples.frame(spark, samples.EVIDENCE), files, "id")
+    files = _cited_files(spark, sf_dir).withColumnRenamed("path", "file")
+    return evidence.check_citations(extract_citations(spark, sf_dir), _evidence(spark, sf_dir), files, "id")
 
 
 @query(f"with {CHECKED_SQL} select * from checked")
@@ -652,34 +726,146 @@ def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CHECKED_SQL}, n as (select id, count(*) as c, count(*) filter (where reason is null) as v from checked group by id)
-select a.id, coalesce(c, 0) as citation_count, coalesce(v, 0) as valid_count, coalesce(c - v, 0) as invalid_count, coalesce(c - v, 0) = 0 and coalesce(c, 0) > 0 as valid from {S(samples.ANSWERS).replace(' as t(', ' as a(')} left join n on n.id = a.id""")
+select a.id, coalesce(c, 0) as citation_count, coalesce(v, 0) as valid_count, coalesce(c - v, 0) as invalid_count, coalesce(c - v, 0) = 0 and coalesce(c, 0) > 0 as valid from {ANSWERS_SQL.replace(' as answers_', ' as a')} left join n on n.id = a.id""")
 def citation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.citation_report(samples.frame(spark, samples.ANSWERS), _checked(spark, sf_dir), "id")
+    return evidence.citation_report(_answers(spark, sf_dir), _checked(spark, sf_dir), "id")
 
 
 JSON_SQL = r"""inner_ as (select id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?is)^```(?:json)?\s*(.*?)\s*```$', '\1') as t from {}),
 both_ as (select id, regexp_replace(t, '^\s+|\s+$', '', 'g') as t, regexp_extract(t, '(?s)(\{{.*\}})', 1) as b from inner_)"""
 
 
-@query(f"with {JSON_SQL.format(S(samples.MODEL_JSON))} select id, case when json_valid(t) and json_type(t) = 'OBJECT' then t when b <> '' and json_valid(b) and json_type(b) = 'OBJECT' then b end as repaired from both_")
+@query(f"with {JSON_SQL.format(MODEL_JSON_SQL)} select id, case when json_valid(t) and json_type(t) = 'OBJECT' then t when b <> '' and json_valid(b) and json_type(b) = 'OBJECT' then b end as repaired from both_")
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.frame(spark, samples.MODEL_JSON).select("id", T.repair_json_object(F.col("text")).alias("repaired"))
-
-
-@query("""select * from (values ('ok', null), ('direct', null), ('no_fields', 'missing_fields:arguments,tool_name'), ('array', 'not_an_object'), ('decision', 'unknown_decision'), ('arguments', 'arguments_not_an_object'),
-  ('direct_tool', 'direct_with_tool'), ('direct_args', 'direct_with_arguments'), ('tool_type', 'tool_name_not_a_string'), ('tool', 'unknown_tool'), ('missing', 'missing_arguments:instruction,relative_path'),
-  ('unknown', 'unknown_arguments'), ('type', 'wrong_type:top_k'), ('blank', 'blank:query'), ('low', 'below_minimum:top_k'), ('high', 'above_maximum:context_lines'), ('optional', null)) as t(id, error)""")
+    return _model_json(spark, sf_dir).select("id", T.repair_json_object(F.col("text")).alias("repaired"))
+
+
+def _made_json(kind: str) -> str:
+    """SQL of JSON texts made of events, a broken one for every rule."""
+    return {
+        "target": """case event_id % 12 when 0 then '{"decision": "answer_directly", "tool_name": null, "arguments": {}}' when 1 then '{"decision": "' || event_type || '", "tool_name": null, "arguments": ' || props || '}'
+    when 2 then '{"decision": "call_tool", "tool_name": "' || event_type || '", "arguments": ' || props || '}' when 3 then '{"decision": "call_tool", "tool_name": "analyze_code", "arguments": ' || props || '}'
+    when 4 then '{"decision": "answer_directly", "tool_name": null, "arguments": ' || props || '}' when 5 then '{"decision": "call_tool", "arguments": ' || props || '}' when 6 then props || ' tail'
+    when 7 then '{"decision": "call_tool", "tool_name": "search_codebase", "arguments": {"query": "' || event_type || '", "top_k": ' || (event_id % 14) || '}}' when 8 then '{"decision": "call_tool", "tool_name": "complete_code", "arguments": {"relative_path": "a", "instruction": " ", "start_line": ' || (event_id % 3) || '}}'
+    when 9 then '{"decision": "call_tool", "tool_name": "analyze_log", "arguments": {"log_text": "x", "context_lines": ' || (event_id % 40) || '}}' when 10 then '{"decision": "call_tool", "tool_name": "analyze_log", "arguments": {"log_text": ' || event_id || '}}'
+    else '{"decision": "call_tool", "tool_name": ' || event_id || ', "arguments": [1]}' end""",
+    }[kind]
+
+
+# The rules of a target, written out for SQL by hand: (priority, code) of every rule that is broken, the least counts.
+TARGET_RULES_SQL = """args(tool, name, kind, required, least, most) as (values ('search_codebase', 'query', 's', true, null, null), ('search_codebase', 'top_k', 'i', false, 1, 10), ('analyze_code', 'relative_path', 's', true, null, null),
+  ('analyze_log', 'log_text', 's', true, null, null), ('analyze_log', 'context_lines', 'i', false, 1, 30), ('complete_code', 'relative_path', 's', true, null, null), ('complete_code', 'instruction', 's', true, null, null),
+  ('complete_code', 'start_line', 'i', false, 1, null), ('complete_code', 'end_line', 'i', false, 1, null), ('generate_tests', 'relative_path', 's', true, null, null), ('generate_tests', 'target_name', 's', false, null, null),
+  ('generate_dockerfile', 'entrypoint', 's', false, null, null), ('generate_dockerfile', 'python_version', 's', false, null, null)),
+placed as (select *, row_number() over () as place from args),
+j as (select id, case when json_valid(text) and json_type(text) = 'OBJECT' then text::json end as j from src),
+p as (select id, j, json_keys(j) as keys, json_extract_string(j, '$.decision') as decision, json_type(j, '$.tool_name') as tool_kind, json_extract_string(j, '$.tool_name') as tool, json_type(j, '$.arguments') as args_kind,
+  case when json_type(j, '$.arguments') = 'OBJECT' then json_extract(j, '$.arguments') end as a, case when json_type(j, '$.arguments') = 'OBJECT' then json_keys(j, '$.arguments') else [] end as given from j),
+broken as (
+  select id, 1 as priority, 'not_an_object' as code from p where j is null
+  union all select id, 2, 'missing_fields:' || array_to_string(list_filter(['arguments', 'decision', 'tool_name'], lambda x: not list_contains(keys, x)), ',') from p where j is not null and len(list_filter(['arguments', 'decision', 'tool_name'], lambda x: not list_contains(keys, x))) > 0
+  union all select id, 3, 'unknown_decision' from p where coalesce(decision not in ('call_tool', 'answer_directly'), true)
+  union all select id, 4, 'arguments_not_an_object' from p where coalesce(args_kind <> 'OBJECT', true)
+  union all select id, 5, 'direct_with_tool' from p where decision = 'answer_directly' and tool_kind <> 'NULL'
+  union all select id, 6, 'direct_with_arguments' from p where decision = 'answer_directly' and len(given) > 0
+  union all select id, 7, 'tool_name_not_a_string' from p where decision = 'call_tool' and coalesce(tool_kind <> 'VARCHAR', true)
+  union all select id, 8, 'unknown_tool' from p where decision = 'call_tool' and tool not in ('search_codebase', 'analyze_code', 'analyze_log', 'complete_code', 'generate_tests', 'generate_dockerfile')
+  union all select p.id, 9, 'missing_arguments:' || string_agg(r.name, ',' order by r.name) from p join args r on r.tool = p.tool and r.required and not list_contains(given, r.name) where decision = 'call_tool' group by p.id
+  union all select p.id, 10, 'unknown_arguments' from p join (select tool, list(name) as names from args group by tool) r on r.tool = p.tool where decision = 'call_tool' and len(list_filter(given, lambda x: not list_contains(r.names, x))) > 0
+  union all select p.id, 100 * r.place + 1, 'wrong_type:' || r.name from p join placed r on r.tool = p.tool and list_contains(given, r.name) where decision = 'call_tool' and json_type(a, '$.' || r.name) not in (case r.kind when 's' then 'VARCHAR' else 'UBIGINT' end, case r.kind when 's' then 'VARCHAR' else 'BIGINT' end)
+  union all select p.id, 100 * r.place + 2, 'blank:' || r.name from p join placed r on r.tool = p.tool and list_contains(given, r.name) where decision = 'call_tool' and r.kind = 's' and not regexp_matches(json_extract_string(a, '$.' || r.name), '\\S')
+  union all select p.id, 100 * r.place + 3, 'below_minimum:' || r.name from p join placed r on r.tool = p.tool and list_contains(given, r.name) where decision = 'call_tool' and r.kind = 'i' and try_cast(json_extract_string(a, '$.' || r.name) as bigint) < r.least
+  union all select p.id, 100 * r.place + 4, 'above_maximum:' || r.name from p join placed r on r.tool = p.tool and list_contains(given, r.name) where decision = 'call_tool' and r.kind = 'i' and try_cast(json_extract_string(a, '$.' || r.name) as bigint) > r.most),
+told as (select s.id, arg_min(b.code, b.priority) as error from src s left join broken b on b.id = s.id group by s.id)"""
+TARGETS_SQL = f"(select id, text from {S(samples.TARGETS)} union all select 'e' || event_id, {_made_json('target')} from events)"
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "events").select(_id("e", "event_id"), F.expr(_made_json("target")).alias("text"))
+    return samples.frame(spark, samples.TARGETS).unionByName(made)
+
+
+@query(f"with src as (select * from {TARGETS_SQL}), {TARGET_RULES_SQL} select * from told")
 def validate_route_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.frame(spark, samples.TARGETS).select("id", curation.target_error(F.col("text")).alias("error"))
+    return _targets(spark, sf_dir).select("id", curation.target_error(F.col("text")).alias("error"))
+
+
+MADE_SAMPLE = """case event_id % 7 when 0 then '{"id": "s' || event_id || '", "user_query": "' || event_type || '", "target": ' || t || ', "metadata": ' || m || '}' when 1 then '{"id": " ", "user_query": "q", "target": ' || t || ', "metadata": ' || m || '}'
+  when 2 then '{"id": "s", "user_query": 5, "target": ' || t || ', "metadata": ' || m || '}' when 3 then '{"id": "s", "target": ' || t || '}' when 4 then '[' || m || ']'
+  else '{"metadata": ' || m || ', "target": ' || t || ', "user_query": "x", "id": "y"}' end"""
+MADE_META = """case event_id % 8 when 0 then props when 1 then '{"difficulty": "easy", "group_id": "g", "source": "' || event_type || '"}' when 2 then '{"difficulty": "' || event_type || '", "group_id": "g", "source": "manual"}'
+  when 3 then '{"difficulty": "hard", "group_id": "", "source": "manual"}' when 4 then '{"difficulty": "hard", "group_id": 4, "source": "manual"}' when 5 then '"text"' else '{"difficulty": "medium", "group_id": "g1", "source": "ai_assisted", "more": 1}' end"""
+
+
+@query(f"""with raw as (select event_id, event_type, {_made_json('target')} as t, {MADE_META} as m from events), made as (select event_id, event_type, case when json_valid(t) then t else 'null' end as t, m from raw), src as (select 'e' || event_id as id, t as text from made), {TARGET_RULES_SQL},
+samples as (select event_id, {MADE_SAMPLE} as text, m from made), o as (select *, case when json_type(text) = 'OBJECT' then json_keys(text) end as keys from samples),
+meta as (select event_id, case when json_type(m) <> 'OBJECT' then 'metadata_not_an_object' when len(list_filter(['difficulty', 'group_id', 'source'], lambda x: not list_contains(json_keys(m), x))) > 0
+    then 'missing_metadata:' || array_to_string(list_filter(['difficulty', 'group_id', 'source'], lambda x: not list_contains(json_keys(m), x)), ',')
+  when json_type(m, '$.difficulty') <> 'VARCHAR' or json_extract_string(m, '$.difficulty') not in ('easy', 'medium', 'hard') then 'unknown_difficulty' when json_type(m, '$.group_id') <> 'VARCHAR' or trim(json_extract_string(m, '$.group_id')) = '' then 'blank_group_id'
+  when json_type(m, '$.source') <> 'VARCHAR' or json_extract_string(m, '$.source') not in ('manual', 'ai_assisted') then 'unknown_source' end as error from made)
+select o.event_id, case when keys is null then 'not_an_object' when len(list_filter(['id', 'metadata', 'target', 'user_query'], lambda x: not list_contains(keys, x))) > 0 then 'missing_fields:' || array_to_string(list_filter(['id', 'metadata', 'target', 'user_query'], lambda x: not list_contains(keys, x)), ',')
+  when json_type(text, '$.id') <> 'VARCHAR' or trim(json_extract_string(text, '$.id')) = '' then 'blank_id' when json_type(text, '$.user_query') <> 'VARCHAR' or trim(json_extract_string(text, '$.user_query')) = '' then 'blank_user_query'
+  else coalesce(told.error, meta.error) end as error
+from o join told on told.id = 'e' || o.event_id join meta on meta.event_id = o.event_id""")
+def sample_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(_made_json("target")).alias("t"), F.expr(MADE_META).alias("m"))
+    made = made.withColumn("t", F.when(F.expr("event_id % 12") == 6, "null").otherwise(F.col("t")))
+    return made.select("event_id", curation.sample_error(F.expr(MADE_SAMPLE)).alias("error"))
+
+
+MADE_JUDGMENT = """case doc_id % 9 when 0 then '{"answer_supported": true, "hallucination": ' || case when toxic = 1 then 'true' else 'false' end || ', "relevance_score": ' || (doc_id % 7) || ', "unsupported_claims": [], "reason": "r"}'
+  when 1 then '{"answer_supported": ' || quality || ', "hallucination": false}' when 2 then '{"answer_supported": true, "hallucination": false, "relevance_score": true, "unsupported_claims": [], "reason": "r"}'
+  when 3 then '{"answer_supported": true, "hallucination": false, "relevance_score": null, "unsupported_claims": [], "reason": "r"}' when 4 then '{"answer_supported": true, "hallucination": false, "relevance_score": 3, "unsupported_claims": "none", "reason": "r"}'
+  when 5 then '{"answer_supported": true, "hallucination": false, "relevance_score": 3, "unsupported_claims": [], "reason": ' || doc_id || '}' when 6 then '{"answer_supported": true, "hallucination": false, "relevance_score": 3, "unsupported_claims": [], "reason": "", "evidence_support_score": ' || (doc_id % 8) || '}'
+  when 7 then '{"answer_supported": true, "hallucination": false, "relevance_score": 3, "unsupported_claims": [], "reason": "", "citation_support_score": "4", "evidence_support_score": null}' else 'no object' end"""
+
+
+def _score_sql(name: str) -> str:
+    kind = f"coalesce(json_type(j, '$.{name}'), 'NULL')"
+    return f"when {kind} not in ('NULL', 'UBIGINT', 'BIGINT') then 'not_an_integer:{name}' when {kind} <> 'NULL' and cast(json_extract_string(j, '$.{name}') as bigint) not between 1 and 5 then 'out_of_range:{name}'"
+
+
+@query(f"""with j as (select doc_id, case when json_valid(t) then t end as j from (select doc_id, {MADE_JUDGMENT} as t from labels))
+select doc_id, case when j is null then 'not_an_object' when coalesce(json_type(j, '$.answer_supported') <> 'BOOLEAN', true) then 'not_a_flag:answer_supported' when coalesce(json_type(j, '$.hallucination') <> 'BOOLEAN', true) then 'not_a_flag:hallucination'
+  {_score_sql('relevance_score')} when coalesce(json_type(j, '$.relevance_score'), 'NULL') = 'NULL' then 'missing:relevance_score' when coalesce(json_type(j, '$.unsupported_claims') <> 'ARRAY', true) then 'not_a_list:unsupported_claims'
+  when coalesce(json_type(j, '$.reason') <> 'VARCHAR', true) then 'not_a_string:reason' {_score_sql('evidence_support_score')} {_score_sql('citation_support_score')} end as error from j""")
+def judgment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", curation.judgment_error(F.expr(MADE_JUDGMENT)).alias("error"))
+
+
+@query("""with q as (select lang || doc_id % 400 as id, case when doc_id % 50 = 0 then null else source end as repository_id, case when doc_id % 11 = 0 then 'train' when doc_id % 2 = 0 then 'dev' else 'test' end as split,
+    case doc_id % 8 when 0 then 'identifier' when 1 then 'natural_language' when 2 then 'colloquial_zh' when 3 then 'cross_file' when 4 then 'misleading_keyword' when 5 then 'irrelevant' when 6 then 'odd' else 'identifier' end as query_type,
+    case when doc_id % 17 = 0 then '  ' else left(text, 30) end as query, doc_id % 3 > 0 as should_retrieve, case when doc_id % 5 = 0 then [] else ['src1/' || doc_id || '.txt'] end as files, doc_id % 13 as chunks from documents where text is not null and lang is not null),
+w as (select *, lower(trim(query)) as q from q where repository_id is not null)
+select id, 'missing_fields' as rule, 'repository_id' as detail from q where repository_id is null
+union all select id, 'blank_query', '' from w where q = '' union all select id, 'unknown_query_type', query_type from w where query_type = 'odd' union all select id, 'unknown_split', split from w where split = 'train'
+union all select id, 'no_answers', '' from w where should_retrieve and len(files) = 0 union all select id, 'unwanted_answers', '' from w where not should_retrieve and (len(files) > 0 or chunks = 0)
+union all select id, 'repeated_id', cast(count(*) - 1 as varchar) from w group by id having count(*) > 1 union all select min(id), 'repeated_query', cast(count(*) - 1 as varchar) from w group by q having count(*) > 1
+union all select id, 'unknown_repository', repository_id from w where repository_id not in ('src1', 'src2', 'src3')
+union all select id, 'missing_file', unnest(files) from w where repository_id = 'src1' and (id is not null and len(files) > 0 and files[1] not in (select source || '/' || doc_id || '.txt' from documents where source is not null))""")
+def retrieval_dataset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    kinds = F.array(*[F.lit(k) for k in (*curation.QUERY_TYPES, "odd", "identifier")])
+    queries = docs.where("text is not null and lang is not null").select(
+        F.concat("lang", (i % 400).cast("string")).alias("id"), F.when(i % 50 != 0, F.col("source")).alias("repository_id"), F.when(i % 11 == 0, "train").when(i % 2 == 0, "dev").otherwise("test").alias("split"),
+        F.get(kinds, (i % 8).cast("int")).alias("query_type"), F.when(i % 17 == 0, "  ").otherwise(F.substring("text", 1, 30)).alias("query"), (i % 3 > 0).alias("should_retrieve"),
+        F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("src1/"), i.cast("string"), F.lit(".txt")))).alias("relevant_files"),
+        F.when(i % 13 == 0, F.array(F.lit("chunk"))).otherwise(F.array().cast("array<string>")).alias("relevant_chunks"),
+    )
+    known = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "id string")
+    files = docs.where("source is not null").select(F.concat("source", F.lit("/"), i.cast("string"), F.lit(".txt")).alias("path"))
+    return curation.retrieval_dataset_errors(queries, known, files, "src1")
 
 
 def _docker_sql() -> tuple[str, str]:
-    t = "coalesce(text, '')"
-    esc = lambda p: p.replace("'", "''")
-    errors = [f"case when not regexp_matches({t}, '{esc(p)}') then 'missing:{n}' end" for n, p in curation.DOCKERFILE_REQUIRED]
-    errors += [f"case when regexp_matches({t}, '{esc(p)}') then 'forbidden:{n}' end" for n, p in curation.DOCKERFILE_FORBIDDEN]
-    warnings = [f"case when not regexp_matches({t}, '{esc(p)}') then '{n}' end" for n, p in curation.DOCKERFILE_ADVISED]
-    return f"concat_ws(',', {', '.join(errors)})", f"concat_ws(',', {', '.join(warnings)})"
+    """The container file rules once more, by hand: every line is looked at apart."""
+    line = lambda p: f"len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), '{p}'))) > 0"
+    needs = {"FROM": r"^\s*from\s+\S", "WORKDIR": r"^\s*workdir\s+\S", "COPY": r"^\s*copy\s", "CMD_OR_ENTRYPOINT": r"^\s*(cmd|entrypoint)\s"}
+    bad = {"api_key": "regexp_matches(text, 'sk-[A-Za-z0-9_-]{10,}')", "plain_secret": """regexp_matches(lower(text), '(password|api_key|token)\\s*=\\s*["''][^"'']+["'']')""",
+           "chmod_777": line(r"\bchmod\s+777\b"), "remote_script": line(r"(curl|wget).*\|\s*(sh|bash)"), "sudo": line(r"\bsudo\b")}
+    advised = {"pip_install": r"^\s*run\s+.*pip\s+install", "USER": r"^\s*user\s+\S"}
+    errors = [f"case when not ({line(p)}) then 'missing:{n}' end" for n, p in needs.items()] + [f"case when {c} then 'forbidden:{n}' end" for n, c in bad.items()]
+    return f"concat_ws(',', {', '.join(errors)})", f"concat_ws(',', {', '.join(f'case when not ({line(p)}) then {chr(39)}{n}{chr(39)} end' for n, p in advised.items())})"
 
 
 @query(f"select id, case when trim(text) = '' then 'no_dockerfile' else {_docker_sql()[0]} end as errors, case when trim(text) = '' then '' else {_docker_sql()[1]} end as warnings from {S(samples.DOCKERFILES)}")
@@ -688,7 +874,7 @@ def dockerfile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.frame(spark, samples.DOCKERFILES).select("id", errors.alias("errors"), warnings.alias("warnings"))
 
 
-@query(f"""with n as (select doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', '', 'g'), '[{T.QUESTION_MARKS.replace("'", "''")}]', '', 'g') as q from documents)
+@query("""with n as (select doc_id, regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}，。！？、；：“”‘’（）,.!?;:"''()]', '', 'g') as q from documents)
 select min(doc_id) as doc_id from n where q <> '' group by q""")
 def query_normalise_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.first_keys(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -709,10 +895,11 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir)
 
 
-@query(f"with {SPLIT_SQL} select split, c_mktsegment, count(*) as samples, count(distinct c_custkey) as groups from orders join assigned on o_custkey = c_custkey group by all")
+@query(f"with {SPLIT_SQL} select split, c_mktsegment, count(*) as samples, count(distinct c_custkey) as groups, md5(array_to_string(list_sort(list(distinct c_custkey)), ',')) as group_ids_md5 from orders join assigned on o_custkey = c_custkey group by all")
 def group_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return curation.split_manifest(orders, _assigned(spark, sf_dir), "c_custkey", "c_mktsegment")
+    told = curation.split_manifest(orders, _assigned(spark, sf_dir), "c_custkey", "c_mktsegment", with_groups=True)
+    return told.select("split", "c_mktsegment", "samples", "groups", F.md5(F.array_join(F.transform("group_ids", lambda x: x.cast("string")), ",")).alias("group_ids_md5"))
 
 
 @query("select o_custkey, count(distinct o_orderpriority) as splits, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as in_splits from orders group by o_custkey having count(distinct o_orderpriority) > 1")
@@ -781,10 +968,10 @@ def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""with src as (select id, text from {S(samples.QUESTIONS)}) select id, {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} as intent,
-  {_rules_sql('text', T.INTENT_RULES, T.INTENT_ELSE)} <> 'general_question' as should_search, text as semantic_query, 0.5::double as confidence, 'rules' as rewrite_source from src""")
+@query(f"""with src as (select id, text from {QUESTIONS_SQL}) select id, {_intent_sql('text')} as intent,
+  {_intent_sql('text')} <> 'general_question' as should_search, text as semantic_query, 0.5::double as confidence, 'rules' as rewrite_source from src""")
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = providers.rewrite_by_rules(samples.frame(spark, samples.QUESTIONS), "text")
+    rows = providers.rewrite_by_rules(_questions(spark, sf_dir), "text")
     return rows.select("id", "intent", "should_search", "semantic_query", "confidence", "rewrite_source")
 
 
@@ -840,9 +1027,13 @@ def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.evidence_block(hits, ["item_id"], "rank").select("item_id", F.md5("evidence").alias("evidence_md5"))
 
 
-@query(f"""select id, case id when 'plain' then '{{"a": 1}}' when 'fenced' then '{{"a": [1, 2]}}' when 'wrapped' then '{{"b": {{"c": 2}}}}' when 'bare_fence' then '{{"x": "y"}}' end as object from {S(samples.MODEL_JSON)}""")
+@query(f"""with c as (select id, text, unnest(range(1, length(text) + 1)) as p from {MODEL_JSON_SQL}), o as (select * from c where substring(text, p, 1) = '{{'),
+e as (select *, unnest(list_filter(range(p, length(text) + 1), lambda q: substring(text, q, 1) = '}}')) as q from o), v as (select id, p, substring(text, p, q - p + 1) as j from e where json_valid(substring(text, p, q - p + 1))),
+f as (select id, arg_min(j, p) as j from v group by id), w as (select id, text from {MODEL_JSON_SQL})
+select w.id, json(f.j)::varchar as object from w left join f using (id)""")
 def json_object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projections.scanned_objects(samples.frame(spark, samples.MODEL_JSON), "id", "text")
+    found = projections.scanned_objects(_model_json(spark, sf_dir), "id", "text")
+    return found.select("id", F.try_parse_json("object").cast("string").alias("object"))
 
 
 @query("""select n as name, exists (select 1 from documents where contains(lower(text), lower(n))) or exists (select 1 from documents where lower(source || '/' || doc_id || '.txt') = lower(n) or ends_with(lower(source || '/' || doc_id || '.txt'), '/' || lower(n))) as exists_in_files
@@ -858,3 +1049,154 @@ def identifier_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ast_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = static_analysis.python_analysis(samples.frame(spark, samples.PYTHON_FILES))
     return projections.analysis_evidence(rows.where("error is null"))
+
+
+@query(f"with {_bm25_sql(10)} select item_id, doc_id, score, rank from bm25")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index, built once, and a search that reads the postings of its terms alone."""
+    index = retrieval.write_lexical_index(table(spark, sf_dir, "documents"), "doc_id", f"{shared_dir(spark)}/quern-lexical-{uuid.uuid4().hex}")
+    found = retrieval.search_lexical_index(table(spark, sf_dir, "benchmark"), index, "item_id", "doc_id", 10)
+    return found.select("item_id", "doc_id", "score", "rank")
+
+
+ASK_SQL = "case when item_id % 4 > 0 then 'where is load_part ' || text else text end"
+
+
+def _identifiers_sql(source: str) -> str:
+    return f"""idr as (select id, regexp_extract_all(text, '[A-Za-z0-9_./\\\\-]+') as r, regexp_extract_all(text, '[A-Za-z0-9_]+') as w, regexp_extract_all(text, '[A-Za-z0-9_.]+') as d from {source}),
+idl as (select id, list_concat(list_filter(list_transform(r, lambda x: regexp_extract(x, '^([A-Za-z0-9_./\\\\-]+\\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$', 1)), lambda x: x <> ''),
+  list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$')), list_filter(d, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+$')),
+  list_filter(w, lambda x: regexp_matches(x, '^(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)$'))) as l from idr),
+ident as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) as names from idl)"""
+
+
+SEARCHED_SQL = f"""question as (select item_id, {ASK_SQL} as text from benchmark), questions as (select item_id as id, text from question), {_identifiers_sql('questions')},
+wanted as (select q.item_id, q.text, q.text || case when len(names) > 0 then ' ' || array_to_string(names, ' ') else '' end as keywords from question q join ident on ident.id = q.item_id where {_intent_sql('q.text')} <> 'general_question'),
+{_dense_sql(30).replace('from benchmark b', 'from wanted b')}, gate as (select w.item_id, max(score) as top1, coalesce(max(score) < 0.38, true) as skipped from wanted w left join dense d using (item_id) group by w.item_id),
+passed as (select w.* from wanted w join gate using (item_id) where not skipped), {_bm25_sql(30, 'passed', 'keywords')},
+dense_all as (select d.* from dense d join passed using (item_id)),
+{FUSED_SQL.replace('from dense union', 'from dense_all union')}, {_ranked_sql(BOTH_FIRST, 20)}, qt as (select item_id, list_distinct({_tokens_sql('text')}) as q from passed),
+scored3 as (select h.item_id, h.doc_id, h.rrf_score, h.matched_by, h.rank as pre_rerank_rank, case when t.t is not null then round(coalesce(len(list_intersect(q.q, t.t)) / nullif(len(q.q), 0), 0), 6) end as reranker_score
+  from hybrid h join qt q using (item_id) left join tok t using (doc_id)),
+final as (select *, row_number() over (partition by item_id order by reranker_score desc nulls last, rrf_score desc, pre_rerank_rank, doc_id) as reranker_rank from scored3)"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 4 > 0, F.concat(F.lit("where is load_part "), "text")).otherwise(F.col("text")).alias("text"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    own = vectors.withColumnRenamed("doc_id", "item_id").join(asked.select("item_id"), "item_id", "left_semi")
+    return search.search(asked, table(spark, sf_dir, "documents"), vectors, "item_id", "doc_id", threshold=0.38, query_vectors=own)
+
+
+@query(f"with {SEARCHED_SQL.replace('where v.vec_id <> b.item_id', '')} select item_id, doc_id, pre_rerank_rank, reranker_rank, reranker_score, rrf_score, matched_by from final where reranker_rank <= 5")
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewriting, both gates, both retrievals, fusion and reranking in one call."""
+    hits, _ = _searched(spark, sf_dir)
+    return hits.select("item_id", "doc_id", "pre_rerank_rank", "reranker_rank", "reranker_score", "rrf_score", "matched_by")
+
+
+@query(f"""with {SEARCHED_SQL.replace('where v.vec_id <> b.item_id', '')}, n as (select item_id, count(*) as hits from final where reranker_rank <= 5 group by item_id)
+select q.item_id, g.top1, case when g.item_id is null then 'no_search_needed' when skipped then 'below_threshold' when n.hits is null then 'no_hits' end as reason, coalesce(n.hits, 0) as hits from question q left join gate g using (item_id) left join n using (item_id)""")
+def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, told = _searched(spark, sf_dir)
+    return told.select("item_id", "top1", "reason", "hits")
+
+
+@query(f"""with {FILES_SQL}, f as (select file, {LINES} as lines from files),
+s as (select file, lines, unnest(range(0, greatest(len(lines) - 10 - 1, 0) + 1, 70)) as s from f where len(lines) > 0)
+select file || ':' || (s + 1) || '-' || least(s + 80, len(lines)) as chunk_id, file, s + 1 as start_line, least(s + 80, len(lines)) as end_line, case when ends_with(file, '.py') then 'python_text' else 'text' end as chunk_type,
+  md5(array_to_string(lines[s + 1 : s + 80], chr(10))) as content_md5 from s""")
+def repository_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file in chunks, Python sources apart; prose that bears a source's name doesn't parse and goes in windows too."""
+    rows = corpus.chunk_table(_files(spark, sf_dir).select(F.col("file").alias("path"), "text"))
+    return rows.select("chunk_id", "file", "start_line", "end_line", "chunk_type", F.md5(F.regexp_replace("content", "\n$", "")).alias("content_md5"))
+
+
+@query(f"""with logs as (select * from {LOGS_SQL}), g as (select id, unnest(regexp_extract_all(text, {LOOSE_SQL}, 1)) as file, unnest(regexp_extract_all(text, {LOOSE_SQL}, 2)) as line, unnest(regexp_extract_all(text, {LOOSE_SQL}, 3)) as function,
+  generate_subscripts(regexp_extract_all(text, {LOOSE_SQL}, 1), 1) as n from logs), docs as (select source || '/' || doc_id || '.txt' as path, {LINES} as lines from documents where source is not null),
+r as (select g.*, d.path, d.lines from g left join docs d on lower(replace(g.file, chr(92), '/')) = lower(d.path) or ends_with(lower(replace(g.file, chr(92), '/')), '/' || lower(d.path)))
+select id, n, path as repository_file, greatest(line::bigint - 8, 1) as start_line, case when path is not null then least(line::bigint + 8, len(lines)) end as end_line,
+  md5(case when len(lines) >= greatest(line::bigint - 8, 1) then array_to_string(lines[greatest(line::bigint - 8, 1) : line::bigint + 8], chr(10)) end) as context_md5 from r""")
+def analyze_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of logs with their files and the lines around them."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    files = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    _, frames = diagnosis.analysed_logs(_logs(spark, sf_dir), files, "id")
+    return frames.select("id", "n", "repository_file", "start_line", "end_line", F.md5("context").alias("context_md5"))
+
+
+@query("""with e as (select *, event_type in ('click', 'view', 'purchase') as should_retrieve, case when event_id % 4 = 0 then 'rules' else 'model' end as src, event_id % 9 = 0 as skipped, case when event_id % 9 = 0 then 0 else event_id % 6 end as retrieved from events)
+select count(*) as queries, round(avg(value), 6) as mean_latency_ms, round(avg(value / 4), 6) as mean_rewrite_ms, round(avg(value / 2), 6) as mean_retrieval_ms, count(*) filter (where src = 'rules') as fallbacks, count(*) filter (where event_id % 8 = 0) as failures,
+  count(*) filter (where skipped) as skipped, count(*) filter (where event_id % 5 > 0) as reranker_used, count(*) filter (where not skipped and retrieved > 0 and should_retrieve) as fused_relevant, count(*) filter (where not skipped and retrieved > 0 and not should_retrieve) as fused_irrelevant from e""")
+def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(
+        F.col("event_type").isin("click", "view", "purchase").alias("should_retrieve"), F.when(i % 4 == 0, "rules").otherwise("model").alias("rewrite_source"), F.when(i % 8 == 0, "timeout").alias("rewrite_error"),
+        (i % 9 == 0).alias("skipped"), F.when(i % 5 > 0, "scored").otherwise("fallback").alias("reranker_status"), F.when(i % 9 == 0, 0).otherwise(i % 6).alias("retrieved"),
+        F.col("value").alias("latency_ms"), (F.col("value") / 4).alias("rewrite_ms"), (F.col("value") / 2).alias("retrieval_ms"),
+    )
+    return evaluation.conditional_counts(rows)
+
+
+MADE_ARGUMENTS = "case event_id % 6 when 0 then null when 1 then '  ' when 2 then props when 3 then '[' || props || ']' when 4 then left(props, 5) else ' ' || props || ' ' end"
+
+
+@query(f"""with a as (select event_id, trim({MADE_ARGUMENTS}) as t, value from events), b as (select event_id, value, coalesce(nullif(t, ''), '{{}}') as t from a)
+select event_id, case when json_valid(t) and json_type(t) = 'OBJECT' then t end as arguments, case when not json_valid(t) then 'not_json' when json_type(t) <> 'OBJECT' then 'not_an_object' end as error,
+  case when value is null then '-' else printf('%.4f', round(value, 2)) end as number, case when event_id % 10 = 0 then '-' else printf('%.2f%%', (event_id % 100)::double) end as percent from b""")
+def tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arguments, error = T.tool_arguments(F.expr(MADE_ARGUMENTS))
+    share = F.when(F.col("event_id") % 10 != 0, (F.col("event_id") % 100) / 100)
+    return table(spark, sf_dir, "events").select("event_id", arguments.alias("arguments"), error.alias("error"), T.show_number(F.round("value", 2)).alias("number"), T.show_percent(share).alias("percent"))
+
+
+@query("""with a as (select doc_id, case doc_id % 3 when 0 then 'Here:' || chr(10) || '```dockerfile' || chr(10) || 'FROM a' || doc_id || chr(10) || '```' || chr(10) || 'and' || chr(10) || '```py' || chr(10) || 'x = ' || doc_id || chr(10) || '```'
+  when 1 then '```' || chr(10) || 'no' || chr(10) || '```' || chr(10) || '```' || chr(10) || 'FROM b' || doc_id || chr(10) || '```' else left(text, 30) end as t from documents where text is not null)
+select doc_id, case doc_id % 3 when 0 then 'FROM a' || doc_id when 1 then 'FROM b' || doc_id end as dockerfile, case doc_id % 3 when 0 then 'dockerfile,py' when 1 then ',' else '' end as languages,
+  case doc_id % 3 when 0 then 'Dockerfile,snippet.py' when 1 then 'snippet.txt,snippet.txt' else '' end as names from a where not contains(t, '```') or doc_id % 3 < 2""")
+def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, d = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    first = F.concat(F.lit("Here:\n```dockerfile\nFROM a"), d, F.lit("\n```\nand\n```py\nx = "), d, F.lit("\n```"))
+    second = F.concat(F.lit("```\nno\n```\n```\nFROM b"), d, F.lit("\n```"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.when(i == 0, first).when(i == 1, second).otherwise(F.substring("text", 1, 30)).alias("t"))
+    blocks = curation.code_blocks(F.col("t"))
+    return rows.select(
+        "doc_id", curation.extract_dockerfile(F.col("t")).alias("dockerfile"), F.array_join(F.transform(blocks, lambda b: b["language"]), ",").alias("languages"),
+        F.array_join(F.transform(blocks, lambda b: b["file_name"]), ",").alias("names"),
+    )
+
+
+@query(f"""with {_bm25_sql(5)}, h as (select item_id, rank, source || '/' || doc_id as file, case when length(text) > 5000 then left(text, 5000) || chr(10) || '...truncated...' else text end as content, text from bm25 join documents using (doc_id))
+select item_id, count(*) as hits, md5(string_agg(file || content, '|' order by rank)) as pruned_md5, md5(string_agg(file || left(text, 1500), '|' order by rank)) as judged_md5 from h group by item_id""")
+def hit_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits pruned to their nine fields, and as a judge reads them."""
+    hits = _bm25(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    whole = hits.select(
+        "item_id", "rank", F.concat_ws("/", "source", "doc_id").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("text").alias("chunk_type"), F.lit(None).cast("string").alias("name"),
+        F.col("text").alias("content"), F.lit(0.0).alias("rrf_score"), F.lit(None).cast("long").alias("dense_rank"), F.col("rank").alias("bm25_rank"),
+    )
+    pruned = projections.pruned_hits(whole, keep=("item_id", "rank")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("file", "content").alias("t")))).alias("p"))
+    judged = whole.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file", "start_line", "end_line", "content"))).alias("e"))
+    joined = lambda c: F.md5(F.array_join(c, "|"))
+    return pruned.join(judged, "item_id").select(
+        "item_id", F.size("p").cast("long").alias("hits"), joined(F.transform("p", lambda x: x["t"])).alias("pruned_md5"),
+        joined(F.transform(projections.judge_evidence(F.col("e")), lambda x: F.concat(x["file"], x["content_preview"]))).alias("judged_md5"),
+    )
+
+
+@query("""with w as (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as n from events), gone as (select event_id from events where user_id % 4 = 0)
+select w.user_id, w.event_id as last_event, (select count(*) from events e where e.user_id = w.user_id and e.event_id not in (select event_id from gone)) as stale from w where n = 1""")
+def last_and_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each user, and finished rows whose work is gone."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    stale = curation.stale(e, e.where("user_id % 4 = 0"), "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("stale"))
+    last = diagnosis.last_by(e, "user_id", "event_id")
+    return last.join(stale, "user_id", "left").select("user_id", F.col("event_id").alias("last_event"), F.coalesce("stale", F.lit(0)).cast("long").alias("stale"))
+
+
+@query(f"""with q as (select id, text from {QUESTIONS_SQL}), low as (select id, text, lower(text) as low from q)
+select id, case when contains(low, 'traceback') or contains(low, 'error') then 'analyze_log' when contains(low, 'docker') then 'generate_dockerfile' when regexp_matches(low, '[.]py|_|代码|函数|code') then 'search_codebase' end as pred_tool,
+  case when regexp_matches(low, 'traceback|error|docker|[.]py|_|代码|函数|code') then 'call_tool' else 'answer_directly' end as pred_decision, true as json_valid, true as schema_valid from low""")
+def route_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions through the router's stand-in, parsed and checked as a model's answers are."""
+    return providers.route(_questions(spark, sf_dir), "text").select("id", "pred_tool", "pred_decision", "json_valid", "schema_valid")
