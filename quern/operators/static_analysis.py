@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_FUNCTION, HIGH_COMPLEXITY = 50, 10
+UNPARSED = (SyntaxError, ValueError, MemoryError, RecursionError)  # the parser's stack overflows on texts that nest too deep
 _ABSOLUTE = re.compile(r"[A-Za-z]:[\\/]|/")
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler)
@@ -52,7 +53,7 @@ def analyse_source(source: str) -> dict:
     """Imports, classes, functions and warnings in document order. Raises ValueError where the source doesn't parse."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError) as error:
+    except UNPARSED as error:
         raise ValueError(f"line {getattr(error, 'lineno', None)}: {error}") from error
     out: dict = {"total_lines": len(source.splitlines()), "imports": [], "classes": [], "functions": [], "warnings": []}
 
@@ -112,7 +113,7 @@ def chunk_source(source: str, chunk_lines: int = 80, overlap: int = 10) -> list[
         return []
     try:
         nodes = [n for n in ast.parse(source).body if isinstance(n, _DEFS)]
-    except (SyntaxError, ValueError):
+    except UNPARSED:
         nodes = []
     if not nodes:
         starts = range(0, max(len(lines) - overlap, 1), chunk_lines - overlap)

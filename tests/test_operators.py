@@ -108,6 +108,8 @@ def test_chunks_cover_the_file():
     got = static_analysis.chunk_source(source)
     assert [(a, b, k, n) for a, b, k, n, _ in got] == [(1, 1, "python_module", None), (2, 4, "function", "f"), (7, 8, "class", "C"), (9, 9, "python_module", None)]
     assert [c[2] for c in static_analysis.chunk_source("def broken(")] == ["python_text"]
+    for deep in ("(" * 9000, "-" * 9000 + "1", "a" + ".b" * 30_000, "x = " + "[" * 150 + "]" * 150):
+        assert [c[2] for c in static_analysis.chunk_source(deep)] == ["python_text"]
 
 
 def test_repository_scan(spark, tmp_path):
