@@ -983,15 +983,44 @@ def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.cited_lines(cited, docs.select("file", "lines"), "doc_id").select("doc_id", "content")
 
 
-@query()
+# A source made of every document: k branches, so k decides length, complexity and warnings.
+MADE_SOURCE = """'import os' || chr(10) || chr(10) || chr(10) || 'def step_' || doc_id || '(a, b=[], *, c=1):' || chr(10) || repeat('    if a:' || chr(10) || '        a = b' || chr(10), cast(doc_id % 40 as int)) ||
+  '    return a' || chr(10) || chr(10) || '@deco' || chr(10) || 'class K' || doc_id || ':' || chr(10) || '    async def run(self):' || chr(10) || '        return "/srv/x" if self else None' || chr(10) || 'print(1)' || chr(10)"""
+SAMPLE_SOURCES = "file in ('a.py', 'b.py', 'c.py', 'd.py', 'e.py')"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select(F.concat(F.lit("made/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.expr(MADE_SOURCE).alias("text"))
+    return samples.frame(spark, samples.PYTHON_FILES).unionByName(made)
+
+
+@query("""with d as (select 'made/' || doc_id || '.py' as file, doc_id, doc_id % 40 as k from documents)
+select file, 1 as start_line, 3 as end_line, 'python_module' as chunk_type, null as name, 12 as chars from d union all select file, 4, 5 + 2 * k, 'function', 'step_' || doc_id, length('def step_' || doc_id || '(a, b=[], *, c=1):') + 1 + k * 24 + 13 from d
+union all select file, 7 + 2 * k, 10 + 2 * k, 'class', 'K' || doc_id, length('@deco_class K' || doc_id || ':') + 1 + 25 + 42 from d union all select file, 11 + 2 * k, 11 + 2 * k, 'python_module', null, 9 from d
+union all select * from (values ('a.py', 1, 3, 'python_module', null, 32), ('a.py', 4, 11, 'function', 'f', 134), ('a.py', 13, 15, 'class', 'Crate', 80), ('a.py', 16, 17, 'python_module', null, 13), ('b.py', 1, 2, 'python_text', null, 12),
+  ('c.py', 1, 1, 'python_text', null, 13), ('e.py', 1, 3, 'async_function', 'h', 57)) as t""")
 def ast_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return static_analysis.python_chunks(samples.frame(spark, samples.PYTHON_FILES))
+    found = static_analysis.python_chunks(_sources(spark, sf_dir))
+    return found.select("file", F.col("start_line").cast("int"), F.col("end_line").cast("int"), "chunk_type", "name", F.length("content").cast("int").alias("chars"))
 
 
-@query()
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = static_analysis.python_analysis(_sources(spark, sf_dir))
+    return rows.where(f"error is null and not {SAMPLE_SOURCES}")
+
+
+@query("""with d as (select 'made/' || doc_id || '.py' as file, doc_id % 40 as k from documents)
+select file, 1::bigint as imports, 1::bigint as classes, 2::bigint as functions, 2 + (2 * k + 2 > 50)::bigint + (2 * k + 2 > 50 and k + 1 > 10)::bigint as warnings, greatest(k + 1, 2) as max_complexity from d""")
 def ast_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = static_analysis.python_analysis(samples.frame(spark, samples.PYTHON_FILES))
-    return static_analysis.analysis_summary(rows.where("error is null"))
+    return static_analysis.analysis_summary(_analysed(spark, sf_dir))
+
+
+@query("""with d as (select 'made/' || doc_id || '.py' as file, doc_id, doc_id % 40 as k from documents)
+select file, 1 as start_line, 1 as end_line, 'import os' as description from d union all select file, 8 + 2 * k, 10 + 2 * k, 'class K' || doc_id from d union all select file, 4, 5 + 2 * k, 'function step_' || doc_id from d union all select file, 9 + 2 * k, 10 + 2 * k, 'function run' from d
+union all select file, 4, 4, 'warning mutable_default' from d union all select file, 10 + 2 * k, 10 + 2 * k, 'warning hardcoded_path' from d union all select file, 4, 4, 'warning long_function' from d where 2 * k + 2 > 50 union all select file, 4, 4, 'warning high_complexity' from d where 2 * k + 2 > 50 and k + 1 > 10""")
+def ast_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projections.analysis_evidence(projections.pruned_analysis(_analysed(spark, sf_dir)))
+    return found.select("file", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "description")
 
 
 @query()
@@ -1045,12 +1074,6 @@ def identifier_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.identifier_exists(names, docs, files)
 
 
-@query()
-def ast_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = static_analysis.python_analysis(samples.frame(spark, samples.PYTHON_FILES))
-    return projections.analysis_evidence(rows.where("error is null"))
-
-
 @query(f"with {_bm25_sql(10)} select item_id, doc_id, score, rank from bm25")
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index, built once, and a search that reads the postings of its terms alone."""
