@@ -44,7 +44,8 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own where the setting is absent, on a local master only."""
+    """The folder of ``spark.checkpoint.dir``. Where the setting is absent, one of our own, but on a local master only: on a
+    cluster every executor would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -54,8 +55,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_written: set[str] = set()
+
+
+def materialise(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``rows`` as a table in the shared folder, and its path: cuts lineage, is read as often as wanted, survives lost executors."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    try:
+        rows.write.parquet(path)
+    except BaseException:
+        drop(spark, path)
+        raise
+    _written.add(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` as a table in the shared folder, for plans that read them more than once."""
-    path = f"{shared_dir(rows.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """A table that a result reads; ``clear`` removes it once the result has been used."""
+    return materialise(rows, label)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that results of this process read, once those results have been used; how many there were."""
+    left = sorted(_written)
+    for path in left:
+        drop(spark, path)
+    return len(left)
