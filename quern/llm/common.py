@@ -2,63 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import clear, drop, materialise, shared_dir
 
-_written: set[str] = set()
+__all__ = ["Tables", "clear", "drop", "materialise", "parts", "placed", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the setting is absent, one of our own, but on a local master only: on a
-    cluster every executor would write to its own disk."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='quern-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
-    try:
-        df.write.parquet(path)
-    except BaseException:
-        drop(spark, path)
-        raise
-    _written.add(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _written.discard(path)
-
-
-def clear(spark: SparkSession) -> int:
-    """Delete all tables that results of this process read, once those results have been used; how many there were."""
-    left = sorted(_written)
-    for path in left:
-        drop(spark, path)
-    return len(left)
-
-
 class Tables:
     """Tables of one run of an operator: those that its result doesn't read go at the end of the block, all of them on an error."""
 
