@@ -269,6 +269,15 @@ def chat_sample_valid(messages: Column) -> Column:
     return F.coalesce(roles & filled & (keys == fields), F.lit(False))
 
 
+def chat_dataset_errors(rows: DataFrame, key: str = "id", messages: str = "messages") -> DataFrame:
+    """key, rule, times: blank ids, invalid messages (``chat_sample_valid``) and ids that occur more than once."""
+    blank = ~F.coalesce(F.rlike(F.col(key).cast("string"), F.lit(r"\S")), F.lit(False))
+    broken = F.array_compact(F.array(F.when(blank, F.lit("blank_id")), F.when(~chat_sample_valid(F.col(messages)), F.lit("invalid_messages"))))
+    found = rows.select(key, F.explode(broken).alias("rule")).groupBy(key, "rule").agg(F.count(F.lit(1)).alias("times"))
+    twice = rows.where(~blank).groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return found.unionByName(twice.select(key, F.lit("repeated_id").alias("rule"), "times"))
+
+
 # Rules for a container file as (code, pattern); the first must match, the second should, the third mustn't.
 DOCKERFILE_REQUIRED = (
     ("FROM", r"(?im)^\s*FROM\s+\S+"), ("WORKDIR", r"(?im)^\s*WORKDIR\s+\S+"), ("COPY", r"(?im)^\s*COPY\s+"),

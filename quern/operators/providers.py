@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import clamp_confidence, identifiers, infer_intent, repair_json_object
+from quern.functions.text import clamp_confidence, identifiers, infer_intent, normalise_question, repair_json_array, repair_json_object
 from quern.operators.curation import judgment_error, target_error
 from quern.operators.evaluation import DIRECT
 
@@ -150,6 +150,22 @@ def route(questions: DataFrame, text: str, client: Client | None = None) -> Data
     }).drop("_o")
 
 
+def variants(seeds: DataFrame, key: str, text: str, client: Client, existing: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """key, n, text: up to ``most`` new wordings of each seed, from a model's JSON array of strings. Blank ones go, and those that
+    say the same as a seed, as an earlier wording or as a text of ``existing`` (one column) once normalised."""
+    said = ask(seeds.select(key, text), text, client)
+    items = F.try_variant_get(F.try_parse_json(repair_json_array(F.col("answer"))), "$", "array<string>")
+    rows = said.select(key, F.posexplode(items).alias("_n", "_t")).select(key, "_n", F.trim("_t").alias("_t")).withColumn("_h", F.sha2(normalise_question(F.col("_t")), 256))
+    rows = rows.where(F.rlike("_t", F.lit(r"\S")))
+    known = seeds.select(F.sha2(normalise_question(F.col(text)), 256).alias("_h"))
+    if existing is not None:
+        known = known.unionByName(existing.select(F.sha2(normalise_question(F.col(existing.columns[0])), 256).alias("_h")))
+    fresh = rows.join(known.distinct(), "_h", "left_anti")
+    first = fresh.groupBy("_h").agg(F.min(F.struct(key, "_n", "_t")).alias("m")).select("m.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_n"))  # what one answer holds
+    return first.withColumn("n", place.cast("long")).where(F.col("n") <= most).select(key, "n", F.col("_t").alias(text))
+
+
 def rule_router(question: str) -> str:
     """The local stand-in of a router: words that the intents know, else a direct answer."""
     low = question.lower()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, diagnosis, evaluation, matching, providers, retrieval, search, sessions, static_analysis, tools
+from quern.operators import corpus, curation, diagnosis, evaluation, matching, providers, retrieval, search, service, sessions, static_analysis, tools
 from quern.sources import files
 from quern.streaming import sessions as streaming
 
@@ -366,6 +366,58 @@ def test_toolbox(spark, tmp_path):
     assert box.health()["files"] == 4
 
 
+def test_service(spark, tmp_path):
+    root = tmp_path / "repo"
+    (root / "lib").mkdir(parents=True)
+    (root / "lib" / "leaf.py").write_text("def fold_leaf(a):\n    return a\n")
+    (root / "readme.md").write_text("fold_leaf folds a leaf\n")
+    said = []
+
+    def client(prompt):
+        said.append(prompt)
+        return "It folds [lib/leaf.py:1-2]." if len(said) != 1 else "It folds [lib/leaf.py:1-99]."
+
+    s = service.Service(spark, client, allowed=(str(tmp_path),))
+    with pytest.raises(ValueError):
+        s.index("/etc")
+    told = s.index(str(root), str(tmp_path / "index"))
+    name = told["repository_id"]
+    assert told["files"] == 2 and len(name) == 16 and s.health()["repositories"] == [name]
+    out = s.chat(name, "me", "what does fold_leaf do")
+    assert out["citation_repaired"] and out["citation_report"]["valid"] and out["evidence"][0]["file"] in ("lib/leaf.py", "readme.md") and len(said) == 2
+    s.chat(name, "me", "and fold_leaf again")
+    assert "what does fold_leaf do" in said[-1] and s.memory(name, "me")["turn_count"] == 2
+    for i in range(6):
+        s.sessions[name, "me"].append((f"q{i}", "a" * 4000))
+    s.chat(name, "me", "fold_leaf")
+    assert s.memory(name, "me")["character_count"] <= 18_000 and s.memory(name, "me")["turn_count"] <= 6
+    assert s.analyze_log(name, 'File "lib/leaf.py", line 1, in f\nKeyError: x')["result"]["frames"][0]["repository_file"] == "lib/leaf.py"
+    assert s.clear_memory(name, "me") and not s.clear_memory(name, "me")
+    with pytest.raises(LookupError):
+        s.chat("none", "me", "x")
+    with pytest.raises(ValueError):
+        s.chat(name, "no spaces", "x")
+
+
+def test_variants(spark):
+    seeds = spark.createDataFrame([("s1", "How big is it?"), ("s2", "bad"), ("s3", None)], "id string, text string")
+
+    def client(prompt):
+        if prompt == "bad":
+            return "no array"
+        return '["how big is it", "How large is it?", "how LARGE is it", " ", "What size?", "Known one", "third", "fourth"]'
+
+    known = spark.createDataFrame([("known one!",)], "t string")
+    got = [tuple(r) for r in providers.variants(seeds, "id", "text", client, known, 3).orderBy("n").collect()]
+    assert got == [("s1", 1, "How large is it?"), ("s1", 2, "What size?"), ("s1", 3, "third")]
+
+
+def test_chat_dataset_errors(spark):
+    good = [{"role": r, "content": c} for r, c in (("system", "s"), ("user", "u"), ("assistant", '{"decision": 1, "tool_name": 2, "arguments": {}}'))]
+    df = spark.createDataFrame([("a", good), ("a", good), ("b", good[:2]), (" ", good), (None, None)], "id string, messages array<struct<role:string,content:string>>")
+    assert {(r.id, r.rule, r.times) for r in curation.chat_dataset_errors(df).collect()} == {("a", "repeated_id", 2), ("b", "invalid_messages", 1), (" ", "blank_id", 1), (None, "blank_id", 1), (None, "invalid_messages", 1)}
+
+
 def test_steps_stop_at_the_first_failure(spark):
     kept = {}
 
