@@ -60,11 +60,13 @@ SAID = set(
     "nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement advertising "
     "adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup share sharing social comment comments disqus respond replies related recommended "
-    "breadcrumb breadcrumbs pagination pager widget toolbar login copyright complementary contentinfo search form".split()
+    "breadcrumb breadcrumbs pagination pager widget toolbar login copyright complementary contentinfo search form skip".split()
 )
 BESIDE = set(  # words that say where furniture is or what it is made of
     "site main page post article entry content top bottom left right primary secondary global local mobile desktop sticky "
-    "wrapper wrap container inner outer bar box list block area section links link buttons button icons text js".split()
+    "wrapper wrap container inner outer bar box list block area section links link buttons button icons text js "
+    "user reader readers visitor thread feed panel group unit slot zone region module component item items body title heading "
+    "posts articles stories entries media trail window column col row grid strip google".split()
 )
 NEVER_MAIN = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "replies", "related", "sponsored", "promo"}
 NEVER_TEXT = NEVER_MAIN | {"notice", "notices", "cookie", "cookies", "consent", "gdpr"}  # names that cut a paragraph of any density

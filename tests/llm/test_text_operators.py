@@ -293,6 +293,18 @@ def test_names_are_hints(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["user-comments", "reader_comments", "comment-thread", "related-posts", "RelatedStories", "ad-slot", "google-ads", "social-media", "cookie-consent-bar", "newsletter-signup-form", "site-notice", "breadcrumb-trail"])
+def test_furniture_names_of_several_words(name):
+    page = f"<article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>Something beside it.</p></div><p>{MORE}</p></article>"
+    assert html_text.main_text(page) == f"T {LONG} {MORE}"
+
+
+@pytest.mark.parametrize("name", ["market-share", "research-methods", "comment-dit-on", "adventure", "navigation-history-of-ships", "notice-period-law", "header-files-in-c"])
+def test_names_that_only_hold_a_word(name):
+    page = f"<article><p>{LONG}</p><div class='{name}'><p>{MORE}</p></div></article>"
+    assert html_text.main_text(page) == f"{LONG} {MORE}"
+
+
 LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i} of the page</a>" for i in range(6)) + "</ul>"
 
 
