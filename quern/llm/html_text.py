@@ -4,9 +4,9 @@ A page is parsed into a tree of elements (unclosed and misnested tags as browser
 its element (scripts, styles, forms, navigation, footers, asides, ...) goes first, and so do elements of which a whole token
 of class, id or role says furniture (``site-nav``, but not ``has-sidebar`` or ``market-share``). A name is only a hint: it cuts
 no element that holds most of the page's text outside links, unless an article or main element outside it holds text, and
-no paragraph as dense as the element it stands in, unless it is named an advert, a notice or a comment. Menus go too:
-elements with ``MENU`` links or more that hold nine tenths of their characters, unless the page has nothing else. For every
-remaining node, with C characters, T tags, LC link characters and LT link tags below it, and LCb, Cb those of the body,
+no paragraph as dense as the element it stands in; names of adverts, notices and comments cut both, but never all of a
+page. Menus go too: elements with ``MENU`` links or more that hold nine tenths of their characters, unless the page has
+nothing else. For every remaining node, with C characters, T tags, LC link characters and LT link tags below it, and LCb, Cb those of the body,
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
@@ -15,8 +15,8 @@ core; the threshold is the least density on the path from it to the body. From t
 threshold gives the node of maximum sum at or below it, and the main text is the least subtree that holds them all, with the
 headings before it in its element; if only the body holds them all, they alone are it. In that subtree nothing is dropped.
 
-An article or main element is a hint too. If such elements hold half of the page's text outside links, the core is looked for
-in them, and inside the one around the core (an article before a main) the threshold is ``LOWERED`` of what it is elsewhere,
+An article or main element is a hint too. If there is one, or if several hold half of the page's text outside links, the core
+is looked for in them, and inside the one around the core (an article before a main) the threshold is ``LOWERED`` of what it is elsewhere,
 since short paragraphs are less dense than their article. Inline elements count as tags but are no nodes of their own. Of a
 header inside an article, by element or by name, the headings stay.
 
@@ -213,7 +213,8 @@ def _spare(tree: Tree, article: list[int]) -> None:
         if by_name[i] and tag[i] == "p" and not tree.firm[i] and plain[i] * max(tags[parent[i]], 1) >= plain[parent[i]] * max(tags[i], 1) > 0:
             cut[i] = STAYS
     for i in range(1, n):
-        if by_name[i] and 2 * plain[i] > plain[0] and (article[parent[i]] >= 0 or declared[i] == declared[0]):
+        most = plain[i] >= plain[0] > 0 if tree.firm[i] else 2 * plain[i] > plain[0]
+        if by_name[i] and most and (article[parent[i]] >= 0 or declared[i] == declared[0]):
             cut[i] = STAYS
 
 
@@ -288,8 +289,8 @@ def main_text(page: str | None) -> str:
     for i in range(1, n):
         p = outer[parent[i]]
         outer[i] = p if p >= 0 and (tag[p] == "article" or tag[i] != "article") else i if article[i] == i else p
-    declared = sum(chars[i] - links[i] for i in range(n) if article[i] == i and article[parent[i]] < 0 and not gone[i])
-    hinted = 2 * declared >= max(1, chars[0] - links[0])
+    declared = [chars[i] - links[i] for i in range(n) if article[i] == i and article[parent[i]] < 0 and chars[i] > links[i]]
+    hinted = len(declared) == 1 or 2 * sum(declared) >= max(1, chars[0] - links[0])
     core = max((i for i in range(n) if article[i] >= 0 or not hinted), key=lambda i: (total[i] if not gone[i] else -1.0, -i))
     threshold, i = density[core], core
     while i > 0:

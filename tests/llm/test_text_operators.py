@@ -315,6 +315,9 @@ LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i} of the page</a>" for
         (f"<main><article><p>{LONG}</p><p>{MORE}</p></article><div class='more-stories'>{LINKS}</div></main>", f"{LONG} {MORE}"),
         (f"<body><div><div><p>{LONG}</p><p>{MORE}</p></div><div><p>{MORE}</p><p>Ok.</p></div></div><div>{LINKS}</div>", f"{LONG} {MORE} {MORE} Ok."),
         (f"<body><article><h1>T</h1><p>Yes.</p><div><p>{LONG}</p><p>{MORE}</p><p>See <a href=x>this</a>.</p></div><p>End.</p></article><div><p>{LONG}</p></div>", f"T Yes. {LONG} {MORE} See this. End."),
+        (f"<article><p>Short.</p></article><div><p>{LONG}</p><p>{MORE}</p></div>", "Short."),
+        (f"<div class=ad><p>{LONG}</p><p>{MORE}</p></div><div><p>Short one.</p></div>", "Short one."), (f"<div class=ad><p>{LONG}</p></div>", LONG),
+        (f"<article><p>One.</p></article><article><p>Two.</p></article><div><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG} {MORE}"),
         (f"<body><div>{LINKS}</div>", " ".join(f"Link number {i} of the page" for i in range(6))),
         (f"<div><h1>Title</h1><div><p>{LONG}</p><p>{MORE}</p></div></div><div>x</div>", f"Title {LONG} {MORE}"),
     ],
