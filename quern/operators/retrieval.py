@@ -65,7 +65,11 @@ def ranked(rows: DataFrame, query: str, order: list[Column], k: int, rank: str =
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+def _lower(text: str) -> str:
+    """A to Z lower-cased, nothing else."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 _IDENTIFIER, _PART = re.compile("[a-z][a-z0-9_]*|[0-9]+"), re.compile("[a-z]+|[0-9]+")
 _HUMP, _IDEOGRAPHS = re.compile("([a-z0-9])([A-Z])"), re.compile("[\u4e00-\u9fff]+")
 
@@ -74,8 +78,8 @@ def python_tokens(text: str | None) -> list[str]:
     """The tokens of ``token_bag`` in Arrow batches."""
     if not text:
         return []
-    out = _IDENTIFIER.findall(text.translate(_ASCII_LOWER))
-    out += _PART.findall(_HUMP.sub(r"\1 \2", text.replace("_", " ")).translate(_ASCII_LOWER))
+    out = _IDENTIFIER.findall(_lower(text))
+    out += _PART.findall(_lower(_HUMP.sub(r"\1 \2", text.replace("_", " "))))
     if not text.isascii():
         for run in _IDEOGRAPHS.findall(text):
             out += run
@@ -158,8 +162,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: in
                 lengths, at, tf = [], [], []
                 for value in batch.column(1).to_pylist():
                     tokens = python_tokens(value)
-                    found = Counter(i for t in tokens if (i := own.get(t)) is not None)
-                    lengths.append(len(tokens)), at.append(list(found)), tf.append(list(found.values()))
+                    found = [(i, n) for t, n in Counter(tokens).items() if (i := own.get(t)) is not None]
+                    lengths.append(len(tokens)), at.append([i for i, _ in found]), tf.append([n for _, n in found])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(lengths, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=["k", "length", "at", "tf"]
                 )
