@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import token_bag
 from quern.operators import providers, retrieval
+from quern.session import written
 
 # Hits that are shown, recalled for the reranker, and retrieved by each method, and the largest number shown.
 TOP_K, RECALL_K, RETRIEVAL_K, MOST = 5, 20, 30, 10
@@ -54,6 +55,9 @@ def search(
     lexical index of the passages (else their texts are read once). ``scorer`` scores pairs of texts (else the share of the
     query's tokens that a passage holds); a score that is missing keeps the recalled order.
 
+    The corpus is searched while this runs, once by each method; what the two results read are written tables of at most
+    retrieval_k rows a query, which ``quern.session.clear`` removes.
+
     hits: query, key, pre_rerank_rank, reranker_rank, reranker_score, rank_change, reranker_status, rrf_score, dense_rank,
     dense_score, bm25_rank, bm25_score, matched_by. told: query, intent, rewrite_source, top1, reason, hits.
     """
@@ -64,6 +68,7 @@ def search(
     if own is None:
         own = providers.embed(wanted.select(query, F.col("semantic_query").alias("t")), "t", embedder, prefix="query: ").select(query, "embedding")
     dense = retrieval.dense_search(own.join(wanted.select(query), query, "left_semi"), vectors, query, key, retrieval_k)
+    dense = written(dense, "dense")  # retrieval_k rows a query, read by the gate and by the fusion
     gate = retrieval.soft_gate(wanted, dense, query, threshold)
     passed = gate.where("not skipped").select(query)
     said = wanted.join(passed, query, "left_semi").select(query, F.col("keyword_query").alias("t"))
@@ -72,6 +77,7 @@ def search(
     else:
         lexical = retrieval.bm25_search(said, passages, query, key, retrieval_k, query_text="t", text=text)
     fused = retrieval.fuse(dense.join(passed, query, "left_semi"), lexical, query, key, recall_k)
+    fused = written(fused, "fused")
     pairs = fused.join(asked.select(query, F.col("semantic_query").alias("_q")), query).join(passages.select(key, F.col(text).alias("_p")), key, "left")
     if scorer is not None:
         scored = providers.cross_score(pairs, "_q", "_p", scorer)
@@ -79,7 +85,7 @@ def search(
         share = retrieval.overlap_score(token_bag(F.col("_q")), token_bag(F.col("_p")))
         scored = pairs.withColumn("reranker_score", F.when(F.col("_p").isNotNull(), share))
     best = retrieval.rerank(scored.select(query, key, "rrf_score", "rank", "reranker_score"), query, key, top_k)
-    hits = best.join(fused.drop("rank"), [query, key])
+    hits = written(best.join(fused.drop("rank"), [query, key]), "hits")
     counts = hits.groupBy(query).agg(F.count(F.lit(1)).alias("hits"))
     reason = F.when(~F.col("should_search"), "no_search_needed").when(F.col("skipped"), "below_threshold").when(F.col("hits").isNull(), "no_hits")
     told = asked.join(gate, query, "left").join(counts, query, "left").select(

@@ -1,8 +1,9 @@
 """Six named functions over a repository table, called by name with JSON-like arguments, answered in one kind of envelope.
 
 A ``Toolbox`` holds a repository as a DataFrame (path, text). Every function is a plan over it whose small result is read for
-the caller: a slice of a file, the hits of a search, the frames of a log. ``call`` never raises: what goes wrong is in the
-envelope, {ok, tool, result} or {ok, tool, error_type, error}.
+the caller: a slice of a file, the hits of a search, the frames of a log. Chunks and vectors are written once, to the shared folder;
+``quern.session.clear`` removes them. ``call`` never raises: what goes wrong is in the envelope, {ok, tool, result} or
+{ok, tool, error_type, error}.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import line_array, truncate
 from quern.operators import corpus, diagnosis, projections, providers, retrieval, search, static_analysis
 from quern.operators.curation import TOOL_ARGUMENTS
+from quern.session import written
 
 COMPLETION_LINES, DEPENDENCY_CHARS, ENTRY_CHARS, LOG_CHARS, LISTED = 200, 8000, 6000, 10_000, 200
 TRACE = "step long, tool string, arguments map<string,string>, ok boolean, error_type string, error string, milliseconds double"
@@ -61,10 +63,11 @@ class Toolbox:
 
     def __init__(self, files: DataFrame, name: str = "repository", embedder: providers.Embedder | None = None, index_path: str | None = None):
         self.files, self.name, self.embedder = files.select("path", "text"), name, embedder or providers.hash_embedder()
-        self.chunks = corpus.chunk_table(files).where(corpus.indexable(F.col("file"), F.col("content")))
+        chunks = corpus.chunk_table(files).where(corpus.indexable(F.col("file"), F.col("content")))
+        self.chunks = written(chunks, "chunks")  # every call reads them, none makes them anew
         kind, named = F.col("chunk_type"), F.coalesce("name", F.lit(""))
         self.passages = self.chunks.select("chunk_id", corpus.lexical_passage(F.col("file"), kind, named, F.col("content")).alias("text"))
-        self.vectors = providers.embed(self.passages, "text", self.embedder).select("chunk_id", "embedding")
+        self.vectors = written(providers.embed(self.passages, "text", self.embedder).select("chunk_id", "embedding"), "vectors")
         self.index = retrieval.write_lexical_index(self.passages, "chunk_id", index_path, overwrite=True) if index_path else None
         self.trace: list[tuple] = []
         self.tools: dict[str, Callable[..., dict]] = {
