@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filter_audit, html_text, language, media, near_dup, oracles, packing, quality, secret_scan, sharding
+from . import ball_kmeans, chat, decontam, filter_audit, html_text, language, media, near_dup, oracles, packing, quality, secret_scan, sharding
 
 
 # What SQL can say of the operators' results: the parts that don't rest on a model or on the order of moves.
@@ -49,6 +49,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_main_text": html_text.op9_main_text,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_clusters": ball_kmeans.op11_clusters,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "language_frame": language_frame,
     "quality_frame": quality_frame,
@@ -60,6 +61,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": chat.ORACLE,
     "op6_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_clusters": ball_kmeans.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
     "language_frame": oracles.LANGUAGE_FRAME,
     "quality_frame": oracles.QUALITY_FRAME,
