@@ -43,7 +43,7 @@ def first_centroids(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k vectors whose ids have the smallest digests, in their order."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     chosen = vectors.where("vec_id is not null").select(digest.alias("h"), "q").orderBy("h", "q").limit(k).collect()
-    return np.array([r.q for r in chosen], dtype=np.int64).reshape(len(chosen), -1)
+    return np.array([r.q for r in chosen], dtype=np.int64)
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:

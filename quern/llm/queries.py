@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_kmeans, chat, decontam, filter_audit, html_text, language, media, near_dup, oracles, packing, quality, secret_scan, sharding
+from . import ball_kmeans, chat, decontam, filter_audit, html_text, language, media, near_dup, oracles, packing, quality, secret_scan, sharding, subspace_join
 
 
 # What SQL can say of the operators' results: the parts that don't rest on a model or on the order of moves.
@@ -51,6 +51,7 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "op11_clusters": ball_kmeans.op11_clusters,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_embedding_links": subspace_join.op13_embedding_links,
     "language_frame": language_frame,
     "quality_frame": quality_frame,
     "shard_balance": shard_balance,
@@ -63,6 +64,7 @@ ORACLE_SQL = {
     "op6_near_duplicates": oracles.NEAR_DUPLICATES,
     "op11_clusters": ball_kmeans.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_embedding_links": subspace_join.ORACLE,
     "language_frame": oracles.LANGUAGE_FRAME,
     "quality_frame": oracles.QUALITY_FRAME,
     "shard_balance": oracles.SHARD_BALANCE,
