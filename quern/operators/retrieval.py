@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -20,7 +18,6 @@ from quern.session import written
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK, LEXICAL_BLOCK = 4096, 1024  # query vectors, and query texts, scored at a time
 QUERY_SET, BLOCK_BYTES = 20_000, 64_000_000  # query texts that a scan serves; weights of a block of them
-SHARD_ROWS = 20_000  # documents of an index shard, about
 
 
 def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -87,7 +84,7 @@ def python_tokens(text: str | None) -> list[str]:
     return out
 
 
-def _query_sets(queries: DataFrame, query: str, query_text: str) -> Iterator[tuple[list, list[Counter]]]:
+def query_sets(queries: DataFrame, query: str, query_text: str) -> Iterator[tuple[list, list[Counter]]]:
     """Ids and token counts of QUERY_SET queries at a time."""
     sets = max(1, -(-queries.count() // QUERY_SET))
     for number in range(sets):
@@ -136,7 +133,7 @@ def _best_rows(ids: list, best: list[list[tuple]], names: list[str], kinds: tupl
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*kinds, pa.float64()))], names=names)
 
 
-def _check_bm25(k: int, k1: float, b: float) -> None:
+def check_bm25(k: int, k1: float, b: float) -> None:
     if k < 1 or k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k must be positive, k1 positive and b between 0 and 1")
 
@@ -148,11 +145,11 @@ def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: in
     queries' terms, in a written table that gives the statistics and is scored in blocks, as matrix products of which each
     task lets only its k best rows a query leave. So the shuffle doesn't grow with documents times queries.
     """
-    _check_bm25(k, k1, b)
+    check_bm25(k, k1, b)
     kinds = tuple(to_arrow_type(d.schema[c].dataType) for d, c in ((queries, query), (docs, key)))
     kind, query_kind = docs.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
     spark, out = docs.sparkSession, None
-    for ids, counts in _query_sets(queries, query, query_text):
+    for ids, counts in query_sets(queries, query, query_text):
         terms = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
         sent = spark.sparkContext.broadcast(terms)
 
@@ -205,119 +202,6 @@ def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: in
     return ranked(out, query, [F.desc("score"), F.asc(key)], k)
 
 
-@dataclass
-class LexicalIndex:
-    """A stored index: ``segments`` (shard, term, keys, tfs, lengths), ``terms`` (term, df), the collection's size and mean length."""
-
-    segments: DataFrame
-    terms: DataFrame
-    n: int
-    avgdl: float
-    k1: float
-    b: float
-
-
-def lexical_segments(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """shard, term, keys, tfs, lengths: documents go to shards of about SHARD_ROWS by a hash of the key, so that the postings of a
-    word that every document holds are many rows of bounded size. Rows without a key aren't indexed."""
-    rows = docs.where(F.col(key).isNotNull())
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    read = rows.select(F.col(key).alias("k"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(text).alias("t"))
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                of, terms, tfs, lengths = [], [], [], []
-                for i, value in enumerate(part.column(2).to_pylist()):
-                    tokens = python_tokens(value)
-                    found = Counter(tokens)
-                    of += [i] * len(found)
-                    terms += found.keys()
-                    tfs += found.values()
-                    lengths += [len(tokens)] * len(found)
-                at = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(at), pa.array(terms, pa.string()), part.column(0).take(at), pa.array(tfs, pa.int32()), pa.array(lengths, pa.int32())],
-                    names=["shard", "term", "k", "tf", "length"],
-                )
-
-    postings_ = read.mapInArrow(run, f"shard int, term string, k {kind}, tf int, length int")
-    held = F.collect_list(F.struct("k", "tf", "length")).alias("p")
-    return postings_.groupBy("shard", "term").agg(held).select("shard", "term", F.col("p.k").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-
-
-def write_lexical_index(docs: DataFrame, key: str, path: str, k1: float = K1, b: float = B, text: str = "text", overwrite: bool = False) -> LexicalIndex:
-    """Postings, term statistics and parameters below ``path``: texts are read once to build, never to search."""
-    _check_bm25(1, k1, b)
-    spark, mode = docs.sparkSession, "overwrite" if overwrite else "errorifexists"
-    lexical_segments(docs, key, text).sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/segments")
-    segments = spark.read.parquet(f"{path}/segments")
-    segments.groupBy("term").agg(F.sum(F.size("keys")).alias("df")).write.mode(mode).parquet(f"{path}/terms")
-    sizes = docs.where(F.col(key).isNotNull()).agg(F.count(F.lit(1)).alias("n")).crossJoin(  # one row each
-        segments.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens"))
-    )
-    stats = sizes.select("n", F.coalesce(F.col("tokens") / F.col("n"), F.lit(0.0)).alias("avgdl"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
-    stats.coalesce(1).write.mode(mode).parquet(f"{path}/stats")
-    return read_lexical_index(spark, path)
-
-
-def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
-    """The index at ``path`` with the parameters that it was built with."""
-    stats = spark.read.parquet(f"{path}/stats").first()
-    return LexicalIndex(spark.read.parquet(f"{path}/segments"), spark.read.parquet(f"{path}/terms"), stats["n"], stats["avgdl"], stats["k1"], stats["b"])
-
-
-def _shard_scorer(shared: Broadcast, k1: float, b: float, query: str, key: str, k: int, kinds: tuple) -> Callable[[pa.Table], pa.Table]:
-    """The k best documents of a shard for every query, from its postings."""
-
-    def score(shard: pa.Table) -> pa.Table:
-        blocks, avgdl = shared.value
-        rows = list(zip(shard.column("term").to_pylist(), *(shard.column(c).combine_chunks() for c in ("keys", "tfs", "lengths"))))
-        number: dict = {}
-        read = []
-        for term, keys, tfs, lengths in rows:
-            at = np.array([number.setdefault(x, len(number)) for x in keys.as_py()], dtype=np.int64)
-            tf, length = (x.values.to_numpy(zero_copy_only=False).astype(float) for x in (tfs, lengths))
-            read.append((term, at, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))))
-        keys, parts = list(number), []
-        for asked_, terms, weight in blocks:
-            total = np.zeros((len(keys), len(asked_)))
-            for term, at, gain in read:
-                if (i := terms.get(term)) is not None:
-                    own = np.flatnonzero(weight[i])
-                    total[np.ix_(at, own)] += gain[:, None] * weight[i, own]
-            best: list[list[tuple]] = [[] for _ in asked_]
-            _keep_best(best, np.round(total, 6), keys, k)
-            parts.append(_best_rows(asked_, best, [query, key, "score"], kinds))
-        return pa.Table.from_batches(parts)
-
-    return score
-
-
-def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, key: str, k: int = 5, query_text: str = "text") -> DataFrame:
-    """query, key, score, rank, the same as ``bm25_search`` gives: only the postings of the queries' terms are read, a shard's go
-    to one task, and only its k best rows a query leave it."""
-    _check_bm25(k, index.k1, index.b)
-    k1, b, spark, out = index.k1, index.b, queries.sparkSession, None
-    key_type = index.segments.schema["keys"].dataType.elementType
-    kinds = (to_arrow_type(queries.schema[query].dataType), to_arrow_type(key_type))
-    schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {key_type.simpleString()}, score double"
-    for ids, counts in _query_sets(queries, query, query_text):
-        said = sorted({t for c in counts for t in c})
-        asked = spark.createDataFrame([(t,) for t in said], "term string")  # of QUERY_SET queries at most
-        df = {r["term"]: r["df"] for r in index.terms.join(F.broadcast(asked), "term", "left_semi").collect()}
-        idf_of = {t: float(np.log(1 + (index.n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
-        found = index.segments.join(F.broadcast(asked), "term", "left_semi")
-        blocks = [(ids[i:j], terms, _weights(counts[i:j], terms, idf_of)) for i, j, terms in _blocks(counts)]
-        shared = spark.sparkContext.broadcast((blocks, index.avgdl))
-
-        part = found.groupBy("shard").applyInArrow(_shard_scorer(shared, k1, b, query, key, k, kinds), schema)
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, query, [F.desc("score"), F.asc(key)], k)
-
-
 def normalise(vector: Column) -> Column:
     double = F.transform(vector, lambda x: x.cast("double"))
     size = F.sqrt(F.aggregate(double, F.lit(0.0), lambda s, x: s + x * x))

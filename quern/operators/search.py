@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import token_bag
-from quern.operators import providers, retrieval
+from quern.operators import lexical_index, providers, retrieval
 from quern.session import written
 
 # Hits that are shown, recalled for the reranker, and retrieved by each method, and the largest number shown.
@@ -40,7 +40,7 @@ def search(
     key: str,
     ks: tuple[int, int, int] = (TOP_K, RECALL_K, RETRIEVAL_K),
     threshold: float | None = None,
-    index: retrieval.LexicalIndex | None = None,
+    index: lexical_index.LexicalIndex | None = None,
     query_vectors: DataFrame | None = None,
     embedder: providers.Embedder | None = None,
     scorer: providers.Scorer | None = None,
@@ -73,7 +73,7 @@ def search(
     passed = gate.where("not skipped").select(query)
     said = wanted.join(passed, query, "left_semi").select(query, F.col("keyword_query").alias("t"))
     if index is not None:
-        lexical = retrieval.search_lexical_index(said, index, query, key, retrieval_k, query_text="t")
+        lexical = lexical_index.search_lexical_index(said, index, query, key, retrieval_k, query_text="t")
     else:
         lexical = retrieval.bm25_search(said, passages, query, key, retrieval_k, query_text="t", text=text)
     fused = retrieval.fuse(dense.join(passed, query, "left_semi"), lexical, query, key, recall_k)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quern.functions.text import line_array, truncate
-from quern.operators import corpus, diagnosis, projections, providers, retrieval, search, static_analysis
+from quern.operators import corpus, diagnosis, lexical_index, projections, providers, search, static_analysis
 from quern.operators.curation import TOOL_ARGUMENTS
 from quern.session import written
 
@@ -68,7 +68,7 @@ class Toolbox:
         kind, named = F.col("chunk_type"), F.coalesce("name", F.lit(""))
         self.passages = self.chunks.select("chunk_id", corpus.lexical_passage(F.col("file"), kind, named, F.col("content")).alias("text"))
         self.vectors = written(providers.embed(self.passages, "text", self.embedder).select("chunk_id", "embedding"), "vectors")
-        self.index = retrieval.write_lexical_index(self.passages, "chunk_id", index_path, overwrite=True) if index_path else None
+        self.index = lexical_index.write_lexical_index(self.passages, "chunk_id", index_path, overwrite=True) if index_path else None
         self.trace: list[tuple] = []
         self.tools: dict[str, Callable[..., dict]] = {
             "search_codebase": self.search_codebase, "analyze_code": self.analyze_code, "analyze_log": self.analyze_log,

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, diagnosis, evaluation, evidence, matching, projections, providers, retrieval, search, sessions, static_analysis
+from quern.operators import corpus, curation, diagnosis, evaluation, evidence, lexical_index, matching, projections, providers, retrieval, search, sessions, static_analysis
 from quern.plans import samples
-from quern.session import shared_dir, spread
+from quern.session import scratch, spread
 from quern.session import table as read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1077,8 +1076,20 @@ def identifier_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_bm25_sql(10)} select item_id, doc_id, score, rank from bm25")
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index, built once, and a search that reads the postings of its terms alone."""
-    index = retrieval.write_lexical_index(table(spark, sf_dir, "documents"), "doc_id", f"{shared_dir(spark)}/quern-lexical-{uuid.uuid4().hex}")
-    found = retrieval.search_lexical_index(table(spark, sf_dir, "benchmark"), index, "item_id", "doc_id", 10)
+    index = lexical_index.write_lexical_index(table(spark, sf_dir, "documents"), "doc_id", scratch(spark, "lexical"))
+    found = lexical_index.search_lexical_index(table(spark, sf_dir, "benchmark"), index, "item_id", "doc_id", 10)
+    return found.select("item_id", "doc_id", "score", "rank")
+
+
+@query(f"with {_bm25_sql(10)} select item_id, doc_id, score, rank from bm25")
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of other documents made to hold these by changes alone: a source's files are removed, changed and added."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "lexical")
+    before = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text")))
+    before = before.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1))
+    lexical_index.write_lexical_index(before, "doc_id", path)
+    index = lexical_index.update_lexical_index(docs, "doc_id", path)
+    found = lexical_index.search_lexical_index(table(spark, sf_dir, "benchmark"), index, "item_id", "doc_id", 10)
     return found.select("item_id", "doc_id", "score", "rank")
 
 

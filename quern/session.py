@@ -76,6 +76,13 @@ def written(rows: DataFrame, label: str) -> DataFrame:
     return materialise(rows, label)[0]
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder (for an index that a query builds); ``clear`` removes it."""
+    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that ``materialise`` wrote and nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructType
 
 from quern.functions.text import runtime_id
 from quern.operators.corpus import scannable
+from quern.sources import snapshots
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 NAMED = 100  # problems that an error message names
@@ -148,24 +149,27 @@ def index_path(root: str, repository: str) -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), runtime_id(F.lit(repository)))
 
 
-def write_index(rows: DataFrame, path: str, **properties: str) -> None:
-    """An index table with its properties as columns, so that a load can reject another model or other parameters."""
-    rows.withColumns({f"_{k}": F.lit(v) for k, v in properties.items()}).write.mode("overwrite").parquet(path)
+def write_index(rows: DataFrame, path: str, **properties: str | float | int | bool) -> snapshots.Snapshot:
+    """A version of an index table with properties, so that a load can reject another model or other parameters. Readers of the version
+    before keep it; ``snapshots.vacuum`` deletes old ones."""
+    spark = rows.sparkSession
+    part = snapshots.write_part(rows, path, "rows")
+    return snapshots.commit(spark, snapshots.opened(spark, path), path, {"rows": [part]}, {"rows": rows.schema}, properties)
 
 
-def read_index(spark: SparkSession, path: str, **properties: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    wrong = rows.where(" or ".join(f"_{k} is distinct from '{v}'" for k, v in properties.items())) if properties else None
-    if wrong is not None and not wrong.isEmpty():
-        raise ValueError("the index was built with other properties")
-    return rows.drop(*[c for c in rows.columns if c.startswith("_")])
+def read_index(spark: SparkSession, path: str, version: int | None = None, **properties: str | float | int | bool) -> DataFrame:
+    """The rows of the last version (or of the one asked for), if it was built with these properties."""
+    found = snapshots.opened(spark, path, version)
+    if found is None:
+        raise FileNotFoundError(path)
+    wrong = sorted(k for k, v in properties.items() if found.properties.get(k) != v)
+    if wrong:
+        raise ValueError(f"the index was built with other properties: {', '.join(wrong)}")
+    return found.table(spark, "rows")
 
 
-def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, **properties: str) -> DataFrame:
-    """The index at ``path``, built and written first where it is missing or ``rebuild`` is set."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    if rebuild or not there:
+def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, **properties: str | float | int | bool) -> DataFrame:
+    """The index at ``path``, built and written first where there is none or ``rebuild`` is set."""
+    if rebuild or not snapshots.versions(spark, path):
         write_index(build(), path, **properties)
     return read_index(spark, path, **properties)
