@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import clamp_confidence, identifiers, infer_intent, normalise_question, repair_json_array, repair_json_object
+from quern.functions.text import INTENT_ELSE, INTENT_RULES, clamp_confidence, first_occurrences, identifiers, infer_intent, normalise_question, repair_json_array, repair_json_object, strip
+from quern.operators.answers import Client, answered
 from quern.operators.curation import judgment_error, target_error
+from quern.operators.diagnosis import accepted_identifiers, identifier_exists
 from quern.operators.evaluation import DIRECT
+from quern.session import written
 
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float | None]]
-Client = Callable[[str], str]
 
 
 def hash_embedder(dim: int = 64) -> Embedder:
@@ -84,55 +86,76 @@ def cross_score(rows: DataFrame, query: str, passage: str, scorer: Scorer | None
     return base.mapInArrow(run, schema)
 
 
-def ask(rows: DataFrame, prompt: str, client: Client, attempts: int = 1, accept: Callable[[str], str | None] | None = None) -> DataFrame:
+def ask(
+    rows: DataFrame, prompt: str, client: Client, attempts: int = 1, accept: Callable[[str], str | None] | None = None, backoff: float = 1.0, answers: str | None = None
+) -> DataFrame:
     """``rows`` with answer, error and attempts. Equal prompts are one call; null prompts none.
 
     ``accept`` gives a reason to reject an answer (null: none); a rejected or failing call is tried again, ``attempts`` times in
-    all, and its last error stays. Answers are kept while a task runs, and the distinct prompts are spread over all tasks.
+    all, and its last error stays. The calls are made now, spread over all tasks, and their answers written, so that reading the
+    result calls nobody. ``answers``: a folder that keeps them over runs (``operators.answers``).
     """
     base = rows.drop("answer", "error", "attempts")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = []
-            for text in batch.column(0).to_pylist():
-                answer, error, tries = None, None, 0
-                while tries < attempts and answer is None:
-                    tries += 1
-                    try:
-                        answer, error = client(text), None
-                        if accept is not None and (error := accept(answer)) is not None:
-                            answer = None
-                    except Exception as failure:  # the model's failure, whatever it is, must not lose rows
-                        error = f"{type(failure).__name__}: {failure}"
-                told.append((answer, error, tries))
-            columns = list(zip(*told)) or [(), (), ()]
-            kinds = (pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["_p", "answer", "error", "attempts"])
-
-    distinct = base.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
-    called = distinct.mapInArrow(run, "_p string, answer string, error string, attempts long")
-    return base.join(called, base[prompt] == called["_p"], "left").drop("_p")
-
-
-def rewrite(questions: DataFrame, text: str, client: Client | None = None, prompt: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``questions`` rewritten by a model: the same columns as ``rewrite_by_rules``, which stands in for answers that aren't a JSON
-    object with a semantic query; rewrite_source says which, rewrite_error why. Equal questions are one call."""
+    told = answered(base.select(F.col(prompt).alias("prompt")), client, attempts, accept, backoff, answers)
+    told = told.select(F.col("prompt").alias("_p"), "answer", "error", "attempts")
+    return base.join(told, base[prompt] == told["_p"], "left").drop("_p")
+
+
+CHECK = "array<struct<identifier string, source string, exists_in_repository boolean, accepted boolean>>"
+INTENT_NAMES = sorted({name for name, _ in INTENT_RULES} | {INTENT_ELSE})
+
+
+def _checked(rows: DataFrame, lines: DataFrame | None, files: DataFrame | None) -> DataFrame:
+    """``rows`` (_row, identifiers, _said: a model's) with identifier_checks and the accepted identifiers."""
+    own = F.transform("identifiers", lambda x: F.struct(x.alias("identifier"), F.lit("question").alias("source")))
+    lowered = F.transform("identifiers", F.lower)
+    said = F.filter(first_occurrences(F.filter(F.coalesce("_said", F.array().cast("array<string>")), lambda x: x.isNotNull())), lambda x: ~F.array_contains(lowered, F.lower(x)))
+    named = rows.select("_row", F.posexplode(F.concat(own, F.transform(said, lambda x: F.struct(x.alias("identifier"), F.lit("model").alias("source"))))).alias("n", "i"))
+    named = named.select("_row", "n", F.col("i.identifier").alias("name"), (F.col("i.source") == "question").alias("from_user"))
+    if files is None:  # nothing to look names up in: a model's aren't believed
+        checked = named.withColumns({"exists_in_files": F.lit(None).cast("boolean"), "accepted": F.col("from_user")})
+    else:
+        known = identifier_exists(named.select("name").distinct(), lines if lines is not None else files, files)
+        checked = accepted_identifiers(named, known)
+    each = F.struct("n", F.col("name").alias("identifier"), F.when(F.col("from_user"), "question").otherwise("model").alias("source"), F.col("exists_in_files").alias("exists_in_repository"), "accepted")
+    checks = checked.groupBy("_row").agg(F.array_sort(F.collect_list(each)).alias("_c"))  # what one question and answer name
+    checks = checks.select("_row", F.transform("_c", lambda c: F.struct(c["identifier"].alias("identifier"), c["source"].alias("source"), c["exists_in_repository"].alias("exists_in_repository"), c["accepted"].alias("accepted"))).alias("identifier_checks"))
+    joined = rows.join(checks, "_row", "left").withColumn("identifier_checks", F.coalesce("identifier_checks", F.array().cast(CHECK)))
+    return joined.withColumn("identifiers", F.transform(F.filter("identifier_checks", lambda c: c["accepted"]), lambda c: c["identifier"]))
+
+
+def rewrite(
+    questions: DataFrame, text: str, client: Client | None = None, prompt: Callable[[Column], Column] | None = None,
+    files: DataFrame | None = None, lines: DataFrame | None = None, answers: str | None = None,
+) -> DataFrame:
+    """``questions`` rewritten by a model: the columns of ``rewrite_by_rules`` with identifier_checks and rewrite_error. Fields that an answer
+    lacks, and answers that aren't a JSON object, are as the rules have them; rewrite_source says which, rewrite_error why.
+
+    Identifiers of the question always stay; a model's are looked up in the repository (``files``: path, text; ``lines``: text,
+    where it isn't in ``files``) and only those that exist are added, to the keywords too. Without ``files`` none is. Equal
+    questions are one call, which is made now; ``answers``: see ``ask``.
+    """
     ruled = rewrite_by_rules(questions, text)
     if client is None:
-        return ruled.withColumn("rewrite_error", F.lit(None).cast("string"))
-    said = ask(ruled.withColumn("_prompt", (prompt or (lambda c: c))(F.col(text))), "_prompt", client)
+        ruled = ruled.withColumns({"rewrite_error": F.lit(None).cast("string"), "_row": F.monotonically_increasing_id(), "_said": F.lit(None).cast("array<string>")})
+        return _checked(written(ruled, "rewrites"), lines, files).drop("_row", "_said")
+    said = ask(ruled.withColumn("_prompt", (prompt or (lambda c: c))(F.col(text))), "_prompt", client, answers=answers)
     v = F.try_parse_json(repair_json_object(F.col("answer")))
     field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
-    good = F.rlike(F.coalesce(field("semantic_query", "string"), F.lit("")), F.lit(r"\S"))
+    filled = lambda name: F.when(F.rlike(field(name, "string"), F.lit(r"\S")), strip(field(name, "string")))
+    good = v.isNotNull()
+    intent = F.when(field("intent", "string").isin(*INTENT_NAMES), field("intent", "string"))
     new = {
-        "intent": field("intent", "string"), "should_search": field("should_search", "boolean"), "semantic_query": field("semantic_query", "string"),
-        "keyword_query": field("keyword_query", "string"), "identifiers": field("identifiers", "array<string>"),
-        "confidence": clamp_confidence(field("confidence", "string")),
+        "intent": intent, "should_search": F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.should_search", "variant")) == "BOOLEAN", field("should_search", "boolean")), intent != "general_question"),
+        "semantic_query": filled("semantic_query"), "confidence": clamp_confidence(field("confidence", "string")),
     }
     columns = {name: F.when(good, F.coalesce(c, F.col(name))).otherwise(F.col(name)) for name, c in new.items()}
-    why = F.when(~good, F.coalesce("error", F.lit("not a rewritten query")))
-    return said.withColumns({**columns, "rewrite_source": F.when(good, "model").otherwise("rules"), "rewrite_error": why}).drop("_prompt", "answer", "error", "attempts")
+    why = F.when(~good, F.coalesce("error", F.lit("no JSON object")))
+    columns |= {"rewrite_source": F.when(good, "model").otherwise("rules"), "rewrite_error": why, "_said": F.when(good, field("identifiers", "array<string>"))}
+    columns |= {"_keywords": F.coalesce(F.when(good, filled("keyword_query")), strip(F.col(text))), "_row": F.monotonically_increasing_id()}
+    told = _checked(written(said.withColumns(columns), "rewrites"), lines, files)
+    keywords = F.array_join(first_occurrences(F.concat(F.array("_keywords"), F.col("identifiers"))), " ")
+    return told.withColumn("keyword_query", keywords).drop("_prompt", "answer", "error", "attempts", "_row", "_said", "_keywords")
 
 
 def route(questions: DataFrame, text: str, client: Client | None = None) -> DataFrame:
@@ -220,7 +243,7 @@ def rewrite_by_rules(questions: DataFrame, text: str) -> DataFrame:
             "intent": intent,
             "should_search": intent != "general_question",
             "semantic_query": F.col(text),
-            "keyword_query": F.array_join(F.concat(F.array(F.col(text)), identifiers(F.col(text))), " "),
+            "keyword_query": F.array_join(first_occurrences(F.concat(F.array(F.col(text)), identifiers(F.col(text)))), " "),
             "identifiers": identifiers(F.col(text)),
             "confidence": clamp_confidence(F.lit("0.5")),
             "rewrite_source": F.lit("rules"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -967,11 +968,44 @@ def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""with src as (select id, text from {QUESTIONS_SQL}) select id, {_intent_sql('text')} as intent,
-  {_intent_sql('text')} <> 'general_question' as should_search, text as semantic_query, 0.5::double as confidence, 'rules' as rewrite_source from src""")
+def _identifiers_sql(source: str) -> str:
+    return f"""idr as (select id, regexp_extract_all(text, '[A-Za-z0-9_./\\\\-]+') as r, regexp_extract_all(text, '[A-Za-z0-9_]+') as w, regexp_extract_all(text, '[A-Za-z0-9_.]+') as d from {source}),
+idl as (select id, list_concat(list_filter(list_transform(r, lambda x: regexp_extract(x, '^([A-Za-z0-9_./\\\\-]+\\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$', 1)), lambda x: x <> ''),
+  list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$')), list_filter(d, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+$')),
+  list_filter(w, lambda x: regexp_matches(x, '^(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)$'))) as l from idr),
+ident as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) as names from idl)"""
+
+
+def _first_sql(items: str) -> str:
+    """Trimmed items that aren't empty and didn't stand earlier in any case, joined."""
+    kept = f"list_filter(list_transform({items}, lambda x: regexp_replace(regexp_replace(x, '^[\\x09-\\x0D\\x20]+', ''), '[\\x09-\\x0D\\x20]+$', '')), lambda x: x <> '')"
+    return f"array_to_string(list_filter({kept}, lambda x, i: list_position(list_transform({kept}, lambda y: lower(y)), lower(x)) = i), ' ')"
+
+
+@query(f"""with src as (select id, text from {QUESTIONS_SQL}), {_identifiers_sql('src')} select id, {_intent_sql('text')} as intent,
+  {_intent_sql('text')} <> 'general_question' as should_search, text as semantic_query, {_first_sql('list_concat([text], names)')} as keyword_query, array_to_string(names, ',') as identifiers,
+  0.5::double as confidence, 'rules' as rewrite_source from src join ident using (id)""")
 def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = providers.rewrite_by_rules(_questions(spark, sf_dir), "text")
-    return rows.select("id", "intent", "should_search", "semantic_query", "confidence", "rewrite_source")
+    return rows.select("id", "intent", "should_search", "semantic_query", "keyword_query", F.array_join("identifiers", ",").alias("identifiers"), "confidence", "rewrite_source")
+
+
+def _made_rewriter(prompt: str) -> str:
+    """A model that names a word that is there, one that isn't, and no intent."""
+    return "so: " + json.dumps({"semantic_query": f" {prompt} again ", "keyword_query": "", "identifiers": ["made_up_name", "The", None, "the", " "], "confidence": 7, "intent": "none", "should_search": "yes"})
+
+
+@query(f"""with src as (select id, text from {QUESTIONS_SQL}), {_identifiers_sql('src')}, known as (select exists (select 1 from documents where contains(lower(text), 'the')) as the),
+w as (select *, case when the and not list_contains(list_transform(names, lambda x: lower(x)), 'the') then list_concat(names, ['The']) else names end as kept, list_contains(list_transform(names, lambda x: lower(x)), 'the') as own,
+  list_contains(list_transform(names, lambda x: lower(x)), 'made_up_name') as made from src join ident using (id), known)
+select id, {_intent_sql('text')} as intent, {_intent_sql('text')} <> 'general_question' as should_search, {_first_sql("[text || ' again']")} as semantic_query, {_first_sql('list_concat([text], kept)')} as keyword_query,
+  array_to_string(kept, ',') as identifiers, case when made then '' else 'made_up_name:false' end || case when own then '' else ',The:' || the end as checked, 1.0::double as confidence, 'model' as rewrite_source from w""")
+def rewrite_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    rows = providers.rewrite(_questions(spark, sf_dir), "text", _made_rewriter, files=files)
+    said = F.transform(F.filter("identifier_checks", lambda c: c["source"] == "model"), lambda c: F.concat(c["identifier"], F.lit(":"), c["accepted"].cast("string")))
+    return rows.select("id", "intent", "should_search", "semantic_query", "keyword_query", F.array_join("identifiers", ",").alias("identifiers"), F.array_join(said, ",").alias("checked"), "confidence", "rewrite_source")
 
 
 @query(f"""with d as (select doc_id, lang, {LINES} as lines from documents), c as (select doc_id, lines, 1 as a, least(len(lines), 12) as b from d where len(lines) > 0)
@@ -1096,14 +1130,6 @@ def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASK_SQL = "case when item_id % 4 > 0 then 'where is load_part ' || text else text end"
 
 
-def _identifiers_sql(source: str) -> str:
-    return f"""idr as (select id, regexp_extract_all(text, '[A-Za-z0-9_./\\\\-]+') as r, regexp_extract_all(text, '[A-Za-z0-9_]+') as w, regexp_extract_all(text, '[A-Za-z0-9_.]+') as d from {source}),
-idl as (select id, list_concat(list_filter(list_transform(r, lambda x: regexp_extract(x, '^([A-Za-z0-9_./\\\\-]+\\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$', 1)), lambda x: x <> ''),
-  list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$')), list_filter(d, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+$')),
-  list_filter(w, lambda x: regexp_matches(x, '^(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)$'))) as l from idr),
-ident as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) as names from idl)"""
-
-
 SEARCHED_SQL = f"""question as (select item_id, {ASK_SQL} as text from benchmark), questions as (select item_id as id, text from question), {_identifiers_sql('questions')},
 wanted as (select q.item_id, q.text, q.text || case when len(names) > 0 then ' ' || array_to_string(names, ' ') else '' end as keywords from question q join ident on ident.id = q.item_id where {_intent_sql('q.text')} <> 'general_question'),
 {_dense_sql(30).replace('from benchmark b', 'from wanted b')}, gate as (select w.item_id, max(score) as top1, coalesce(max(score) < 0.38, true) as skipped from wanted w left join dense d using (item_id) group by w.item_id),

@@ -7,11 +7,11 @@ import posixpath
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from quern.functions.text import runtime_id
+from quern.functions.text import json_value, runtime_id
 from quern.operators.corpus import scannable
 from quern.sources import snapshots
 
@@ -70,37 +70,68 @@ def scan_repository(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(scannable(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("text"), "bytes")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, in the file), value of every line below ``path``, with files split as Spark splits them.
+
+    A split's rows have rising ids; its first id and its number of lines, a row a split, give where each split's lines begin in
+    its file. Splits are planned alike for both passes over the files, which hold the same.
+    """
+    place = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select("value", *(F.col(p).alias(n) for p, n in zip(place, ("file", "split"))), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # over splits, not lines
+    begins = splits.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(begins, ["file", "split"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
 def jsonl_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """value, r (the parsed row, null for a bad line), blank, bad: a row for every line."""
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    """file, line, value, r (the parsed row, null for a bad line), blank, bad: a row for every line.
+
+    A line is good if all of it is one JSON object that fits the schema: what follows an object makes it bad.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
     wide = StructType([*schema.fields]).add("_corrupt", StringType())
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    blank = F.btrim("value") == ""
-    return lines.select("value", parsed.alias("r"), blank.alias("blank")).withColumn("bad", ~F.col("blank") & (F.col("r").isNull() | F.col("r._corrupt").isNotNull()))
+    whole = F.startswith(F.schema_of_variant(json_value(F.col("value"))), F.lit("OBJECT"))
+    rows = lines.select("file", "line", "value", parsed.alias("p"), (F.btrim("value") == "").alias("blank"), F.coalesce(whole, F.lit(False)).alias("whole"))
+    good = F.col("whole") & F.col("p").isNotNull() & F.col("p._corrupt").isNull()
+    fields = F.struct(*(F.col(f"p.`{f.name}`").alias(f.name) for f in schema.fields))
+    return rows.select("file", "line", "value", F.when(good, fields).alias("r"), "blank", (~F.col("blank") & ~good).alias("bad"))
 
 
 def jsonl_problems(rows: DataFrame, strict: bool = False, key: str | None = None) -> DataFrame:
-    """problem, detail: a row for every bad line and, if ``strict``, every blank line and repeated key. Of any number."""
-    out = rows.where("bad").select(F.lit("bad_line").alias("problem"), F.substring("value", 1, 80).alias("detail"))
+    """problem, file, line, detail (the whole line, or the key): a row for every bad line and, if ``strict``, every blank line and every line
+    whose key stood in an earlier one (by file and line). Of any number."""
+    told = lambda df, name, detail: df.select(F.lit(name).alias("problem"), "file", "line", detail.alias("detail"))
+    out = told(rows.where("bad"), "bad_line", F.col("value"))
     if strict:
-        out = out.unionByName(rows.where("blank").select(F.lit("blank_line").alias("problem"), F.lit("").alias("detail")))
+        out = out.unionByName(told(rows.where("blank"), "blank_line", F.lit("")))
         if key:
-            twice = rows.where("not blank and not bad").groupBy(F.col(f"r.{key}").cast("string").alias("detail")).count().where("count > 1")
-            out = out.unionByName(twice.select(F.lit(f"repeated_{key}").alias("problem"), F.coalesce("detail", F.lit("null")).alias("detail")))
+            good = rows.where("not blank and not bad").select("file", "line", F.coalesce(F.col(f"r.`{key}`").cast("string"), F.lit("null")).alias("k"))
+            twice = good.groupBy("k").agg(F.min(F.struct("file", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            later = good.join(twice, "k").where(F.struct("file", "line") > F.col("first"))
+            out = out.unionByName(told(later, f"repeated_{key}", F.col("k")))
     return out
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None) -> DataFrame:
-    """Rows of a JSON-lines file. Bad lines raise; ``strict``: blank lines and repeated keys do too.
+    """Rows of JSON-lines files. Bad lines raise; ``strict``: blank lines and repeated keys do too.
 
-    The error counts all problems and names the first ``NAMED`` of each kind; ``jsonl_problems`` gives every one as a table.
+    The error counts all problems and names the first ``NAMED`` of each kind by line; ``jsonl_problems`` gives every one as a table.
     """
     rows = jsonl_rows(spark, path, schema)
-    found = jsonl_problems(rows, strict, key).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.substring("detail", 1, 80))), 1, NAMED).alias("some"))
-    problems = [f"{r['problem']} ({r['n']}): {'; '.join(r['some'])}" for r in found.orderBy("problem").collect()]
-    if problems:
-        raise ValueError("\n".join(problems))
-    return rows.where("not blank").select(*(F.col(f"r.{f.name}") for f in schema.fields))
+    told = F.struct("file", "line", F.substring("detail", 1, 80).alias("detail"))
+    at = F.row_number().over(Window.partitionBy("problem").orderBy("file", "line"))  # Spark keeps NAMED of each kind a task
+    problems = jsonl_problems(rows, strict, key)
+    counts = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    some = problems.withColumn("at", at).where(F.col("at") <= NAMED).groupBy("problem").agg(F.array_sort(F.collect_list(told)).alias("some"))
+    said = [
+        f"{r['problem']} ({r['n']}): " + "; ".join(f"{x['file'].rsplit('/', 1)[-1]}:{x['line']} {x['detail']}".strip() for x in r["some"])
+        for r in counts.join(some, "problem").orderBy("problem").collect()
+    ]
+    if said:
+        raise ValueError("\n".join(said))
+    return rows.where("not blank").select(*(F.col(f"r.`{f.name}`") for f in schema.fields))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
