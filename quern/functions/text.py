@@ -180,11 +180,15 @@ def clamp_confidence(value: Column) -> Column:
 def json_value(text: Column) -> Column:
     """The text as a variant if all of it is one JSON value; else null.
 
-    The parser stops at the end of the first value. What follows it can't be hidden inside an array and inside an object both.
+    The parser stops at the end of the first value, so the text is parsed inside an array, which must have one element. Only a text
+    with a closing bracket can end that array early; it must be a value inside an object too.
     """
-    in_array = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return F.when((F.size(in_array) == 1) & in_object.isNotNull(), F.try_parse_json(text))
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.transform(  # a lambda's variable is evaluated once
+        F.array(F.try_variant_get(in_array, "$", "array<variant>")), lambda a: F.when((F.size(a) == 1) & (~F.contains(text, F.lit("]")) | in_object), F.get(a, F.lit(0)))
+    )
+    return F.get(one, F.lit(0))
 
 
 def repair_json_object(text: Column) -> Column:

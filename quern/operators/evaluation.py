@@ -195,14 +195,15 @@ def routing_metrics(records: DataFrame) -> DataFrame:
     call = F.col("gold_decision") == "call_tool"
     no = lambda c: F.coalesce(c, F.lit(False))
     tool_right = no(call & (F.col("pred_decision") == "call_tool") & (F.col("pred_tool") == F.col("gold_tool")))
-    object_ = lambda c: F.when(F.startswith(F.schema_of_variant(json_value(F.col(c))), F.lit("OBJECT")), F.col(c))
-    gold, predicted = F.coalesce(object_("gold_args"), F.lit("{}")), object_("pred_args")
+    parsed = records.withColumns({"_g": json_value(F.col("gold_args")), "_p": json_value(F.col("pred_args"))})  # one parse each
+    object_ = lambda v, c: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.col(c))
+    gold, predicted = F.coalesce(object_("_g", "gold_args"), F.lit("{}")), object_("_p", "pred_args")
     args = tool_right & predicted.isNotNull()
     covered = args & no(F.size(F.array_except(F.json_object_keys(gold), F.json_object_keys(predicted))) == 0)
-    canonical = lambda c: json_value(c).cast("string")  # fields of a variant are in order of their names
-    exact = args & no(canonical(gold) == canonical(predicted))
+    # Fields of a variant are in order of their names.
+    exact = args & no(F.coalesce(F.when(object_("_g", "gold_args").isNotNull(), F.col("_g").cast("string")), F.lit("{}")) == F.col("_p").cast("string"))
     invented = no((F.col("pred_decision") == "call_tool") & ~no(F.col("pred_tool").isin(*TOOLS)))
-    counts = records.agg(
+    counts = parsed.agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.count_if(F.col("api_error").isNull()).alias("successful_requests"),
         F.count_if(F.col("api_error").isNotNull()).alias("api_error_count"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -51,20 +51,42 @@ def range_reason(total_lines: Column, start: Column, end: Column) -> Column:
     )
 
 
+CELL_LINES = 1024  # first lines that a sort takes together
+
+
+def contained(cited: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
+    """The distinct rows (by, start_line, end_line) of ``cited`` that lie inside one range of ``evidence`` with the same ``by``.
+
+    A range lies in another if, of all that begin no later, the one that reaches furthest reaches its end. So no range is paired with
+    another: evidence goes to the furthest end of each first line, first lines to cells of CELL_LINES, and a running maximum goes over
+    the cells of a file and over the lines of a cell. A file that many ranges share is sorted by cells in many tasks. Null keys match nothing.
+    """
+    known = " and ".join(f"`{c}` is not null" for c in by)
+    cell = F.floor(F.col("start_line") / CELL_LINES).alias("_cell")
+    ends = evidence.where(known).groupBy(*by, "start_line").agg(F.max("end_line").alias("_reach"))
+    asked = cited.where(known).where("start_line is not null and end_line is not null").select(*by, "start_line", "end_line").distinct()
+    rows = ends.select(*by, cell, "start_line", F.lit(0).alias("_asked"), F.lit(None).cast("long").alias("end_line"), F.col("_reach").cast("long").alias("_reach"))
+    rows = rows.unionByName(asked.select(*by, cell, "start_line", F.lit(1).alias("_asked"), F.col("end_line").cast("long").alias("end_line"), F.lit(None).cast("long").alias("_reach")))
+    cells = rows.groupBy(*by, "_cell").agg(F.max("_reach").alias("_most"))
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # cells of a file
+    cells = cells.select(*by, "_cell", F.max("_most").over(earlier).alias("_before"))
+    here = Window.partitionBy(*by, "_cell").orderBy("start_line", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_here", F.max("_reach").over(here)).where("_asked = 1").join(cells, [*by, "_cell"])
+    return swept.where(F.greatest("_here", "_before") >= F.col("end_line")).select(*by, "start_line", "end_line")
+
+
 def check_citations(cited: DataFrame, evidence: DataFrame, files: DataFrame, answer: str) -> DataFrame:
     """Cited ranges with reason (null: valid). Ranges must lie in the file and inside one piece of evidence of the same answer.
 
     cited: answer, pos, file, start_line, end_line; evidence: answer, file, start_line, end_line; files: file, total_lines.
-    Evidence joins on answer and file; the range condition is checked inside the join.
     """
-    c = cited.withColumn("_f", normalise_path(F.col("file")))
-    e = distinct_evidence(evidence, [answer]).select(F.col(answer).alias("_a"), F.col("file").alias("_ef"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    held = c.join(e, (F.col(answer) == F.col("_a")) & (F.col("_f") == F.col("_ef")) & (F.col("start_line") >= F.col("_s")) & (F.col("end_line") <= F.col("_e")), "left_semi")
-    held = held.select(answer, "pos").withColumn("_held", F.lit(True))
+    c = cited.select(F.col(answer).alias("_a"), "pos", "file", "start_line", "end_line", normalise_path(F.col("file")).alias("_f"))
+    e = evidence.where(admissible(F.col("file"), F.col("start_line"), F.col("end_line"))).select(F.col(answer).alias("_a"), normalise_path(F.col("file")).alias("_f"), "start_line", "end_line")
+    held = contained(c, e, ["_a", "_f"]).withColumn("_held", F.lit(True))
     sizes = files.groupBy(normalise_path(F.col("file")).alias("_f")).agg(F.max("total_lines").alias("_total"))
-    joined = c.join(sizes, "_f", "left").join(held, [answer, "pos"], "left")
+    joined = c.join(sizes, "_f", "left").join(held, ["_a", "_f", "start_line", "end_line"], "left")
     reason = F.coalesce(range_reason(F.col("_total"), F.col("start_line"), F.col("end_line")), F.when(F.col("_held").isNull(), "unsupported"))
-    return joined.select(answer, "pos", "file", "start_line", "end_line", reason.alias("reason"))
+    return joined.select(F.col("_a").alias(answer), "pos", "file", "start_line", "end_line", reason.alias("reason"))
 
 
 def citation_report(answers: DataFrame, checked: DataFrame, answer: str, required: str | None = None) -> DataFrame:
