@@ -4,8 +4,8 @@ A page is parsed into a tree of elements (unclosed and misnested tags as browser
 its element (scripts, styles, forms, navigation, footers, asides, ...) goes first, and so do elements of which a whole token
 of class, id or role says furniture (``site-nav``, but not ``has-sidebar`` or ``market-share``). A name is only a hint: it cuts
 no element that holds most of the page's text outside links, unless an article or main element outside it holds text, and
-no paragraph as dense as the element it stands in; names of adverts, notices and comments cut both, but never all of a
-page. Menus go too: elements with ``MENU`` links or more that hold nine tenths of their characters, unless the page has
+no paragraph or section as dense as the element it stands in; names of adverts, notices and comments cut both, but never all of a
+page. A form stays if it wraps the page: if it holds most of that text and is as dense as the rest. Menus go too: elements with ``MENU`` links or more that hold nine tenths of their characters, unless the page has
 nothing else. For every remaining node, with C characters, T tags, LC link characters and LT link tags below it, and LCb, Cb those of the body,
 
     density = C / T * log_b(C / LC * T / LT),  b = ln(C / (C - LC) * LC + LCb / Cb * C + e)
@@ -13,7 +13,8 @@ nothing else. For every remaining node, with C characters, T tags, LC link chara
 (C / T where the page has no link). A node's sum is the sum of its children's densities. The node of maximum sum is the
 core; the threshold is the least density on the path from it to the body. From the body down, every node that reaches the
 threshold gives the node of maximum sum at or below it, and the main text is the least subtree that holds them all, with the
-headings before it in its element; if only the body holds them all, they alone are it. In that subtree nothing is dropped.
+headings before it in its element. If only the body holds them all, those whose sum is below ``BESIDE_CORE`` of the core's go, and the rest
+alone is it. In that subtree nothing is dropped.
 
 An article or main element is a hint too. If there is one, or if several hold half of the page's text outside links, the core
 is looked for in them, and inside the one around the core (an article before a main) the threshold is ``LOWERED`` of what it is elsewhere,
@@ -51,9 +52,10 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp", "noscript", "template", "svg"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
-CUT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "object", "canvas", "menu", "dialog", "label", "fieldset"}
+CUT = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "object", "canvas", "menu", "dialog", "fieldset"}
+FORMS = {"form", "fieldset"}  # cut unless they wrap the page
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
     "time tt u var wbr img ruby rb rt rp".split()
 )
 SAID = set(
@@ -73,7 +75,7 @@ NEVER_TEXT = NEVER_MAIN | {"notice", "notices", "cookie", "cookies", "consent",
 KEPT = {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
 STAYS, GOES, HEADS = 0, 1, 2  # what furniture does: stays, goes, or is a header, of which headings stay inside an article
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-MENU, LOWERED = 4, 0.1
+MENU, LOWERED, BESIDE_CORE = 4, 0.1, 0.3
 IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}  # any other tag ends the head
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -103,7 +105,7 @@ def _furniture(tag: str, attributes: str) -> tuple[int, bool]:
     if tag == "header":
         return HEADS, True
     if tag in CUT:
-        return GOES, True
+        return GOES, tag not in FORMS
     if tag in KEPT or "=" not in attributes:
         return STAYS, True
     said: set[str] = set()
@@ -172,7 +174,8 @@ def parse(page: str) -> Tree:
             node, link = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if tag not in INLINE:
             tree.pieces.append((node, " "))
-        tree.tags[node] += 1
+        if tag not in RAW:
+            tree.tags[node] += 1
         if tag == "a":
             tree.link_tags[node] += 1
         if tag in VOID:
@@ -193,9 +196,10 @@ def parse(page: str) -> Tree:
 
 
 def _spare(tree: Tree, article: list[int]) -> None:
-    """Takes back cuts by name alone of nodes that hold most of the page's text outside links, and of dense paragraphs."""
+    """Takes back cuts by name alone, and of forms, of nodes that hold most of the page's text outside links, and cuts by name of
+    paragraphs and sections as dense as what they stand in. A form must be as dense as the rest of the page, too."""
     n, tag, parent, cut = len(tree.tag), tree.tag, tree.parent, tree.cut
-    by_name = [cut[i] != STAYS and tag[i] != "header" and tag[i] not in CUT for i in range(n)]
+    by_name = [cut[i] != STAYS and tag[i] != "header" and (tag[i] not in CUT or tag[i] in FORMS) for i in range(n)]
     if not any(by_name):
         return
     plain, tags = [c - k for c, k in zip(tree.chars, tree.links)], tree.tags[:]
@@ -210,10 +214,12 @@ def _spare(tree: Tree, article: list[int]) -> None:
         tags[p] += tags[i]
         declared[p] += declared[i]
     for i in range(1, n):
-        if by_name[i] and tag[i] == "p" and not tree.firm[i] and plain[i] * max(tags[parent[i]], 1) >= plain[parent[i]] * max(tags[i], 1) > 0:
+        if by_name[i] and tag[i] in ("p", "section") and not tree.firm[i] and plain[i] * max(tags[parent[i]], 1) >= plain[parent[i]] * max(tags[i], 1) > 0:
             cut[i] = STAYS
     for i in range(1, n):
         most = plain[i] >= plain[0] > 0 if tree.firm[i] else 2 * plain[i] > plain[0]
+        if tag[i] in FORMS:
+            most = most and plain[i] * max(tags[0] - tags[i], 1) >= (plain[0] - plain[i]) * max(tags[i], 1)
         if by_name[i] and most and (article[parent[i]] >= 0 or declared[i] == declared[0]):
             cut[i] = STAYS
 
@@ -225,11 +231,13 @@ def _below(tree: Tree, gone: list[bool], mute: list[bool]) -> tuple[list[int], .
         if mute[i]:
             chars[i] = links[i] = 0
     for i in range(len(gone) - 1, 0, -1):
+        p = tree.parent[i]
         if gone[i]:
             for column in columns:
                 column[i] = 0
+            tags[p] -= 1  # the element itself
+            link_tags[p] -= tree.tag[i] == "a"
             continue
-        p = tree.parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
         tags[p] += tags[i]
@@ -306,12 +314,20 @@ def main_text(page: str | None) -> str:
         dense[i] = not gone[i] and density[i] >= least and (i == 0 or dense[parent[i]])
         if dense[i] and (article[best[i]] >= 0 or not hinted):
             marked.add(best[i])
-    holds = [i in marked for i in range(n)]
-    held = [int(h) for h in holds]
-    for i in range(n - 1, 0, -1):
-        held[parent[i]] += held[i]
-    root = max((i for i in range(n) if held[i] == len(marked)), default=0)  # document order: the last is the deepest
-    roots = marked if root == 0 and core != 0 else {root}
+
+    def common(nodes: set[int]) -> int:
+        held = [int(i in nodes) for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            held[parent[i]] += held[i]
+        return max((i for i in range(n) if held[i] == len(nodes)), default=0)  # document order: the last is the deepest
+
+    root, roots = common(marked), set()
+    if root == 0 and core != 0:  # blocks beside each other: short ones are furniture, however they are made
+        marked = {i for i in marked if total[i] >= BESIDE_CORE * total[core]} | {core}
+        root = common(marked)
+        roots = marked if root == 0 else {root}
+    else:
+        roots = {root}
     inside = [False] * n
     for i in range(n):
         before = root > i > 0 and parent[i] == parent[root] and tag[i] in HEADINGS
