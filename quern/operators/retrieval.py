@@ -244,7 +244,7 @@ def dense_search(queries: DataFrame, items: DataFrame, query: str, key: str, k:
                 types = [batch.schema.field(0).type if query_kind == kind else None, batch.schema.field(0).type, pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[query, key, "score"])
 
-        read = items.select(F.col(key), F.col(vector)).where(F.col(vector).isNotNull())
+        read = items.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
         part = read.mapInArrow(run, f"`{query}` {query_kind}, `{key}` {kind}, score double")
         out = part if out is None else out.unionByName(part)
     return ranked(out, query, [F.desc("score"), F.asc(key)], k)

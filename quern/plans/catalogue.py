@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, diagnosis, evaluation, evidence, lexical_index, matching, projections, providers, retrieval, search, sessions, static_analysis
+from quern.operators import corpus, curation, dense_index, diagnosis, evaluation, evidence, lexical_index, matching, projections, providers, retrieval, search, sessions, static_analysis
 from quern.plans import samples
 from quern.session import scratch, spread
 from quern.session import table as read_table
@@ -204,6 +204,18 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_search(asked, rows, "query_id", "vec_id", 5, exclude_same=True).select("query_id", "vec_id", "score", "rank")
 
 
+@query("""
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(q.e, v.e), 6) as score from v q, v where q.vec_id % 100 = 0)
+select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
+def dense_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of vectors, searched by bounds from pivots."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = dense_index.write_dense_index(rows, "vec_id", scratch(spark, "dense"), model="given")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense_index.search_dense_index(asked, index, "query_id", "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+
+
 @query("""with e as (select vec_id, label, cast(embedding as double[]) as e from embeddings), u as (select vec_id, label, e, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as u from e)
 select vec_id, label, round(sqrt(list_dot_product(e, e)), 6) as norm, round(list_dot_product(u, u), 6) as unit, round(u[1], 6) as first from u""")
 def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
