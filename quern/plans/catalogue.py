@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import corpus, curation, dense_index, diagnosis, evaluation, evidence, lexical_index, matching, projections, providers, retrieval, search, sessions, static_analysis
+from quern.operators import batches, corpus, curation, dense_index, diagnosis, evaluation, evidence, gram_index, lexical_index, matching, projections, providers, retrieval, search, sessions, static_analysis
 from quern.plans import samples
 from quern.session import scratch, spread
 from quern.session import table as read_table
@@ -158,9 +158,15 @@ def tokenize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-@query(f"select id, array_to_string({_tokens_sql('text')}, ' ') as tokens from {samples.sql(samples.CODE)}")
+IDEOGRAPHS = ("aeinorst", "的一是不了人我在")  # letters of every document turned into ideographs: runs of them, and letters between
+
+
+@query(f"""with src as (select id, text from {samples.sql(samples.CODE)} union all select 'd' || doc_id, translate(text, '{IDEOGRAPHS[0]}', '{IDEOGRAPHS[1]}') from documents)
+select id, md5(array_to_string({_tokens_sql('text')}, ' ')) as tokens_md5, len({_tokens_sql('text')})::bigint as n_tokens from src""")
 def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.frame(spark, samples.CODE).select("id", F.array_join(T.code_tokens(F.col("text")), " ").alias("tokens"))
+    made = table(spark, sf_dir, "documents").select(_id("d", "doc_id"), F.translate("text", *IDEOGRAPHS).alias("text"))
+    tokens = samples.frame(spark, samples.CODE).unionByName(made).select("id", T.code_tokens(F.col("text")).alias("t"))
+    return tokens.select("id", F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.size("t").cast("long").alias("n_tokens"))
 
 
 STATS_SQL = f"""
@@ -880,10 +886,17 @@ def _docker_sql() -> tuple[str, str]:
     return f"concat_ws(',', {', '.join(errors)})", f"concat_ws(',', {', '.join(f'case when not ({line(p)}) then {chr(39)}{n}{chr(39)} end' for n, p in advised.items())})"
 
 
-@query(f"select id, case when trim(text) = '' then 'no_dockerfile' else {_docker_sql()[0]} end as errors, case when trim(text) = '' then '' else {_docker_sql()[1]} end as warnings from {S(samples.DOCKERFILES)}")
+# A container file of every document: its text as comments, and instructions by its number.
+MADE_DOCKERFILE = """case when doc_id % 11 = 0 then '' else 'FROM python:3' || chr(10) end || case when doc_id % 3 = 0 then 'WORKDIR /srv' || chr(10) else '' end || case when doc_id % 5 = 0 then 'copy . .' || chr(10) else '' end ||
+  case doc_id % 4 when 0 then 'RUN pip install x' || chr(10) when 1 then 'RUN sudo chmod 777 /' || chr(10) when 2 then 'RUN curl http://x | sh' || chr(10) else '' end || '# ' || replace(coalesce(text, ''), chr(10), chr(10) || '# ') || chr(10) || case when doc_id % 2 = 0 then 'CMD run' else 'USER me' end"""
+
+
+@query(f"""with src as (select id, text from {S(samples.DOCKERFILES)} union all select 'd' || doc_id, {MADE_DOCKERFILE} from documents)
+select id, case when trim(text) = '' then 'no_dockerfile' else {_docker_sql()[0]} end as errors, case when trim(text) = '' then '' else {_docker_sql()[1]} end as warnings from src""")
 def dockerfile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select(_id("d", "doc_id"), F.expr(MADE_DOCKERFILE).alias("text"))
     errors, warnings = curation.dockerfile_findings(F.col("text"))
-    return samples.frame(spark, samples.DOCKERFILES).select("id", errors.alias("errors"), warnings.alias("warnings"))
+    return samples.frame(spark, samples.DOCKERFILES).unionByName(made).select("id", errors.alias("errors"), warnings.alias("warnings"))
 
 
 @query("""with n as (select doc_id, regexp_replace(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}，。！？、；：“”‘’（）,.!?;:"''()]', '', 'g') as q from documents)
@@ -1110,15 +1123,38 @@ def json_object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.try_parse_json("object").cast("string").alias("object"))
 
 
-@query("""select n as name, exists (select 1 from documents where contains(lower(text), lower(n))) or exists (select 1 from documents where lower(source || '/' || doc_id || '.txt') = lower(n) or ends_with(lower(source || '/' || doc_id || '.txt'), '/' || lower(n))) as exists_in_files
-from (values ('src3/3.txt'), ('3.TXT'), ('the'), ('no_such_name'), ('Token')) as t(n)""")
+@query("""with t as (select * from (values ('src3/3.txt'), ('3.TXT'), ('the'), ('no_such_name'), ('Token')) as t(n) union select regexp_extract(text, '[A-Za-z]{7,}') from documents where regexp_matches(text, '[A-Za-z]{7,}')
+  union select 'no_' || regexp_extract(text, '[A-Za-z]{7,}') from documents where regexp_matches(text, '[A-Za-z]{7,}'))
+select n as name, exists (select 1 from documents where contains(lower(text), lower(n))) or exists (select 1 from documents where lower(source || '/' || doc_id || '.txt') = lower(n) or ends_with(lower(source || '/' || doc_id || '.txt'), '/' || lower(n))) as exists_in_files from t""")
 def identifier_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word of every document, and the same with a prefix that none has, besides five names."""
     docs = table(spark, sf_dir, "documents")
+    word = docs.select(F.regexp_extract("text", "[A-Za-z]{7,}", 0).alias("name")).where("name <> ''")
     names = spark.createDataFrame([(n,) for n in ("src3/3.txt", "3.TXT", "the", "no_such_name", "Token")], "name string")
+    names = names.unionByName(word).unionByName(word.select(F.concat(F.lit("no_"), "name").alias("name"))).distinct()
     files = docs.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
     return diagnosis.identifier_exists(names, docs, files)
 
 
+@query(ORACLE_SQL["grep_with_context"])
+def grep_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of trigrams, and a search that reads the documents that can hold the text alone."""
+    docs = table(spark, sf_dir, "documents")
+    index = gram_index.write_gram_index(docs, scratch(spark, "grams"), "doc_id")
+    return gram_index.grep(docs, index, "TOKEN =", context=1, limit=50, path="doc_id")
+
+
+@query("""with m as (select conv_id, role, octet_length(encode(coalesce(text, ''))) as n from conversations),
+c as (select conv_id, sum(octet_length(encode(role)) + 5 + n + 8)::bigint as n_ids, coalesce(sum(n + 7) filter (where role = 'assistant'), 0)::bigint as n_labels from m group by conv_id)
+select conv_id, case when n_labels = 0 then 0 else n_ids end as n_ids, n_labels, case when n_labels = 0 then 'nothing_to_learn' end as problem from c""")
+def label_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and labels of every conversation under the byte encoder."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    told = batches.label_masks(turns, most=1 << 30, key="conv_id")
+    learned = F.size(F.filter("labels", lambda x: x != batches.IGNORED)).cast("long")
+    return told.select("conv_id", F.size("ids").cast("long").alias("n_ids"), learned.alias("n_labels"), "problem")
+
+
 @query(f"with {_bm25_sql(10)} select item_id, doc_id, score, rank from bm25")
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored index, built once, and a search that reads the postings of its terms alone."""
