@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.session import clear, drop, materialise, shared_dir
 
-__all__ = ["Tables", "clear", "drop", "materialise", "parts", "placed", "shared_dir", "table"]
+__all__ = ["Tables", "clear", "drop", "held", "materialise", "parts", "placed", "release", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +58,25 @@ def parts(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+
+
+def release() -> None:
+    """Gives memory that a worker doesn't use any more back to the system; workers outlive the tasks of many operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_held: list[Any] = [None, None]
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The large object (a model, a vocabulary) that tasks of an operator share in a worker. A worker holds one: asking for another drops it."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        release()
+        _held[:] = [key, make()]
+    return _held[1]

@@ -305,7 +305,7 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list
     blocks = max(1, ceil(held["n"] / ITEM_BLOCK), ceil(held["chars"] / ITEM_CHARS))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, *([] if r[0] is None else [r[0]]), r[1]))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", ratio: float = RATIO) -> DataFrame:

@@ -22,7 +22,6 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, parts, table
+from .common import Tables, held, parts, table
 
 CAPACITY, END_ID = 2048, 0
 CELL_ROWS = 4000
@@ -65,6 +64,9 @@ class Encoder:
         self.fast = None
         if not plain or spec.get("normalizer") or model.get("type") != "BPE" or any(model.get(k) for k in odd):
             return
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        if any(model["vocab"][a] >= model["vocab"][b] for a, b in zip(merged, merged[1:])):  # the fast engine merges by id, the file by place
+            return
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -88,9 +90,8 @@ class Encoder:
                     raise RuntimeError("the two engines differ on a text")
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -250,3 +250,11 @@ def test_pairs_within_the_budget_meet_once():
         for i, j in zip(*np.nonzero(np.triu(near, 1))):
             at = {home[i], home[j]}
             assert sum((i, c) in held and (j, c) in held for c in at) == 1 and (home[i] <= home[j]) == ((i, home[j]) in held)
+
+
+def test_items_with_ids_of_strings(spark):
+    from quern.llm import decontam
+
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([("", "one two three four five six seven"), ("b", "other words that are not there"), (None, "one two three four five six seven")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()} == {(1, ""), (1, None)}
