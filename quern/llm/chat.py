@@ -1,13 +1,15 @@
 """Chat formatting: schema fingerprints pick declarative mappings to canonical turns.
 
-Every record is described by the sorted list of the known nested field paths it holds (a field may be null); the SHA-256 of
-that list is its *fingerprint*. A mapping is registered under the fingerprint of the paths it needs and is a plain SQL
+A record's *fingerprint* is the SHA-256 of all its nested field paths, array elements taken together and kinds of values left out, so records
+with and without a ``system`` field differ. A mapping is registered under the SHA-256 of the paths it needs and is a plain SQL
 expression that yields ``array<struct<role,text>>``. A mapping fits a record if the record's paths, narrowed to those the
-mapping knows, have the mapping's fingerprint; of those that fit, the one with most paths is taken, then that with most
-values, then the first. Tables that hold a turn a row are fingerprinted by their columns. All of it is DataFrame expressions:
-no Python runs on the executors.
+mapping knows (a field may be null), hash to that; of those that fit, the one with most paths is taken, then that with most
+values, then the first. What a mapping doesn't read of a record's texts, ``unread_paths`` names. Tables that hold a turn a row are
+fingerprinted by their columns. All of it is DataFrame expressions: no Python runs on the executors.
 
-A message's content may be a list of parts: the texts of its parts are joined, and a part without text stays as its JSON.
+A message's content may be a list of parts: the texts of its parts are joined, and a part without text stays as its JSON. Messages of one list
+may have different keys, and one that has only ``tool_calls`` says these as JSON. A ``system`` text and a ``history`` of pairs beside a
+question and an answer come first.
 
 Template, per turn: ``<s>[ROLE]`` role ``[/ROLE]`` text ``</s>``. Control strings are ``<s>``, ``</s>`` and any
 bracketed upper-case tag such as ``[INST]``. Inside texts and roles the mark U+241B is written as mark + ``0`` and
@@ -34,11 +36,15 @@ MARK = "␛"
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+ELEMENT = ("role", "from", "speaker", "content", "value", "text", "tool_calls")  # what is read of a message
+
+
 @dataclass(frozen=True)
 class Layout:
     name: str
     paths: tuple[str, ...]
     turns: str  # SQL over the variant column v
+    messages: str | None = None  # the path of a list of messages
 
 
 def _text(m: str, path: str) -> str:
@@ -49,38 +55,46 @@ def _text(m: str, path: str) -> str:
     return f"case when startswith({kind}, 'ARRAY') then {parts} else try_variant_get({m}, '{path}', 'string') end"
 
 
-def _list(path: str, role: str, text: str) -> str:
+def _list(path: str) -> str:
+    """SQL of the turns of a list of messages, each of which may have its own keys; a message that only calls tools says its calls."""
     known = ", ".join(f"'{a}', '{b}'" for a, b in ROLES.items())
-    kind = f"try_variant_get(m, '$.{role}', 'string')"
+    kind = "coalesce(" + ", ".join(f"try_variant_get(m, '$.{r}', 'string')" for r in ELEMENT[:3]) + ")"
+    said = [f"nullif({_text('m', f'$.{t}')}, '')" for t in ELEMENT[3:6]]
     return (
-        f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', "
-        f"coalesce(element_at(map({known}), {kind}), {kind}), 'text', {_text('m', '$.' + text)}))"
+        f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', coalesce(element_at(map({known}), {kind}), {kind}), "
+        f"'text', coalesce(nullif(concat({', '.join(f"coalesce({t}, '')" for t in said)}, coalesce(try_variant_get(m, '$.tool_calls', 'string'), '')), ''), {_text('m', '$.content')})))"
     )
 
 
+def _field(name: str) -> str:
+    return f"try_variant_get(v, '$.{name}', 'string')"
+
+
 def _pair(question: str, answer: str) -> str:
-    return (
-        f"array(named_struct('role', 'user', 'text', {question}), "
-        f"named_struct('role', 'assistant', 'text', try_variant_get(v, '$.{answer}', 'string')))"
-    )
+    """SQL of a question and an answer, after the system's text and earlier pairs where the record has them."""
+    turn = lambda role, text: f"named_struct('role', '{role}', 'text', {text})"
+    system = f"case when {_field('system')} <> '' then array({turn('system', _field('system'))}) else array() end"
+    earlier = "transform(coalesce(try_variant_get(v, '$.history', 'array<variant>'), array()), h -> array(" + ", ".join(turn(r, f"try_variant_get(h, '$[{i}]', 'string')") for i, r in enumerate(("user", "assistant"))) + "))"
+    return f"concat({system}, flatten({earlier}), array({turn('user', question)}, {turn('assistant', _field(answer))}))"
 
 
-def _field(name: str) -> str:
-    return f"try_variant_get(v, '$.{name}', 'string')"
+def _both(first: str, second: str) -> str:
+    return f"concat_ws('\\n\\n', {_field(first)}, nullif({_field(second)}, ''))"
 
 
 LAYOUTS = (
-    Layout("messages", ("messages[0].content", "messages[0].role"), _list("messages", "role", "content")),
-    Layout("from_value", ("conversations[0].from", "conversations[0].value"), _list("conversations", "from", "value")),
+    Layout("messages", ("messages[0].content", "messages[0].role"), _list("messages"), "messages"),
+    Layout("nested_messages", ("data.messages[0].content", "data.messages[0].role"), _list("data.messages"), "data.messages"),
+    Layout("from_value", ("conversations[0].from", "conversations[0].value"), _list("conversations"), "conversations"),
+    Layout("conversations", ("conversations[0].content", "conversations[0].role"), _list("conversations"), "conversations"),
     Layout("prompt_response", ("prompt", "response"), _pair(_field("prompt"), "response")),
     Layout("prompt_completion", ("completion", "prompt"), _pair(_field("prompt"), "completion")),
+    Layout("prompt_chosen", ("chosen", "prompt", "rejected"), _pair(_field("prompt"), "chosen")),
     Layout("question_answer", ("answer", "question"), _pair(_field("question"), "answer")),
     Layout("instruction", ("instruction", "output"), _pair(_field("instruction"), "output")),
-    Layout(
-        "instruction_input",
-        ("input", "instruction", "output"),
-        _pair(f"concat_ws('\\n\\n', {_field('instruction')}, nullif({_field('input')}, ''))", "output"),
-    ),
+    Layout("instruction_input", ("input", "instruction", "output"), _pair(_both("instruction", "input"), "output")),
+    Layout("instruction_response", ("instruction", "response"), _pair(_field("instruction"), "response")),
+    Layout("instruction_context", ("context", "instruction", "response"), _pair(_both("instruction", "context"), "response")),
 )
 ROW_COLUMNS = ("role", "text", "turn")
 KNOWN_PATHS = tuple(sorted({p for layout in LAYOUTS for p in layout.paths}))
@@ -91,13 +105,19 @@ def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def shape_of(v: str) -> Column:
+    """SHA-256 of all nested field paths of a variant, the elements of an array taken together, whatever the kinds of their values."""
+    scalars = r"\b(?:STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|DATE|TIMESTAMP(?:_NTZ)?|BINARY|UUID|DECIMAL\([0-9]+,[0-9]+\))(?=[,>]|$)"
+    return F.sha2(F.coalesce(F.regexp_replace(F.schema_of_variant(v), scalars, "_"), F.lit("")), 256)
+
+
 def _described(df: DataFrame, conv_id: str, record: str) -> DataFrame:
     """conv_id, record, v, fingerprint, layout (null: unknown)."""
     v = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), F.try_parse_json(F.col(record)).alias("v"))
     there = lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'variant')").isNotNull()
     filled = lambda p: F.expr(f"try_variant_get(v, '$.{p}', 'string')").isNotNull()
     v = v.withColumn("held", F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in KNOWN_PATHS])))
-    v = v.withColumn("fingerprint", F.sha2(F.array_join("held", "\n"), 256))
+    v = v.withColumn("fingerprint", shape_of("v"))
     fits = []
     for i, x in enumerate(LAYOUTS):
         narrowed = F.array_intersect("held", F.array(*[F.lit(p) for p in x.paths]))
@@ -117,6 +137,34 @@ def record_turns(df: DataFrame, conv_id: str, record: str) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long"), "m.role", "m.text", "layout", "fingerprint")
 
 
+def unread_paths(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
+    """Rows (conv_id, layout, path) of the fields of mapped records that hold text and that their mapping doesn't read."""
+    spark, known = df.sparkSession, _described(df, conv_id, record).where("layout is not null").select("conv_id", "layout", "v")
+    text = lambda c: F.contains(F.schema_of_variant(c), F.lit("STRING"))
+
+    def inside(rows: DataFrame, prefix: Column, read: Column) -> DataFrame:
+        found = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        return found.where(F.col("key").isNotNull() & ~F.array_contains(read, F.col("key"))).where(text(F.col("value"))).select("conv_id", "layout", F.concat(prefix, F.col("key")).alias("path"))
+
+    def of(values: dict[str, list[str]]) -> Column:
+        out = F.array().cast("array<string>")
+        for name, keys in values.items():
+            out = F.when(F.col("layout") == name, F.lit(keys)).otherwise(out)
+        return out
+
+    top = {x.name: [x.messages.split(".")[0]] if x.messages else [p for p in x.paths if p != "rejected"] + ["system", "history"] for x in LAYOUTS}
+    out = inside(known, F.lit(""), of(top))
+    for x in LAYOUTS:
+        if x.messages:
+            own = known.where(F.col("layout") == x.name)
+            if "." in x.messages:
+                head, tail = x.messages.split(".")
+                out = out.unionByName(inside(own.withColumn("v", F.expr(f"try_variant_get(v, '$.{head}', 'variant')")), F.lit(f"{head}."), F.lit([tail])))
+            each = own.select("conv_id", "layout", F.explode(F.expr(f"try_variant_get(v, '$.{x.messages}', 'array<variant>')")).alias("v"))
+            out = out.unionByName(inside(each, F.lit(f"{x.messages}[]."), F.lit(list(ELEMENT))))
+    return out.distinct()
+
+
 def unknown_records(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """Rows (conv_id, record, fingerprint) of the records that no mapping fits."""
     return _described(df, conv_id, record).where("layout is null").select("conv_id", "record", "fingerprint")
