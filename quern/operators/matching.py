@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quern.session import sliced
+
 BLOCK_TEXTS, BLOCK_CHARS = 50_000, 8_000_000  # texts looked for together, and their characters, about
 
 
@@ -41,7 +43,7 @@ def held_in(texts: DataFrame, asked: DataFrame, key: str | None, text: str, aske
                 finder.make_automaton()
             keys = [k for k, _ in shared.value]
             told: set[int] = set()  # without a key, what this task has said already
-            for batch in batches:
+            for batch in sliced(batches):
                 of, found = [], []
                 for d, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                     here = set(empty)

@@ -21,7 +21,7 @@ from quern.operators.answers import Client, answered
 from quern.operators.curation import judgment_error, target_error
 from quern.operators.diagnosis import accepted_identifiers, identifier_exists
 from quern.operators.evaluation import DIRECT
-from quern.session import written
+from quern.session import sliced, written
 
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float | None]]
@@ -60,7 +60,7 @@ def embed(rows: DataFrame, text: str, embedder: Embedder | None = None, into: st
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), f"`{into}` array<float>"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             vectors = use([prefix + (t or "") for t in batch.column(at).to_pylist()])
             column = pa.array([v.astype(np.float32) for v in vectors], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
@@ -75,7 +75,7 @@ def cross_score(rows: DataFrame, query: str, passage: str, scorer: Scorer | None
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), f"`{into}` double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = [(q or "", p or "") for q, p in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
             try:
                 scores = use(pairs)

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.functions.text import token_bag
-from quern.session import written
+from quern.session import sliced, written
 
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK, LEXICAL_BLOCK = 4096, 1024  # query vectors, and query texts, scored at a time
-QUERY_SET, BLOCK_BYTES = 20_000, 64_000_000  # query texts that a scan serves; weights of a block of them
+QUERY_SET, BLOCK_BYTES = 20_000, 64_000_000  # query texts that a scan serves; weights of a block of them in a task
 
 
 def document_lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -107,13 +107,13 @@ def _blocks(counts: list[Counter]) -> Iterator[tuple[int, int, dict[str, int]]]:
         yield first, len(counts), terms
 
 
-def _weights(counts: list[Counter], terms: dict[str, int], idf_of: dict[str, float]) -> np.ndarray:
-    """terms x queries: how often the query says the term, times the term's idf."""
-    weight = np.zeros((len(terms), len(counts)))
-    for q, c in enumerate(counts):
-        for t, times in c.items():
-            weight[terms[t], q] = times * idf_of.get(t, 0.0)
-    return weight
+def _sparse(ids: list, counts: list[Counter], terms: dict[str, int], idf_of: dict[str, float]) -> tuple:
+    """Of a block of queries: ids, the terms that they say, and (place of a term, place of a query, weight) of each that a query says: how
+    often, times the term's idf. As large as the queries."""
+    own = np.array(sorted({terms[t] for c in counts for t in c}), dtype=np.int64)
+    rows = [(terms[t], q, n * idf_of.get(t, 0.0)) for q, c in enumerate(counts) for t, n in c.items()]
+    said, q, w = (np.array(x) for x in zip(*rows)) if rows else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return ids, own, np.searchsorted(own, said), q, w
 
 
 def _keep_best(best: list[list[tuple]], score: np.ndarray, keys: list, k: int) -> None:
@@ -155,7 +155,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: in
 
         def count(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            for batch in batches:
+            for batch in sliced(batches):
                 lengths, at, tf = [], [], []
                 for value in batch.column(1).to_pylist():
                     tokens = python_tokens(value)
@@ -170,33 +170,37 @@ def bm25_search(queries: DataFrame, docs: DataFrame, query: str, key: str, k: in
         n, avgdl = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
         df = {r["i"]: r["n"] for r in counted.select(F.explode("at").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # terms of the queries
         idf_of = {t: float(np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5))) for t, i in terms.items()}
-        for first, last, own_terms in _blocks(counts):
-            place = np.full(len(terms) + 1, -1, dtype=np.int64)
-            for t, i in own_terms.items():
-                place[terms[t]] = i
-            shared = spark.sparkContext.broadcast((ids[first:last], place, _weights(counts[first:last], own_terms, idf_of), avgdl))
-
-            def score(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                asked, place, weight, avgdl = shared.value
-                best: list[list[tuple]] = [[] for _ in asked]
-                for batch in batches:
-                    for start in range(0, batch.num_rows, 1024):
-                        part = batch.slice(start, 1024)
-                        sizes = np.array([len(x) for x in part.column(2)], dtype=np.int64)
-                        at, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-                        row, at = np.repeat(np.arange(part.num_rows), sizes), place[at]
-                        row, at, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
-                        if not len(at):
+        shared = spark.sparkContext.broadcast(([_sparse(ids[i:j], counts[i:j], terms, idf_of) for i, j, _ in _blocks(counts)], avgdl))
+
+        def score(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            blocks, avgdl = shared.value
+            best: list[list[list[tuple]]] = [[[] for _ in asked] for asked, *_ in blocks]
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    sizes = np.array([len(x) for x in part.column(2)], dtype=np.int64)
+                    at, tf = (part.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+                    row, keys = np.repeat(np.arange(part.num_rows), sizes), part.column(0).to_pylist()
+                    norm = k1 * (1 - b + b * part.column(1).to_numpy().astype(float) / avgdl)
+                    gain = tf * (k1 + 1) / (tf + norm[row])
+                    for found, (asked, own, t, q, w) in zip(best, blocks):
+                        place = np.minimum(np.searchsorted(own, at), len(own) - 1)
+                        said = own[place] == at if len(own) else np.zeros(len(at), dtype=bool)
+                        if not said.any():
                             continue
-                        used, column = np.unique(at, return_inverse=True)
+                        used, column = np.unique(place[said], return_inverse=True)
                         x = np.zeros((part.num_rows, len(used)))
-                        norm = k1 * (1 - b + b * part.column(1).to_numpy().astype(float) / avgdl)
-                        x[row, column] = tf * (k1 + 1) / (tf + norm[row])
-                        _keep_best(best, np.round(x @ weight[used], 6), part.column(0).to_pylist(), k)
-                yield _best_rows(asked, best, [query, key, "score"], kinds)
-
-            part = counted.where("k is not null and size(at) > 0").mapInArrow(score, f"`{query}` {query_kind}, `{key}` {kind}, score double")
-            out = part if out is None else out.unionByName(part)
+                        x[row[said], column] = gain[said]
+                        of = np.minimum(np.searchsorted(used, t), len(used) - 1)
+                        held = used[of] == t
+                        weight = np.zeros((len(used), len(asked)))  # BLOCK_BYTES at most
+                        weight[of[held], q[held]] = w[held]
+                        _keep_best(found, np.round(x @ weight, 6), keys, k)
+            for found, (asked, *_) in zip(best, blocks):
+                yield _best_rows(asked, found, [query, key, "score"], kinds)
+
+        part = counted.where("k is not null and size(at) > 0").mapInArrow(score, f"`{query}` {query_kind}, `{key}` {kind}, score double")
+        out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"`{query}` {query_kind}, `{key}` {kind}, score double")
     return ranked(out, query, [F.desc("score"), F.asc(key)], k)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import sliced
+
 LONG_FUNCTION, HIGH_COMPLEXITY = 50, 10
 UNPARSED = (SyntaxError, ValueError, MemoryError, RecursionError)  # the parser's stack overflows on texts that nest too deep
 _ABSOLUTE = re.compile(r"[A-Za-z]:[\\/]|/")
@@ -137,7 +139,7 @@ def chunk_source(source: str, chunk_lines: int = 80, overlap: int = 10) -> list[
 
 def python_chunks(files: DataFrame, file: str = "file", text: str = "text", chunk_lines: int = 80, overlap: int = 10) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(f, *c) for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in chunk_source(t or "", chunk_lines, overlap)]
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -151,7 +153,7 @@ def python_analysis(files: DataFrame, file: str = "file", text: str = "text") ->
     """file, error, and the analysis; a source that doesn't parse has an error and nulls."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found, errors = [], []
             for t in batch.column(1).to_pylist():
                 try:

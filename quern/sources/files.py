@@ -100,8 +100,8 @@ def jsonl_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def jsonl_problems(rows: DataFrame, strict: bool = False, key: str | None = None) -> DataFrame:
-    """problem, file, line, detail (the whole line, or the key): a row for every bad line and, if ``strict``, every blank line and every line
-    whose key stood in an earlier one (by file and line). Of any number."""
+    """problem, file, line, detail (the whole line, or the key): a row for every bad line and, if ``strict``, every blank line and every
+    repeated key, at the first line that repeats it (by file and line). Of any number."""
     told = lambda df, name, detail: df.select(F.lit(name).alias("problem"), "file", "line", detail.alias("detail"))
     out = told(rows.where("bad"), "bad_line", F.col("value"))
     if strict:
@@ -109,8 +109,8 @@ def jsonl_problems(rows: DataFrame, strict: bool = False, key: str | None = None
         if key:
             good = rows.where("not blank and not bad").select("file", "line", F.coalesce(F.col(f"r.`{key}`").cast("string"), F.lit("null")).alias("k"))
             twice = good.groupBy("k").agg(F.min(F.struct("file", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            later = good.join(twice, "k").where(F.struct("file", "line") > F.col("first"))
-            out = out.unionByName(told(later, f"repeated_{key}", F.col("k")))
+            later = good.join(twice, "k").where(F.struct("file", "line") > F.col("first")).groupBy("k").agg(F.min(F.struct("file", "line")).alias("at"))
+            out = out.unionByName(told(later.select("at.file", "at.line", "k"), f"repeated_{key}", F.col("k")))
     return out
 
 
