@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IDENTIFIER, PART, CJK = "[A-Za-z][A-Za-z0-9_]*|[0-9]+", "[A-Za-z]+|[0-9]+", r"[\x{4e00}-\x{9fff}]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` names it: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -183,12 +190,13 @@ def json_value(text: Column) -> Column:
     The parser stops at the end of the first value, so the text is parsed inside an array, which must have one element. Only a text
     with a closing bracket can end that array early; it must be a value inside an object too.
     """
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.transform(  # a lambda's variable is evaluated once
-        F.array(F.try_variant_get(in_array, "$", "array<variant>")), lambda a: F.when((F.size(a) == 1) & (~F.contains(text, F.lit("]")) | in_object), F.get(a, F.lit(0)))
-    )
-    return F.get(one, F.lit(0))
+    def value(t: Column) -> Column:
+        in_object = F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}"))).isNotNull()
+        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        one = lambda a: F.when((F.size(a) == 1) & (~F.contains(t, F.lit("]")) | in_object), F.get(a, F.lit(0)))
+        return let(F.try_variant_get(in_array, "$", "array<variant>"), one)
+
+    return let(text, value)
 
 
 def repair_json_object(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import json_value, normalise_question
+from quern.functions.text import json_value, let, normalise_question
 from quern.operators.evaluation import DIRECT, TOOLS
 
 # Arguments of each tool as (name, type, required, minimum, maximum).
@@ -37,9 +39,14 @@ def _filled(v: Column, path: str) -> Column:
     return _is(v, path, "STRING") & F.rlike(F.try_variant_get(v, path, "string"), F.lit(r"\S"))
 
 
-def _first(rules: list[tuple[Column, Column | str]]) -> Column:
-    """The code of the first rule that is broken; null if none is."""
-    return F.coalesce(*(F.when(F.coalesce(broken, F.lit(False)), F.lit(code) if isinstance(code, str) else code) for broken, code in rules))
+def _first(rules: list[tuple[Column, Column | str] | Column]) -> Column:
+    """The code of the first rule that is broken; null if none is. A column is a rule's code itself, null where it isn't broken."""
+    return F.coalesce(*(r if isinstance(r, Column) else F.when(F.coalesce(r[0], F.lit(False)), F.lit(r[1]) if isinstance(r[1], str) else r[1]) for r in rules))
+
+
+def _parsed(text: Column, rules: Callable[[Column, Column], list[tuple[Column, Column | str] | Column]]) -> Column:
+    """The first rule that a JSON text breaks; ``rules`` name the text and its value as often as they like: each is evaluated once."""
+    return let(text, lambda t: let(json_value(t), lambda v: _first(rules(t, v))))
 
 
 def _lacking(names: Column, required: tuple[str, ...]) -> Column:
@@ -48,50 +55,61 @@ def _lacking(names: Column, required: tuple[str, ...]) -> Column:
 
 def metadata_error(metadata: Column) -> Column:
     """The first rule that a sample's JSON metadata breaks: an object with a known difficulty and source and a group id."""
-    v = json_value(metadata)
-    lacking = _lacking(F.json_object_keys(metadata), ("difficulty", "group_id", "source"))
-    text = lambda path: F.try_variant_get(v, path, "string")
-    return _first([
-        (~_is(v, "$", "OBJECT"), "metadata_not_an_object"),
-        (F.size(lacking) > 0, F.concat(F.lit("missing_metadata:"), F.array_join(lacking, ","))),
-        (~(_is(v, "$.difficulty", "STRING") & text("$.difficulty").isin(*DIFFICULTIES)), "unknown_difficulty"),
-        (~_filled(v, "$.group_id"), "blank_group_id"),
-        (~(_is(v, "$.source", "STRING") & text("$.source").isin(*SOURCES)), "unknown_source"),
-    ])
+
+    def rules(t: Column, v: Column) -> list:
+        lacking = _lacking(F.json_object_keys(t), ("difficulty", "group_id", "source"))
+        text = lambda path: F.try_variant_get(v, path, "string")
+        return [
+            (~_is(v, "$", "OBJECT"), "metadata_not_an_object"),
+            let(lacking, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("missing_metadata:"), F.array_join(x, ",")))),
+            (~(_is(v, "$.difficulty", "STRING") & text("$.difficulty").isin(*DIFFICULTIES)), "unknown_difficulty"),
+            (~_filled(v, "$.group_id"), "blank_group_id"),
+            (~(_is(v, "$.source", "STRING") & text("$.source").isin(*SOURCES)), "unknown_source"),
+        ]
+
+    return _parsed(metadata, rules)
 
 
 def sample_error(sample: Column) -> Column:
     """The first rule that a routing sample (JSON: id, user_query, target, metadata) breaks; null if it is valid."""
-    v = json_value(sample)
-    lacking = _lacking(F.json_object_keys(sample), ("id", "metadata", "target", "user_query"))
-    part = lambda path: F.try_variant_get(v, path, "variant").cast("string")
-    inner = lambda error, path: (error(part(path)).isNotNull(), error(part(path)))
-    return _first([
-        (~_is(v, "$", "OBJECT"), "not_an_object"),
-        (F.size(lacking) > 0, F.concat(F.lit("missing_fields:"), F.array_join(lacking, ","))),
-        (~_filled(v, "$.id"), "blank_id"),
-        (~_filled(v, "$.user_query"), "blank_user_query"),
-        inner(target_error, "$.target"),
-        inner(metadata_error, "$.metadata"),
-    ])
+
+    def rules(t: Column, v: Column) -> list:
+        lacking = _lacking(F.json_object_keys(t), ("id", "metadata", "target", "user_query"))
+        part = lambda path: F.try_variant_get(v, path, "variant").cast("string")
+        return [
+            (~_is(v, "$", "OBJECT"), "not_an_object"),
+            let(lacking, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("missing_fields:"), F.array_join(x, ",")))),
+            (~_filled(v, "$.id"), "blank_id"),
+            (~_filled(v, "$.user_query"), "blank_user_query"),
+            target_error(part("$.target")),
+            metadata_error(part("$.metadata")),
+        ]
+
+    return _parsed(sample, rules)
 
 
 def judgment_error(judgment: Column) -> Column:
     """The first rule that a judge's JSON answer breaks: two flags, scores from 1 to 5 (all but relevance may be null; a flag is no
     score), a list of claims, a reason."""
-    v = json_value(judgment)
-    rules: list[tuple[Column, Column | str]] = [(~_is(v, "$", "OBJECT"), "not_an_object")]
-    rules += [(~_is(v, f"$.{name}", "BOOLEAN"), f"not_a_flag:{name}") for name in ("answer_supported", "hallucination")]
 
-    def score(name: str) -> list[tuple[Column, Column | str]]:
-        given = F.coalesce(_kind(v, f"$.{name}"), F.lit("VOID")) != "VOID"
-        number = F.try_variant_get(v, f"$.{name}", "bigint")
-        return [(given & ~_is(v, f"$.{name}", "BIGINT"), f"not_an_integer:{name}"), (given & ~number.between(1, 5), f"out_of_range:{name}")]
+    def rules(_: Column, v: Column) -> list:
+        def score(name: str) -> list:
+            given = F.coalesce(_kind(v, f"$.{name}"), F.lit("VOID")) != "VOID"
+            number = F.try_variant_get(v, f"$.{name}", "bigint")
+            return [(given & ~_is(v, f"$.{name}", "BIGINT"), f"not_an_integer:{name}"), (given & ~number.between(1, 5), f"out_of_range:{name}")]
+
+        return [
+            (~_is(v, "$", "OBJECT"), "not_an_object"),
+            *((~_is(v, f"$.{name}", "BOOLEAN"), f"not_a_flag:{name}") for name in ("answer_supported", "hallucination")),
+            *score("relevance_score"),
+            (F.coalesce(_kind(v, "$.relevance_score"), F.lit("VOID")) == "VOID", "missing:relevance_score"),
+            (~_is(v, "$.unsupported_claims", "ARRAY"), "not_a_list:unsupported_claims"),
+            (~_is(v, "$.reason", "STRING"), "not_a_string:reason"),
+            *score("evidence_support_score"),
+            *score("citation_support_score"),
+        ]
 
-    rules += score("relevance_score")
-    rules += [(F.coalesce(_kind(v, "$.relevance_score"), F.lit("VOID")) == "VOID", "missing:relevance_score")]
-    rules += [(~_is(v, "$.unsupported_claims", "ARRAY"), "not_a_list:unsupported_claims"), (~_is(v, "$.reason", "STRING"), "not_a_string:reason")]
-    return _first([*rules, *score("evidence_support_score"), *score("citation_support_score")])
+    return _parsed(judgment, rules)
 
 
 REQUIRED = ("id", "repository_id", "split", "query_type", "query", "should_retrieve", "relevant_files", "relevant_chunks")
@@ -133,50 +151,56 @@ def retrieval_dataset_errors(queries: DataFrame, repositories: DataFrame, files:
 def target_error(target: Column) -> Column:
     """The first rule that a JSON route target breaks, as a code; null if it is valid.
 
-    Every check reads the parsed variant: names of fields, kinds (an integer is no boolean), blank strings, bounds.
+    Every check reads the parsed variant: names of fields, kinds (an integer is no boolean), blank strings, bounds. Text, variant,
+    names and the arguments' names are evaluated once; rules of other tools than the target's aren't.
     """
-    v = json_value(target)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    text = lambda path: F.try_variant_get(v, path, "string")
-    names = F.coalesce(F.json_object_keys(target), F.array().cast("array<string>"))
-    arguments = F.try_variant_get(v, "$.arguments", "variant").cast("string")
-    given = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
-    found: list[Column] = []
-
-    def rule(condition: Column, code: Column | str) -> None:
-        found.append(F.when(F.coalesce(condition, F.lit(False)), F.lit(code) if isinstance(code, str) else code))
-
-    rule(~F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)), "not_an_object")
-    missing = F.array_sort(F.array_except(F.array(F.lit("decision"), F.lit("tool_name"), F.lit("arguments")), names))
-    rule(F.size(missing) > 0, F.concat(F.lit("missing_fields:"), F.array_join(missing, ",")))
-    decision = text("$.decision")
-    rule(~F.coalesce(decision.isin("call_tool", DIRECT), F.lit(False)), "unknown_decision")
-    rule(~F.coalesce(F.startswith(kind("$.arguments"), F.lit("OBJECT")), F.lit(False)), "arguments_not_an_object")
-    direct = decision == DIRECT
-    rule(direct & (F.coalesce(kind("$.tool_name"), F.lit("VOID")) != "VOID"), "direct_with_tool")
-    rule(direct & (F.size(given) > 0), "direct_with_arguments")
-    rule(~direct & (F.coalesce(kind("$.tool_name"), F.lit("VOID")) != "STRING"), "tool_name_not_a_string")
-    tool = text("$.tool_name")
-    rule(~direct & ~tool.isin(*TOOLS), "unknown_tool")
-    for name, arguments_ in TOOL_ARGUMENTS.items():
-        own = ~direct & (tool == name)
-        required = [a[0] for a in arguments_ if a[2]]
-        lacking = F.array_sort(F.array_except(F.array(*[F.lit(a) for a in required]).cast("array<string>"), given))
-        rule(own & (F.size(lacking) > 0), F.concat(F.lit("missing_arguments:"), F.array_join(lacking, ",")))
-        rule(own & (F.size(F.array_except(given, F.array(*[F.lit(a[0]) for a in arguments_]))) > 0), "unknown_arguments")
-        for argument, wanted, _, least, most in arguments_:
+    names_of = lambda t: F.coalesce(F.json_object_keys(t), F.array().cast("array<string>"))
+
+    def of_tool(name: str, v: Column, given: Column) -> Column:
+        arguments = TOOL_ARGUMENTS[name]
+        lacking = _lacking(given, tuple(a[0] for a in arguments if a[2])) if any(a[2] for a in arguments) else F.array().cast("array<string>")
+        rules: list = [
+            (F.size(lacking) > 0, F.concat(F.lit("missing_arguments:"), F.array_join(lacking, ","))),
+            (F.size(F.array_except(given, F.array(*[F.lit(a[0]) for a in arguments]))) > 0, "unknown_arguments"),
+        ]
+        for argument, wanted, _, least, most in arguments:
             path = f"$.arguments.{argument}"
-            there = own & F.array_contains(given, argument)
-            right = {"string": "STRING", "integer": "BIGINT"}[wanted]
-            rule(there & (F.coalesce(kind(path), F.lit("VOID")) != right), f"wrong_type:{argument}")
+            own: list = [(F.coalesce(_kind(v, path), F.lit("VOID")) != {"string": "STRING", "integer": "BIGINT"}[wanted], f"wrong_type:{argument}")]
             if wanted == "string":
-                rule(there & ~F.rlike(text(path), F.lit(r"\S")), f"blank:{argument}")
+                own.append((~F.rlike(F.try_variant_get(v, path, "string"), F.lit(r"\S")), f"blank:{argument}"))
             number = F.try_variant_get(v, path, "bigint")
             if least is not None:
-                rule(there & (number < least), f"below_minimum:{argument}")
+                own.append((number < least, f"below_minimum:{argument}"))
             if most is not None:
-                rule(there & (number > most), f"above_maximum:{argument}")
-    return F.coalesce(*found)
+                own.append((number > most, f"above_maximum:{argument}"))
+            rules.append(F.when(F.array_contains(given, argument), _first(own)))
+        return _first(rules)
+
+    def of_tools(tool: Column, v: Column, given: Column) -> Column:
+        out = F.when(~tool.isin(*TOOLS), "unknown_tool")
+        for name in TOOL_ARGUMENTS:
+            out = out.when(tool == name, of_tool(name, v, given))
+        return out
+
+    def of_decision(v: Column, decision: Column, given: Column) -> Column:
+        kind = F.coalesce(_kind(v, "$.tool_name"), F.lit("VOID"))
+        direct = _first([(kind != "VOID", "direct_with_tool"), (F.size(given) > 0, "direct_with_arguments")])
+        called = _first([(kind != "STRING", "tool_name_not_a_string"), let(F.try_variant_get(v, "$.tool_name", "string"), lambda tool: of_tools(tool, v, given))])
+        return F.when(decision == DIRECT, direct).otherwise(called)
+
+    def rules(t: Column, v: Column) -> list:
+        missing = F.array_sort(F.array_except(F.array(F.lit("decision"), F.lit("tool_name"), F.lit("arguments")), names_of(t)))
+        decision = F.try_variant_get(v, "$.decision", "string")
+        given = names_of(F.try_variant_get(v, "$.arguments", "variant").cast("string"))
+        return [
+            (~_is(v, "$", "OBJECT"), "not_an_object"),
+            let(missing, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("missing_fields:"), F.array_join(x, ",")))),
+            (~F.coalesce(decision.isin("call_tool", DIRECT), F.lit(False)), "unknown_decision"),
+            (~_is(v, "$.arguments", "OBJECT"), "arguments_not_an_object"),
+            let(given, lambda g: of_decision(v, decision, g)),
+        ]
+
+    return _parsed(target, rules)
 
 
 CELL_GROUPS = 4000  # groups aimed at in a ranking cell
