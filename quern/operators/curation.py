@@ -302,25 +302,31 @@ def chat_dataset_errors(rows: DataFrame, key: str = "id", messages: str = "messa
     return found.unionByName(twice.select(key, F.lit("repeated_id").alias("rule"), "times"))
 
 
-# Rules for a container file as (code, pattern); the first must match, the second should, the third mustn't.
+# Rules for a container file as (code, pattern); the first must match, the second should, the third mustn't. Each
+# looks at a line: lines end at line feeds alone, blanks are ASCII ones, and words are of ASCII characters.
+_BLANK, _START, _END = r"[ \t\f\r]", "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_FILLED = rf"{_BLANK}+[^ \t\n\f\r]"
 DOCKERFILE_REQUIRED = (
-    ("FROM", r"(?im)^\s*FROM\s+\S+"), ("WORKDIR", r"(?im)^\s*WORKDIR\s+\S+"), ("COPY", r"(?im)^\s*COPY\s+"),
-    ("CMD_OR_ENTRYPOINT", r"(?im)^\s*(?:CMD|ENTRYPOINT)\s+"),
+    ("FROM", rf"(?imd)^{_BLANK}*FROM{_FILLED}"), ("WORKDIR", rf"(?imd)^{_BLANK}*WORKDIR{_FILLED}"), ("COPY", rf"(?imd)^{_BLANK}*COPY{_BLANK}"),
+    ("CMD_OR_ENTRYPOINT", rf"(?imd)^{_BLANK}*(?:CMD|ENTRYPOINT){_BLANK}"),
 )
-DOCKERFILE_ADVISED = (("pip_install", r"(?im)^\s*RUN\s+.*pip\s+install"), ("USER", r"(?im)^\s*USER\s+\S+"))
+DOCKERFILE_ADVISED = (("pip_install", rf"(?imd)^{_BLANK}*RUN{_BLANK}+.*pip{_BLANK}+install"), ("USER", rf"(?imd)^{_BLANK}*USER{_FILLED}"))
+SPACES = " \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"  # what an empty file may hold: Unicode's space separators
+API_KEY = r"sk-[A-Za-z0-9_-]{10,}"
 DOCKERFILE_FORBIDDEN = (
-    ("api_key", r"sk-[A-Za-z0-9_-]{10,}"), ("plain_secret", r"""(?i)(?:password|api_key|token)\s*=\s*["'][^"']+["']"""),
-    ("chmod_777", r"(?i)\bchmod\s+777\b"), ("remote_script", r"(?i)(?:curl|wget).*\|\s*(?:sh|bash)"), ("sudo", r"(?i)\bsudo\b"),
+    ("plain_secret", r"""(?i)(?:password|api_key|token)[ \t\n\f\r]*=[ \t\n\f\r]*["'][^"']+["']"""),
+    ("chmod_777", rf"(?i){_START}chmod{_BLANK}+777{_END}"), ("remote_script", rf"(?id)(?:curl|wget).*\|{_BLANK}*(?:sh|bash)"), ("sudo", rf"(?i){_START}sudo{_END}"),
 )
 
 
 def dockerfile_findings(text: Column) -> tuple[Column, Column]:
     """Comma-separated codes of errors and of warnings."""
     t = F.coalesce(text, F.lit(""))
-    lacks = lambda rules, prefix: [F.when(~F.rlike(t, F.lit(p)), F.lit(prefix + n)) for n, p in rules]
-    bad = [F.when(F.rlike(t, F.lit(p)), F.lit("forbidden:" + n)) for n, p in DOCKERFILE_FORBIDDEN]
+    low = F.translate(t, "\u0130\u212a", "ik")  # the only letters outside ASCII whose lower case is in it
+    lacks = lambda rules, prefix: [F.when(~F.rlike(low, F.lit(p)), F.lit(prefix + n)) for n, p in rules]
+    bad = [F.when(F.rlike(t, F.lit(API_KEY)), F.lit("forbidden:api_key"))] + [F.when(F.rlike(low, F.lit(p)), F.lit("forbidden:" + n)) for n, p in DOCKERFILE_FORBIDDEN]
     errors = F.concat_ws(",", *lacks(DOCKERFILE_REQUIRED, "missing:"), *bad)
-    empty = F.btrim(t) == ""
+    empty = F.btrim(t, F.lit(SPACES)) == ""
     return F.when(empty, "no_dockerfile").otherwise(errors), F.when(empty, "").otherwise(F.concat_ws(",", *lacks(DOCKERFILE_ADVISED, "")))
 
 
