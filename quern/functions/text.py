@@ -71,28 +71,34 @@ def strip(text: Column) -> Column:
 
 
 def first_occurrences(items: Column) -> Column:
-    """Trimmed, non-empty items whose lower-cased form didn't stand earlier, in order."""
+    """Trimmed, non-empty items whose lower-cased form didn't stand earlier, in order: by two sorts, so that many items cost little
+    more than their number."""
     trimmed = F.filter(F.transform(items, strip), lambda x: x != "")
-    lowered = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    placed = F.sort_array(F.transform(trimmed, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+
+    def firsts(all_: Column) -> Column:
+        kept = F.filter(all_, lambda a, i: (i == 0) | (F.get(all_, i - 1)["low"] != a["low"]))
+        return F.transform(F.sort_array(F.transform(kept, lambda a: F.struct(a["i"], a["x"]))), lambda a: a["x"])
+
+    return let(placed, firsts)
 
 
 def identifiers(text: Column) -> Column:
     """Code identifiers named in a question: file names, snake_case, dotted names, CamelCase and acronyms, in this order.
 
-    Runs of ASCII word characters are taken first and then tested whole, so that no word boundary is asked of the regex
-    engine (their idea of a word differs on accented letters).
+    Each pattern takes a whole run of its characters: what stands before and after is named, so that no word boundary is asked of
+    the regex engine (their idea of a word differs on accented letters), and a run is tried at its start alone.
     """
-    runs = _extract(text, r"[A-Za-z0-9_./\\-]+")
-    files = F.filter(
-        F.transform(runs, lambda r: F.regexp_extract(r, r"^([A-Za-z0-9_./\\-]+\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT]))(?:[^A-Za-z0-9_].*)?$", 1)),
-        lambda x: x != "",
-    )
-    words = _extract(text, "[A-Za-z0-9_]+")
-    snake = F.filter(words, lambda w: F.rlike(w, F.lit("^[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+$")))
-    dotted = F.filter(_extract(text, "[A-Za-z0-9_.]+"), lambda w: F.rlike(w, F.lit(r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$")))
-    camel = F.filter(words, lambda w: F.rlike(w, F.lit("^(?:[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)$")))
-    return first_occurrences(F.concat(files, snake, dotted, camel))
+    return first_occurrences(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in IDENTIFIER_FORMS)))
+
+
+# File names, snake_case, dotted names, CamelCase and acronyms, each as a whole run of its characters.
+IDENTIFIER_FORMS = (
+    r"(?<![A-Za-z0-9_./\\-])[A-Za-z0-9_./\\-]+\.(?:[pP][yY]|[jJ][sS][oO][nN]|[yY][aA]?[mM][lL]|[tT][oO][mM][lL]|[mM][dD]|[tT][xX][tT])(?![A-Za-z0-9_])",
+    "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*+(?:_[A-Za-z0-9]++)++(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_.])[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)++(?![A-Za-z0-9_.])",
+    "(?<![A-Za-z0-9_])[A-Z](?:[A-Z]|[a-z0-9]++[A-Z])[A-Za-z0-9]*+(?![A-Za-z0-9_])",
+)
 
 
 # Intents and the words that decide them, first match wins.
@@ -126,13 +132,17 @@ ERROR_ELSE = "unknown"
 
 def by_rules(text: Column, rules: tuple, otherwise: str) -> Column:
     """The label of the first rule one of whose phrases the lower-cased text contains."""
-    low, out = F.lower(text), F.lit(otherwise)
-    for label, phrases in reversed(rules):
-        hit = F.lit(False)
-        for p in phrases:
-            hit = hit | F.contains(low, F.lit(p))
-        out = F.when(hit, F.lit(label)).otherwise(out)
-    return out
+
+    def told(low: Column) -> Column:
+        out = F.lit(otherwise)
+        for label, phrases in reversed(rules):
+            hit = F.lit(False)
+            for p in phrases:
+                hit = hit | F.contains(low, F.lit(p))
+            out = F.when(hit, F.lit(label)).otherwise(out)
+        return out
+
+    return let(F.lower(text), told)
 
 
 def infer_intent(question: Column) -> Column:
@@ -147,7 +157,7 @@ def classify_exception(kind: Column, message: Column, log: Column) -> Column:
 def symbols(text: Column, most: int = 20) -> Column:
     """Quoted strings (double, single, back quotes) and dotted names worth searching for, 3 to 200 characters."""
     quoted = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in ('"([^"\\n]{2,200})"', "'([^'\\n]{2,200})'", "`([^`\\n]{2,200})`")]
-    dotted = F.filter(_extract(text, "[A-Za-z0-9_.]+"), lambda w: F.rlike(w, F.lit(r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)+$")))
+    dotted = _extract(text, r"(?<![A-Za-z0-9_.])[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z0-9_]++)++(?![A-Za-z0-9_.])")
     every = F.transform(F.concat(*quoted, dotted), strip)
     sized = F.filter(every, lambda x: (F.length(x) >= 3) & (F.length(x) <= 200))
     return F.slice(first_occurrences(sized), 1, most)
@@ -199,25 +209,20 @@ def json_value(text: Column) -> Column:
     return let(text, value)
 
 
-def repair_json_object(text: Column) -> Column:
-    """The JSON object in a model's answer as a string: fence removed, else from the first ``{`` to the last ``}``; or null."""
+def _repaired(text: Column, between: str, kind: str) -> Column:
+    """The JSON value of a kind that a model's answer is without its fence, else what stands ``between`` brackets in it, as a string; or null."""
+    valid = lambda t: let(t, lambda x: F.when(F.startswith(F.schema_of_variant(json_value(x)), F.lit(kind)), x))
     inner = F.regexp_replace(strip(text), r"(?is)^```(?:json)?\s*(.*?)\s*```$", "$1")
-    brace = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
+    return let(inner, lambda x: F.coalesce(valid(strip(x)), valid(F.regexp_extract(x, between, 1))))
 
-    def valid(x: Column) -> Column:
-        return F.when(F.schema_of_variant(json_value(x)).startswith("OBJECT"), x)
 
-    return F.coalesce(valid(strip(inner)), valid(brace))
+def repair_json_object(text: Column) -> Column:
+    """The JSON object in a model's answer as a string: fence removed, else from the first ``{`` to the last ``}``; or null."""
+    return _repaired(text, r"(?s)(\{.*\})", "OBJECT")
 
 
 def repair_json_array(text: Column) -> Column:
-    inner = F.regexp_replace(strip(text), r"(?is)^```(?:json)?\s*(.*?)\s*```$", "$1")
-    bracket = F.regexp_extract(inner, r"(?s)(\[.*\])", 1)
-
-    def valid(x: Column) -> Column:
-        return F.when(F.schema_of_variant(json_value(x)).startswith("ARRAY"), x)
-
-    return F.coalesce(valid(strip(inner)), valid(bracket))
+    return _repaired(text, r"(?s)(\[.*\])", "ARRAY")
 
 
 def prediction_score(values: Column) -> Column:

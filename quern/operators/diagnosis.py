@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import classify_exception, first_occurrences, line_array, strip, symbols
+from quern.functions.text import classify_exception, first_occurrences, let, line_array, strip, symbols
 from quern.operators import matching
 from quern.operators.corpus import line_ranges
 
@@ -23,23 +23,19 @@ def _blank_to_null(x: Column) -> Column:
 
 def frames(log: Column) -> Column:
     """array<struct<file,line,function,source_line>> of the lines that are frames, with the line below where it is source."""
-    lines = line_array(log)
 
-    def one(line: Column, i: Column) -> Column:
-        below = strip(F.get(lines, i + 1))
+    def one(line: Column, below: Column) -> Column:
         header = F.startswith(below, F.lit('File "')) | F.startswith(below, F.lit("Traceback"))
         header = header | F.contains(below, F.lit("During handling")) | F.contains(below, F.lit("direct cause"))
-        return F.when(
-            F.rlike(line, F.lit(FRAME)),
-            F.struct(
-                F.regexp_extract(line, FRAME, 1).alias("file"),
-                F.regexp_extract(line, FRAME, 2).cast("long").alias("line"),
-                _blank_to_null(strip(F.regexp_extract(line, FRAME, 3))).alias("function"),
-                F.when((below != "") & ~header, below).alias("source_line"),
-            ),
+        return F.struct(
+            F.regexp_extract(line, FRAME, 1).alias("file"),
+            F.regexp_extract(line, FRAME, 2).cast("long").alias("line"),
+            _blank_to_null(strip(F.regexp_extract(line, FRAME, 3))).alias("function"),
+            F.when((below != "") & ~header, below).alias("source_line"),
         )
 
-    return F.array_compact(F.transform(lines, one))
+    of = lambda lines: F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(FRAME)), let(strip(F.get(lines, i + 1)), lambda below: one(line, below))))
+    return F.array_compact(let(line_array(log), of))
 
 
 def exceptions(log: Column) -> Column:

@@ -140,7 +140,8 @@ def rewrite(
         ruled = ruled.withColumns({"rewrite_error": F.lit(None).cast("string"), "_row": F.monotonically_increasing_id(), "_said": F.lit(None).cast("array<string>")})
         return _checked(written(ruled, "rewrites"), lines, files).drop("_row", "_said")
     said = ask(ruled.withColumn("_prompt", (prompt or (lambda c: c))(F.col(text))), "_prompt", client, answers=answers)
-    v = F.try_parse_json(repair_json_object(F.col("answer")))
+    said = said.withColumn("_v", F.try_parse_json(repair_json_object(F.col("answer"))))  # a column, so parsed once for all fields
+    v = F.col("_v")
     field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
     filled = lambda name: F.when(F.rlike(field(name, "string"), F.lit(r"\S")), strip(field(name, "string")))
     good = v.isNotNull()
@@ -153,7 +154,7 @@ def rewrite(
     why = F.when(~good, F.coalesce("error", F.lit("no JSON object")))
     columns |= {"rewrite_source": F.when(good, "model").otherwise("rules"), "rewrite_error": why, "_said": F.when(good, field("identifiers", "array<string>"))}
     columns |= {"_keywords": F.coalesce(F.when(good, filled("keyword_query")), strip(F.col(text))), "_row": F.monotonically_increasing_id()}
-    told = _checked(written(said.withColumns(columns), "rewrites"), lines, files)
+    told = _checked(written(said.withColumns(columns).drop("_v"), "rewrites"), lines, files)
     keywords = F.array_join(first_occurrences(F.concat(F.array("_keywords"), F.col("identifiers"))), " ")
     return told.withColumn("keyword_query", keywords).drop("_prompt", "answer", "error", "attempts", "_row", "_said", "_keywords")
 
@@ -163,14 +164,14 @@ def route(questions: DataFrame, text: str, client: Client | None = None) -> Data
     prediction records that ``evaluation.routing_metrics`` reads."""
     said = ask(questions, text, client or rule_router).withColumnsRenamed({"answer": "raw_text", "error": "api_error"}).drop("attempts")
     found = repair_json_object(F.col("raw_text"))
-    said = said.withColumn("_o", found)
-    v = F.try_parse_json("_o")
+    said = said.withColumn("_o", found).withColumn("_v", F.try_parse_json("_o"))
+    v = F.col("_v")
     error = F.when(F.col("_o").isNotNull(), target_error(F.col("_o")))
     arguments = F.try_variant_get(v, "$.arguments", "variant")
     return said.withColumns({
         "json_valid": F.col("_o").isNotNull(), "schema_error": error, "schema_valid": F.col("_o").isNotNull() & error.isNull(),
         "pred_decision": F.try_variant_get(v, "$.decision", "string"), "pred_tool": F.try_variant_get(v, "$.tool_name", "string"), "pred_args": arguments.cast("string"),
-    }).drop("_o")
+    }).drop("_o", "_v")
 
 
 def variants(seeds: DataFrame, key: str, text: str, client: Client, existing: DataFrame | None = None, most: int = 5) -> DataFrame:
@@ -207,13 +208,14 @@ def judge(items: DataFrame, prompt: str, client: Client | None = None, attempts:
     asked for again; one that breaks a rule is an error that names the rule."""
     said = ask(items, prompt, client or overlap_judge, attempts, _no_object)
     said = said.withColumn("_o", repair_json_object(F.col("answer")))
-    v, error = F.try_parse_json("_o"), F.coalesce("error", judgment_error(F.col("_o")))
+    said = said.withColumns({"_v": F.try_parse_json("_o"), "_e": F.coalesce("error", judgment_error(F.col("_o")))})
+    v, error = F.col("_v"), F.col("_e")
     kinds = {
         "answer_supported": "boolean", "hallucination": "boolean", "relevance_score": "bigint", "evidence_support_score": "bigint",
         "citation_support_score": "bigint", "unsupported_claims": "array<string>", "reason": "string",
     }
     fields = {name: F.when(error.isNull(), F.try_variant_get(v, f"$.{name}", kind)) for name, kind in kinds.items()}
-    return said.withColumns({"status": F.when(error.isNull(), "ok").otherwise("error"), "judge_error": error, **fields}).drop("_o", "answer", "error")
+    return said.withColumns({"status": F.when(error.isNull(), "ok").otherwise("error"), "judge_error": error, **fields}).drop("_o", "_v", "_e", "answer", "error")
 
 
 def _no_object(answer: str) -> str | None:
