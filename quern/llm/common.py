@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.session import clear, drop, materialise, shared_dir
 
-__all__ = ["Tables", "clear", "drop", "held", "materialise", "parts", "placed", "release", "shared_dir", "table"]
+__all__ = ["Tables", "clear", "drop", "held", "let_go", "materialise", "parts", "placed", "release", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +80,10 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
         release()
         _held[:] = [key, make()]
     return _held[1]
+
+
+def let_go() -> None:
+    """Drops what ``held`` holds in this worker, if anything: for tasks of operators that share no object."""
+    if _held[0] is not None:
+        _held[:] = [None, None]
+        release()

@@ -17,6 +17,7 @@ from quern.session import sliced, written
 
 K1, B, RRF_K = 1.5, 0.75, 60
 QUERY_BLOCK, LEXICAL_BLOCK = 4096, 1024  # query vectors, and query texts, scored at a time
+DENSE_CELLS = 500_000  # scores of vectors that a task computes at a time
 QUERY_SET, BLOCK_BYTES = 20_000, 64_000_000  # query texts that a scan serves; weights of a block of them in a task
 
 
@@ -219,13 +220,14 @@ def dot(a: Column, b: Column) -> Column:
 def dense_search(queries: DataFrame, items: DataFrame, query: str, key: str, k: int = 5, vector: str = "embedding", exclude_same: bool = False) -> DataFrame:
     """query, key, score, rank by exact cosine similarity of unit vectors.
 
-    Queries go out in blocks of bounded size; every batch of items is one matrix product, and only its k best for each query
-    leave the executor.
+    Queries go out in blocks of bounded size; slices of the items of DENSE_CELLS scores at most are matrix products, and only a task's
+    k best for each query leave the executor.
     """
     spark = items.sparkSession
     total = queries.count()
     kind = items.schema[key].dataType.simpleString()
     query_kind = queries.schema[query].dataType.simpleString()
+    types = [to_arrow_type(queries.schema[query].dataType), to_arrow_type(items.schema[key].dataType), pa.float64()]
     out = None
     for block in range(max(1, -(-total // QUERY_BLOCK))):
         own = queries if total <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64(query), F.lit(-(-total // QUERY_BLOCK))) == block)
@@ -234,18 +236,26 @@ def dense_search(queries: DataFrame, items: DataFrame, query: str, key: str, k:
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            best = None  # keys and scores of each query's best so far, by score, then key
+            step = max(1, DENSE_CELLS // max(1, len(ids)))
             for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_pylist()
-                vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                score = np.round(matrix @ vectors.T, 6) + 0.0
-                order = np.argsort(np.array(keys), kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, : k + exclude_same]]
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                picked = [(ids[i], keys[j], float(score[i, j])) for i, j in zip(q.tolist(), best.ravel().tolist()) if not (exclude_same and ids[i] == keys[j])]
+                for part in sliced([batch], step) if len(ids) else ():
+                    keys = np.array(part.column(0).to_pylist(), dtype=np.int64 if pa.types.is_integer(types[1]) else object)
+                    vectors = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                    score = np.round(matrix @ vectors.T, 6) + 0.0
+                    order = np.argsort(keys, kind="stable")
+                    at = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, : k + exclude_same]]
+                    new = keys[at], np.take_along_axis(score, at, axis=1)
+                    if best is not None:
+                        names, scores = (np.concatenate(pair, axis=1) for pair in zip(best, new))
+                        order = np.argsort(names, axis=1, kind="stable")
+                        by = np.argsort(-np.take_along_axis(scores, order, axis=1), axis=1, kind="stable")[:, : k + exclude_same]
+                        at = np.take_along_axis(order, by, axis=1)
+                        new = np.take_along_axis(names, at, axis=1), np.take_along_axis(scores, at, axis=1)
+                    best = new
+            if best is not None:
+                picked = [(q, d, s) for q, own, of in zip(ids, best[0].tolist(), best[1].tolist()) for d, s in zip(own, of) if not (exclude_same and q == d)]
                 cols = list(zip(*picked)) or [(), (), ()]
-                types = [batch.schema.field(0).type if query_kind == kind else None, batch.schema.field(0).type, pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[query, key, "score"])
 
         read = items.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
