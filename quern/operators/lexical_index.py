@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quern.operators.retrieval import K1, B, check_bm25, python_tokens, query_sets, ranked
-from quern.session import drop, materialise
+from quern.session import drop, materialise, sliced
 from quern.sources import snapshots
 
 BLOCK_DOCS = 8  # documents of a block: the more, the fewer rows and the looser their bounds
@@ -276,7 +276,7 @@ def _promising(bounds: DataFrame, shared, m: int) -> DataFrame:
         asked, grown, _ = shared.value
         best = np.zeros((asked.n, 0))
         where = np.zeros((asked.n, 0, 2), dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             place = np.stack([batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()], axis=1)
             for start, most in _most(batch, asked, grown):
                 best = np.concatenate([best, most.T], axis=1)
@@ -296,7 +296,7 @@ def _reaching(bounds: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, grown, least = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows, qs, ts, ws = [], [], [], []
             said = batch.column(2).to_pylist()
             for start, most in _most(batch, asked, grown):
