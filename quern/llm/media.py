@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac_codec
-from .common import table
+from .common import parts, table
 
 GROUP_BYTES = flac_codec.CHUNK * flac_codec.BLOCK  # payload bytes that go through the codec at a time
+SLICE = 1024  # values that a worker holds as Python objects at a time
 
 
 def pad(value: bytes) -> bytes:
@@ -46,7 +47,7 @@ def encode_media(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """Rows (id, n_bytes, media) with the FLAC stream of each value (string, as UTF-8, or binary)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, SLICE):
             ids, values = batch.column(0), [v or b"" for v in batch.column(1).to_pylist()]
             for a, b in _groups(values, GROUP_BYTES):
                 media = flac_codec.encode([pad(v) for v in values[a:b]])
@@ -62,7 +63,7 @@ def decode_media(media: DataFrame) -> DataFrame:
     """Rows (id, block, sample_offset, byte_offset, pcm): byte_offset counts from the first frame, as seek points do."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, SLICE):
             ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _groups(streams, GROUP_BYTES):
                 rows = [(i, n, *r) for i, blocks in zip(ids[a:b], flac_codec.decode(streams[a:b])) for n, r in enumerate(blocks)]
@@ -87,7 +88,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """A row per stream with digests and features of what is read back from it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, SLICE):
             streams = batch.column(2).to_pylist()
             for a, b in _groups(streams, GROUP_BYTES):
                 whole = [b"".join(r[2] for r in blocks) for blocks in flac_codec.decode(streams[a:b])]
