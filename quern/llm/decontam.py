@@ -28,6 +28,7 @@ repeated rows are searched each; repeated items each match; null ids pass throug
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from math import ceil
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, placed, table
+from .common import held, parts, placed, table
 
 RATIO = 0.2
 WALKS, KEYS, SAMPLED, ANCHOR = 3, 9, 5, 4
@@ -317,8 +318,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value, ratio)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, name=("items", uuid.uuid4().hex)) -> Iterator[pa.RecordBatch]:
+            own = held(name, lambda: Items(shared.value, ratio))
             for batch in parts(batches):
                 texts = batch.column(1).to_pylist()
                 of, rows = [], []
@@ -344,8 +345,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     for block in item_blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = Items(shared.value, ratio)
+        def run(batches: Iterable[pa.RecordBatch], shared=shared, name=("items", uuid.uuid4().hex)) -> Iterator[pa.RecordBatch]:
+            own = held(name, lambda: Items(shared.value, ratio))
             for batch in parts(batches):
                 yield batch.filter(pa.array([not f for f in own.find(batch.column(at).to_pylist())], pa.bool_()))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sk
-from .common import Tables, parts, table
+from .common import Tables, let_go, parts, table
 
 SMALL = 16  # members of a bucket whose pairs are listed
 BLOCK_ROWS, BLOCK_ITEMS = 1024, 400_000  # representatives and set elements of a block, about
@@ -42,6 +42,7 @@ def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingler = sk.Shingler(size)
         for batch in parts(batches):
             n, fp, brief, bands = [], [], [], []
@@ -89,6 +90,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingler = sk.Shingler(size)
         for batch in parts(batches):
             items = [shingler.of(t.as_py()) for t in batch.column(1)]
@@ -109,6 +111,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, sk.BINS) for i in (2, 3))
@@ -128,6 +131,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             good = [
                 linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), threshold)
@@ -223,6 +227,7 @@ def block_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     kind = rows.schema["rid"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         arrow = None
         held: list[tuple] = []
         now = None

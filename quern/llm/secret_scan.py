@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, placed, table
+from .common import let_go, parts, placed, table
 
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 BASE = KINDS[:3]
@@ -233,6 +233,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in parts(batches):
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, spans_type)], names=["id", "spans"])
@@ -246,6 +247,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in parts(batches):
             texts = [t and ((s := scan(t)) and redact_text(t, s) or t) for t in batch.column(at).to_pylist()]
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
