@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,6 +16,12 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
+def filled(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """key and ``value`` as ``name``, of the rows where it isn't empty. A filter on a column goes below all steps that make it, which
+    then run twice, each as often as others name it; it doesn't go below a generator."""
+    return rows.select(key, F.explode_outer(F.array(value)).alias(name)).where(F.col(name) != "")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -545,7 +545,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, at = F.col("doc_id") % 3, (F.col("doc_id") % 9 + 1).cast("string")
     made = F.concat(
         F.lit('Traceback (most recent call last):\n  File "/srv/app/'), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit('.txt", line '), at, F.lit(", in step_"), "lang", F.lit("\n    "),
-        F.substring(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), 1, 40), F.lit("\n"), F.when(kind == 0, "ValueError: ").when(kind == 1, "KeyError: ").otherwise("note "), F.coalesce("lang", F.lit("none")),
+        F.replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), F.lit("\n"), F.lit(" ")), F.lit("\n"), F.when(kind == 0, "ValueError: ").when(kind == 1, "KeyError: ").otherwise("note "), F.coalesce("lang", F.lit("none")),
     )
     return samples.frame(spark, samples.LOGS).unionByName(docs.select(_id("d", "doc_id"), made.alias("text")))
 
@@ -647,7 +647,7 @@ sym as (select id, list_filter(l, lambda x, i: list_position(list_transform(l, l
 select id, array_to_string(s, '|') as symbols from sym where len(s) > 0""")
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _logs(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
-    return rows.select("id", F.array_join(T.symbols(F.col("text")), "|").alias("symbols")).where("symbols <> ''")
+    return T.filled(rows, "id", F.array_join(T.symbols(F.col("text")), "|"), "symbols")
 
 
 LOG_LINES_SQL = f"ln as (select id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {LOGS_SQL})"
@@ -713,7 +713,7 @@ rk as (select *, row_number() over (partition by id order by a, b, c) as n from
 select id, string_agg(q, '|' order by n) as queries from rk where n <= 5 group by id""")
 def search_query_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diagnosis.search_queries(diagnosis.parse_logs(_logs(spark, sf_dir), "id"))
-    return found.select("id", F.array_join("queries", "|").alias("queries")).where("queries <> ''")
+    return T.filled(found, "id", F.array_join("queries", "|"), "queries")
 
 
 CITED_SQL = f"""pl as (select id, regexp_replace(text, '(?s)```.*?(?:```|\\z)', '', 'g') as t from {ANSWERS_SQL}),
