@@ -1,17 +1,19 @@
 """A stored BM25 index: versions, changes by file, and searches that read only the blocks that can matter.
 
 Tables of a version (``sources.snapshots``): ``documents`` (segment, doc, key, file, length, terms, tfs), a row a document; ``postings``
-(segment, block, term, docs, tfs, lengths, top, n), a row for each term of each block of BLOCK_DOCS documents, ``top`` being the
-most that the term can add to a score in the block; ``terms`` (term, df), whose numbers add up over parts; ``dead`` (segment, block,
-docs), documents that a later version replaced or removed; ``files`` (file, fingerprint).
+(segment, block, docs, lengths, terms, tops, ns, at, tfs), a row for each block of BLOCK_DOCS documents (two, where a stored file is read
+in two splits that part a block): its documents, and of each term the most that it can add to a score there, in how many of them it
+stands, in which (places in ``docs``) and how often; ``terms`` (term, df), whose numbers add up over parts; ``dead`` (segment, block,
+docs), documents that a later version replaced or removed; ``files`` (file, fingerprint). Documents are stored in the order of their
+numbers, so that tasks make blocks of neighbouring rows: no posting is a row, and none is shuffled.
 
 An update compares fingerprints of files, tokenises the documents of new and changed ones into a segment of their own, marks what it
 replaces as dead, and adds to ``terms`` what came and takes off what went, from the stored counts. A merge writes the living
 documents of all segments into one, without reading a text. Either is a commit: readers keep what they opened.
 
-A search adds up, a query and block, the most that the query's terms can score there; scores the few most promising blocks
-of each query, so that the k-th best score found bounds what matters; and then reads the postings of those blocks alone whose
-sum reaches it. The result is exact.
+A search keeps of each block what is said of its terms; adds up, a query and block, the most that the query's terms can score
+there; scores the few most promising blocks of each query, so that the k-th best score found bounds what matters; and then scores those
+blocks alone whose sum reaches it, in the task that adds up. The result is exact.
 
 Defined results: every row is a document, also one that shares its key with others or has no text; a row without a key counts in the
 statistics and is never returned; documents without a file are one file; a query without tokens finds nothing.
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -66,21 +69,31 @@ class LexicalIndex:
         return self.snapshot.table(self.spark, name)
 
 
+def _lists(sizes: Iterable[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+
+
+def _flat(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _sizes(column: pa.ListArray) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _tokenised(docs: DataFrame) -> DataFrame:
     """key, file, length, terms, tfs of docs (key, file, text)."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                lengths, terms, tfs = [], [], []
-                for text in part.column(2):
-                    tokens = python_tokens(text.as_py())
-                    found = Counter(tokens)
-                    lengths.append(len(tokens)), terms.append(list(found)), tfs.append(list(found.values()))
-                columns = [part.column(0), part.column(1), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "file", "length", "terms", "tfs"])
+        for part in sliced(batches):
+            lengths, sizes, terms, tfs = [], [], [], []
+            for text in part.column(2).to_pylist():
+                tokens = python_tokens(text)
+                found = Counter(tokens)
+                lengths.append(len(tokens)), sizes.append(len(found)), terms.extend(found), tfs.extend(found.values())
+            columns = [part.column(0), part.column(1), pa.array(lengths, pa.int64()), _lists(sizes, pa.array(terms, pa.string())), _lists(sizes, pa.array(tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "file", "length", "terms", "tfs"])
 
     return docs.select("key", "file", "text").mapInArrow(run, f"key {kind}, file string, length long, terms array<string>, tfs array<int>")
 
@@ -104,17 +117,62 @@ def _numbered(rows: DataFrame, segment: int) -> DataFrame:
     return ordered.select(F.lit(segment).alias("segment"), F.monotonically_increasing_id().alias("doc"), "key", "file", "length", "terms", "tfs")
 
 
+POSTINGS = "segment int, block long, docs array<long>, lengths array<long>, terms array<string>, tops array<double>, ns array<int>, at array<int>, tfs array<int>"
+
+
 def _postings(documents: DataFrame, avgdl: float, k1: float, b: float) -> DataFrame:
-    each = documents.where("key is not null").select("segment", "doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-    each = each.select("segment", _block(F.col("doc")).alias("block"), F.col("t.terms").alias("term"), "doc", F.col("t.tfs").alias("tf"), "length")
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
-    held = each.groupBy("segment", "block", "term").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("p"), F.max(gain).alias("top"))  # BLOCK_DOCS at most
-    return held.select("segment", "block", "term", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), "top", F.size("p").alias("n"))
+    shift = BLOCK_DOCS.bit_length() - 1
+
+    def blocks(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Of rows (segment, doc, length, terms, tfs) of whole blocks."""
+        doc, length, sizes = part.column(1).to_numpy(), part.column(2).to_numpy(), _sizes(part.column(3))
+        block = doc >> shift
+        begins = np.append(0, np.flatnonzero(np.diff(block)) + 1)
+        held = np.diff(np.append(begins, len(doc)))  # documents of each block
+        row, number = np.repeat(np.arange(len(doc)), sizes), np.repeat(np.arange(len(begins)), held)
+        said, tf = part.column(3).flatten().dictionary_encode(), _flat(part.column(4)).astype(np.int64)
+        code, n_terms = said.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(said.dictionary))
+        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
+        each = number[row] * n_terms + code
+        by = np.argsort(each, kind="stable")
+        first = np.flatnonzero(np.diff(each[by], prepend=-1))
+        term = each[by][first]
+        sizes_of = lambda of, n: np.bincount(of, minlength=n)
+        terms, postings = sizes_of(term // n_terms, len(begins)), sizes_of(number[row], len(begins))
+        columns = [
+            pa.array(part.column(0).to_numpy()[begins].astype(np.int32)), pa.array(block[begins]), _lists(held, pa.array(doc)), _lists(held, pa.array(length)),
+            _lists(terms, said.dictionary.take(pa.array(term % n_terms))), _lists(terms, pa.array(np.maximum.reduceat(gain[by], first) if len(first) else np.zeros(0))),
+            _lists(terms, pa.array(np.diff(np.append(first, len(by))).astype(np.int32))), _lists(postings, pa.array((row - begins[number[row]])[by].astype(np.int32))), _lists(postings, pa.array(tf[by].astype(np.int32))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTINGS.split(", ")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in sliced(batches, 1024):
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            block = batch.column(1).to_numpy() >> shift
+            last = int(np.append(0, np.flatnonzero(np.diff(block)) + 1)[-1])  # the last block may go on in the next batch
+            if last:
+                yield blocks(batch.slice(0, last))
+            left = batch.slice(last)
+        if left is not None:
+            yield blocks(left)
+
+    return documents.where("key is not null").select("segment", "doc", "length", "terms", "tfs").mapInArrow(run, POSTINGS)
 
 
 def _said(documents: DataFrame) -> DataFrame:
     """term, df of documents."""
-    return documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pc.value_counts(batch.column(0).flatten())
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["term", "df"])
+
+    return documents.select("terms").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _sums(documents: DataFrame) -> tuple[int, int]:
@@ -128,7 +186,7 @@ def _segment(spark: SparkSession, path: str, rows: DataFrame, segment: int, k1:
     documents = snapshots.part_table(spark, path, own, numbered.schema)
     n, tokens = _sums(documents)
     held = _postings(documents, max(tokens, 1) / max(n, 1), k1, b)
-    return documents, {"documents": own, "postings": snapshots.write_part(held.sortWithinPartitions("term", "block"), path, "postings")}, (n, tokens), {"documents": numbered.schema, "postings": held.schema}
+    return documents, {"documents": own, "postings": snapshots.write_part(held, path, "postings")}, (n, tokens), {"documents": numbered.schema, "postings": held.schema}
 
 
 def update_lexical_index(
@@ -250,15 +308,14 @@ class _Asked:
 
 
 def _most(batch: pa.RecordBatch, asked: _Asked, grown: dict[int, float]) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, blocks x queries): what a query can score at most in the blocks of some rows (segment, block, ts, tops) of a batch."""
+    """(first row, blocks x queries): what a query can score at most in the blocks of some rows (segment, block, ts, tops, ...) of a batch."""
     step = max(1, CELLS // max(1, asked.n))
     segment = batch.column(0).to_numpy()
     factor = np.array([grown[s] for s in segment.tolist()])
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
-        sizes = np.array([len(x) for x in part.column(2)], dtype=np.int64)
-        row = np.repeat(np.arange(part.num_rows), sizes)
-        t, top = (part.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+        row = np.repeat(np.arange(part.num_rows), _sizes(part.column(2)))
+        t, top = _flat(part.column(2)), _flat(part.column(3))
         top = top * factor[start + row]
         out = np.zeros((part.num_rows, asked.n))
         by = np.argsort(t, kind="stable")
@@ -291,100 +348,117 @@ def _promising(bounds: DataFrame, shared, m: int) -> DataFrame:
     return bounds.mapInArrow(run, "q int, segment int, block long, most double")
 
 
-def _reaching(bounds: DataFrame, shared) -> DataFrame:
-    """segment, block, qs, ts, users: the queries that can reach their threshold in a block, the terms that they say, and how many do."""
+def _told_of(postings: DataFrame, terms) -> DataFrame:
+    """segment, block, ts, tops, ns, at, tfs, docs, lengths: of each block what is said of asked terms, by their places in ``terms``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, grown, least = shared.value
+        asked = pa.array(terms.value, pa.string())
         for batch in sliced(batches):
-            rows, qs, ts, ws = [], [], [], []
-            said = batch.column(2).to_pylist()
-            for start, most in _most(batch, asked, grown):
-                reach = (most > 0) & (most * (1 + 1e-9) + SLACK >= least)
-                for i in np.flatnonzero(reach.any(axis=1)).tolist():
-                    own = reach[i]
-                    rows.append(start + i), qs.append(np.flatnonzero(own))
-                    users = [(t, int(own[asked.of(t)[0]].sum())) for t in said[start + i]]
-                    ts.append([t for t, n in users if n]), ws.append([n for _, n in users if n])
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(qs, pa.list_(pa.int64())), pa.array(ts, pa.list_(pa.int32())), pa.array(ws, pa.list_(pa.int32()))], names=["segment", "block", "qs", "ts", "users"])
+            of = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            t = pc.index_in(of["terms"].flatten(), value_set=asked)
+            good = np.flatnonzero(pc.is_valid(t).to_numpy(zero_copy_only=False))
+            ns, row = _flat(of["ns"]), np.repeat(np.arange(batch.num_rows), _sizes(of["terms"]))[good]
+            first, size = (np.cumsum(ns) - ns)[good], ns[good].astype(np.int64)
+            each = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())  # places of their postings
+            terms_of, postings_of = np.bincount(row, minlength=batch.num_rows), np.bincount(np.repeat(row, size), minlength=batch.num_rows)
+            flat = {"ts": t.take(pa.array(good)).cast(pa.int32()), "tops": of["tops"].flatten().take(pa.array(good)), "ns": pa.array(size.astype(np.int32))}
+            columns = [of["segment"], of["block"], *(_lists(terms_of, x) for x in flat.values()), *(_lists(postings_of, pa.array(_flat(of[x])[each])) for x in ("at", "tfs")), of["docs"], of["lengths"]]
+            some = pa.array(np.flatnonzero(terms_of))
+            yield pa.RecordBatch.from_arrays([c.take(some) for c in columns], names=["segment", "block", *flat, "at", "tfs", "docs", "lengths"])
+
+    schema = "segment int, block long, ts array<int>, tops array<double>, ns array<int>, at array<int>, tfs array<int>, docs array<long>, lengths array<long>"
+    return postings.select("segment", "block", "docs", "lengths", "terms", "tops", "ns", "at", "tfs").mapInArrow(run, schema)
+
+
+def _best(batch: pa.RecordBatch, qs: np.ndarray, asked: _Asked, least: np.ndarray, index: tuple[float, float, float], k: int) -> Iterator[pa.RecordBatch]:
+    """q, segment, doc, score: of each query of ``qs`` the k best documents, ties included, of some blocks (segment, block, ts, tops, ns,
+    at, tfs, docs, lengths, gone). A block scores queries of its neighbours too."""
+    k1, b, avgdl = index
+    if not batch.num_rows or not len(qs):
+        return
+    column = np.full(asked.n, -1, dtype=np.int64)
+    column[qs] = np.arange(len(qs))
+    doc, length, tf = _flat(batch.column(7)), _flat(batch.column(8)).astype(float), _flat(batch.column(6)).astype(float)
+    sizes = _sizes(batch.column(7))
+    row = _flat(batch.column(5)) + np.repeat(np.cumsum(sizes) - sizes, _sizes(batch.column(5)))
+    said = np.repeat(_flat(batch.column(2)), _flat(batch.column(4)))
+    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
+    score = np.zeros((len(doc), len(qs)))
+    by = np.argsort(said, kind="stable")
+    for at in np.split(by, np.flatnonzero(np.diff(said[by])) + 1) if len(by) else []:
+        q, w = asked.of(int(said[at[0]]))
+        q = column[q]
+        if len(own := np.flatnonzero(q >= 0)):
+            score[np.ix_(row[at], q[own])] += gain[at][:, None] * w[own]
+    score = np.round(score, 6)
+    segment = np.repeat(batch.column(0).to_numpy(), sizes)
+    place = lambda docs, at: np.repeat(np.arange(batch.num_rows), at) * BLOCK_DOCS + docs % BLOCK_DOCS
+    score[np.isin(place(doc, sizes), place(_flat(batch.column(9)), _sizes(batch.column(9))))] = 0
+    good = (score > 0) & (score >= least[qs])
+    for s in np.unique(segment):
+        own = np.flatnonzero(segment == s)
+        if len(own) > k:
+            good[own] &= score[own] >= np.partition(score[own], len(own) - k, axis=0)[len(own) - k]  # ties of the k-th stay
+    i, j = np.nonzero(good)
+    yield pa.RecordBatch.from_arrays([pa.array(qs[j].astype(np.int32)), pa.array(segment[i].astype(np.int32)), pa.array(doc[i]), pa.array(score[i, j])], names=["q", "segment", "doc", "score"])
+
+
+def _together(asked: _Asked) -> int:
+    """Blocks that are scored at a time."""
+    return max(1, CELLS // (BLOCK_DOCS * max(1, asked.n)))
+
+
+def _scored(blocks: DataFrame, shared, index: LexicalIndex, k: int) -> DataFrame:
+    """q, segment, doc, score: the k best documents of each query in blocks that name the queries to score (``qs``, the last column)."""
+    told = index.k1, index.b, index.avgdl
 
-    return bounds.mapInArrow(run, "segment int, block long, qs array<long>, ts array<int>, users array<int>")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, _, least = shared.value
+        for part in sliced(batches, min(512, _together(asked))):
+            yield from _best(part, np.unique(_flat(part.column(10))), asked, least, told, k)
 
+    return blocks.mapInArrow(run, "q int, segment int, doc long, score double")
 
-def _scored(postings: DataFrame, wanted: DataFrame, dead: DataFrame | None, shared, index: LexicalIndex, k: int) -> DataFrame:
-    """q, segment, doc, score: of each query the k best documents, ties included, of some blocks that are wanted (segment, block, qs, ts).
 
-    A block's postings, queries and dead documents come to a task as rows beside each other; none is longer than a block or a query set.
-    A block scores queries of its neighbours too, maybe from some of their terms: a lower bound, below the query's threshold.
-    """
-    k1, b, avgdl = index.k1, index.b, index.avgdl
-    needed = wanted.select("segment", "block", F.explode("ts").alias("t"))
-    rows = postings.join(needed, ["segment", "block", "t"], "left_semi").select("segment", "block", "t", "docs", "tfs", "lengths")
-    none = F.lit(None)
-    told = lambda df, t, what: df.select("segment", "block", F.lit(t).alias("t"), F.col(what).alias("docs"), none.cast("array<int>").alias("tfs"), none.cast("array<long>").alias("lengths"))
-    rows = rows.unionByName(told(wanted, -2, "qs"))
-    if dead is not None:
-        rows = rows.unionByName(told(dead.join(wanted.select("segment", "block"), ["segment", "block"], "left_semi"), -1, "docs"))
-    rows = rows.repartition("segment", "block").sortWithinPartitions("segment", "block", "t")
-
-    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Of rows of whole blocks of a segment."""
-        asked, _, least = shared.value
-        t = batch.column(2).to_numpy()
-        size = np.diff(batch.column(3).offsets.to_numpy())
-        flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-        of = np.repeat(t, size)
-        qs, gone = np.unique(flat[of == -2]), flat[of == -1]
-        column = np.full(asked.n, -1, dtype=np.int64)
-        column[qs] = np.arange(len(qs))
-        doc, said = flat[of >= 0], of[of >= 0]
-        tf, length = (batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(float) for i in (4, 5))
-        gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
-        docs, row = np.unique(doc, return_inverse=True)
-        score = np.zeros((len(docs), len(qs)))
-        by = np.argsort(said, kind="stable")
-        for at in np.split(by, np.flatnonzero(np.diff(said[by])) + 1) if len(by) else []:
-            q, w = asked.of(int(said[at[0]]))
-            q, w = column[q], w[column[q] >= 0]
-            score[np.ix_(row[at], q[q >= 0])] += gain[at][:, None] * w
-        score = np.round(score, 6)
-        score[np.isin(docs, gone)] = 0
-        good = (score > 0) & (score >= least[qs])
-        if len(docs) > k:
-            good &= score >= np.partition(score, len(docs) - k, axis=0)[len(docs) - k]  # ties of the k-th stay
-        i, j = np.nonzero(good)
-        segment = np.full(len(i), batch.column(0)[0].as_py(), dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(qs[j].astype(np.int32)), pa.array(segment), pa.array(docs[i]), pa.array(score[i, j])], names=["q", "segment", "doc", "score"])
+def _reached(most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return (most > 0) & (most * (1 + 1e-9) + SLACK >= least)
+
+
+def _reaching(blocks: DataFrame, shared, index: LexicalIndex, k: int) -> DataFrame:
+    """What ``_scored`` gives, of the blocks where a query can reach its threshold."""
+    told = index.k1, index.b, index.avgdl
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together = max(1, CELLS // (BLOCK_DOCS * max(1, shared.value[0].n)))  # blocks
-        left = None
-        for batch in batches:
-            if left is not None:
-                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            segment, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            begins = np.append(0, np.flatnonzero((segment[1:] != segment[:-1]) | (block[1:] != block[:-1])) + 1)
-            last, first = int(begins[-1]), 0  # the last block may go on in the next batch
-            for n, at in enumerate(begins[1:].tolist(), 1):
-                if n % together == 0 or segment[at] != segment[first] or at == last:
-                    yield best(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(first, at - first).columns], names=batch.schema.names))
-                    first = at
-            left = batch.slice(last)
-        if left is not None:
-            yield best(pa.Table.from_batches([left]).combine_chunks().to_batches()[0])
+        asked, grown, least = shared.value
+        for batch in sliced(batches):
+            for start, most in _most(batch, asked, grown):
+                reach = _reached(most, least)
+                rows = np.flatnonzero(reach.any(axis=1))
+                for first in range(0, len(rows), _together(asked)):
+                    own = rows[first : first + _together(asked)]
+                    yield from _best(batch.take(pa.array(start + own)), np.flatnonzero(reach[own].any(axis=0)), asked, least, told, k)
 
-    return rows.mapInArrow(run, "q int, segment int, doc long, score double")
+    return blocks.mapInArrow(run, "q int, segment int, doc long, score double")
 
 
-def _tell(told: dict, postings: DataFrame, wanted: DataFrame, asked: _Asked) -> None:
-    every = postings.groupBy("t").agg(F.sum("n").alias("n")).collect()  # terms of a query set
-    needed = wanted.select("segment", "block", F.explode(F.arrays_zip("ts", "users")).alias("z")).select("segment", "block", F.col("z.ts").alias("t"), "z.users")
-    read = postings.join(needed, ["segment", "block", "t"]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("users")), F.lit(0))).first()
-    found = {"postings": sum(r["n"] for r in every), "read": read[0], "gains": sum(r["n"] * len(asked.of(r["t"])[0]) for r in every), "made": read[1]}
-    for name, value in found.items():
+def _tell(told: dict, blocks: DataFrame, shared) -> None:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, grown, least = shared.value
+        says = np.diff(asked.first)
+        postings = read = gains = made = 0
+        for batch in sliced(batches):
+            for start, most in _most(batch, asked, grown):
+                reach = _reached(most, least)
+                part = batch.slice(start, len(most))
+                for own, ts, ns in zip(reach, part.column(2), part.column(4)):
+                    t, n = ts.values.to_numpy(), ns.values.to_numpy().astype(np.int64)
+                    users = np.array([own[asked.of(x)[0]].sum() for x in t.tolist()])
+                    postings, gains = postings + n.sum(), gains + (n * says[t]).sum()
+                    read, made = read + n[users > 0].sum(), made + (n * users).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (postings, read, gains, made)], names=["postings", "read", "gains", "made"])
+
+    found = blocks.mapInArrow(run, "postings long, read long, gains long, made long")
+    for name, value in found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in found.columns)).first().asDict().items():
         told[name] = told.get(name, 0) + value
 
 
@@ -407,26 +481,27 @@ def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, ke
         idf = {r["t"]: float(np.log(1 + (index.n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in df.collect()}
         own = _Asked(counts, terms, idf)
         grown = {int(s): max(1.0, index.avgdl / a) for s, a in index.snapshot.properties["avgdls"].items()}  # tops are of the mean length at the build
-        postings = index.table("postings").join(F.broadcast(asked), "term")
-        bounds = postings.groupBy("segment", "block").agg(F.collect_list(F.struct("t", "top")).alias("p"))  # terms of a query set at most
-        bounds = _kept(bounds.select("segment", "block", F.col("p.t").alias("ts"), F.col("p.top").alias("tops")), "bounds", held)
-        dead = None
+        blocks = _told_of(index.table("postings"), spark.sparkContext.broadcast(terms))
+        none = F.array().cast("array<long>")
         if index.snapshot.parts["dead"]:
-            dead = index.table("dead").groupBy("segment", "block").agg(F.flatten(F.collect_list("docs")).alias("docs"))
+            dead = index.table("dead").groupBy("segment", "block").agg(F.flatten(F.collect_list("docs")).alias("gone"))  # BLOCK_DOCS at most
+            blocks = blocks.join(dead, ["segment", "block"], "left").withColumn("gone", F.coalesce("gone", none))
+        else:
+            blocks = blocks.withColumn("gone", none)
+        blocks = _kept(blocks, "blocks", held)
+        bounds = blocks.select("segment", "block", "ts", "tops")
         shared = spark.sparkContext.broadcast((own, grown, np.zeros(own.n)))
         first = ranked(_promising(bounds, shared, FIRST_BLOCKS), "q", [F.desc("most"), F.asc("segment"), F.asc("block")], FIRST_BLOCKS)
         first = first.groupBy("segment", "block").agg(F.array_sort(F.collect_set(F.col("q").cast("long"))).alias("qs"))  # a query set at most
-        first = _kept(first.join(bounds.select("segment", "block", "ts"), ["segment", "block"]), "promising", held)
-        best = ranked(_scored(postings, first, dead, shared, index, k), "q", [F.desc("score"), F.asc("segment"), F.asc("doc")], k)
+        first = _kept(blocks.join(first, ["segment", "block"]), "promising", held)
+        best = ranked(_scored(first, shared, index, k), "q", [F.desc("score"), F.asc("segment"), F.asc("doc")], k)
         least = np.zeros(own.n)
         for r in best.where(F.col("rank") == k).select("q", "score").collect():  # a row a query
             least[r["q"]] = r["score"]
         limited = spark.sparkContext.broadcast((own, grown, least))
-        wanted = _kept(_reaching(bounds, limited), "wanted", held)
-        hits = _scored(postings, wanted, dead, limited, index, k)
-        hits = _kept(ranked(hits, ["q", "segment"], [F.desc("score"), F.asc("doc")], k).drop("rank"), "hits", held)
+        hits = _kept(ranked(_reaching(blocks, limited, index, k), ["q", "segment"], [F.desc("score"), F.asc("doc")], k).drop("rank"), "hits", held)
         if told is not None:
-            _tell(told, postings, wanted, own)
+            _tell(told, blocks, limited)
         keyed = hits.join(index.table("documents").select("segment", "doc", "key"), ["segment", "doc"])
         named = spark.createDataFrame(list(enumerate(ids)), f"q int, id {query_type}")
         part = keyed.join(named, "q").select(F.col("id").alias(query), F.col("key").alias(key), "score")
