@@ -85,6 +85,36 @@ def python_tokens(text: str | None) -> list[str]:
     return out
 
 
+_WORD, WORDS, WORD_CHARS = re.compile("[A-Za-z][A-Za-z0-9_]*|[0-9]+"), 100_000, 64  # words whose tokens a task remembers, and their length
+
+
+class _Said(dict):
+    """The tokens of words, and of runs of ideographs, joined by blanks."""
+
+    def __missing__(self, word: str) -> str:
+        tokens = " ".join(python_tokens(word))
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = tokens
+        return tokens
+
+
+def token_texts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, tokens, n_tokens: the tokens of ``code_tokens`` in their order, joined by blanks. A word is split once while a task remembers it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = _Said()
+        for batch in sliced(batches):
+            words = ([] if not t else _WORD.findall(t) if t.isascii() else _WORD.findall(t) + _IDEOGRAPHS.findall(t) for t in batch.column(1).to_pylist())
+            tokens = [" ".join([said[w] for w in own]) for own in words]
+            counts = [t.count(" ") + 1 if t else 0 for t in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=["key", "tokens", "n_tokens"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, tokens string, n_tokens long").withColumnRenamed("key", key)
+
+
 def query_sets(queries: DataFrame, query: str, query_text: str) -> Iterator[tuple[list, list[Counter]]]:
     """Ids and token counts of QUERY_SET queries at a time."""
     sets = max(1, -(-queries.count() // QUERY_SET))

@@ -154,8 +154,7 @@ def _tokens_sql(text: str) -> str:
 @query(f"""with t as (select doc_id, {_tokens_sql('text')} as t from documents)
 select doc_id, cast(len(t) as bigint) as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5 from t""")
 def tokenize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", T.code_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+    return retrieval.token_texts(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_tokens", F.md5("tokens").alias("tokens_md5"))
 
 
 IDEOGRAPHS = ("aeinorst", "的一是不了人我在")  # letters of every document turned into ideographs: runs of them, and letters between
@@ -165,8 +164,8 @@ IDEOGRAPHS = ("aeinorst", "的一是不了人我在")  # letters of every docume
 select id, md5(array_to_string({_tokens_sql('text')}, ' ')) as tokens_md5, len({_tokens_sql('text')})::bigint as n_tokens from src""")
 def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "documents").select(_id("d", "doc_id"), F.translate("text", *IDEOGRAPHS).alias("text"))
-    tokens = samples.frame(spark, samples.CODE).unionByName(made).select("id", T.code_tokens(F.col("text")).alias("t"))
-    return tokens.select("id", F.md5(F.array_join("t", " ")).alias("tokens_md5"), F.size("t").cast("long").alias("n_tokens"))
+    tokens = retrieval.token_texts(samples.frame(spark, samples.CODE).unionByName(made), "id")
+    return tokens.select("id", F.md5("tokens").alias("tokens_md5"), "n_tokens")
 
 
 STATS_SQL = f"""
