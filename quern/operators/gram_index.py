@@ -1,7 +1,7 @@
 """A stored index of trigrams: which files can hold a text at all, so that substring search reads few of them.
 
 ``grams`` (gram, block, files) holds for every three code points of the lower-cased texts the files that hold them, numbered, a row a gram
-and block of BLOCK_FILES files; ``files`` (file, path) the numbers; ``counts`` (gram, n). Of an asked text the RAREST grams by these
+and run of files of a block of BLOCK_FILES (a task begins a new row where its texts reach RUN_CHARS), so that no (gram, file) row is shuffled; ``files`` (file, path) the numbers; ``counts`` (gram, n). Of an asked text the RAREST grams by these
 counts are looked up, and a file that has them all is a candidate; the operators that search decide. Texts shorter than three have every file as candidate.
 
 Defined results: null texts hold nothing and null asked texts have no candidates; case is folded as Spark's ``lower`` folds it on both
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import corpus, diagnosis
+from quern.session import sliced
 from quern.sources import snapshots
 
-BLOCK_FILES, RAREST = 1024, 4
+BLOCK_FILES, RAREST, RUN_CHARS = 1024, 4, 4_000_000
 
 
 def grams(text: str) -> set[str]:
@@ -53,15 +54,44 @@ def _exploded(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("id", "t").mapInArrow(run, f"id {kind}, gram string")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """gram, block, files of rows (file, t): each task lists the files of its runs, in their order."""
+    shift = BLOCK_FILES.bit_length() - 1
+
+    def told(block: int, lists: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
+        keys = sorted(lists)
+        for start in range(0, len(keys), 20_000):
+            part = keys[start : start + 20_000]
+            files = pa.array([lists[g] for g in part], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64()), files], names=["gram", "block", "files"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, chars, lists = -1, 0, {}
+        for batch in sliced(batches, 64):
+            for file, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if lists and (file >> shift != block or chars + len(t) > RUN_CHARS):
+                    yield from told(block, lists)
+                    chars, lists = 0, {}
+                block, chars = file >> shift, chars + len(t)
+                for g in grams(t):
+                    if (own := lists.get(g)) is None:
+                        lists[g] = [file]
+                    else:
+                        own.append(file)
+        if lists:
+            yield from told(block, lists)
+
+    return rows.select("file", "t").mapInArrow(run, "gram string, block long, files array<long>")
+
+
 def write_gram_index(files: DataFrame, folder: str, path: str = "path", text: str = "text") -> GramIndex:
     """A version of the index below ``folder``."""
     spark = files.sparkSession
     numbered = files.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("file"), F.col(path).alias("path"), F.lower(text).alias("t"))
     held = snapshots.write_part(numbered, folder, "lowered")  # numbers must not change between the tables
     own = snapshots.part_table(spark, folder, held, numbered.schema)
-    rows = _exploded(own.select(F.col("file").alias("id"), "t"), "long")
-    lists = rows.groupBy("gram", F.shiftright("id", BLOCK_FILES.bit_length() - 1).alias("block")).agg(F.array_sort(F.collect_list("id")).alias("files"))  # BLOCK_FILES at most
-    part = snapshots.write_part(lists.sortWithinPartitions("gram"), folder, "grams")
+    lists = _listed(own)
+    part = snapshots.write_part(lists, folder, "grams")
     written = snapshots.part_table(spark, folder, part, lists.schema)
     counts = written.groupBy("gram").agg(F.sum(F.size("files").cast("long")).alias("n"))
     named = own.select("file", "path")
