@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import classify_exception, first_occurrences, let, line_array, strip, symbols
 from quern.operators import matching
 from quern.operators.corpus import line_ranges
+from quern.session import written
 
 # The forms of a traceback line and of an exception line.
 FRAME = r'^\s*File\s+"([^"]+)",\s+line\s+([0-9]+)(?:,\s+in\s+(.+))?\s*$'
@@ -107,14 +108,14 @@ def resolve_frames(found: DataFrame, files: DataFrame, file: str = "file", path:
 def identifier_exists(names: DataFrame, lines: DataFrame, files: DataFrame, name: str = "name", path: str = "path", text: str = "text") -> DataFrame:
     """name, exists_in_files: a file of that path, a path that ends with it, or a line that contains it, in any case.
 
-    ``names`` are the identifiers of questions; they go to the lines in blocks of bounded size, all of a block at once.
+    ``names`` are the identifiers of questions; the lines are read once for all of them.
     """
     low = F.lower(F.replace(F.col(name), F.lit("\\"), F.lit("/")))
-    asked = names.select(F.col(name).alias("_n"), low.alias("_low"), F.lower(name).alias("_said")).distinct()
+    asked = written(names.select(F.col(name).alias("_n"), low.alias("_low"), F.lower(name).alias("_said")).distinct(), "names")
     parts = F.split(F.lower(F.col(path)), "/")
     tails = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("_low")).distinct()
     by_path = asked.join(tails, "_low", "left_semi").select("_n")
-    held = matching.held_in(lines.select(F.lower(text).alias("_t")), asked.select("_n", "_said"), None, "_t", "_n", "_said").distinct()
+    held = matching.held_in(lines.select(F.lower(text).alias("_t")), asked.select("_n", "_said"), None, "_t", "_n", "_said")
     found = by_path.unionByName(held).distinct().withColumn("_yes", F.lit(True))
     return asked.join(found, "_n", "left").select(F.col("_n").alias(name), F.coalesce("_yes", F.lit(False)).alias("exists_in_files"))
 
