@@ -1,9 +1,12 @@
-"""Column functions on text: tokenising, identifiers, rule-based labels, normalisation. All stay inside the JVM."""
+"""Column functions on text: tokenising, identifiers, rule-based labels, normalisation. All but ``identifiers`` stay inside the JVM."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,9 +109,10 @@ def identifiers(text: Column) -> Column:
     """Code identifiers named in a question: file names, snake_case, dotted names, CamelCase and acronyms, in this order.
 
     Each pattern takes a whole run of its characters: what stands before and after is named, so that no word boundary is asked of
-    the regex engine (their idea of a word differs on accented letters), and a run is tried at its start alone.
+    the regex engine (their idea of a word differs on accented letters), and a run is tried at its start alone. No pattern looks beyond
+    a run of the characters of file names, so a task tries the patterns on the runs that may hold an identifier, once while it remembers it.
     """
-    return first_occurrences(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in IDENTIFIER_FORMS)))
+    return F.arrow_udf(_identifiers, "array<string>")(text)
 
 
 # File names, snake_case, dotted names, CamelCase and acronyms, each as a whole run of its characters.
@@ -118,6 +122,70 @@ IDENTIFIER_FORMS = (
     r"(?<![A-Za-z0-9_.])[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)++(?![A-Za-z0-9_.])",
     "(?<![A-Za-z0-9_])[A-Z](?:[A-Z]|[a-z0-9]++[A-Z])[A-Za-z0-9]*+(?![A-Za-z0-9_])",
 )
+RUNS, RUN_CHARS, TEXTS = 100_000, 64, 512  # runs that a task remembers, and their length; texts looked through together
+
+# Kinds of bytes, a bit each: of a file name, of a word, what joins words, capitals, letters and digits.
+IN_RUN, IN_WORD, JOINT, CAPITAL, ALNUM = 1, 2, 4, 8, 16
+_ALNUM = UPPER + LOWER + "0123456789"
+_KINDS = np.zeros(256, dtype=np.uint8)
+for _kind, _chars in ((IN_RUN, _ALNUM + "_./\\-"), (IN_WORD, _ALNUM + "_"), (JOINT, "_."), (CAPITAL, UPPER), (ALNUM, _ALNUM)):
+    _KINDS[list(_chars.encode())] |= _kind
+
+
+class _Named(dict):
+    """What each form finds in a run of the characters of file names; nothing for some."""
+
+    def __init__(self) -> None:
+        self.forms = [re.compile(p) for p in IDENTIFIER_FORMS]
+
+    def __missing__(self, run: bytes) -> list[list[str]]:
+        found = [form.findall(run.decode()) for form in self.forms]
+        found = found if any(found) else []
+        if len(run) <= RUN_CHARS:
+            if len(self) >= RUNS:
+                self.clear()
+            self[run] = found
+        return found
+
+
+_named = _Named()
+
+
+def _runs(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Runs of the characters of file names that may hold an identifier, in order, and which text each is of. All identifiers hold a
+    dot or low line before a letter, digit or low line, or a capital behind a letter or digit."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    if at[0] == at[-1]:
+        return at[:0], []
+    data = memoryview(texts.buffers()[2])[at[0] : at[-1]]
+    at, kinds = at - at[0], _KINDS[np.frombuffer(data, np.uint8)]
+    one, two = kinds[:-1], kinds[1:]
+    hint = np.flatnonzero((one & JOINT > 0) & (two & IN_WORD > 0) | (one & ALNUM > 0) & (two & CAPITAL > 0))
+    stops = np.flatnonzero(kinds & IN_RUN == 0)
+    place, of = np.searchsorted(stops, hint), np.searchsorted(at, hint, side="right") - 1
+    stops = np.concatenate([[-1], stops, [len(kinds)]])
+    start, end = np.maximum(stops[place] + 1, at[of]), np.minimum(stops[place + 1], at[of + 1])
+    first = np.flatnonzero(np.diff(start, prepend=-1))
+    return of[first], [bytes(data[i:j]) for i, j in zip(start[first].tolist(), end[first].tolist())]
+
+
+def _identifiers(texts: pa.Array) -> pa.Array:
+    out = [pa.array([], pa.list_(pa.string()))]
+    for i in range(0, len(texts), TEXTS):
+        part = texts.slice(i, TEXTS)
+        of, runs = _runs(part)
+        edges, named = np.searchsorted(of, np.arange(len(part) + 1)).tolist(), []
+        for null, a, b in zip(part.is_null().to_pylist(), edges, edges[1:]):
+            found = [f for f in map(_named.__getitem__, dict.fromkeys(runs[a:b])) if f]
+            firsts: dict[str, str] = {}
+            for form in range(len(IDENTIFIER_FORMS) if found else 0):
+                for f in found:
+                    for x in f[form]:
+                        firsts.setdefault(x.lower(), x)
+            named.append(None if null else list(firsts.values()))
+        out.append(pa.array(named, pa.list_(pa.string())))
+    return pa.concat_arrays(out)
 
 
 # Intents and the words that decide them, first match wins.

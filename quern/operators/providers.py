@@ -240,14 +240,14 @@ def overlap_judge(prompt: str) -> str:
 def rewrite_by_rules(questions: DataFrame, text: str) -> DataFrame:
     """The rewriter's fallback: intent, should_search, queries, identifiers, confidence 0.5."""
     intent = infer_intent(F.col(text))
-    return questions.withColumns(
+    return questions.withColumn("_named", identifiers(F.col(text))).withColumns(
         {
             "intent": intent,
             "should_search": intent != "general_question",
             "semantic_query": F.col(text),
-            "keyword_query": F.array_join(first_occurrences(F.concat(F.array(F.col(text)), identifiers(F.col(text)))), " "),
-            "identifiers": identifiers(F.col(text)),
+            "keyword_query": F.array_join(first_occurrences(F.concat(F.array(F.col(text)), F.col("_named"))), " "),
+            "identifiers": F.col("_named"),
             "confidence": clamp_confidence(F.lit("0.5")),
             "rewrite_source": F.lit("rules"),
         }
-    )
+    ).drop("_named")

@@ -8,7 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import curation
+from quern.operators import curation, providers
 
 
 def _parses(spark, error) -> int:
@@ -62,3 +62,20 @@ def test_identifiers_are_whole_runs(spark):
 def test_long_runs_of_capitals_end(spark):
     text = "Ab" + "CDEFGHIJ" * 40 + "_ x " + "A.b" * 300 + "."
     assert spark.createDataFrame([(text,)], "t string").select(T.identifiers(F.col("t"))).first()[0] == []
+
+
+def test_identifiers_take_one_pass_and_no_pattern_over_texts(spark):
+    texts = [None, "", "a.", "Bc x_", "_y a.b", None, "end.", "Next Ab.Cd/ef.py é_a ABé AB", "x\ny.z", "aB", "AbC\x00D.e", "Ab AB aB. ab"]
+    expected = [None, [], [], [], ["a.b"], None, [], ["Ab.Cd/ef.py", "Ab.Cd", "ef.py", "AB"], ["y.z"], [], ["D.e", "AbC"], ["AB"]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", T.identifiers(F.col("t")).alias("k"))
+    assert [r.k for r in rows.orderBy("i").collect()] == expected
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp" not in plan
+
+
+def test_a_rewrite_looks_for_identifiers_once(spark):
+    ruled = providers.rewrite_by_rules(spark.createDataFrame([("see a_b and AbC",)], "text string"), "text")
+    assert ruled._jdf.queryExecution().optimizedPlan().toString().count("_identifiers(") == 1
+    assert ruled.columns[1:6] == ["intent", "should_search", "semantic_query", "keyword_query", "identifiers"]
+    r = ruled.first()
+    assert r.identifiers == ["a_b", "AbC"] and r.keyword_query == "see a_b and AbC a_b AbC"
