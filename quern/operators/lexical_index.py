@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from quern.operators.retrieval import K1, B, check_bm25, python_tokens, query_sets, ranked
-from quern.session import drop, materialise, sliced
+from quern.session import drop, long_rows, materialise, sliced
 from quern.sources import snapshots
 
 BLOCK_DOCS = 8  # documents of a block: the more, the fewer rows and the looser their bounds
@@ -42,6 +42,7 @@ FIRST_BLOCKS = 12  # blocks of each query that are scored to learn how good a sc
 CELLS = 4_000_000  # of a matrix of blocks by queries in a task
 SLACK = 2e-6  # scores are rounded to six decimals
 PARTS = 12  # a merge is due when there are more segments
+RUN_BITS = 15  # of the numbers of documents whose dead are bits of one row
 DEAD = StructType().add("segment", "integer").add("block", "long").add("docs", ArrayType(LongType()))
 
 
@@ -182,11 +183,13 @@ def _sums(documents: DataFrame) -> tuple[int, int]:
 def _segment(spark: SparkSession, path: str, rows: DataFrame, segment: int, k1: float, b: float) -> tuple[DataFrame, dict[str, str], tuple[int, int], dict]:
     """Writes documents and postings of a segment: its documents, parts, (n, tokens), schemas."""
     numbered = _numbered(rows, segment)
-    own = snapshots.write_part(numbered, path, "documents")
-    documents = snapshots.part_table(spark, path, own, numbered.schema)
-    n, tokens = _sums(documents)
-    held = _postings(documents, max(tokens, 1) / max(n, 1), k1, b)
-    return documents, {"documents": own, "postings": snapshots.write_part(held, path, "postings")}, (n, tokens), {"documents": numbered.schema, "postings": held.schema}
+    with long_rows(spark):
+        own = snapshots.write_part(numbered, path, "documents")
+        documents = snapshots.part_table(spark, path, own, numbered.schema)
+        n, tokens = _sums(documents)
+        held = _postings(documents, max(tokens, 1) / max(n, 1), k1, b)
+        parts = {"documents": own, "postings": snapshots.write_part(held, path, "postings")}
+    return documents, parts, (n, tokens), {"documents": numbered.schema, "postings": held.schema}
 
 
 def update_lexical_index(
@@ -222,7 +225,7 @@ def update_lexical_index(
         both = _kept(both, "changes", held)
         rows = rows.join(both.where("new is not null").select("file"), "file", "left_semi")
         gone = _living(LexicalIndex(spark, old)).join(both.where("old is not null").select("file"), "file", "left_semi")
-        gone = _kept(gone, "gone", held)
+        gone = _kept(gone.select("segment", "doc", "length", "terms"), "gone", held)
         gone_n, gone_tokens = _sums(gone)
         n, tokens = old.properties["n"] - gone_n, old.properties["tokens"] - gone_tokens
         if gone_n:
@@ -235,7 +238,8 @@ def update_lexical_index(
         parts["documents"].append(made["documents"]), parts["postings"].append(made["postings"])
     terms = _said(documents) if terms_gone is None else _said(documents).unionByName(terms_gone).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
     if added or terms_gone is not None:
-        parts["terms"].append(snapshots.write_part(terms, path, "terms"))
+        with long_rows(spark):
+            parts["terms"].append(snapshots.write_part(terms, path, "terms"))
     avgdls = dict(old.properties["avgdls"]) if old else {}
     avgdls[str(segment)] = max(said, 1) / max(added, 1)
     schemas |= {"terms": terms.schema, "dead": DEAD, "files": prints.schema}
@@ -273,14 +277,17 @@ def merge_lexical_index(index: LexicalIndex) -> LexicalIndex:
     segment = base.version + 1
     documents, made, (n, tokens), schemas = _segment(spark, path, _living(index).select("key", "file", "length", "terms", "tfs"), segment, index.k1, index.b)
     terms = _said(documents)
-    parts = {"documents": [made["documents"]], "postings": [made["postings"]], "terms": [snapshots.write_part(terms, path, "terms")], "dead": [], "files": base.parts["files"]}
+    with long_rows(spark):
+        told = snapshots.write_part(terms, path, "terms")
+    parts = {"documents": [made["documents"]], "postings": [made["postings"]], "terms": [told], "dead": [], "files": base.parts["files"]}
     schemas |= {"terms": terms.schema, "dead": DEAD, "files": base.schema("files")}
     properties = {**base.properties, "n": n, "tokens": tokens, "tokenised": 0, "avgdls": {str(segment): max(tokens, 1) / max(n, 1)}}
     return LexicalIndex(spark, snapshots.commit(spark, base, path, parts, schemas, properties))
 
 
 def _kept(rows: DataFrame, label: str, held: list[str]) -> DataFrame:
-    table, path = materialise(rows, label)
+    with long_rows(rows.sparkSession):
+        table, path = materialise(rows, label)
     held.append(path)
     return table
 
@@ -291,6 +298,33 @@ def _living(index: LexicalIndex) -> DataFrame:
     return documents.join(dead, ["segment", "doc"], "left_anti") if index.snapshot.parts["dead"] else documents
 
 
+def _gone(index: LexicalIndex) -> dict[int, dict[int, np.ndarray]]:
+    """Of each segment and run of 2^RUN_BITS numbers with dead documents, which are dead: a bit a document, so that the rows of
+    ``postings``, long lists, are neither shuffled nor sorted for them."""
+    if not index.snapshot.parts["dead"]:
+        return {}
+    doc = F.explode("docs").alias("doc")
+    runs = index.table("dead").select("segment", doc).groupBy("segment", F.shiftright("doc", RUN_BITS).alias("run"))
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for r in runs.agg(F.bitmap_construct_agg(F.col("doc").bitwiseAND((1 << RUN_BITS) - 1)).alias("bits")).collect():
+        out.setdefault(r["segment"], {})[r["run"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _dead(gone: dict[int, dict[int, np.ndarray]], segment: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of some documents are dead."""
+    out = np.zeros(len(doc), dtype=bool)
+    for s in np.unique(segment):
+        runs = gone.get(int(s), {})
+        own = np.flatnonzero(segment == s) if runs else np.zeros(0, dtype=np.int64)
+        for run in np.unique(doc[own] >> RUN_BITS):
+            if (bits := runs.get(int(run))) is not None:
+                at = own[doc[own] >> RUN_BITS == run]
+                place = doc[at] & ((1 << RUN_BITS) - 1)
+                out[at] = bits[place >> 3] >> (place & 7) & 1
+    return out
+
+
 class _Asked:
     """Queries of a set as weights by term: who says term t, and how much it counts for each. Sparse, so as large as the queries."""
 
@@ -330,7 +364,7 @@ def _promising(bounds: DataFrame, shared, m: int) -> DataFrame:
     """q, segment, block, most: of each query the m blocks of a task where it can score most."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, grown, _ = shared.value
+        asked, grown, *_ = shared.value
         best = np.zeros((asked.n, 0))
         where = np.zeros((asked.n, 0, 2), dtype=np.int64)
         for batch in sliced(batches):
@@ -370,9 +404,9 @@ def _told_of(postings: DataFrame, terms) -> DataFrame:
     return postings.select("segment", "block", "docs", "lengths", "terms", "tops", "ns", "at", "tfs").mapInArrow(run, schema)
 
 
-def _best(batch: pa.RecordBatch, qs: np.ndarray, asked: _Asked, least: np.ndarray, index: tuple[float, float, float], k: int) -> Iterator[pa.RecordBatch]:
-    """q, segment, doc, score: of each query of ``qs`` the k best documents, ties included, of some blocks (segment, block, ts, tops, ns,
-    at, tfs, docs, lengths, gone). A block scores queries of its neighbours too."""
+def _best(batch: pa.RecordBatch, qs: np.ndarray, asked: _Asked, least: np.ndarray, gone: dict, index: tuple[float, float, float], k: int) -> Iterator[pa.RecordBatch]:
+    """q, segment, doc, score: of each query of ``qs`` the k best living documents, ties included, of some blocks (segment, block, ts, tops,
+    ns, at, tfs, docs, lengths). A block scores queries of its neighbours too."""
     k1, b, avgdl = index
     if not batch.num_rows or not len(qs):
         return
@@ -392,8 +426,7 @@ def _best(batch: pa.RecordBatch, qs: np.ndarray, asked: _Asked, least: np.ndarra
             score[np.ix_(row[at], q[own])] += gain[at][:, None] * w[own]
     score = np.round(score, 6)
     segment = np.repeat(batch.column(0).to_numpy(), sizes)
-    place = lambda docs, at: np.repeat(np.arange(batch.num_rows), at) * BLOCK_DOCS + docs % BLOCK_DOCS
-    score[np.isin(place(doc, sizes), place(_flat(batch.column(9)), _sizes(batch.column(9))))] = 0
+    score[_dead(gone, segment, doc)] = 0
     good = (score > 0) & (score >= least[qs])
     for s in np.unique(segment):
         own = np.flatnonzero(segment == s)
@@ -413,9 +446,9 @@ def _scored(blocks: DataFrame, shared, index: LexicalIndex, k: int) -> DataFrame
     told = index.k1, index.b, index.avgdl
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, _, least = shared.value
+        asked, _, least, gone = shared.value
         for part in sliced(batches, min(512, _together(asked))):
-            yield from _best(part, np.unique(_flat(part.column(10))), asked, least, told, k)
+            yield from _best(part, np.unique(_flat(part.column(9))), asked, least, gone, told, k)
 
     return blocks.mapInArrow(run, "q int, segment int, doc long, score double")
 
@@ -429,21 +462,21 @@ def _reaching(blocks: DataFrame, shared, index: LexicalIndex, k: int) -> DataFra
     told = index.k1, index.b, index.avgdl
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, grown, least = shared.value
+        asked, grown, least, gone = shared.value
         for batch in sliced(batches):
             for start, most in _most(batch, asked, grown):
                 reach = _reached(most, least)
                 rows = np.flatnonzero(reach.any(axis=1))
                 for first in range(0, len(rows), _together(asked)):
                     own = rows[first : first + _together(asked)]
-                    yield from _best(batch.take(pa.array(start + own)), np.flatnonzero(reach[own].any(axis=0)), asked, least, told, k)
+                    yield from _best(batch.take(pa.array(start + own)), np.flatnonzero(reach[own].any(axis=0)), asked, least, gone, told, k)
 
     return blocks.mapInArrow(run, "q int, segment int, doc long, score double")
 
 
 def _tell(told: dict, blocks: DataFrame, shared) -> None:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, grown, least = shared.value
+        asked, grown, least, _ = shared.value
         says = np.diff(asked.first)
         postings = read = gains = made = 0
         for batch in sliced(batches):
@@ -471,6 +504,7 @@ def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, ke
     """
     check_bm25(k, index.k1, index.b)
     spark, out = index.spark, None
+    gone = _gone(index)
     key_type = index.snapshot.schema("documents")["key"].dataType.simpleString()
     query_type = queries.schema[query].dataType.simpleString()
     for ids, counts in query_sets(queries, query, query_text):
@@ -481,27 +515,22 @@ def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, ke
         idf = {r["t"]: float(np.log(1 + (index.n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in df.collect()}
         own = _Asked(counts, terms, idf)
         grown = {int(s): max(1.0, index.avgdl / a) for s, a in index.snapshot.properties["avgdls"].items()}  # tops are of the mean length at the build
-        blocks = _told_of(index.table("postings"), spark.sparkContext.broadcast(terms))
-        none = F.array().cast("array<long>")
-        if index.snapshot.parts["dead"]:
-            dead = index.table("dead").groupBy("segment", "block").agg(F.flatten(F.collect_list("docs")).alias("gone"))  # BLOCK_DOCS at most
-            blocks = blocks.join(dead, ["segment", "block"], "left").withColumn("gone", F.coalesce("gone", none))
-        else:
-            blocks = blocks.withColumn("gone", none)
-        blocks = _kept(blocks, "blocks", held)
+        blocks = _kept(_told_of(index.table("postings"), spark.sparkContext.broadcast(terms)), "blocks", held)
         bounds = blocks.select("segment", "block", "ts", "tops")
-        shared = spark.sparkContext.broadcast((own, grown, np.zeros(own.n)))
+        shared = spark.sparkContext.broadcast((own, grown, np.zeros(own.n), gone))
         first = ranked(_promising(bounds, shared, FIRST_BLOCKS), "q", [F.desc("most"), F.asc("segment"), F.asc("block")], FIRST_BLOCKS)
         first = first.groupBy("segment", "block").agg(F.array_sort(F.collect_set(F.col("q").cast("long"))).alias("qs"))  # a query set at most
         first = _kept(blocks.join(first, ["segment", "block"]), "promising", held)
         best = ranked(_scored(first, shared, index, k), "q", [F.desc("score"), F.asc("segment"), F.asc("doc")], k)
         least = np.zeros(own.n)
-        for r in best.where(F.col("rank") == k).select("q", "score").collect():  # a row a query
-            least[r["q"]] = r["score"]
-        limited = spark.sparkContext.broadcast((own, grown, least))
+        with long_rows(spark):
+            for r in best.where(F.col("rank") == k).select("q", "score").collect():  # a row a query
+                least[r["q"]] = r["score"]
+        limited = spark.sparkContext.broadcast((own, grown, least, gone))
         hits = _kept(ranked(_reaching(blocks, limited, index, k), ["q", "segment"], [F.desc("score"), F.asc("doc")], k).drop("rank"), "hits", held)
         if told is not None:
-            _tell(told, blocks, limited)
+            with long_rows(spark):
+                _tell(told, blocks, limited)
         keyed = hits.join(index.table("documents").select("segment", "doc", "key"), ["segment", "doc"])
         named = spark.createDataFrame(list(enumerate(ids)), f"q int, id {query_type}")
         part = keyed.join(named, "q").select(F.col("id").alias(query), F.col("key").alias(key), "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -53,6 +54,23 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(first, rows)
 
 
+# A scan and a Python worker hold so much of rows that are long lists at a time; a task has several such batches, whatever it reads.
+LONG_ROWS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
+
+
+@contextlib.contextmanager
+def long_rows(spark: SparkSession) -> Iterator[None]:
+    """For what runs inside: batches of few rows. By default a scan holds 4,096 rows of a task and a batch 64 MB, in the JVM and in Python."""
+    before = {name: spark.conf.get(name, None) for name in LONG_ROWS}
+    for name, value in LONG_ROWS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where the setting is absent, one of our own, but on a local master only: on a
     cluster every executor would write to its own disk."""
