@@ -510,7 +510,7 @@ def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, ke
     for ids, counts in query_sets(queries, query, query_text):
         held: list[str] = []
         terms = sorted({t for c in counts for t in c})
-        asked = spark.createDataFrame(list(enumerate(terms)), "t int, term string")  # of a query set at most
+        asked = spark.createDataFrame(pa.table({"t": pa.array(range(len(terms)), pa.int32()), "term": pa.array(terms, pa.string())}), "t int, term string")  # of a query set at most
         df = index.table("terms").join(F.broadcast(asked), "term").groupBy("t").agg(F.sum("df").alias("df"))
         idf = {r["t"]: float(np.log(1 + (index.n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in df.collect()}
         own = _Asked(counts, terms, idf)
@@ -520,7 +520,7 @@ def search_lexical_index(queries: DataFrame, index: LexicalIndex, query: str, ke
         shared = spark.sparkContext.broadcast((own, grown, np.zeros(own.n), gone))
         first = ranked(_promising(bounds, shared, FIRST_BLOCKS), "q", [F.desc("most"), F.asc("segment"), F.asc("block")], FIRST_BLOCKS)
         first = first.groupBy("segment", "block").agg(F.array_sort(F.collect_set(F.col("q").cast("long"))).alias("qs"))  # a query set at most
-        first = _kept(blocks.join(first, ["segment", "block"]), "promising", held)
+        first = _kept(blocks.join(F.broadcast(first), ["segment", "block"]), "promising", held)  # FIRST_BLOCKS rows a query at most
         best = ranked(_scored(first, shared, index, k), "q", [F.desc("score"), F.asc("segment"), F.asc("doc")], k)
         least = np.zeros(own.n)
         with long_rows(spark):

@@ -56,3 +56,20 @@ def test_batches_of_long_rows_are_small(spark):
         assert [spark.conf.get(n) for n in names] == ["8m", "256"]
         raise KeyError
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_only_the_promising_blocks_are_sent(spark, tmp_path, monkeypatch):
+    """The blocks, long rows, stay where they are, whatever Spark thinks of the sizes."""
+    docs = some(spark, 300, "a")
+    index = lexical_index.write_lexical_index(docs, "k", str(tmp_path / "i"))
+    plans, kept, limit = {}, lexical_index._kept, "spark.sql.autoBroadcastJoinThreshold"
+    monkeypatch.setattr(lexical_index, "_kept", lambda rows, label, held: plans.setdefault(label, rows._jdf.queryExecution().executedPlan().toString()) and kept(rows, label, held))
+    queries, before = spark.createDataFrame([(1, "a1 b"), (2, "a3 a4")], "q long, text string"), spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        found = lexical_index.search_lexical_index(queries, index, "q", "k", 9)
+    finally:
+        spark.conf.set(limit, before)
+    rows = lambda x: sorted(map(repr, x.select("q", "k", "score", "rank").collect()))
+    assert rows(found) == rows(retrieval.bm25_search(queries, docs, "q", "k", 9))
+    assert "BroadcastHashJoin" in plans["promising"] and "SortMergeJoin" not in plans["promising"]
